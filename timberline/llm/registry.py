@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import bpe, media, secrets, sharding, simhash, urlfilter
+from timberline.llm import bpe, covertree, media, packing, secrets, sharding, simhash, substring, toxicity, urlfilter
 from timberline.llm.common import documents
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), width=4, lanes=1, radius=4, similarity=None, distinct=False)
 
@@ -23,6 +27,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(documents(spark, sf_dir)).select("doc_id", "removed_sentences", "text")
+
+
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -31,11 +43,18 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_sharding, op4_url_filter, op7_bpe, op8_media, op10_secrets)
+    f.__name__: f for f in (
+        op1_packing, op2_simhash, op3_sharding, op4_url_filter, op5_substring, op6_cover_tree, op7_bpe, op8_media, op9_toxicity, op10_secrets
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
