@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import text_chunks, texts_of
 
-BITS = 20
+BITS = 22
 #: Labelled rows that the model is fitted on, at most; chosen by the hash of their ids.
 MAX_LABELLED = 32_768
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1.0, 0.1, 2
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 0.1, 3
+#: Fewest examples of either label from which the scores are calibrated.
+MIN_CALIBRATION = 20
 FOLDS = 5
 _BIAS = 0
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -114,16 +116,39 @@ def _fit(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.RecordBa
         for batch in batches
         for f, y in zip(batch.column("features").to_pylist(), batch.column("label").to_pylist(), strict=True)
     ]
-    model = Ftrl()
-    for _ in range(epochs):
+    model, margins = Ftrl(), []
+    for epoch in range(epochs):
         for i, y in examples:
+            if not epoch:
+                margins.append(model.weights(i).sum())  # before it is learnt from
             model.learn(i, y)
     if examples:
-        w = model.weights()
+        half = len(examples) // 2
+        slope, shift = calibration(np.array(margins[half:]), np.array([y for _, y in examples[half:]]))
+        w = model.weights() * slope
+        w[_BIAS] += shift
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), pa.array(w[kept])], names=["coordinate", "weight"])
 
 
+def calibration(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make margins of unseen examples log-odds (logistic regression by Newton's method).
+
+    L1 keeps unseen texts' margins small; without this step 0.5 would be too high a bar.
+    """
+    if min(labels.sum(), (1 - labels).sum()) < MIN_CALIBRATION:
+        return 1.0, 0.0
+    slope, shift = 1.0, 0.0
+    for _ in range(50):
+        q = 1.0 / (1.0 + np.exp(-np.clip(slope * margins + shift, -35, 35)))
+        gradient = np.array([((q - labels) * margins).sum() + 1e-3 * slope, (q - labels).sum()])
+        v = q * (1 - q)
+        hessian = np.array([[(v * margins * margins).sum() + 1e-3, (v * margins).sum()], [(v * margins).sum(), v.sum() + 1e-6]])
+        step = np.linalg.solve(hessian, gradient)
+        slope, shift = slope - step[0], shift - step[1]
+    return (slope, shift) if np.isfinite([slope, shift]).all() and slope > 0 else (1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, epochs: int = EPOCHS) -> DataFrame:
     """(coordinate, weight) of the weights that are not zero, learnt from labelled rows outside the held-out fold.
 
