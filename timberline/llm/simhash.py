@@ -171,7 +171,8 @@ def near_duplicates(
 
     Null and empty texts have the fingerprint zero and are linked like others;
     rows with a null doc_id get the component of their class (null if no row of
-    the class has an id); repeated rows are returned as often as they occur; an
+    the class has an id); rows that share a doc_id are one document and so tie
+    their classes together; repeated rows are returned as often as they occur; an
     empty table gives an empty frame; other columns are ignored.
     """
     if (radius is None) == (similarity is None):

@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; from every sentence the shortest run of at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words that begins there is hashed.
+A text is cut into sentences; the shortest runs of at least ``MIN_SENTENCES``
+sentences and ``MIN_WORDS`` words that begin and that end at every sentence are
+hashed, so that the runs inside a passage cover it to both its ends.
 Runs are joined over the whole corpus by their hash; the first place of a run
 (least doc_id, then text hash, then position) keeps it, and the sentences that
 any later place of it covers are removed.
@@ -65,11 +66,12 @@ def runs(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = len(words)
     if n < MIN_SENTENCES:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    total = np.cumsum(words)
+    total, place = np.cumsum(words), np.arange(n)
     before = total - words
-    last = np.maximum(np.searchsorted(total, before + MIN_WORDS), np.arange(n) + MIN_SENTENCES - 1)
-    first = np.flatnonzero(last < n)
-    size = last[first] - first + 1
+    last = np.maximum(np.searchsorted(total, before + MIN_WORDS), place + MIN_SENTENCES - 1)  # that begin at each sentence
+    begin = np.minimum(np.searchsorted(before, total - MIN_WORDS, side="right") - 1, place - MIN_SENTENCES + 1)  # that end at each
+    spans = np.unique(np.concatenate([(place * n + last)[last < n], (begin * n + place)[begin >= 0]]))
+    first, size = spans // n, spans % n - spans // n + 1
     h = np.zeros(len(first), np.uint64)
     for k in range(int(size.max()) if len(size) else 0):
         live = size > k
@@ -147,20 +149,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     other columns are kept.
     """
     docs = docs.drop("removed_sentences")
-    columns = docs.columns
-    text = F.col("text").cast("string")
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_mark", F.xxhash64(text))
-    hits = repeated_runs(keyed.select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), text.alias("text")))
-    hits = hits.distinct().groupBy(F.col("doc").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_list(F.struct("at", "size")).alias("_hits"))
-    joined = keyed.join(hits, (F.col("_doc") == F.col("_d")) & (F.col("_mark") == F.col("_m")), "left").select(*[F.col(f"`{c}`") for c in columns], "_hits")
-    place = columns.index("text")
+    place, schema = docs.columns.index("text"), docs.schema
+    own = [f"c{k}" for k in range(len(docs.columns))]  # names that clash with nothing
+    rows = docs.toDF(*own)
+    doc_id, text = F.col(f"c{docs.columns.index('doc_id')}"), F.col(f"c{place}").cast("string")
+    keyed = rows.withColumn("doc", F.coalesce(doc_id.cast("long"), F.lit(_NO_ID))).withColumn("mark", F.xxhash64(text))
+    hits = repeated_runs(keyed.select("doc", "mark", text.alias("text"))).distinct()
+    hits = hits.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("at", "size")).alias("hits"))
+    joined = keyed.join(hits, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").select(*own, "hits")
 
     def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, hits = batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist()
+        texts, hits = batch.column(place).to_pylist(), batch.column(len(own)).to_pylist()
         new = [_covered(t, h) if h else (t, 0) for t, h in zip(texts, hits, strict=True)]
         field = batch.schema.field(place)
         out = batch.set_column(place, field, pa.array([t for t, _ in new], field.type))
-        return out.set_column(len(columns), "removed_sentences", pa.array([n for _, n in new], pa.int32()))
+        return out.set_column(len(own), "removed_sentences", pa.array([n for _, n in new], pa.int32()))
 
-    schema = joined.drop("_hits").schema.add("removed_sentences", T.IntegerType())
-    return joined.mapInArrow(by_text_chunks(rewrite, place), schema)
+    types = T.StructType([T.StructField(c, f.dataType) for c, f in zip(own, schema, strict=True)]).add("removed_sentences", T.IntegerType())
+    return joined.mapInArrow(by_text_chunks(rewrite, place), types).toDF(*schema.names, "removed_sentences")

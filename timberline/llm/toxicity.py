@@ -203,7 +203,8 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         dense = scorer.dense()
         for batch in batches:
             for part in text_chunks(batch):
-                p = 1.0 / (1.0 + np.exp(-np.clip(scorer.margins(texts_of(part), dense), -700, 700)))
+                with np.errstate(over="ignore"):
+                    p = 1.0 / (1.0 + np.exp(-scorer.margins(texts_of(part), dense)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
