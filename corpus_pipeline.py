@@ -34,7 +34,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = simhash.near_duplicates(docs, width=5, lanes=8, similarity=0.8)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     with_id = docs.where(F.col("doc_id").isNotNull())
-    once = with_id.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    once = with_id.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
