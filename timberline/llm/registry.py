@@ -57,4 +57,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_packing, op2_simhash, op3_sharding, op4_url_filter, op5_substring, op6_cover_tree, op7_bpe, op8_media, op9_toxicity, op10_secrets
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def url_filter_sql(depth: int = urlfilter.DEPTH) -> str:
+    """DuckDB SQL of ``op4_url_filter``, level by level like the tree itself."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    rules = sorted(urlfilter.RULES, key=lambda r: (-len(r[0]), r[0]))
+
+    def case(pick: int) -> str:
+        tests = []
+        for r in rules:
+            domain, _, start = r[0].partition("/")
+            tests.append(f"WHEN (host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{start}') THEN '{r[pick]}'")
+        return "CASE " + " ".join(tests) + " END"
+
+    def segment(k: int) -> str:
+        s = f"coalesce(list_filter(string_split(path, '/'), lambda s: s <> '')[{k}], '')"
+        return f"CASE WHEN regexp_matches({s}, '[0-9]') OR length({s}) > {urlfilter.MAX_SEGMENT} THEN '*' ELSE {s} END AS s{k}"
+
+    levels = range(1, depth + 1)
+    keys = ", ".join(f"s{k}" for k in levels)
+    sql = [
+        f"parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{parts}', 1), ''), '{upper}', '{lower}') AS host, coalesce(regexp_extract(url, '{parts}', 2), '') AS path FROM pages)",
+        f"judged AS (SELECT *, {case(0)} AS rule, {case(1)} AS says, {', '.join(segment(k) for k in levels)} FROM parsed)",
+        f"g0 AS (SELECT host, {keys}, count(says) AS labels, coalesce(sum(CAST(says = 'block' AS INT)), 0) AS bads FROM judged GROUP BY host, {keys})",
+    ]
+    made: list[str] = []
+    for k in levels:
+        parent = ", ".join(["host", *made])
+        distinct = f"(SELECT {parent}, count(DISTINCT CASE WHEN s{k} NOT IN ('', '*') THEN s{k} END) AS n FROM g{k - 1} GROUP BY {parent})"
+        sql.append(f"g{k} AS (SELECT g{k - 1}.*, CASE WHEN n > {urlfilter.MAX_CHILDREN} AND s{k} <> '' THEN '*' ELSE s{k} END AS t{k} FROM g{k - 1} JOIN {distinct} d USING ({parent}))")
+        made.append(f"t{k}")
+    last = f"(SELECT *, NULL::DOUBLE AS purity FROM g{depth})"
+    for k in levels:
+        parent, names = ", ".join(["host", *made[: k - 1]]), ", ".join(["host", *made[:k]])
+        lag = lambda c: f"lag({c}) OVER (PARTITION BY {parent} ORDER BY bb*1.0/bl, t{k})"  # noqa: B023, E731
+        gap, both = f"(bb*1.0/bl - {lag('bb*1.0/bl')})", f"({lag('bl')} + bl)"
+        mean = f"(({lag('bb')} + bb)*1.0/{both})"
+        sql += [
+            f"b{k} AS (SELECT *, coalesce(CAST({gap} > {urlfilter.Z} * sqrt({mean}*(1-{mean})*{both}/({lag('bl')}*bl)) AS INT), 0) AS fresh FROM (SELECT {names}, sum(labels) AS bl, sum(bads) AS bb FROM g{depth} GROUP BY {names}) q WHERE bl > 0)",
+            f"c{k} AS (SELECT *, sum(fresh) OVER (PARTITION BY {parent} ORDER BY bb*1.0/bl, t{k} ROWS UNBOUNDED PRECEDING) AS pool FROM b{k})",
+            f"p{k} AS (SELECT {names}, sum(bl) OVER (PARTITION BY {parent}, pool) AS pl, sum(bb) OVER (PARTITION BY {parent}, pool) AS pb FROM c{k})",
+            f"r{k} AS (SELECT o.* REPLACE (CASE WHEN pl >= {urlfilter.MIN_LABELS} THEN (pb + {urlfilter.PRIOR[0]}) / (pl + {sum(urlfilter.PRIOR)}) ELSE purity END AS purity) FROM {last} o LEFT JOIN p{k} USING ({names}))",
+        ]
+        last = f"r{k}"
+    template = "'/' || array_to_string(list_filter([" + ", ".join(made) + "], lambda t: t <> ''), '/')"
+    purity = f"coalesce(purity, {urlfilter.PRIOR[0] / sum(urlfilter.PRIOR)})"
+    return (
+        f"WITH {', '.join(sql)} SELECT page_id, host, path, rule, coalesce(says, CASE WHEN {purity} > {urlfilter.REJECT_OVER} THEN 'block' ELSE 'allow' END) AS verdict,"
+        f" {template} AS template, round({purity}, 9) AS purity FROM judged JOIN {last} USING (host, {keys})"
+    )
+
+
+#: The other operators hash, tokenize, fit or walk trees; they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter_sql()}
