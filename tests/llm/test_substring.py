@@ -36,30 +36,38 @@ def test_clean_documents_stay(spark):
     assert all(got[i].text == t for i, t in rows)
 
 
+def cut(text):
+    s = substring.split([text.encode()])
+    return list(zip(s.start.tolist(), s.end.tolist(), s.words.tolist(), s.hash.tolist(), strict=True))
+
+
 def test_equals_brute_force(spark):
     rows = [(k, " ".join(prose(s, 36) for s in (k % 5, k, (k + 1) % 5, 50 + k % 3))) for k in range(30)]
     seen, want = {}, {}
     for i, text in rows:
-        cut = substring.sentences(text)
-        gone = set()
-        for a in range(len(cut)):
-            b, words = a, 0
-            while b < len(cut) and (b - a < substring.MIN_SENTENCES or words < substring.MIN_WORDS):
-                words += cut[b][2]
-                b += 1
-            if b - a >= substring.MIN_SENTENCES and words >= substring.MIN_WORDS:
-                key = tuple(c[3] for c in cut[a:b])
-                if seen.setdefault(key, (i, a)) != (i, a):
-                    gone.update(range(a, b))
-        want[i] = "".join(text[c[0] : c[1]] for k, c in enumerate(cut) if k not in gone)
+        parts, gone, raw = cut(text), set(), text.encode()
+        words = [" ".join(raw[a:b].decode().split()) for a, b, _, _ in parts]
+        for a in range(len(parts)):
+            for b in range(a + 1, min(len(parts), a + 20) + 1):
+                long = lambda x, y: y - x >= substring.MIN_SENTENCES and sum(c[2] for c in parts[x:y]) >= substring.MIN_WORDS  # noqa: B023, E731
+                if long(a, b) and not (long(a, b - 1) and long(a + 1, b)):
+                    if seen.setdefault(tuple(words[a:b]), (i, a)) != (i, a):
+                        gone.update(range(a, b))
+        want[i] = b"".join(raw[c[0] : c[1]] for k, c in enumerate(parts) if k not in gone).decode()
     got = run(frame(spark, rows))
     assert {i: r.text for i, r in got.items()} == want and any(r.removed_sentences for r in got.values())
 
 
 def test_sentences_cover_the_text():
-    for text in ("", " ", "a", ".", "...", "A. B! C?\n\nD", prose(1, 300).replace(".", ""), "中文。句子！再见", ' "Hi." she said. ', "x" * 10000):
-        cut = substring.sentences(text)
-        assert "".join(text[a:b] for a, b, _, _ in cut) == text
+    texts = ["", " ", "a", ".", "...", "A. B! C?\n\nD", prose(1, 300).replace(".", ""), "中文 é。 句子", ' "Hi." she said. ', "x" * 10000, "\0 a \0", "end "]
+    many = substring.split([t.encode() for t in texts])
+    for k, text in enumerate(texts):
+        parts, raw = cut(text), text.encode()
+        assert b"".join(raw[a:b] for a, b, _, _ in parts) == (raw if text.split() else b"")
+        mine = many.doc == k
+        assert list(zip(many.start[mine].tolist(), many.end[mine].tolist(), many.words[mine].tolist(), many.hash[mine].tolist(), strict=True)) == parts
+        assert all(w <= substring.LONG for _, _, w, _ in parts)
+    assert [w for _, _, w, _ in cut('One two. "Three four!" five\nsix seven')] == [2, 2, 1, 2]
 
 
 def test_awkward_rows(awkward, none):

@@ -16,8 +16,8 @@ ends within 31 words after that.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,49 +34,101 @@ LONG = 16
 #: Runs that a task holds at once to find repeats within its own partition.
 HELD_RUNS = 2_000_000
 _NO_ID = -(1 << 63)
-_SENTENCE = re.compile(r"[^.!?\n。！？]*(?:[.!?。！？]+[\"'”’)\]]*|\n|$)\s*")
-_WORD = re.compile(r"\S+\s*")
-
-
-def sentences(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash) of the sentences, which cover the whole text; the hash ignores the amount of white space."""
-    out, digest = [], xxhash.xxh3_64_intdigest
-    for m in _SENTENCE.finditer(text):
-        a, b = m.span()
-        if a == b:
-            continue
-        words = m[0].split()
-        if len(words) <= LONG:
-            out.append((a, b, len(words), digest(" ".join(words))))
-            continue
-        begin, held = a, []
-        for w in _WORD.finditer(text, a + len(m[0]) - len(m[0].lstrip()), b):
-            word = w[0].rstrip()
-            held.append(word)
-            if len(held) == LONG or not digest(word) & 3:
-                out.append((begin, w.end(), len(held), digest(" ".join(held))))
-                begin, held = w.end(), []
-        if held:
-            out.append((begin, b, len(held), digest(" ".join(held))))
-    return out
-
-
-def runs(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, number of sentences, hash) of every run that is long enough."""
-    n = len(words)
-    if n < MIN_SENTENCES:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    total, place = np.cumsum(words), np.arange(n)
-    before = total - words
-    last = np.maximum(np.searchsorted(total, before + MIN_WORDS), place + MIN_SENTENCES - 1)  # that begin at each sentence
-    begin = np.minimum(np.searchsorted(before, total - MIN_WORDS, side="right") - 1, place - MIN_SENTENCES + 1)  # that end at each
-    spans = np.unique(np.concatenate([(place * n + last)[last < n], (begin * n + place)[begin >= 0]]))
-    first, size = spans // n, spans % n - spans // n + 1
+_SPACE, _STOP, _CLOSING = (np.isin(np.arange(256), list(x)) for x in (b"\t\n\x0b\x0c\r ", b".!?", b"\"')]"))
+_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
+class Sentences(NamedTuple):
+    """Sentences of several texts: text number, byte range within the text, words and hash."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray
+    hash: np.ndarray
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _K[3]
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hashes(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word's bytes; ``flat`` ends with 32 spare bytes."""
+    eight = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))
+    sizes = ends - starts
+    h = sizes.astype(np.uint64) * _K[4]
+    for k, at in enumerate((0, 8, 16)):
+        left = np.clip(sizes - at, 0, 8)
+        mask = np.where(left >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (left * 8).clip(0, 63).astype(np.uint64)) - np.uint64(1))
+        h = _mix(h ^ ((eight[starts + at] & mask) * _K[k]))
+    for w in np.flatnonzero(sizes > 24):
+        h[w] = xxhash.xxh3_64_intdigest(flat[starts[w] : ends[w]])
+    return h
+
+
+def split(texts: list[bytes]) -> Sentences:
+    """The sentences of each UTF-8 text.
+
+    A sentence ends with a word that ends in a full stop (closing quotes and
+    brackets aside) or is followed by a line break. The ranges cover each text
+    that has a word; the hash takes words only, so white space does not count.
+    """
+    flat = b"\n".join(texts) + b"\n" + bytes(32)
+    buf = np.frombuffer(flat, np.uint8)[:-32]
+    text_ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    text_starts = np.concatenate([[0], text_ends[:-1] + 1]) if len(texts) else text_ends
+    edge = np.diff((~_SPACE[buf]).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        none = np.empty(0, np.int64)
+        return Sentences(none, none, none, none, none.astype(np.uint64))
+    h = _word_hashes(flat, starts, ends)
+    doc = np.searchsorted(text_ends, starts)
+    lines = np.cumsum(buf == 10)
+    tail = buf[ends - 1]
+    stop = _STOP[tail] | (_CLOSING[tail] & _STOP[buf[np.maximum(ends - 2, starts)]])
+    stop[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
+    stop[-1] = True
+
+    def begins(stop: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1])
+
+    first = begins(stop)
+    sizes = np.diff(np.append(first, len(starts)))
+    stop |= np.repeat(sizes > LONG, sizes) & ((h >> np.uint64(17)) & np.uint64(7) == 0)
+    first = begins(stop)
+    sizes = np.diff(np.append(first, len(starts)))
+    place = np.arange(len(starts)) - np.repeat(first, sizes)
+    stop |= place % LONG == LONG - 1
+    first = begins(stop)
+    sizes = np.diff(np.append(first, len(starts)))
+    place = np.arange(len(starts)) - np.repeat(first, sizes)
+    of = doc[first]
+    begin = starts[first] - text_starts[of]
+    begin[np.append(True, of[1:] != of[:-1])] = 0
+    end = np.append(begin[1:], 0)
+    last = np.append(of[1:] != of[:-1], True)
+    end[last] = (text_ends - text_starts)[of[last]]
+    return Sentences(of, begin, end, sizes, np.add.reduceat(_mix(h + place.astype(np.uint64) * _K[0]), first))
+
+
+def runs(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, number of sentences, hash) of the shortest long enough runs that begin or end at each sentence."""
+    n = len(s.doc)
+    total, place = np.cumsum(s.words), np.arange(n)
+    before = total - s.words
+    last = np.maximum(np.searchsorted(total, before + MIN_WORDS), place + MIN_SENTENCES - 1)
+    begin = np.minimum(np.searchsorted(before, total - MIN_WORDS, side="right") - 1, place - MIN_SENTENCES + 1)
+    spans = np.concatenate([(place * n + last)[last < n], (begin * n + place)[begin >= 0]])
+    spans = np.unique(spans)
+    first, last = (spans // n, spans % n) if n else (spans, spans)
+    whole = s.doc[first] == s.doc[last]
+    first, size = first[whole], (last - first + 1)[whole]
     h = np.zeros(len(first), np.uint64)
     for k in range(int(size.max()) if len(size) else 0):
         live = size > k
-        h[live] = (h[live] ^ hashes[first[live] + k]) * np.uint64(0x9E3779B97F4A7C15)
-        h[live] ^= h[live] >> np.uint64(31)
+        h[live] = _mix((h[live] + _K[2]) * _K[1] ^ s.hash[first[live] + k])
     return first, size, h
 
 
@@ -88,55 +140,54 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, doc, mark, at, size = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((at, mark, doc, h))
-        h, doc, mark, at, size = (c[order] for c in (h, doc, mark, at, size))
-        new = np.append(True, h[1:] != h[:-1])
+        sh, sd, sm, sa = h[order], doc[order], mark[order], at[order]
+        new = np.append(True, sh[1:] != sh[:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        first = (doc == doc[head]) & (mark == mark[head]) & (at == at[head])  # repeated rows are one text
+        first = np.empty(len(h), bool)
+        first[order] = (sd == sd[head]) & (sm == sm[head]) & (sa == sa[head])  # repeated rows are one text
         key = np.where(first, h.view(np.int64), (doc * 1_000_003 + at) ^ mark)
-        names = ["key", "known", "doc", "mark", "at", "size"]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(~first), pa.array(doc), pa.array(mark), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], names=names)
+        # in the order of documents, which packs well; the place is one number
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(~first), pa.array(doc), pa.array(mark), pa.array(at << 16 | size)], names=["key", "known", "doc", "mark", "run"])
 
     count = 0
     for batch in batches:
         for part in text_chunks(batch):
-            docs = part.column("doc").to_numpy()
-            marks = part.column("mark").to_numpy()
-            for doc, mark, text in zip(docs, marks, texts_of(part), strict=True):
-                cut = sentences(text)
-                if len(cut) < MIN_SENTENCES:
-                    continue
-                at, size, h = runs(np.array([s[2] for s in cut]), np.array([s[3] for s in cut], np.uint64))
-                if len(at):
-                    held.append((h, np.full(len(at), doc), np.full(len(at), mark), at, size))
-                    count += len(at)
+            s = split([t.encode("utf-8", "surrogatepass") for t in texts_of(part)])
+            first, size, h = runs(s)
+            of = s.doc[first]
+            offset = np.searchsorted(s.doc, of)  # the text's first sentence
+            held.append((h, part.column("doc").to_numpy()[of], part.column("mark").to_numpy()[of], first - offset, size))
+            count += len(first)
             if count >= HELD_RUNS:
                 yield flush()
                 count = 0
-    if held:
+    if count:
         yield flush()
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc, mark, at, size) of every run that has an earlier place, ``docs`` having (doc, mark, text).
+    """(doc, mark, run) of every run that has an earlier place, ``docs`` having (doc, mark, text).
 
-    Repeats within a partition are settled there, so a run reaches the shuffle
-    once a partition at most, however many documents share it.
+    ``run`` is the first sentence's number times 65536 plus the number of
+    sentences. Repeats within a partition are settled there, so a run reaches
+    the shuffle once a partition at most, however many documents share it.
     """
-    rows = docs.select("doc", "mark", "text").mapInArrow(_run_rows, "key long, known boolean, doc long, mark long, at int, size int")
-    place = F.struct("doc", "mark", "at")
+    rows = docs.select("doc", "mark", "text").mapInArrow(_run_rows, "key long, known boolean, doc long, mark long, run long")
+    place = F.struct("doc", "mark", "run")
     first = F.min(place).over(Window.partitionBy("key", "known"))
-    return rows.withColumn("first", first).where(F.col("known") | (place != F.col("first"))).select("doc", "mark", "at", "size")
+    return rows.withColumn("first", first).where(F.col("known") | (place != F.col("first"))).select("doc", "mark", "run")
 
 
-def _covered(text: str, hits: list[dict]) -> tuple[str, int]:
-    """The text without the sentences that ``hits`` cover, and their number."""
-    cut = sentences(text)
-    gone = np.zeros(len(cut) + 1, np.int64)
-    for h in hits:
-        gone[h["at"]] += 1
-        gone[h["at"] + h["size"]] -= 1
+def _covered(text: str, hits: list[int]) -> tuple[str, int]:
+    """The text without the sentences that the runs ``hits`` cover, and their number."""
+    raw = text.encode("utf-8", "surrogatepass")
+    s, at, size = split([raw]), np.array(hits) >> 16, np.array(hits) & 0xFFFF
+    gone = np.zeros(len(s.doc) + 1, np.int64)
+    np.add.at(gone, at, 1)
+    np.add.at(gone, at + size, -1)
     covered = np.cumsum(gone[:-1]) > 0
-    return "".join(text[s[0] : s[1]] for s, c in zip(cut, covered, strict=True) if not c), int(covered.sum())
+    kept = b"".join(raw[a:b] for a, b in zip(s.start[~covered].tolist(), s.end[~covered].tolist(), strict=True))
+    return kept.decode("utf-8", "surrogatepass"), int(covered.sum())
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -155,7 +206,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     doc_id, text = F.col(f"c{docs.columns.index('doc_id')}"), F.col(f"c{place}").cast("string")
     keyed = rows.withColumn("doc", F.coalesce(doc_id.cast("long"), F.lit(_NO_ID))).withColumn("mark", F.xxhash64(text))
     hits = repeated_runs(keyed.select("doc", "mark", text.alias("text"))).distinct()
-    hits = hits.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("at", "size")).alias("hits"))
+    hits = hits.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_list("run").alias("hits"))
     joined = keyed.join(hits, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").select(*own, "hits")
 
     def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
