@@ -33,9 +33,9 @@ def test_tree_covers_and_nests():
     for k in range(len(t.centre)):
         below = t.below(k)
         away = np.sqrt(np.maximum(0, 2 - 2 * t.unit[below] @ t.unit[t.centre[k]]))
-        assert t.centre[k] in below and away.max() <= t.radius[k] + 1e-9
+        assert t.centre[k] in below and away.max() <= t.radius[k] + 1e-7
         for c in range(t.child_at[k], t.child_to[k]):
-            assert t.radius[c] <= t.radius[k] + 1e-9 and t.first[k] <= t.first[c] < t.last[c] <= t.last[k]
+            assert t.radius[c] <= t.radius[k] + 1e-7 and t.first[k] <= t.first[c] < t.last[c] <= t.last[k]
     copy = covertree.CoverTree.unpack(t.pack())
     assert (copy.order == t.order).all() and (copy.x == t.x).all() and (copy.radius == t.radius).all()
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -28,19 +27,27 @@ from timberline.llm.common import Forest, connected_components, cut
 
 TILE = 8192
 LEAF = 16
+SPARSE = 4
 #: Room for rounding in distance bounds; the final test is the cosine's.
 SLACK = 1e-6
-_BLOCK = 512
+#: The same for dot products in single precision.
+ROOM = 1e-4
+_BLOCK = 1024
 
 
 class CoverTree:
-    """Nodes in flat arrays; the points below node k are ``order[first[k]:last[k]]``, its children ``child_at[k]:child_to[k]``."""
+    """Nodes of a cover tree over the rows of ``x``, which are scaled to length 1.
 
-    def __init__(self, x: np.ndarray):
+    A part of ``SPARSE`` points or fewer that is wider than ``tight`` becomes as
+    many nodes of one point: its bound would rule out less than the points do.
+    Nodes are in flat arrays; the points below node k are ``order[first[k]:last[k]]``, its children ``child_at[k]:child_to[k]``."""
+
+    def __init__(self, x: np.ndarray, tight: float = 0.0):
         self.x = x
         scale = np.abs(x).max(1)
         self.norm = np.sqrt(((x / scale[:, None]) ** 2).sum(1)) * scale
         self.unit = (x / scale[:, None]) / (self.norm / scale)[:, None]
+        self.unit32 = self.unit.astype(np.float32)
         self.order = np.arange(len(x))
         rows: list[list] = []  # centre, covering radius, first, last, child_at, child_to
         if len(x):
@@ -62,10 +69,14 @@ class CoverTree:
                 parts, at = [], first
                 while len(members):  # a greedy net: the centre stays a centre on the next level
                     near = away <= half
-                    parts.append(members[near])
-                    below.append((len(rows), half))
-                    rows.append([centre, 0.0, at, at + len(parts[-1]), 0, 0])
-                    at += len(parts[-1])
+                    part = members[near]
+                    parts.append(part)
+                    if len(part) <= SPARSE and float(away[near].max()) > tight:
+                        rows += [[m, 0.0, at + n, at + n + 1, 0, 0] for n, m in enumerate(part.tolist())]
+                    else:
+                        below.append((len(rows), half))
+                        rows.append([centre, 0.0, at, at + len(part), 0, 0])
+                    at += len(part)
                     members = members[~near]
                     if len(members):
                         centre = members[0]
@@ -107,6 +118,7 @@ class CoverTree:
         scale = np.abs(tree.x).max(1) if n else np.empty(0)
         tree.norm = np.sqrt(((tree.x / scale[:, None]) ** 2).sum(1)) * scale
         tree.unit = (tree.x / scale[:, None]) / (tree.norm / scale)[:, None]
+        tree.unit32 = tree.unit.astype(np.float32)
         return tree
 
 
@@ -132,18 +144,38 @@ def dual_traversal(a: CoverTree, b: CoverTree, cosine: float, link, link_all) ->
     def nodes(t: CoverTree, k: int) -> np.ndarray:
         return np.arange(t.child_at[k], t.child_to[k]) if t.child_to[k] > t.child_at[k] else np.array([k])
 
+    def near_pairs(ps: np.ndarray, qs: np.ndarray, mirrored: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of nodes that the covering radii do not rule out, with their centres' distance.
+
+        Distances of most pairs are only compared, as dot products in single
+        precision with room to spare; those that pass are computed again.
+        """
+        for p_is_point in (True, False):
+            p_all = ps[(a.radius[ps] == 0) == p_is_point]
+            for q_is_point in (True, False):
+                q = qs[(b.radius[qs] == 0) == q_is_point]
+                right = b.unit32[b.centre[q]].T
+                for at in range(0, len(p_all) if len(q) else 0, _BLOCK):
+                    p = p_all[at : at + _BLOCK]
+                    dots = a.unit32[a.centre[p]] @ right
+                    if p_is_point and q_is_point:
+                        r, c = np.divmod(np.flatnonzero(dots.ravel() >= np.float32(1.0 - (reach + SLACK) ** 2 / 2 - ROOM)), len(q))
+                    else:
+                        bound = reach + a.radius[p][:, None] + b.radius[q][None, :] + SLACK
+                        r, c = np.nonzero(dots >= 1.0 - bound * bound / 2 - ROOM)
+                    u, v = p[r], q[c]
+                    if mirrored:
+                        u, v = u[u <= v], v[u <= v]
+                    if len(u):
+                        apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", a.unit[a.centre[u]], b.unit[b.centre[v]])))
+                        keep = apart <= reach + a.radius[u] + b.radius[v] + SLACK
+                        yield u[keep], v[keep], apart[keep]
+
     pending: list[tuple[np.ndarray, np.ndarray, bool]] = [(np.array([0]), np.array([0]), same)]
     while pending:
         ps, qs, mirrored = pending.pop()
         singles_i, singles_j = [], []
-        for at in range(0, len(ps), _BLOCK):
-            p = ps[at : at + _BLOCK]
-            apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a.unit[a.centre[p]] @ b.unit[b.centre[qs]].T)))
-            near = apart <= reach + a.radius[p][:, None] + b.radius[qs][None, :] + SLACK
-            if mirrored:
-                near &= p[:, None] <= qs[None, :]
-            r, c = np.nonzero(near)
-            u, v, d = p[r], qs[c], apart[r, c]
+        for u, v, d in near_pairs(ps, qs, mirrored):
             nu, nv = a.last[u] - a.first[u], b.last[v] - b.first[v]
             one = (nu == 1) & (nv == 1)
             if one.any():
@@ -160,6 +192,8 @@ def dual_traversal(a: CoverTree, b: CoverTree, cosine: float, link, link_all) ->
                 if len(cu) > 1 or len(cv) > 1:
                     if itself:
                         pending.append((cu, cv, True))
+                    elif len(cu) > 1 and len(cv) > 1 and 0.5 <= a.radius[k] / b.radius[m] <= 2:
+                        pending.append((cu, cv, False))  # of a level: both are opened at once
                     elif len(cu) > 1 and (len(cv) == 1 or a.radius[k] >= b.radius[m]):
                         pending.append((cu, np.array([m]), False))
                     else:
@@ -173,8 +207,8 @@ def dual_traversal(a: CoverTree, b: CoverTree, cosine: float, link, link_all) ->
             exact(np.concatenate(singles_i), np.concatenate(singles_j))
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    tree = CoverTree(np.array(pdf["vector"].tolist(), np.float64))
+def _build(pdf: pd.DataFrame, tight: float) -> pd.DataFrame:
+    tree = CoverTree(np.array(pdf["vector"].tolist(), np.float64), tight)
     ids = pdf[["rep", "copies"]].to_numpy(np.int64).tobytes()
     return pd.DataFrame({"dims": pdf["dims"].iloc[:1], "tile": pdf["tile"].iloc[:1], "tree": [tree.pack()], "ids": [ids]})
 
@@ -226,6 +260,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, tile: int = TIL
     """
     if not 0.5 <= cosine <= 1:
         raise ValueError("cosine must lie in [0.5, 1]")
+    reach = math.sqrt(2.0 - 2.0 * cosine)
     vector = F.col("embedding").cast("array<double>")
     big = F.lit(1.7976931348623157e308)
     fit = (F.size("vector") > 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= big)) & F.exists("vector", lambda v: v != 0)
@@ -237,11 +272,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, tile: int = TIL
     tiles = max(1, -(-most // tile))
     usable = classes.where(F.col("rep").isNotNull())
     dealt = usable.withColumn("tile", F.pmod(F.xxhash64("vector"), F.lit(tiles)).cast("int")).select("dims", "tile", "vector", "rep", "copies")
-    trees = cut(dealt.groupBy("dims", "tile").applyInPandas(_build, "dims int, tile int, tree binary, ids binary"))
+    trees = cut(dealt.groupBy("dims", "tile").applyInPandas(lambda pdf: _build(pdf, reach), "dims int, tile int, tree binary, ids binary"))
     sides = trees.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     sides = sides.select("*", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")).drop("other")
     # a partner that does not exist leaves one side: compared with itself only in the group of its own
-    found = sides.groupBy("dims", "a", "b").applyInPandas(partial(_compare_group, cosine=cosine), "rep long, links long, root long")
+    found = sides.groupBy("dims", "a", "b").applyInPandas(lambda key, pdf: _compare_group(key, pdf, cosine), "rep long, links long, root long")
     found = cut(found)
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
