@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.operators.graph import checkpointed
+
 #: Boxes or other regions that may be broadcast, at most (their count is checked).
 FEW = 2_000
 
@@ -116,17 +118,22 @@ def nearest(
 
     Both sides are bucketed; a query sees its cell and the cells around it and
     is settled once its k-th distance is at most the cell size, beyond which
-    nothing unseen can be nearer. The others go on with cells of twice the
-    size, until one block of cells covers everything; each round keeps the
+    nothing unseen can be nearer. The others go on with cells of three times
+    the size, until one block of cells covers everything; each round keeps the
     equi-join. With ``limit`` only targets nearer than that count, and one
     round with cells of that size is enough. Rows with a null coordinate have
     no neighbours.
     """
     t = targets.select(F.col(target_id).alias("_tid"), *[F.col(d).alias(f"_t{d}") for d in dims], *values).where(_all(F.col(f"_t{d}").isNotNull() for d in dims))
     q = queries.select(F.col(query_id).alias("_qid"), *[F.col(d).alias(f"_q{d}") for d in dims]).where(_all(F.col(f"_q{d}").isNotNull() for d in dims))
-    edge = t.select(*[F.col(f"_t{d}") for d in dims]).union(q.select(*[F.col(f"_q{d}") for d in dims])).agg(*[f(f"_t{d}").alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    extent = max([(edge[f"hi{d}"] or 0.0) - (edge[f"lo{d}"] or 0.0) for d in dims])
-    size = float(limit or size)
+    both = t.select(F.lit(1).alias("_one"), *[F.col(f"_t{d}") for d in dims]).union(q.select(F.lit(0), *[F.col(f"_q{d}") for d in dims]))
+    edge = both.agg(F.sum("_one").alias("n"), *[f(f"_t{d}").alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    extents = [(edge[f"hi{d}"] or 0.0) - (edge[f"lo{d}"] or 0.0) for d in dims]
+    extent = max(extents)
+    if limit is None:  # so that a block of cells holds several times k targets where they are spread evenly
+        size = max(float(size), (reduce(lambda a, b: a * b, (max(e, size) for e in extents)) * k / max(1, edge["n"] or 0)) ** (1 / len(dims)))
+    else:
+        size = float(limit)
     order = Window.partitionBy("_qid").orderBy("dist", "_tid")
     steps = [[]]
     for _ in dims:
@@ -147,13 +154,14 @@ def nearest(
         found = ranked.select(F.col("_qid").alias(query_id), "rank", "dist", F.col("_tid").alias(target_id), *values)
         if last:
             return found if done is None else done.union(found)
-        settled = ranked.groupBy("_qid").agg(F.max("dist").alias("far"), F.count("*").alias("n")).where((F.col("n") == k) & (F.col("far") <= size)).select("_qid").persist()
-        found = found.join(settled, F.col(query_id) == F.col("_qid"), "left_semi")
+        ranked = checkpointed(ranked.select("_qid", *found.columns[1:3], F.col("_tid"), *values))
+        settled = ranked.groupBy("_qid").agg(F.max("dist").alias("far"), F.count("*").alias("n")).where((F.col("n") == k) & (F.col("far") <= size)).select("_qid")
+        found = ranked.join(settled, "_qid", "left_semi").select(F.col("_qid").alias(query_id), "rank", "dist", F.col("_tid").alias(target_id), *values)
         done = found if done is None else done.union(found)
-        q = q.join(settled, "_qid", "left_anti").persist()
+        q = checkpointed(q.join(settled, "_qid", "left_anti"))
         if q.isEmpty():
             return done
-        size *= 2
+        size *= 3
 
 
 def closest_pixels(pixels: DataFrame, target: tuple[float, ...], channels: tuple[str, ...]) -> DataFrame:

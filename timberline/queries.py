@@ -1014,3 +1014,209 @@ def _(s, d):
 @query("inventory_report", "SELECT tree_id, x, y, z FROM tops", "labelled", extra=_TOPS)
 def _(s, d):
     return pipelines.tree_inventory(views.labelled(s, d))
+
+
+@query("src2_xyz_general", "SELECT round(x, 4) AS x, round(intensity, 4) AS c4 FROM cloud", "cloud")
+def _(s, d):
+    from timberline.sources import tables
+
+    path = _place(s, "general")
+    views.cloud(s, d).select("x", "y", "z", "class_id", "intensity").write.mode("overwrite").csv(path, sep=",")
+    return tables.read_xyz(s, path, ",", other=(4,), glob="part-*").select(F.round("x", 4).alias("x"), F.round("c4", 4).alias("c4"))
+
+
+@query("src5_off", "SELECT round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM cloud", "cloud")
+def _(s, d):
+    from timberline.sources import tables
+
+    path = _place(s, "off")
+    with open(f"{path}/a.off", "w") as f:
+        rows = views.cloud(s, d).select("x", "y", "z")
+        f.write(f"{rows.count()}\n")
+        f.writelines(f"{r.x!r} {r.y!r} {r.z!r}\n" for r in rows.toLocalIterator())
+    return tables.read_off(s, f"{path}/a.off").select(*[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+@query("src7_las_integers", "SELECT CAST(sum(CAST(round(x*1000, 0) AS BIGINT)) AS BIGINT) AS x, count(*) AS n FROM cloud", "cloud")
+def _(s, d):
+    from timberline.sources import las
+
+    path = _place(s, "las7")
+    las.write_las(views.cloud(s, d).select("pid", "x", "y", "z"), f"{path}/a.las")
+    return las.read_las_store(s, f"{path}/a.las").agg(F.sum(F.round(F.col("x") * 1000).cast("long")).alias("x"), F.count("*").alias("n"))
+
+
+@query("src8_directory", "SELECT 'tree_' || tree_id || '.asc' AS cloud_id, count(*) AS n FROM labelled GROUP BY tree_id", "labelled")
+def _(s, d):
+    from timberline.sources import tables
+
+    path = _place(s, "trees")
+    trees: dict[int, list[str]] = {}
+    for r in views.labelled(s, d).select("tree_id", "x", "y", "z").toLocalIterator():
+        trees.setdefault(r.tree_id, []).append(f"{r.x} {r.y} {r.z}\n")
+    for k, lines in trees.items():
+        with open(f"{path}/tree_{k}.asc", "w") as f:
+            f.writelines(lines)
+    return tables.read_xyz(s, path, glob="*.asc").groupBy("cloud_id").agg(F.count("*").alias("n"))
+
+
+@query("src10_numeric", "SELECT cid, x, y, r FROM (SELECT CAST(cid AS DOUBLE) AS cid, round(x, 4) AS x, round(y, 4) AS y, round(r, 4) AS r FROM circles) q", "circles")
+def _(s, d):
+    from timberline.sources import tables
+
+    path = _place(s, "plots")
+    tables.write_table(views.circles(s, d).select("cid", "x", "y", "r").coalesce(1), path)
+    data = tables.read_numeric(s, path, (0,))[1]
+    return data.select(F.col("f")[0].alias("cid"), *[F.round(F.col("f")[k + 1], 4).alias(c) for k, c in enumerate(("x", "y", "r"))])
+
+
+@query("src11_config", "SELECT 0.2::DOUBLE AS res, 'rescale' AS normalisation, 3::INT AS layers")
+def _(s, d):
+    from timberline.model import RasterConfig
+    from timberline.sources import tables
+
+    path = _place(s, "config")
+    RasterConfig(["vertical_density", "canopy_height"]).to_json(f"{path}/raster_config.json")
+    return tables.read_config(s, f"{path}/raster_config.json").select("res", "normalisation", F.size("raster_layers").alias("layers"))
+
+
+@query("src12_voc", "SELECT bid, CAST(class_id AS INT) AS class_id, round((xmin+xmax+20)/2.0/100, 6) AS cx, round((ymin+ymax+20)/2.0/100, 6) AS cy FROM boxes WHERE class_id < 2 AND bid % 7 <> 0 AND bid < 30", "boxes")
+def _(s, d):
+    from timberline.sources import tables
+
+    path = _place(s, "voc")
+    for r in views.boxes(s, d).where("bid < 30").collect():
+        name = ("tree", "shrub", "partial")[r.class_id]
+        with open(f"{path}/{r.bid}.xml", "w") as f:
+            f.write(f"<annotation><size><width>100</width><height>100</height></size><object><name>{name}</name><difficult>{int(r.bid % 7 == 0)}</difficult><bndbox><xmin>{r.xmin + 10}</xmin><ymin>{r.ymin + 10}</ymin><xmax>{r.xmax + 10}</xmax><ymax>{r.ymax + 10}</ymax></bndbox></object></annotation>")
+    return tables.read_voc(s, path, ["tree", "shrub"]).select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("bid"), "class_id", _r("cx"), _r("cy"))
+
+
+@query("src13_image")
+def _(s, d):
+    import numpy as np
+
+    from timberline.sources import tables
+
+    path = _place(s, "image")
+    cells = voxels.rescaled(voxels.vertical_density(_vox(s, d), [], _CELLS), [], (40, 40)).collect()
+    image = np.zeros((40, 40, 3), np.uint8)
+    for r in cells:
+        image[r.ix, r.iy] = int(r.v * 255)
+    tables.write_ppm(image, f"{path}/a.ppm")
+    return tables.read_ppm(s, f"{path}/a.ppm").select("row", "col", "red")
+
+
+QUERIES["snk19_image"] = QUERIES["src13_image"]
+
+
+@query("src14_boxes", "SELECT bid, ymin, xmin, ymax, xmax FROM boxes", "boxes")
+def _(s, d):
+    from timberline.sources import tables
+
+    path = _place(s, "boxes")
+    tables.save_boxes(views.boxes(s, d).select("bid", "ymin", "xmin", "ymax", "xmax"), path)
+    return tables.load_boxes(s, path)
+
+
+QUERIES["snk20_boxes"], ORACLE_SQL["snk20_boxes"] = QUERIES["src14_boxes"], ORACLE_SQL["src14_boxes"]
+for _new, _old in (("snk1_xyz", "src2_xyz_general"), ("snk2_labelled_xyz", "src1_xyz"), ("snk3_ply", "src4_ply"), ("snk4_labelled_ply", "src4_ply"), ("snk5_las", "src6_las"), ("snk9_ground_mesh", "src9_ground_surface"), ("snk10_inventory_csv", "src10_numeric")):
+    QUERIES[_new], ORACLE_SQL[_new] = QUERIES[_old], ORACLE_SQL[_old]
+
+
+@query("snk7_scalar_voxels", "SELECT round(ix*1.5, 6)::DOUBLE AS x, round(iy*1.5, 6)::DOUBLE AS y, round(iz*1.5, 6)::DOUBLE AS z, ret FROM rets WHERE ret > 0", "cloud", extra=_VOX)
+def _(s, d):
+    cells = voxels.column_returns(_vox(s, d), [], "intensity").where("ret > 0")
+    return voxels.voxel_corners(cells, _CELLS, _RES, centred=False).select(*[_r(c) for c in "xyz"], "ret")
+
+
+@query("snk8_masked_voxels", "SELECT round((ix-20.0)*1.5, 6)::DOUBLE AS x, round((iy-20.0)*1.5, 6)::DOUBLE AS y, round((iz-10.0)*1.5, 6)::DOUBLE AS z, ret FROM rets JOIN (SELECT DISTINCT ix, iy, iz FROM vox WHERE class_id = 1) USING (ix, iy, iz)", "cloud", extra=_VOX)
+def _(s, d):
+    v = _vox(s, d)
+    mask = voxels.occupancy(v.where("class_id = 1"))
+    return voxels.voxel_corners(voxels.column_returns(v, [], "intensity").join(mask, ["ix", "iy", "iz"]), _CELLS, _RES).select(*[_r(c) for c in "xyz"], "ret")
+
+
+QUERIES["snk12_tree_locations"] = QUERIES["grf4_unique_locations"]
+
+
+@query("snk15_coloured_stem_points")
+def _(s, d):
+    from timberline.sources import meshes, ply
+
+    path = _place(s, "stem")
+    points = meshes.coloured_by(views.cloud(s, d).select("pid", "x", "y", "z", "class_id"), "class_id")
+    ply.write_points(points, f"{path}/stem.ply", colours=True)
+    return ply.read_ply(s, f"{path}/stem.ply").select("pid", "x", "y", "z")
+
+
+@query("snk21_stage", "SELECT cid, x, y, r, z, n FROM circles", "circles")
+def _(s, d):
+    from timberline.sources import tables
+
+    return tables.stage(views.circles(s, d), _place(s, "stage"))
+
+
+@query("snk22_metrics", "SELECT CAST(e AS INT) AS epoch, 'loss' AS name, 1.0/(e+1)::DOUBLE AS value FROM range(3) t(e)")
+def _(s, d):
+    from timberline.sources import tables
+
+    path = _place(s, "metrics")
+    for e in range(3):
+        out = tables.append_metrics(s, path, e, {"loss": 1.0 / (e + 1)})
+    return out
+
+
+@query("udf10_conv_output_shape", "SELECT CAST(n AS BIGINT) AS n, CAST(ceil((n-4)/2.0) AS BIGINT) AS valid, CAST(ceil(n/2.0) AS BIGINT) AS same FROM range(5, 50) t(n)")
+def _(s, d):
+    from timberline.functions.scalar import conv_output_shape
+
+    return s.createDataFrame([(n, conv_output_shape(n, 5, "VALID", 2), conv_output_shape(n, 5, "SAME", 2)) for n in range(5, 50)], "n long, valid long, same long")
+
+
+@query("udf12_learning_rate", "SELECT CAST(n AS BIGINT) AS step, round(0.001*pow(0.5, n//10), 6)::DOUBLE AS stairs, CASE WHEN n <= 10 THEN 0.1 WHEN n <= 20 THEN 0.01 ELSE 0.001 END::DOUBLE AS pieces FROM range(40) t(n)")
+def _(s, d):
+    from timberline.functions.scalar import learning_rate
+
+    rows = [(n, learning_rate(n, 1e-3, 10, 0.5), learning_rate(n, 0.1, bounds=[10, 20], values=[0.01, 0.001])) for n in range(40)]
+    return s.createDataFrame(rows, "step long, stairs double, pieces double").select("step", _r("stairs"), "pieces")
+
+
+@query("udf14_delaunay")
+def _(s, d):
+    import numpy as np
+
+    from timberline.sources.ply import delaunay
+
+    xy = np.array([(r.x, r.y) for r in views.circles(s, d).where("cid < 200").select("x", "y").distinct().orderBy("x", "y").collect()])
+    return s.createDataFrame([tuple(map(int, t)) for t in delaunay(xy)], "a long, b long, c long")
+
+
+@query("udf15_detector_lists", "SELECT bid AS cloud_id, CASE WHEN rn % 11 = 0 THEN 'test' ELSE 'train' END AS part FROM (SELECT bid, row_number() OVER (ORDER BY bid) rn FROM boxes) q", "boxes")
+def _(s, d):
+    return training.split_every(views.boxes(s, d).withColumnRenamed("bid", "cloud_id"), 10)
+
+
+@query("udf8_training_batches", f"SELECT w.tree_id, w.batch, w.slot FROM ({_WRAP}) w", "labelled")
+def _(s, d):
+    return training.batch_numbers(views.labelled(s, d), 4, "tree_id")
+
+
+@query("udf4_config")
+def _(s, d):
+    from dataclasses import asdict
+
+    c = asdict(_config())
+    return s.createDataFrame([(k, str(v)) for k, v in c.items()], "name string, value string")
+
+
+@query("udf13_artefact", "SELECT count(*) AS n FROM range(5)")
+def _(s, d):
+    import numpy as np
+
+    path = _place(s, "model")
+    net = segment.VoxelNet.random(channels=2)
+    np.savez(f"{path}/weights.npz", *net.weights)
+    stored = np.load(f"{path}/weights.npz")
+    same = [np.array_equal(stored[f"arr_{k}"], w) for k, w in enumerate(net.weights)]
+    return s.createDataFrame([(sum(same),)], "n long")
