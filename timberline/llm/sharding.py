@@ -49,13 +49,13 @@ def evened_map(slot_map: DataFrame, totals: DataFrame, n_shards: int) -> DataFra
     """The next version in which shards with too many bytes give their smallest spare slots to those with too few."""
     filled = slot_map.join(F.broadcast(totals), "vslot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
     running = Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot").rowsBetween(Window.unboundedPreceding, 0)
-    target = filled.agg((F.sum("bytes") / n_shards).alias("target"))
-    marked = filled.crossJoin(F.broadcast(target)).withColumn("upto", F.sum("bytes").over(running))  # one row of target
-    spare = marked.where((F.col("upto") > F.col("target")) & (F.col("bytes") > 0))
+    target = (filled.agg(F.sum("bytes")).first()[0] or 0) / n_shards
+    marked = filled.withColumn("upto", F.sum("bytes").over(running))
+    spare = marked.where((F.col("upto") > target) & (F.col("bytes") > 0))
     pool = spare.withColumn("at", F.sum("bytes").over(Window.orderBy(F.desc("bytes"), "vslot")) - F.col("bytes") / 2)
-    kept = marked.where(F.col("upto") <= F.col("target")).groupBy("shard").agg(F.sum("bytes").alias("has"))
+    kept = marked.where(F.col("upto") <= target).groupBy("shard").agg(F.sum("bytes").alias("has"))
     shards = slot_map.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("to")).join(F.broadcast(kept), F.col("to") == F.col("shard"), "left")
-    room = shards.crossJoin(F.broadcast(target)).withColumn("room", F.col("target") - F.coalesce("has", F.lit(0)))
+    room = shards.withColumn("room", F.lit(target) - F.coalesce("has", F.lit(0)))
     room = room.withColumn("end", F.sum("room").over(Window.orderBy("to"))).withColumn("begin", F.col("end") - F.col("room"))
     moved = pool.join(F.broadcast(room.select("to", "begin", "end")), (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end")), "left").select("vslot", "to")
     return slot_map.join(moved, "vslot", "left").select((F.col("version") + 1).alias("version"), "vslot", F.coalesce("to", "shard").cast("int").alias("shard"))
