@@ -125,7 +125,11 @@ def find_best_circle(xy: np.ndarray, seed: int = 0, search: CircleSearch = BEST)
 
 
 def circle_stacks(points: DataFrame, dh: float = 0.2, low: float | None = None, high: float | None = None, tile: float = 2.0, search: CircleSearch = MANY) -> DataFrame:
-    """GRF11: (cid, x, y, r, z, n) circles of every slice and half-overlapping tile, numbered upward from the ground (Q26)."""
+    """GRF11: (cid, x, y, r, z, n) circles of every slice and half-overlapping tile.
+
+    A cid is made of slice, tile and place there, so ids rise from the ground
+    (Q26) without any global order.
+    """
     if low is None or high is None:
         least, most = points.agg(F.min("z"), F.max("z")).first()
         low = least if low is None else low
@@ -137,14 +141,11 @@ def circle_stacks(points: DataFrame, dh: float = 0.2, low: float | None = None,
         found = find_circles(pdf[["x", "y"]].to_numpy(), seed_of(*key), search)
         out = pd.DataFrame(found, columns=["x", "y", "r", "n"])
         out["z"] = low + key[0] * dh + dh / 2
-        out["slice"], out["tx"], out["ty"] = key
-        return out
+        out["cid"] = (((int(key[0]) << 20 | int(key[1])) << 20 | int(key[2])) << 8) + np.arange(len(out))
+        return out[["cid", "x", "y", "r", "z", "n"]]
 
-    schema = "x double, y double, r double, n long, z double, slice int, tx int, ty int"
-    found = tiled.select("slice", "tx", "ty", "pid", "x", "y").groupBy("slice", "tx", "ty").applyInPandas(search_group, schema)
-    # one task orders circles, which are far fewer than points
-    cid = F.row_number().over(Window.orderBy("z", "tx", "ty", "x", "y")) - 1
-    return found.select(cid.cast("long").alias("cid"), "x", "y", "r", "z", "n")
+    grouped = tiled.select("slice", "tx", "ty", "pid", "x", "y").groupBy("slice", "tx", "ty")
+    return grouped.applyInPandas(search_group, "cid long, x double, y double, r double, z double, n long")
 
 
 def overlapping_at_height(circles: DataFrame) -> DataFrame:
@@ -218,8 +219,8 @@ def climb(circles: DataFrame, tile: float = 5.0, at_least: int = 10) -> DataFram
     tiled = half_overlapping_tiles(circles, tile).select("tx", "ty", "cid", "x", "y", "r", "z", "n")
     schema = "tx int, ty int, stack int, seq int, cid long, x double, y double, r double, z double, n long"
     found = tiled.groupBy("tx", "ty").applyInPandas(lambda key, pdf: _climb(key, pdf, at_least), schema)
-    number = F.dense_rank().over(Window.orderBy("tx", "ty", "stack")) - 1
-    return found.select(number.cast("long").alias("stem_id"), "seq", "cid", "x", "y", "r", "z", "n")
+    number = F.shiftleft(F.shiftleft(F.col("tx").cast("long"), 20) + F.col("ty"), 20) + F.col("stack")  # by tile, without a global order
+    return found.select(number.alias("stem_id"), "seq", "cid", "x", "y", "r", "z", "n")
 
 
 def shared_circles(stems: DataFrame) -> DataFrame:
