@@ -57,6 +57,27 @@ def test_similarity_mode_links_by_jaccard(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_similarity_mode_equals_brute_force(spark):
+    import random
+
+    r, rows = random.Random(11), []
+    for base in range(8):
+        words = prose(500 + base, 200).split()
+        for copy in range(8):
+            rows.append((len(rows), " ".join(f"edit{r.random()}" if r.random() < 0.004 * copy else w for w in words)))
+    rows += [(100, "one two"), (101, "One TWO"), (102, "one two three"), (103, ""), (104, None)]
+    sets = {i: set(simhash.shingle_hashes((t or "").encode(), 5, True).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            union = len(sets[i] | sets[j])
+            if i < j and (not union or len(sets[i] & sets[j]) >= 0.8 * union) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame(spark, rows), tile=10).collect()}
+    assert got == root and len(set(root.values())) > 12
+
+
 def test_hot_group_of_near_copies(spark):
     base = prose(7, 200).split()
     rows = [(k, " ".join([*base[:50], f"edit{k}", *base[51:]])) for k in range(300)]

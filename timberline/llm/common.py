@@ -80,18 +80,22 @@ class Forest:
                 return p
             p = q
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Join the sets of a[i] and b[i]; only distinct pairs of roots are walked one by one."""
+    def link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Join the sets of a[i] and b[i]; the places i that really joined two sets.
+
+        Only distinct pairs of roots are walked one by one.
+        """
+        none = np.empty(0, np.int64)
         if not len(a):
-            return
+            return none
         p = self.roots()
         a, b = p[a], p[b]
         lo, hi = np.minimum(a, b), np.maximum(a, b)
-        differ = lo != hi
-        if not differ.any():
-            return
-        keys = np.unique(lo[differ] * np.int64(len(p)) + hi[differ])
-        parent = p.copy()
+        differ = np.flatnonzero(lo != hi)
+        if not len(differ):
+            return none
+        keys, first = np.unique(lo[differ] * np.int64(len(p)) + hi[differ], return_index=True)
+        parent, joined = p.copy(), []
 
         def find(x: int) -> int:
             while parent[x] != x:
@@ -99,11 +103,13 @@ class Forest:
                 x = parent[x]
             return x
 
-        for x, y in zip((keys // len(p)).tolist(), (keys % len(p)).tolist(), strict=True):
+        for x, y, at in zip((keys // len(p)).tolist(), (keys % len(p)).tolist(), differ[first].tolist(), strict=True):
             x, y = find(x), find(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
+                joined.append(at)
         self.parent = parent
+        return np.array(joined, np.int64)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

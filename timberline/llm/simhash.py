@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from timberline.llm.common import Forest, by_text_chunks, connected_components, cut, texts_of
 
 SEED = 42
-TILE = 4096
+TILE = 16384
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LANE_MASK = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGES = "u long, v long"
+_NO_EDGES = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
 
 
 def shingle_hashes(text: bytes, width: int, distinct: bool) -> np.ndarray:
@@ -57,7 +58,7 @@ def _remix(h: np.ndarray, lane: int) -> np.ndarray:
     """Another 64 independent-looking bits of each hash (the finaliser of SplitMix64); lane 0 is the hash."""
     if not lane:
         return h
-    z = h + _MIX * np.uint64(lane)
+    z = h + np.uint64(int(_MIX) * lane & 0xFFFFFFFFFFFFFFFF)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
@@ -109,7 +110,7 @@ def hamming_for(similarity: float, bits: int) -> int:
 
 
 def _links(a, b, na, nb, radius: int, similarity: float | None, first_radius: int):
-    """Index pairs of rows of ``a`` and ``b`` that are linked, block by block."""
+    """(i, j, estimate) of rows of ``a`` and ``b`` that are linked, block by block; the estimate is 1 without ``similarity``."""
     step = max(1, (1 << 19) // max(1, len(b)))
     x = np.empty((step, len(b)), np.uint64)
     c = np.empty((step, len(b)), np.uint8)
@@ -123,39 +124,68 @@ def _links(a, b, na, nb, radius: int, similarity: float | None, first_radius: in
             continue
         i, j = found // len(b) + at, found % len(b)
         if a.shape[1] == 1 and similarity is None:
-            yield i, j
+            yield i, j, np.ones(len(i))
             continue
         for s in range(0, len(i), 1 << 17):
             p, q = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
             apart = np.bitwise_count(a[p] ^ b[q]).sum(1, dtype=np.int64)
             if similarity is None:
-                keep = apart <= radius
+                estimate, keep = np.ones(len(p)), apart <= radius
             else:  # Jaccard similarity from the angle and both set sizes
                 common = np.cos(np.pi * apart / bits) * np.sqrt(na[p] * nb[q])
-                keep = common >= similarity * (na[p] + nb[q] - common)
-                keep |= (apart == 0) & (na[p] == nb[q])
+                union = na[p] + nb[q] - common
+                estimate = np.where(union > 0, common / np.where(union > 0, union, 1), 1.0)
+                keep = estimate >= similarity
             if keep.any():
-                yield p[keep], q[keep]
-
-
-def _compare_tiles(batches, lanes: int, radius: int, similarity: float | None, first_radius: int):
-    for batch in batches:
-        for pair in batch.column("sides"):
-            words, reps, sizes = [], [], []
-            tiles = pair.values.field("tile").to_numpy()
-            for k in np.argsort(tiles):
-                rows = pair.values.field("rows")[int(k)].values
-                words.append(np.frombuffer(b"".join(rows.field("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes))
-                reps.append(rows.field("rep").to_numpy())
-                sizes.append(rows.field("shingles").to_numpy().astype(np.float64))
-            offset = len(words[0]) if len(words) == 2 else 0
-            forest = Forest(sum(map(len, words)))
-            for i, j in _links(words[0], words[-1], sizes[0], sizes[-1], radius, similarity, first_radius):
-                forest.link(i, j + offset)
-            root, ids = forest.roots(), np.concatenate(reps)
-            linked = np.flatnonzero(root != np.arange(len(root)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["u", "v"])
+                yield p[keep], q[keep], estimate[keep]
+
+
+def _compare_tiles(table: pa.Table, lanes: int, radius: int, similarity: float | None, first_radius: int, tiers: tuple[float, ...]) -> pa.Table:
+    """Edges of one pair of tiles: a forest of all links, or of each tier of estimated similarity."""
+    words, reps, sizes = [], [], []
+    sides = table.column("rows").combine_chunks()
+    for k in np.argsort(table.column("tile").to_numpy()):
+        rows = sides[int(k)].values
+        words.append(np.frombuffer(b"".join(rows.field("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes))
+        reps.append(rows.field("rep").to_numpy())
+        sizes.append(rows.field("shingles").to_numpy().astype(np.float64))
+    offset = len(words[0]) if len(words) == 2 else 0
+    ids = np.concatenate(reps)
+    forests, u, v = [Forest(len(ids)) for _ in tiers], [], []
+    for i, j, estimate in _links(words[0], words[-1], sizes[0], sizes[-1], radius, similarity, first_radius):
+        tier = np.searchsorted(tiers, estimate, side="right") - 1
+        for t, forest in enumerate(forests):
+            mine = np.flatnonzero(tier == t)
+            mine = mine[np.argsort(-estimate[mine], kind="stable")]
+            joined = mine[forest.link(i[mine], j[mine] + offset)]
+            if similarity is not None:
+                u.append(ids[i[joined]])
+                v.append(ids[j[joined] + offset])
+    if similarity is None:
+        root = forests[0].roots()
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        u, v = [ids[linked]], [ids[root[linked]]]
+    none = np.empty(0, np.int64)
+    return pa.table({"u": pa.array(np.concatenate([none, *u])), "v": pa.array(np.concatenate([none, *v]))})
+
+
+def _set_batch(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    sets = [shingle_hashes(t.encode("utf-8", "surrogatepass"), width, True).view(np.int64) for t in texts_of(batch)]
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["doc_id", "hashes"])
+
+
+def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges (u, v) between documents whose shingle sets have at least this Jaccard similarity, computed exactly."""
+    edges = edges.distinct()
+    nodes = edges.select(F.col("u").alias("_n")).union(edges.select("v")).distinct()
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wanted = text.join(nodes, F.col("doc_id") == F.col("_n"), "left_semi").dropDuplicates(["doc_id"])
+    sets = wanted.mapInArrow(by_text_chunks(partial(_set_batch, width=width)), "doc_id long, hashes array<long>")
+    sides = [sets.select(F.col("doc_id").alias(f"_{c}"), F.col("hashes").alias(f"h{c}")) for c in "uv"]
+    both = edges.join(sides[0], F.col("u") == F.col("_u")).join(sides[1], F.col("v") == F.col("_v"))
+    common = F.size(F.array_intersect("hu", "hv"))
+    return both.where(common >= similarity * (F.size("hu") + F.size("hv") - common)).select("u", "v")
 
 
 def near_duplicates(
@@ -165,9 +195,12 @@ def near_duplicates(
 
     Two documents are linked if their fingerprints differ in at most ``radius``
     bits, or, with ``similarity``, if the Jaccard similarity of their shingle
-    sets, read from the fingerprints' angle and the set sizes, reaches it.
-    component_id is the smallest doc_id reachable. Equal fingerprints (with
-    equal set sizes) are one class and compared once.
+    sets reaches it. Then the fingerprints' angle and the set sizes give an
+    estimate; pairs within three standard deviations of the threshold or above
+    are candidates, each tile pair keeps a spanning forest of every tier of
+    estimates, and the forests' edges are verified on the texts. component_id is
+    the smallest doc_id reachable. Equal fingerprints (with equal set sizes) are
+    one class and compared once.
 
     Null and empty texts have the fingerprint zero and are linked like others;
     rows with a null doc_id get the component of their class (null if no row of
@@ -182,14 +215,19 @@ def near_duplicates(
     classes = prints.groupBy("fp", *([] if similarity is None else ["shingles"])).agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("n"))
     classes = cut(classes.select("fp", F.col("n").alias("shingles"), "rep"))
     if similarity is None:
-        prune, first_radius = radius, radius
+        prune, first_radius, estimate, tiers = radius, radius, None, (0.0,)
     else:
         # five standard deviations above what the least similar linked pair shows in one word
         share = hamming_for(similarity, 1 << 20) / (1 << 20)
         prune = first_radius = min(64, math.ceil(64 * share + 5 * math.sqrt(64 * share * (1 - share))))
         radius = 64 * lanes
+        bits, room = 64 * lanes * share, 3 * math.sqrt(64 * lanes * share * (1 - share))
+        cosine = math.cos(math.pi * (bits + room) / (64 * lanes))
+        estimate = cosine / (2 - cosine)
+        tiers = tuple(estimate + (1 - estimate) * k / 5 for k in range(5))
     ones = F.bit_count(F.conv(F.hex(F.substring("fp", 1, 4)), 16, 10).cast("long")) + F.bit_count(F.conv(F.hex(F.substring("fp", 5, 4)), 16, 10).cast("long"))
-    ready = classes.where(F.col("rep").isNotNull()).withColumn("ones", ones.cast("int"))
+    # one word's count of several says too little to rule out a tile
+    ready = classes.where(F.col("rep").isNotNull()).withColumn("ones", ones.cast("int") if similarity is None else F.lit(0))
     counts = {r["ones"]: r["n"] for r in ready.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     first, tiles = {}, 0
     for p in range(65):
@@ -203,13 +241,13 @@ def near_duplicates(
     packed = dealt.groupBy("tile", "ones").agg(F.collect_list(F.struct("fp", "rep", F.col("shingles"))).alias("rows"))
     lowest = F.get(at, F.greatest(F.col("ones") - prune, F.lit(0)))
     beyond = F.get(at, F.least(F.col("ones") + prune + 1, F.lit(65)))
-    pairs = packed.select(F.struct("tile", "rows").alias("side"), "tile", F.explode(F.sequence(lowest, beyond - 1)).alias("other"))
-    pairs = pairs.groupBy(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")).agg(F.collect_list("side").alias("sides"))
-    # a pair of which one tile is missing (empty) has one side only and is not a tile with itself
-    pairs = pairs.where((F.size("sides") == 2) | (F.col("a") == F.col("b")))
-    edges = pairs.select("sides").mapInArrow(
-        partial(_compare_tiles, lanes=lanes, radius=radius, similarity=similarity, first_radius=first_radius), _EDGES
-    )
+    sides = packed.select("tile", "rows", F.explode(F.sequence(lowest, beyond - 1)).alias("other"))
+    sides = sides.select("tile", "rows", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
+    # a pair of which one tile is empty has one side only and is not a tile with itself
+    compare = partial(_compare_tiles, lanes=lanes, radius=radius, similarity=estimate, first_radius=first_radius, tiers=tiers)
+    edges = sides.groupBy("a", "b").applyInArrow(lambda key, table: compare(table) if len(table) == 2 or key[0].as_py() == key[1].as_py() else _NO_EDGES, _EDGES)
+    if similarity is not None:
+        edges = verified(docs, cut(edges), width, similarity)
     components = connected_components(edges)
     groups = classes.join(components, classes["rep"] == components["node"], "left").select(
         *[F.col(k).alias(f"k_{k}") for k in key], F.coalesce("component", "rep").alias("component_id")
