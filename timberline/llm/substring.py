@@ -32,7 +32,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 16
 LONG = 16
 #: Runs that a task holds at once to find repeats within its own partition.
-HELD_RUNS = 2_000_000
+HELD_RUNS = 1_000_000
 _NO_ID = -(1 << 63)
 _SPACE, _STOP, _CLOSING = (np.isin(np.arange(256), list(x)) for x in (b"\t\n\x0b\x0c\r ", b".!?", b"\"')]"))
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -94,9 +94,10 @@ def split(texts: list[bytes]) -> Sentences:
     def begins(stop: np.ndarray) -> np.ndarray:
         return np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1])
 
-    first = begins(stop)
-    sizes = np.diff(np.append(first, len(starts)))
-    stop |= np.repeat(sizes > LONG, sizes) & ((h >> np.uint64(17)) & np.uint64(7) == 0)
+    for mask in (7, 3, 1):  # words that end a piece, more of them where pieces are still long
+        first = begins(stop)
+        sizes = np.diff(np.append(first, len(starts)))
+        stop |= np.repeat(sizes > LONG, sizes) & ((h >> np.uint64(17)) & np.uint64(mask) == 0)
     first = begins(stop)
     sizes = np.diff(np.append(first, len(starts)))
     place = np.arange(len(starts)) - np.repeat(first, sizes)
