@@ -62,10 +62,10 @@ def learning_rate(step: int, rate: float = 1e-3, decay_steps: int | None = None,
 
 def jet(v: Column) -> list[Column]:
     """Red, green and blue of the jet colour map at ``v`` in [0, 1] (piecewise linear)."""
-    ramp = lambda x, points: _ramp(x, points)
-    red = ramp(v, [(0.0, 0.0), (0.35, 0.0), (0.66, 1.0), (0.89, 1.0), (1.0, 0.5)])
-    green = ramp(v, [(0.0, 0.0), (0.125, 0.0), (0.375, 1.0), (0.64, 1.0), (0.91, 0.0), (1.0, 0.0)])
-    blue = ramp(v, [(0.0, 0.5), (0.11, 1.0), (0.34, 1.0), (0.65, 0.0), (1.0, 0.0)])
+    # fixed values: the corners of the map's three ramps
+    red = _ramp(v, [(0.0, 0.0), (0.35, 0.0), (0.66, 1.0), (0.89, 1.0), (1.0, 0.5)])
+    green = _ramp(v, [(0.0, 0.0), (0.125, 0.0), (0.375, 1.0), (0.64, 1.0), (0.91, 0.0), (1.0, 0.0)])
+    blue = _ramp(v, [(0.0, 0.5), (0.11, 1.0), (0.34, 1.0), (0.65, 0.0), (1.0, 0.0)])
     return [red, green, blue]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.scalar import clamp
 
-#: Word in a file's path -> class number (0 foliage, 1 lower stem, 2 upper stem, 3 clutter), looked for in this order.
+#: Word in a file's path -> class number (0 foliage, 1 lower stem, 2 upper stem, 3 clutter), looked for in this order.
 PATH_CLASSES = (("foliage", 0), ("hgStem", 1), ("lgStem", 2), ("clutter", 3))
 
 

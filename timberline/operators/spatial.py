@@ -131,7 +131,7 @@ def nearest(
     extents = [(edge[f"hi{d}"] or 0.0) - (edge[f"lo{d}"] or 0.0) for d in dims]
     extent = max(extents)
     if limit is None:  # so that a block of cells holds several times k targets where they are spread evenly
-        size = max(float(size), (reduce(lambda a, b: a * b, (max(e, size) for e in extents)) * k / max(1, edge["n"] or 0)) ** (1 / len(dims)))
+        size = max(float(size), 1.5 * (reduce(lambda a, b: a * b, (max(e, size) for e in extents)) * k / max(1, edge["n"] or 0)) ** (1 / len(dims)))
     else:
         size = float(limit)
     order = Window.partitionBy("_qid").orderBy("dist", "_tid")

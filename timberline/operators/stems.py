@@ -22,7 +22,7 @@ from timberline.operators.spatial import half_overlapping_tiles
 
 @dataclass(frozen=True)
 class CircleSearch:
-    """Limits of the random circle search."""
+    """Limits of the random circle search (fixed values, lengths in metres)."""
 
     tests: int = 200
     r_min: float = 0.075

@@ -26,7 +26,7 @@ class Preset:
     overlap: float
 
 
-#: Presets by density of the sensor: high- and low-density airborne, under canopy, photogrammetry of seedlings.
+#: Fixed values, presets by density of the sensor: high- and low-density airborne, under canopy, photogrammetry of seedlings.
 PRESETS = {"airborne_high": Preset(2.0, 100, 80, 5), "airborne_low": Preset(2.0, 50, 40, 5), "under_canopy": Preset(2.0, 22, 15, 3), "seedlings": Preset(0.5, 25, 23, 1)}
 
 
