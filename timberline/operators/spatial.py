@@ -126,10 +126,11 @@ def nearest(
     """
     t = targets.select(F.col(target_id).alias("_tid"), *[F.col(d).alias(f"_t{d}") for d in dims], *values).where(_all(F.col(f"_t{d}").isNotNull() for d in dims))
     q = queries.select(F.col(query_id).alias("_qid"), *[F.col(d).alias(f"_q{d}") for d in dims]).where(_all(F.col(f"_q{d}").isNotNull() for d in dims))
+    if limit is None:
+        t = checkpointed(t)  # used by every round
     both = t.select(F.lit(1).alias("_one"), *[F.col(f"_t{d}") for d in dims]).union(q.select(F.lit(0), *[F.col(f"_q{d}") for d in dims]))
-    edge = both.agg(F.sum("_one").alias("n"), *[f(f"_t{d}").alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    extents = [(edge[f"hi{d}"] or 0.0) - (edge[f"lo{d}"] or 0.0) for d in dims]
-    extent = max(extents)
+    edge = None if limit is not None else both.agg(F.sum("_one").alias("n"), *[f(f"_t{d}").alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    extents = [(edge[f"hi{d}"] or 0.0) - (edge[f"lo{d}"] or 0.0) for d in dims] if edge else []
     if limit is None:  # so that a block of cells holds several times k targets where they are spread evenly
         size = max(float(size), 1.5 * (reduce(lambda a, b: a * b, (max(e, size) for e in extents)) * k / max(1, edge["n"] or 0)) ** (1 / len(dims)))
     else:
@@ -150,7 +151,7 @@ def nearest(
         if limit is not None:
             pairs = pairs.where(F.col("dist") < limit)
         ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        last = limit is not None or size >= extent
+        last = limit is not None or size >= max(extents)
         found = ranked.select(F.col("_qid").alias(query_id), "rank", "dist", F.col("_tid").alias(target_id), *values)
         if last:
             return found if done is None else done.union(found)
