@@ -146,9 +146,20 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         first = np.empty(len(h), bool)
         first[order] = (sd == sd[head]) & (sm == sm[head]) & (sa == sa[head])  # repeated rows are one text
-        key = np.where(first, h.view(np.int64), (doc * 1_000_003 + at) ^ mark)
-        # in the order of documents, which packs well; the place is one number
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(~first), pa.array(doc), pa.array(mark), pa.array(at << 16 | size)], names=["key", "known", "doc", "mark", "run"])
+        # known repeats of a text need no partner and go as few ranges; all in the order of documents, which packs well
+        idx = np.flatnonzero(~first)
+        d, m, a, e = doc[idx], mark[idx], at[idx], at[idx] + size[idx]
+        other = np.append(True, (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (a[1:] < a[:-1]))[: len(idx)]
+        reach = np.maximum.accumulate(np.cumsum(other) << 32 | e)
+        begin = other.copy()
+        begin[1:] |= a[1:] > (reach[:-1] & 0xFFFFFFFF)
+        begin = np.flatnonzero(begin)
+        length = (reach[np.append(begin[1:], len(idx)) - 1] & 0xFFFFFFFF) - a[begin] if len(idx) else begin
+        d, m, a = d[begin], m[begin], a[begin]
+        key = np.concatenate([h[first].view(np.int64), d * 1_000_003 ^ m])
+        known = np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(d), bool)])
+        columns = [key, known, np.concatenate([doc[first], d]), np.concatenate([mark[first], m]), np.concatenate([at[first] << 32 | size[first], a << 32 | length])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "known", "doc", "mark", "run"])
 
     count = 0
     for batch in batches:
@@ -169,7 +180,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc, mark, run) of every run that has an earlier place, ``docs`` having (doc, mark, text).
 
-    ``run`` is the first sentence's number times 65536 plus the number of
+    ``run`` is the first sentence's number times 2^32 plus the number of
     sentences. Repeats within a partition are settled there, so a run reaches
     the shuffle once a partition at most, however many documents share it.
     """
@@ -182,7 +193,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def _covered(text: str, hits: list[int]) -> tuple[str, int]:
     """The text without the sentences that the runs ``hits`` cover, and their number."""
     raw = text.encode("utf-8", "surrogatepass")
-    s, at, size = split([raw]), np.array(hits) >> 16, np.array(hits) & 0xFFFF
+    s, at, size = split([raw]), np.array(hits) >> 32, np.array(hits) & 0xFFFFFFFF
     gone = np.zeros(len(s.doc) + 1, np.int64)
     np.add.at(gone, at, 1)
     np.add.at(gone, at + size, -1)
