@@ -110,5 +110,13 @@ def url_filter_sql(depth: int = urlfilter.DEPTH) -> str:
     )
 
 
+COVER_TREE_SQL = """WITH RECURSIVE fit AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node, l.v FROM reach r JOIN links l ON r.other = l.u),
+n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u), c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON vec_id = u JOIN c ON vec_id = node"""
+
 #: The other operators hash, tokenize, fit or walk trees; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter_sql(), "op6_cover_tree": COVER_TREE_SQL}
