@@ -161,6 +161,11 @@ def shuffled(points: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
     return points.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(draw(seed, "shuffle", *keys, "pid"), "pid")))
 
 
+def translated(points: DataFrame, dx: float = 0.0, dy: float = 0.0, dz: float = 0.0) -> DataFrame:
+    """PRJ16: coordinates moved by a vector; the default leaves them, as no translation was ever defined for augmentation."""
+    return points.withColumns({"x": F.col("x") + float(dx), "y": F.col("y") + float(dy), "z": F.col("z") + float(dz)})
+
+
 def one_hot(value: Column, classes: int) -> Column:
     """PRJ17: an array with 1.0 at the label's place; an unknown label has no 1."""
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.when(k == value, 1.0).otherwise(0.0))

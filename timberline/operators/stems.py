@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.operators.graph import connected_components
@@ -78,6 +78,11 @@ def fit_circle(points: np.ndarray, start: np.ndarray, rounds: int = 20) -> np.nd
     return p
 
 
+def circle_residual(x: Column, y: Column, cx: Column, cy: Column, r: Column) -> Column:
+    """GRF12 as an expression: the radius less the point's distance from the centre."""
+    return r - F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))
+
+
 def candidate_circles(xy: np.ndarray, seed: int, search: CircleSearch) -> list[tuple[np.ndarray, np.ndarray]]:
     """(circle, inliers) of the random triples that pass every limit, in the order drawn."""
     if len(xy) < search.min_points:

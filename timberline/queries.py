@@ -224,6 +224,11 @@ def _(s, d):
     return projections.shuffled(views.labelled(s, d), ["tree_id"], 7).select("pid", "tree_id", "position")
 
 
+@query("prj16_translated", "SELECT pid, x + 1.5 AS x, y - 2.0 AS y, z AS z FROM cloud", "cloud")
+def _(s, d):
+    return projections.translated(views.cloud(s, d), 1.5, -2.0).select("pid", "x", "y", "z")
+
+
 @query("prj17_one_hot", "SELECT pid, CAST(class_id = 0 AS INT)*1.0::DOUBLE AS c0, CAST(class_id = 1 AS INT)*1.0::DOUBLE AS c1, CAST(class_id = 2 AS INT)*1.0::DOUBLE AS c2, CAST(class_id = 3 AS INT)*1.0::DOUBLE AS c3 FROM cloud", "cloud")
 def _(s, d):
     return views.cloud(s, d).select("pid", projections.one_hot(F.col("class_id"), 4).alias("h")).select("pid", *[F.col("h")[k].alias(f"c{k}") for k in range(4)])
@@ -681,6 +686,13 @@ def _(s, d):
     return rings.groupBy("cid").applyInPandas(best, "cid long, x double, y double, r double, n double")
 
 
+@query("grf12_circle_residual", "SELECT c.pid, r.cid, round(r.r - sqrt((c.x-r.x)*(c.x-r.x)+(c.y-r.y)*(c.y-r.y)), 6) AS residual FROM cloud c JOIN circles r ON c.pid = r.cid", "cloud", "circles")
+def _(s, d):
+    rings = views.circles(s, d).select("cid", F.col("x").alias("cx"), F.col("y").alias("cy"), "r")
+    joined = views.cloud(s, d).join(rings, F.col("pid") == F.col("cid"))
+    return joined.select("pid", "cid", _r(stems.circle_residual(*[F.col(c) for c in ("x", "y", "cx", "cy", "r")]), "residual"))
+
+
 @query("grf10_line_stems")
 def _(s, d):
     return stems.line_stems(views.circles(s, d).withColumn("stem", F.col("cid") % 20), ["stem"])
