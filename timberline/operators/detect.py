@@ -80,6 +80,8 @@ def rasters(points: DataFrame, config: RasterConfig, keys: list[str], ground: Da
     """
     plain = voxelised(points, keys, config.gridSize, config.res)
     canopy = voxelised(height_above_ground(points, ground), keys, config.gridSize, config.res) if ground is not None else None
+    if sum(n not in ("blank", "canopy_height") for n in config.raster_layers) > 1:
+        plain = plain.persist()  # voxels that several layers read
     out = None
     for k, name in enumerate(config.raster_layers):
         if name == "blank":
