@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from timberline.operators.graph import checkpointed
 
-#: Boxes or other regions that may be broadcast, at most (their count is checked).
-FEW = 2_000
-
 
 def _all(tests) -> Column:
     return reduce(lambda a, b: a & b, tests)
