@@ -109,20 +109,25 @@ def hamming_for(similarity: float, bits: int) -> int:
     return round(bits * math.acos(cosine) / math.pi)
 
 
-def _links(a, b, na, nb, radius: int, similarity: float | None, first_radius: int):
+def _links(a, b, na, nb, radius: int, similarity: float | None, first_radius: int, second_radius: int):
     """(i, j, estimate) of rows of ``a`` and ``b`` that are linked, block by block; the estimate is 1 without ``similarity``."""
     step = max(1, (1 << 19) // max(1, len(b)))
     x = np.empty((step, len(b)), np.uint64)
     c = np.empty((step, len(b)), np.uint8)
     bits = 64 * a.shape[1]
+    left, right = ([np.ascontiguousarray(m[:, k]) for k in range(min(2, m.shape[1]))] for m in (a, b))
     for at in range(0, len(a), step):
-        part = a[at : at + step, 0]
-        np.bitwise_xor(part[:, None], b[None, :, 0], out=x[: len(part)])
+        part = left[0][at : at + step]
+        np.bitwise_xor(part[:, None], right[0][None, :], out=x[: len(part)])
         np.bitwise_count(x[: len(part)], out=c[: len(part)])
         found = np.flatnonzero(c[: len(part)].ravel() <= first_radius)
         if not len(found):
             continue
-        i, j = found // len(b) + at, found % len(b)
+        i, j = np.divmod(found, len(b))
+        if len(left) == 2:  # the second word drops nearly all that pass the first by chance
+            two = c[i, j] + np.bitwise_count(left[1][i + at] ^ right[1][j])
+            i, j = i[two <= second_radius], j[two <= second_radius]
+        i += at
         if a.shape[1] == 1 and similarity is None:
             yield i, j, np.ones(len(i))
             continue
@@ -140,7 +145,7 @@ def _links(a, b, na, nb, radius: int, similarity: float | None, first_radius: in
                 yield p[keep], q[keep], estimate[keep]
 
 
-def _compare_tiles(table: pa.Table, lanes: int, radius: int, similarity: float | None, first_radius: int, tiers: tuple[float, ...]) -> pa.Table:
+def _compare_tiles(table: pa.Table, lanes: int, radius: int, similarity: float | None, first_radius: int, second_radius: int, tiers: tuple[float, ...]) -> pa.Table:
     """Edges of one pair of tiles: a forest of all links, or of each tier of estimated similarity."""
     words, reps, sizes = [], [], []
     sides = table.column("rows").combine_chunks()
@@ -152,7 +157,7 @@ def _compare_tiles(table: pa.Table, lanes: int, radius: int, similarity: float |
     offset = len(words[0]) if len(words) == 2 else 0
     ids = np.concatenate(reps)
     forests, u, v = [Forest(len(ids)) for _ in tiers], [], []
-    for i, j, estimate in _links(words[0], words[-1], sizes[0], sizes[-1], radius, similarity, first_radius):
+    for i, j, estimate in _links(words[0], words[-1], sizes[0], sizes[-1], radius, similarity, first_radius, second_radius):
         tier = np.searchsorted(tiers, estimate, side="right") - 1
         for t, forest in enumerate(forests):
             mine = np.flatnonzero(tier == t)
@@ -215,11 +220,12 @@ def near_duplicates(
     classes = prints.groupBy("fp", *([] if similarity is None else ["shingles"])).agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("n"))
     classes = cut(classes.select("fp", F.col("n").alias("shingles"), "rep"))
     if similarity is None:
-        prune, first_radius, estimate, tiers = radius, radius, None, (0.0,)
+        prune, first_radius, second_radius, estimate, tiers = radius, radius, radius, None, (0.0,)
     else:
-        # five standard deviations above what the least similar linked pair shows in one word
+        # five standard deviations above what the least similar linked pair shows in one word and in two
         share = hamming_for(similarity, 1 << 20) / (1 << 20)
-        prune = first_radius = min(64, math.ceil(64 * share + 5 * math.sqrt(64 * share * (1 - share))))
+        first_radius, second_radius = (math.ceil(n * share + 5 * math.sqrt(n * share * (1 - share))) for n in (64, 128))
+        prune = 64
         radius = 64 * lanes
         bits, room = 64 * lanes * share, 3 * math.sqrt(64 * lanes * share * (1 - share))
         cosine = math.cos(math.pi * (bits + room) / (64 * lanes))
@@ -244,7 +250,7 @@ def near_duplicates(
     sides = packed.select("tile", "rows", F.explode(F.sequence(lowest, beyond - 1)).alias("other"))
     sides = sides.select("tile", "rows", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
     # a pair of which one tile is empty has one side only and is not a tile with itself
-    compare = partial(_compare_tiles, lanes=lanes, radius=radius, similarity=estimate, first_radius=first_radius, tiers=tiers)
+    compare = partial(_compare_tiles, lanes=lanes, radius=radius, similarity=estimate, first_radius=first_radius, second_radius=second_radius, tiers=tiers)
     edges = sides.groupBy("a", "b").applyInArrow(lambda key, table: compare(table) if len(table) == 2 or key[0].as_py() == key[1].as_py() else _NO_EDGES, _EDGES)
     if similarity is not None:
         edges = verified(docs, cut(edges), width, similarity)
