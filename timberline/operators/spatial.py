@@ -147,7 +147,11 @@ def nearest(
         pairs = pairs.withColumn("dist", F.sqrt(d2))
         if limit is not None:
             pairs = pairs.where(F.col("dist") < limit)
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if k == 1:  # a minimum, which is combined before the shuffle
+            best = F.min(F.struct("dist", "_tid", *values)).alias("m")
+            ranked = pairs.groupBy("_qid").agg(best).select("_qid", F.lit(1).alias("rank"), "m.*")
+        else:
+            ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         last = limit is not None or size >= max(extents)
         found = ranked.select(F.col("_qid").alias(query_id), "rank", "dist", F.col("_tid").alias(target_id), *values)
         if last:
