@@ -89,3 +89,23 @@ def test_majority_bits_of_many_shingles():
     h = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64)
     want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > 1000)
     assert int(simhash.majority_bits([h], 1)[0, 0]) == want
+
+
+def test_short_documents_at_the_threshold(spark):
+    """Four of five shingles: ties of the even set make the distance larger than the angle says."""
+    rows = []
+    for k in range(60):
+        text = [f"w{k}x{n}" for n in range(9)]
+        rows += [(2 * k, " ".join(text[:8])), (2 * k + 1, " ".join(text))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_allowed_distances_hold_for_sets_at_the_threshold():
+    r = np.random.default_rng(3)
+    for m, n, common in ((4, 5, 4), (12, 15, 12), (14, 13, 12), (20, 25, 20), (200, 250, 200), (180, 180, 160)):
+        limits = simhash.allowed_distances(0.8, 512)
+        for _ in range(300):
+            h = r.integers(0, 1 << 63, m + n - common, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, m + n - common, dtype=np.uint64)
+            a, b = simhash.majority_bits([h[:m], h[m - common :]], 8)
+            assert int(np.bitwise_count(a ^ b).sum()) <= limits[min(m, n, simhash.SMALL)]

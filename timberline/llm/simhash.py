@@ -15,7 +15,7 @@ their number; the README gives the constant.
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,10 @@ from timberline.llm.common import Forest, by_text_chunks, connected_components,
 
 SEED = 42
 TILE = 16384
+#: Sizes of shingle sets up to which the chance of differing bits is computed exactly.
+SMALL = 64
+#: The share of linked pairs that each of the two comparisons of fingerprints may drop.
+MISSED = 1e-9
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LANE_MASK = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -109,64 +113,122 @@ def hamming_for(similarity: float, bits: int) -> int:
     return round(bits * math.acos(cosine) / math.pi)
 
 
-def _links(a, b, na, nb, radius: int, similarity: float | None, first_radius: int, second_radius: int):
-    """(i, j, estimate) of rows of ``a`` and ``b`` that are linked, block by block; the estimate is 1 without ``similarity``."""
+@lru_cache
+def flip_shares(similarity: float) -> np.ndarray:
+    """The largest chance that a bit differs between linked sets, by the smaller set's size (0 to SMALL; SMALL stands for all larger).
+
+    Exact for small sets, of which even ones lose ties: the common elements give
+    s ones, the others of each set a binomial number. The chance settles towards
+    the angle of large sets, so the last entry is the largest of the last sizes.
+    """
+
+    def pmf(n: int) -> np.ndarray:
+        return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+
+    def over(n: int, common: int) -> np.ndarray:
+        """Chance of a majority in a set of n if s = 0, 1, ... of the common elements have the bit."""
+        least = np.clip(n // 2 + 1 - np.arange(common + 1), 0, n - common + 1)
+        return np.append(np.cumsum(pmf(n - common)[::-1])[::-1], 0.0)[least]
+
+    out = np.zeros(SMALL + 1)
+    for m in range(1, SMALL + 1):
+        for n in range(m, math.floor(m / similarity + 1e-9) + 1):
+            least = max(0, math.ceil(similarity * (m + n) / (1 + similarity) - 1e-9))
+            for common in range(least, min(m, least + 3) + 1):  # a smaller overlap flips more, but for parity
+                u, v = over(m, common), over(n, common)
+                out[m] = max(out[m], float(pmf(common) @ (u * (1 - v) + v * (1 - u))))
+    out[SMALL] = max(out[SMALL - 24 :].max(), math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return out
+
+
+def allowed_distances(similarity: float, bits: int) -> np.ndarray:
+    """By the smaller set's size as in :func:`flip_shares`, the distance that a linked pair exceeds in one of 1 / MISSED cases at most."""
+    out = []
+    for share in flip_shares(similarity).tolist():
+        tail, d = 0.0, bits
+        while d and (tail := tail + math.comb(bits, d) * share**d * (1 - share) ** (bits - d)) <= MISSED:
+            d -= 1
+        out.append(d)
+    return np.array(out)
+
+
+def _links(a, b, radius: int):
+    """(i, j) of rows of ``a`` and ``b`` at most ``radius`` bits apart, block by block."""
     step = max(1, (1 << 19) // max(1, len(b)))
     x = np.empty((step, len(b)), np.uint64)
     c = np.empty((step, len(b)), np.uint8)
-    bits = 64 * a.shape[1]
-    left, right = ([np.ascontiguousarray(m[:, k]) for k in range(min(2, m.shape[1]))] for m in (a, b))
+    left, right = np.ascontiguousarray(a[:, 0]), np.ascontiguousarray(b[:, 0])
     for at in range(0, len(a), step):
-        part = left[0][at : at + step]
-        np.bitwise_xor(part[:, None], right[0][None, :], out=x[: len(part)])
+        part = left[at : at + step]
+        np.bitwise_xor(part[:, None], right[None, :], out=x[: len(part)])
         np.bitwise_count(x[: len(part)], out=c[: len(part)])
-        found = np.flatnonzero(c[: len(part)].ravel() <= first_radius)
-        if not len(found):
-            continue
-        i, j = np.divmod(found, len(b))
-        if len(left) == 2:  # the second word drops nearly all that pass the first by chance
-            two = c[i, j] + np.bitwise_count(left[1][i + at] ^ right[1][j])
-            i, j = i[two <= second_radius], j[two <= second_radius]
+        i, j = np.divmod(np.flatnonzero(c[: len(part)].ravel() <= radius), len(b))
         i += at
-        if a.shape[1] == 1 and similarity is None:
-            yield i, j, np.ones(len(i))
+        for s in range(0, len(i), 1 << 17):
+            p, q = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
+            keep = np.bitwise_count(a[p] ^ b[q]).sum(1, dtype=np.int64) <= radius
+            if keep.any():
+                yield p[keep], q[keep]
+
+
+def _similar(a, b, na, nb, similarity: float, allowed: np.ndarray, worst: np.ndarray, same: bool):
+    """(i, j, estimate) of rows of ``a`` and ``b``, both in the order of their set sizes, whose distance linked sets of these sizes may have.
+
+    Only sizes that allow the similarity meet. The first two words drop nearly
+    all other pairs by ``worst``, the largest distances that sets of this size or
+    more may have there. With ``same``, b is a, and i <= j.
+    """
+    bits, step, few = 64 * a.shape[1], 32, min(2, a.shape[1])
+    left, right = ([np.ascontiguousarray(m[:, k]) for k in range(few)] for m in (a, b))
+    for at in range(0, len(a), step):
+        n = len(na[at : at + step])
+        low = int(np.searchsorted(nb, similarity * na[at] - 1e-6))
+        high = int(np.searchsorted(nb, na[at + n - 1] / similarity + 1e-6, side="right"))
+        low = max(low, at) if same else low
+        if low >= high:
             continue
+        c = np.zeros((n, high - low), np.uint8)
+        for p, q in zip(left, right, strict=True):
+            c += np.bitwise_count(p[at : at + n, None] ^ q[None, low:high])
+        i, j = np.divmod(np.flatnonzero(c.ravel() <= worst[int(min(na[at], nb[low], SMALL))]), high - low)
+        i, j = i + at, j + low
         for s in range(0, len(i), 1 << 17):
             p, q = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
             apart = np.bitwise_count(a[p] ^ b[q]).sum(1, dtype=np.int64)
-            if similarity is None:
-                estimate, keep = np.ones(len(p)), apart <= radius
-            else:  # Jaccard similarity from the angle and both set sizes
+            keep = apart <= allowed[np.minimum(np.minimum(na[p], nb[q]), SMALL).astype(np.int64)]
+            p, q, apart = p[keep], q[keep], apart[keep]
+            if len(p):  # Jaccard similarity from the angle and both set sizes
                 common = np.cos(np.pi * apart / bits) * np.sqrt(na[p] * nb[q])
                 union = na[p] + nb[q] - common
-                estimate = np.where(union > 0, common / np.where(union > 0, union, 1), 1.0)
-                keep = estimate >= similarity
-            if keep.any():
-                yield p[keep], q[keep], estimate[keep]
+                yield p, q, np.where(union > 0, common / np.where(union > 0, union, 1), 1.0)
 
 
-def _compare_tiles(table: pa.Table, lanes: int, radius: int, similarity: float | None, first_radius: int, second_radius: int, tiers: tuple[float, ...]) -> pa.Table:
+def _compare_tiles(table: pa.Table, lanes: int, radius: int | None, similarity: float | None, allowed, worst, tiers: tuple[float, ...]) -> pa.Table:
     """Edges of one pair of tiles: a forest of all links, or of each tier of estimated similarity."""
     words, reps, sizes = [], [], []
     sides = table.column("rows").combine_chunks()
     for k in np.argsort(table.column("tile").to_numpy()):
         rows = sides[int(k)].values
-        words.append(np.frombuffer(b"".join(rows.field("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes))
-        reps.append(rows.field("rep").to_numpy())
-        sizes.append(rows.field("shingles").to_numpy().astype(np.float64))
+        size = rows.field("shingles").to_numpy().astype(np.float64)
+        order = np.argsort(size, kind="stable")
+        words.append(np.frombuffer(b"".join(rows.field("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)[order])
+        reps.append(rows.field("rep").to_numpy()[order])
+        sizes.append(size[order])
     offset = len(words[0]) if len(words) == 2 else 0
     ids = np.concatenate(reps)
     forests, u, v = [Forest(len(ids)) for _ in tiers], [], []
-    for i, j, estimate in _links(words[0], words[-1], sizes[0], sizes[-1], radius, similarity, first_radius, second_radius):
-        tier = np.searchsorted(tiers, estimate, side="right") - 1
-        for t, forest in enumerate(forests):
-            mine = np.flatnonzero(tier == t)
-            mine = mine[np.argsort(-estimate[mine], kind="stable")]
-            joined = mine[forest.link(i[mine], j[mine] + offset)]
-            if similarity is not None:
+    if similarity is not None:
+        for i, j, estimate in _similar(words[0], words[-1], sizes[0], sizes[-1], similarity, allowed, worst, not offset):
+            tier = np.maximum(np.searchsorted(tiers, estimate, side="right") - 1, 0)
+            for t, forest in enumerate(forests):
+                mine = np.flatnonzero(tier == t)
+                mine = mine[np.argsort(-estimate[mine], kind="stable")]
+                joined = mine[forest.link(i[mine], j[mine] + offset)]
                 u.append(ids[i[joined]])
                 v.append(ids[j[joined] + offset])
-    if similarity is None:
+    else:
+        for i, j in _links(words[0], words[-1], radius):
+            forests[0].link(i, j + offset)
         root = forests[0].roots()
         linked = np.flatnonzero(root != np.arange(len(root)))
         u, v = [ids[linked]], [ids[root[linked]]]
@@ -200,10 +262,10 @@ def near_duplicates(
 
     Two documents are linked if their fingerprints differ in at most ``radius``
     bits, or, with ``similarity``, if the Jaccard similarity of their shingle
-    sets reaches it. Then the fingerprints' angle and the set sizes give an
-    estimate; pairs within three standard deviations of the threshold or above
-    are candidates, each tile pair keeps a spanning forest of every tier of
-    estimates, and the forests' edges are verified on the texts. component_id is
+    sets reaches it. Then pairs are candidates unless their set sizes or the
+    distance of their fingerprints rule the similarity out (see
+    :func:`allowed_distances`), each tile pair keeps a spanning forest of every
+    tier of estimates, and the forests' edges are verified on the texts. component_id is
     the smallest doc_id reachable. Equal fingerprints (with equal set sizes) are
     one class and compared once.
 
@@ -215,18 +277,17 @@ def near_duplicates(
     """
     if (radius is None) == (similarity is None):
         raise ValueError("give either radius or similarity")
-    prints = cut(fingerprints(docs, width, lanes, distinct))
+    prints = cut(fingerprints(docs, width, lanes, distinct or similarity is not None))  # the sizes of sets bound their similarity
     key = ["fp"] if similarity is None else ["fp", "shingles"]
     classes = prints.groupBy("fp", *([] if similarity is None else ["shingles"])).agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("n"))
     classes = cut(classes.select("fp", F.col("n").alias("shingles"), "rep"))
     if similarity is None:
-        prune, first_radius, second_radius, estimate, tiers = radius, radius, radius, None, (0.0,)
+        prune, allowed, worst, tiers = radius, None, None, (0.0,)
     else:
-        # five standard deviations above what the least similar linked pair shows in one word and in two
-        share = hamming_for(similarity, 1 << 20) / (1 << 20)
-        first_radius, second_radius = (math.ceil(n * share + 5 * math.sqrt(n * share * (1 - share))) for n in (64, 128))
-        prune = 64
-        radius = 64 * lanes
+        allowed = allowed_distances(similarity, 64 * lanes)
+        worst = np.maximum.accumulate(allowed_distances(similarity, 64 * min(2, lanes))[::-1])[::-1]
+        prune, share = 64, hamming_for(similarity, 1 << 20) / (1 << 20)
+        # the lowest tier begins three standard deviations below the threshold and takes in what lies lower
         bits, room = 64 * lanes * share, 3 * math.sqrt(64 * lanes * share * (1 - share))
         cosine = math.cos(math.pi * (bits + room) / (64 * lanes))
         estimate = cosine / (2 - cosine)
@@ -250,7 +311,7 @@ def near_duplicates(
     sides = packed.select("tile", "rows", F.explode(F.sequence(lowest, beyond - 1)).alias("other"))
     sides = sides.select("tile", "rows", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
     # a pair of which one tile is empty has one side only and is not a tile with itself
-    compare = partial(_compare_tiles, lanes=lanes, radius=radius, similarity=estimate, first_radius=first_radius, second_radius=second_radius, tiers=tiers)
+    compare = partial(_compare_tiles, lanes=lanes, radius=radius, similarity=similarity, allowed=allowed, worst=worst, tiers=tiers)
     edges = sides.groupBy("a", "b").applyInArrow(lambda key, table: compare(table) if len(table) == 2 or key[0].as_py() == key[1].as_py() else _NO_EDGES, _EDGES)
     if similarity is not None:
         edges = verified(docs, cut(edges), width, similarity)
