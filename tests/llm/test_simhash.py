@@ -109,3 +109,41 @@ def test_allowed_distances_hold_for_sets_at_the_threshold():
             h = r.integers(0, 1 << 63, m + n - common, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, m + n - common, dtype=np.uint64)
             a, b = simhash.majority_bits([h[:m], h[m - common :]], 8)
             assert int(np.bitwise_count(a ^ b).sum()) <= limits[min(m, n, simhash.SMALL)]
+
+
+def _components_by_jaccard(rows):
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5, True).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+def test_links_behind_failed_ones(spark):
+    """Copies are linked to their base only (0.82), while the estimates between copies (0.67) make them candidates as well."""
+    import random
+
+    r, rows = random.Random(4), []
+    for group in range(3):
+        words = [f"g{group}w{k}" for k in range(204)]
+        rows.append((1000 * group + 500, " ".join(words)))
+        for copy in range(60):
+            edited = {at + r.randint(0, 4) for at in r.sample(range(5, 195, 10), 4)}
+            rows.append((1000 * group + copy, " ".join(f"c{copy}w{k}" if k in edited else w for k, w in enumerate(words))))
+    want = _components_by_jaccard(rows)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame(spark, rows), tile=50).collect()}
+    assert got == want and len(set(want.values())) == 3
+
+
+def test_blocks_of_sets_meet(spark):
+    """The exact comparison does not depend on how documents are dealt into blocks."""
+    rows = [(k, " ".join(f"w{n}" for n in range(40 + 2 * k))) for k in range(30)]
+    edges = spark.createDataFrame([(k, 29) for k in range(29)], "u long, v long")
+    none = edges.where("u < 0")
+    want = _components_by_jaccard(rows)
+    for block in (100, 700, 1 << 21):
+        got = simhash.joined_components(frame(spark, rows), edges, none, none.toDF("node", "component"), 5, 0.8, block)
+        assert {x.node: x.component for x in got.collect()} == want

@@ -31,6 +31,8 @@ TILE = 16384
 SMALL = 64
 #: The share of linked pairs that each of the two comparisons of fingerprints may drop.
 MISSED = 1e-9
+#: Elements of shingle sets in one block of documents that are compared on their texts.
+BLOCK = 1 << 21
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LANE_MASK = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -246,15 +248,94 @@ def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -
     """The edges (u, v) between documents whose shingle sets have at least this Jaccard similarity, computed exactly."""
     edges = edges.distinct()
     nodes = edges.select(F.col("u").alias("_n")).union(edges.select("v")).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = text.join(nodes, F.col("doc_id") == F.col("_n"), "left_semi").dropDuplicates(["doc_id"])
-    sets = wanted.mapInArrow(by_text_chunks(partial(_set_batch, width=width)), "doc_id long, hashes array<long>")
+    sets = _sets_of(docs, nodes, width)
     sides = [sets.select(F.col("doc_id").alias(f"_{c}"), F.col("hashes").alias(f"h{c}")) for c in "uv"]
     both = edges.join(sides[0], F.col("u") == F.col("_u")).join(sides[1], F.col("v") == F.col("_v"))
     common = F.size(F.array_intersect("hu", "hv"))
     return both.where(common >= similarity * (F.size("hu") + F.size("hv") - common)).select("u", "v")
 
 
+def _common(hashes: np.ndarray, sizes: np.ndarray):
+    """A function that counts the elements a set shares with each of the sets whose elements follow one another in ``hashes``."""
+    order = np.argsort(hashes, kind="stable")
+    keys, first = np.unique(hashes[order], return_index=True)
+    owner, last = np.repeat(np.arange(len(sizes)), sizes)[order], np.append(first[1:], len(hashes))
+
+    def count(wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, wanted)
+        at = at[keys[np.minimum(at, len(keys) - 1)] == wanted]
+        n = last[at] - first[at]
+        return np.bincount(owner[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sizes))
+
+    return count
+
+
+def _join_blocks(table: pa.Table, similarity: float) -> pa.Table:
+    """(u, v) components of which two documents, of one block or of a pair of blocks, reach the similarity; a forest of them."""
+    sides = [table.column("rows").combine_chunks()[k].values for k in range(len(table))]
+    component, group = (np.concatenate([r.field(c).to_numpy() for r in sides]) for c in ("component", "grp"))
+    hashes = [r.field("hashes").flatten().to_numpy() for r in sides]
+    sizes = [r.field("hashes").value_lengths().to_numpy().astype(np.int64) for r in sides]
+    names, place = np.unique(component, return_inverse=True)
+    # the largest component of each group is only compared with, as one end of each pair lies in another one
+    of = np.empty(len(names), group.dtype)
+    of[place] = group
+    by_size = np.lexsort((names, -np.bincount(place), of))
+    largest = np.zeros(len(names), bool)
+    largest[by_size[np.append(True, of[by_size][1:] != of[by_size][:-1])]] = True
+    forest, u, v, starts = Forest(len(names)), [], [], [0, len(sizes[0])]
+    for one in range(len(sides)):
+        other = len(sides) - 1 - one
+        mine, theirs = (place[starts[k] : starts[k] + len(sizes[k])] for k in (one, other))
+        if not len(hashes[other]):
+            continue
+        count, ends = _common(hashes[other], sizes[other]), np.cumsum(sizes[one])
+        for k in np.flatnonzero(~largest[mine]).tolist():
+            common = count(hashes[one][ends[k] - sizes[one][k] : ends[k]])
+            hit = theirs[common >= similarity * (sizes[one][k] + sizes[other] - common)]
+            joined = forest.link(np.full(len(hit), mine[k]), hit)
+            u.append(np.full(len(joined), names[mine[k]]))
+            v.append(names[hit[joined]])
+    none = np.empty(0, np.int64)
+    return pa.table({"u": pa.array(np.concatenate([none, *u])), "v": pa.array(np.concatenate([none, *v]))})
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, hashes) of the documents whose ids are the column _n of ``wanted``."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = text.join(wanted, F.col("doc_id") == F.col("_n"), "left_semi").dropDuplicates(["doc_id"])
+    return text.mapInArrow(by_text_chunks(partial(_set_batch, width=width)), "doc_id long, hashes array<long>")
+
+
+def joined_components(docs: DataFrame, edges: DataFrame, true: DataFrame, components: DataFrame, width: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the components (of the ``true`` edges) that untested candidates join.
+
+    ``edges`` are forests that span all candidates, so a candidate between two
+    components lies inside one group of components that failed edges tie
+    together. In each such group all pairs of documents of different components
+    are compared on their whole shingle sets, in blocks of about ``block`` elements.
+    """
+    at = [components.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}")) for c in "uv"]
+    failed = edges.distinct().join(true, ["u", "v"], "left_anti").join(at[0], F.col("u") == F.col("nu"), "left").join(at[1], F.col("v") == F.col("nv"), "left")
+    failed = failed.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    groups = connected_components(failed)
+    nodes = edges.select(F.col("u").alias("_n")).union(edges.select("v")).distinct()
+    nodes = nodes.join(at[0], F.col("_n") == F.col("nu"), "left").select("_n", F.coalesce("cu", "_n").alias("_c"))
+    members = cut(nodes.join(groups, F.col("_c") == F.col("node")).select("_n", F.col("_c"), F.col("component").alias("grp")))
+    sets = _sets_of(docs, members.select("_n"), width).join(members, F.col("doc_id") == F.col("_n"))
+    sets = cut(sets.select("doc_id", F.col("_c").alias("component"), "grp", "hashes"))
+    total = sets.agg(F.sum(F.size("hashes").cast("long"))).first()[0] or 0
+    sets = sets.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(-(-total // block) or 1)))  # small groups share a block
+    blocks = sets.groupBy("bucket").agg(F.ceil(F.sum(F.size("hashes").cast("long")) / F.lit(block)).alias("_blocks"))
+    sets = sets.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.greatest("_blocks", F.lit(1))))
+    packed = sets.groupBy("bucket", "block", "_blocks").agg(F.collect_list(F.struct("component", "grp", "hashes")).alias("rows"))
+    sides = packed.select("bucket", "block", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("_blocks", F.lit(1)) - 1)).alias("other"))
+    sides = sides.select("bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "rows")
+    join = partial(_join_blocks, similarity=similarity)
+    more = sides.groupBy("bucket", "a", "b").applyInArrow(lambda key, table: join(table) if len(table) == 2 or key[1].as_py() == key[2].as_py() else _NO_EDGES, _EDGES)
+    return connected_components(more)
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, lanes: int = 8, radius: int | None = None, similarity: float | None = 0.8, distinct: bool = True, tile: int = TILE
 ) -> DataFrame:
@@ -265,7 +346,9 @@ def near_duplicates(
     sets reaches it. Then pairs are candidates unless their set sizes or the
     distance of their fingerprints rule the similarity out (see
     :func:`allowed_distances`), each tile pair keeps a spanning forest of every
-    tier of estimates, and the forests' edges are verified on the texts. component_id is
+    tier of estimates, and the forests' edges are verified on the texts. Where
+    edges fail, all pairs of documents of the components on both sides are
+    compared as well. component_id is
     the smallest doc_id reachable. Equal fingerprints (with equal set sizes) are
     one class and compared once.
 
@@ -313,12 +396,19 @@ def near_duplicates(
     # a pair of which one tile is empty has one side only and is not a tile with itself
     compare = partial(_compare_tiles, lanes=lanes, radius=radius, similarity=similarity, allowed=allowed, worst=worst, tiers=tiers)
     edges = sides.groupBy("a", "b").applyInArrow(lambda key, table: compare(table) if len(table) == 2 or key[0].as_py() == key[1].as_py() else _NO_EDGES, _EDGES)
-    if similarity is not None:
-        edges = verified(docs, cut(edges), width, similarity)
-    components = connected_components(edges)
+    if similarity is None:
+        components = connected_components(edges)
+    else:
+        edges = cut(edges)
+        true = cut(verified(docs, edges, width, similarity))
+        components = connected_components(true)
     groups = classes.join(components, classes["rep"] == components["node"], "left").select(
         *[F.col(k).alias(f"k_{k}") for k in key], F.coalesce("component", "rep").alias("component_id")
     )
+    if similarity is not None:
+        moved = joined_components(docs, edges, true, components, width, similarity)
+        groups = groups.join(moved.select("node", F.col("component").alias("_joined")), F.col("component_id") == F.col("node"), "left")
+        groups = groups.select(*[f"k_{k}" for k in key], F.coalesce("_joined", "component_id").alias("component_id"))
     same = None
     for k in key:
         test = F.col(k) == F.col(f"k_{k}")
