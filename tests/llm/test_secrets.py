@@ -73,3 +73,16 @@ def test_awkward_rows(spark, awkward, none):
     assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
     redacted = secrets.redacted(awkward)
     assert redacted.columns == awkward.columns and redacted.where("text is null").count() == 2
+
+
+@pytest.mark.parametrize("size", [400, 401, 5000])
+def test_long_element_values(size):
+    value = ("eyJhbGc!4xQ9zK" * size)[:size]
+    text = f"<privateKey>{value}</privateKey> rest"
+    assert [text[a:b] for a, b, _ in secrets.named_literals(text)] == [value]
+    assert secrets.redact(text) == "<privateKey>[REDACTED]</privateKey> rest"
+
+
+def test_long_elements_are_not_slow():
+    for text in ("<a>" * 50_000 + ":token</", "<token>" + "x" * 300_000, ("<token>" + "x" * 500) * 500 + "</", "<a>b</a>" * 50_000 + ":token"):
+        secrets.all_spans(text)

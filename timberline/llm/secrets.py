@@ -46,7 +46,7 @@ _PAIR = re.compile(
     rf"""(?P<value>[bruf]{{0,2}}(?:{_LITERAL})(?:[ \t]*+\+[ \t]*+(?:{_LITERAL}))*+|\$?\{{?[^\s"'`,;(){{}}\[\]<>\#]++\}}?)""",
     re.ASCII,
 )
-_TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*+)>(?P<value>[^<>\n]{1,400})</(?P=name)>", re.ASCII)
+_TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*+)>(?P<value>[^<>\n]++)</(?P=name)>", re.ASCII)
 _PIECE = re.compile(_LITERAL)
 _REFERENCE = re.compile(r"^(?:\$\{?)?([A-Za-z_$][\w.$-]*)\}?$", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
