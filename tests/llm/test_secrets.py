@@ -86,3 +86,9 @@ def test_long_element_values(size):
 def test_long_elements_are_not_slow():
     for text in ("<a>" * 50_000 + ":token</", "<token>" + "x" * 300_000, ("<token>" + "x" * 500) * 500 + "</", "<a>b</a>" * 50_000 + ":token"):
         secrets.all_spans(text)
+
+
+def test_entropy_of_the_whole_literal():
+    value = "=" * 300 + "".join(chr(33 + k * 7 % 90) for k in range(600) if chr(33 + k * 7 % 90) not in "\"\\'`")
+    text = f'access_token = "{value}"'
+    assert [text[a:b] for a, b, _ in secrets.named_literals(text)] == [value]

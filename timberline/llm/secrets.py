@@ -78,7 +78,7 @@ def literal_score(value: str) -> float:
     """What the literal's own form adds to or takes from its name's score."""
     if len(value) < 8 or _PLACEHOLDER.match(value):
         return -1.0
-    counts = Counter(value[:256])
+    counts = Counter(value)
     total = sum(counts.values())
     entropy = -sum(n / total * math.log2(n / total) for n in counts.values())
     score = 0.1 * any(c.isdigit() for c in value) + (0.1 if entropy >= 3 else -0.3)
