@@ -664,7 +664,7 @@ def _ring_cloud(s, d):
     """Points on the view's circles: 72 a circle, so that circles can be found again."""
     import math
 
-    c = views.circles(s, d).where(F.col("cid") < 400).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(71))))
+    c = views.circles(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(71))))
     a = F.col("k") * (2 * math.pi / 72)
     return c.select((F.col("cid") * 100 + F.col("k")).alias("pid"), (F.col("x") + F.col("r") * F.cos(a)).alias("x"), (F.col("y") + F.col("r") * F.sin(a)).alias("y"), (F.col("z") + F.col("k") % 10 / 100.0 + 0.01).alias("z"))
 
@@ -878,7 +878,7 @@ def _(s, d):
 
 @query("udf5_scored_voxels")
 def _(s, d):
-    v = projections.voxel_index(projections.recentred(views.labelled(s, d).where("tree_id between 1 and 6"), ["tree_id"], (12, 12, 12), 1.0), (12, 12, 12), 1.0)
+    v = projections.voxel_index(projections.recentred(views.labelled(s, d), ["tree_id"], (12, 12, 12), 1.0), (12, 12, 12), 1.0)
     return segment.scored_voxels(v, (12, 12, 12), segment.VoxelNet.random(channels=4)).withColumn("prob", F.round("prob", 5))
 
 
@@ -1200,7 +1200,7 @@ def _(s, d):
 
     from timberline.sources.ply import delaunay
 
-    xy = np.array([(r.x, r.y) for r in views.circles(s, d).where("cid < 200").select("x", "y").distinct().orderBy("x", "y").collect()])
+    xy = np.array([(r.x, r.y) for r in views.circles(s, d).select("x", "y").distinct().orderBy("x", "y").collect()])
     return s.createDataFrame([tuple(map(int, t)) for t in delaunay(xy)], "a long, b long, c long")
 
 
