@@ -30,12 +30,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group (five-word shingles, similarity 0.8); rows without an id stay."""
-    groups = simhash.near_duplicates(docs, width=5, lanes=8, similarity=0.8)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull())
-    once = with_id.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8), the one with the least id; rows, not ids, are the documents."""
+    return simhash.one_of_each(docs, width=5, lanes=8, similarity=0.8)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

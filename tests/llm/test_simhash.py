@@ -3,6 +3,7 @@ import re
 import numpy as np
 import xxhash
 from llm_helpers import frame, prose
+from pyspark.sql import functions as F
 
 from timberline.llm import simhash
 
@@ -143,7 +144,38 @@ def test_blocks_of_sets_meet(spark):
     rows = [(k, " ".join(f"w{n}" for n in range(40 + 2 * k))) for k in range(30)]
     edges = spark.createDataFrame([(k, 29) for k in range(29)], "u long, v long")
     none = edges.where("u < 0")
-    want = _components_by_jaccard(rows)
+    want, docs = _components_by_jaccard(rows), frame(spark, rows)
+    classes = simhash._marked(docs).select(F.col("doc").alias("node"), F.col("doc").alias("rep"), F.col("mark").alias("rep_mark"))
     for block in (100, 700, 1 << 21):
-        got = simhash.joined_components(frame(spark, rows), edges, none, none.toDF("node", "component"), 5, 0.8, block)
+        got = simhash.joined_components(docs, classes, edges, none, none.toDF("node", "component"), 5, 0.8, block)
         assert {x.node: x.component for x in got.collect()} == want
+
+
+def test_hubs_are_verified_in_shares(spark):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(0, " ".join(base))] + [(k, " ".join([*base[:-1], f"e{k}"]) if k % 3 else prose(k, 60)) for k in range(1, 40)]
+    docs = frame(spark, rows)
+    classes = simhash._marked(docs).select(F.col("doc").alias("node"), F.col("doc").alias("rep"), F.col("mark").alias("rep_mark"))
+    edges = spark.createDataFrame([(0, k) if k % 2 else (k, 0) for k in range(1, 40)], "u long, v long")
+    for hub in (3, 1000):
+        got = simhash.verified(docs, classes, edges, 5, 0.8, hub).collect()
+        assert sorted(max(r) for r in got) == [k for k in range(1, 40) if k % 3]
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, a), (9, b)]
+    docs = frame(spark, rows)
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs, width=4, lanes=1, radius=4, similarity=None, distinct=False).collect()}
+    prints = {t: f"{brute_fingerprint(t, 4):016x}" for t in (a, b, c)}
+    assert got == {(3, prints[a]): 3, (5, prints[a]): 3, (None, prints[a]): 3, (5, prints[b]): 5, (9, prints[b]): 5, (None, prints[c]): None}
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(repr, kept.select("doc_id", "text").collect())) == sorted(map(repr, frame(spark, [(3, a), (5, b), (None, c)]).select("doc_id", "text").collect()))
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_does_not_depend_on_partitions(spark):
+    rows = [(k % 5 or None, prose(k % 7, 50 + k % 2)) for k in range(70)]
+    docs = spark.createDataFrame([(i, t, k, {"m": k}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, doc int, mark map<string,int>")
+    one, two = (sorted(map(repr, simhash.one_of_each(docs.repartition(n, "doc")).collect())) for n in (1, 4))
+    assert one == two and len({r for r in one}) == 7

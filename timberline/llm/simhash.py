@@ -15,7 +15,7 @@ their number; the README gives the constant.
 from __future__ import annotations
 
 import math
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import Forest, by_text_chunks, connected_components, cut, texts_of
+from timberline.llm.common import SALTS, Forest, by_text_chunks, connected_components, cut, texts_of
 
 SEED = 42
 TILE = 16384
@@ -33,6 +33,10 @@ SMALL = 64
 MISSED = 1e-9
 #: Elements of shingle sets in one block of documents that are compared on their texts.
 BLOCK = 1 << 21
+#: Stands for a null doc_id and comes after all others; a document of this id counts as one without.
+NO_ID = (1 << 63) - 1
+#: Links of one document from which its side of the check on the texts is dealt into shares.
+HUB = 10_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LANE_MASK = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -97,16 +101,21 @@ def _fingerprint_batch(batch: pa.RecordBatch, width: int, lanes: int, distinct:
     hashes = [shingle_hashes(t.encode("utf-8", "surrogatepass"), width, distinct) for t in texts_of(batch)]
     words = majority_bits(hashes, lanes)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array([w.astype(">u8").tobytes() for w in words], pa.binary()), pa.array([len(h) for h in hashes], pa.int64())],
-        names=["doc_id", "fp", "shingles"],
+        [batch.column("doc"), batch.column("mark"), pa.array([w.astype(">u8").tobytes() for w in words], pa.binary()), pa.array([len(h) for h in hashes], pa.int64())],
+        names=["doc", "mark", "fp", "shingles"],
     )
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc, mark, text): the id (``NO_ID`` for null, which comes last) and a hash of the text, which together name a row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, width: int = 5, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp binary of 8 * ``lanes`` big-endian bytes, shingles) for each row of ``docs``; null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        by_text_chunks(partial(_fingerprint_batch, width=width, lanes=lanes, distinct=distinct)), "doc_id long, fp binary, shingles long"
-    )
+    """(doc, mark, fp binary of 8 * ``lanes`` big-endian bytes, shingles) for each row of ``docs``; null text is empty."""
+    batch = partial(_fingerprint_batch, width=width, lanes=lanes, distinct=distinct)
+    return _marked(docs).mapInArrow(by_text_chunks(batch), "doc long, mark long, fp binary, shingles long")
 
 
 def hamming_for(similarity: float, bits: int) -> int:
@@ -214,7 +223,7 @@ def _compare_tiles(table: pa.Table, lanes: int, radius: int | None, similarity:
         size = rows.field("shingles").to_numpy().astype(np.float64)
         order = np.argsort(size, kind="stable")
         words.append(np.frombuffer(b"".join(rows.field("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)[order])
-        reps.append(rows.field("rep").to_numpy()[order])
+        reps.append(rows.field("node").to_numpy()[order])
         sizes.append(size[order])
     offset = len(words[0]) if len(words) == 2 else 0
     ids = np.concatenate(reps)
@@ -241,16 +250,24 @@ def _compare_tiles(table: pa.Table, lanes: int, radius: int | None, similarity:
 def _set_batch(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     sets = [shingle_hashes(t.encode("utf-8", "surrogatepass"), width, True).view(np.int64) for t in texts_of(batch)]
     ends = np.cumsum([0, *map(len, sets)])
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["doc_id", "hashes"])
+    return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "hashes"])
 
 
-def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The edges (u, v) between documents whose shingle sets have at least this Jaccard similarity, computed exactly."""
+def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, width: int, similarity: float, hub: int = HUB) -> DataFrame:
+    """The edges (u, v) between classes whose shingle sets have at least this Jaccard similarity, computed exactly.
+
+    A class with more than ``hub`` edges on one side meets them in shares.
+    """
     edges = edges.distinct()
     nodes = edges.select(F.col("u").alias("_n")).union(edges.select("v")).distinct()
-    sets = _sets_of(docs, nodes, width)
-    sides = [sets.select(F.col("doc_id").alias(f"_{c}"), F.col("hashes").alias(f"h{c}")) for c in "uv"]
-    both = edges.join(sides[0], F.col("u") == F.col("_u")).join(sides[1], F.col("v") == F.col("_v"))
+    sets, both = _sets_of(docs, classes, nodes, width), edges
+    for c, other in ("uv", "vu"):
+        hubs = edges.groupBy(c).agg(F.count("*").alias("_links")).where(F.col("_links") > hub).select(F.col(c).alias("_hub"))
+        shares = F.when(F.col("_hub").isNotNull(), F.lit(SALTS)).otherwise(F.lit(1))
+        side = sets.join(hubs, F.col("node") == F.col("_hub"), "left")
+        side = side.select(F.col("node").alias(f"_{c}"), F.col("hashes").alias(f"h{c}"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("_t"))
+        both = both.join(hubs, F.col(c) == F.col("_hub"), "left").withColumn("_s", F.pmod(F.xxhash64(other), shares).cast("int")).drop("_hub")
+        both = both.join(side, (F.col(c) == F.col(f"_{c}")) & (F.col("_s") == F.col("_t"))).drop(f"_{c}", "_s", "_t")
     common = F.size(F.array_intersect("hu", "hv"))
     return both.where(common >= similarity * (F.size("hu") + F.size("hv") - common)).select("u", "v")
 
@@ -300,14 +317,15 @@ def _join_blocks(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"u": pa.array(np.concatenate([none, *u])), "v": pa.array(np.concatenate([none, *v]))})
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, hashes) of the documents whose ids are the column _n of ``wanted``."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = text.join(wanted, F.col("doc_id") == F.col("_n"), "left_semi").dropDuplicates(["doc_id"])
-    return text.mapInArrow(by_text_chunks(partial(_set_batch, width=width)), "doc_id long, hashes array<long>")
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, hashes) of the classes whose nodes are the column _n of ``wanted``, read from the text that names the class."""
+    named = classes.join(wanted, F.col("node") == F.col("_n"), "left_semi").select("node", F.col("rep").alias("_doc"), F.col("rep_mark").alias("_mark"))
+    text = _marked(docs).join(named, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")))
+    text = text.select("node", "text").dropDuplicates(["node"])  # repeated rows
+    return text.mapInArrow(by_text_chunks(partial(_set_batch, width=width)), "node long, hashes array<long>")
 
 
-def joined_components(docs: DataFrame, edges: DataFrame, true: DataFrame, components: DataFrame, width: int, similarity: float, block: int = BLOCK) -> DataFrame:
+def joined_components(docs: DataFrame, classes: DataFrame, edges: DataFrame, true: DataFrame, components: DataFrame, width: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """(node, component) of the components (of the ``true`` edges) that untested candidates join.
 
     ``edges`` are forests that span all candidates, so a candidate between two
@@ -322,12 +340,12 @@ def joined_components(docs: DataFrame, edges: DataFrame, true: DataFrame, compon
     nodes = edges.select(F.col("u").alias("_n")).union(edges.select("v")).distinct()
     nodes = nodes.join(at[0], F.col("_n") == F.col("nu"), "left").select("_n", F.coalesce("cu", "_n").alias("_c"))
     members = cut(nodes.join(groups, F.col("_c") == F.col("node")).select("_n", F.col("_c"), F.col("component").alias("grp")))
-    sets = _sets_of(docs, members.select("_n"), width).join(members, F.col("doc_id") == F.col("_n"))
-    sets = cut(sets.select("doc_id", F.col("_c").alias("component"), "grp", "hashes"))
+    sets = _sets_of(docs, classes, members.select("_n"), width).withColumnRenamed("node", "_node").join(members, F.col("_node") == F.col("_n"))
+    sets = cut(sets.select("_node", F.col("_c").alias("component"), "grp", "hashes"))
     total = sets.agg(F.sum(F.size("hashes").cast("long"))).first()[0] or 0
     sets = sets.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(-(-total // block) or 1)))  # small groups share a block
     blocks = sets.groupBy("bucket").agg(F.ceil(F.sum(F.size("hashes").cast("long")) / F.lit(block)).alias("_blocks"))
-    sets = sets.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.greatest("_blocks", F.lit(1))))
+    sets = sets.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("_node"), F.greatest("_blocks", F.lit(1))))
     packed = sets.groupBy("bucket", "block", "_blocks").agg(F.collect_list(F.struct("component", "grp", "hashes")).alias("rows"))
     sides = packed.select("bucket", "block", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("_blocks", F.lit(1)) - 1)).alias("other"))
     sides = sides.select("bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "rows")
@@ -336,34 +354,22 @@ def joined_components(docs: DataFrame, edges: DataFrame, true: DataFrame, compon
     return connected_components(more)
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, lanes: int = 8, radius: int | None = None, similarity: float | None = 0.8, distinct: bool = True, tile: int = TILE
-) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text, anything else).
+def _grouped(docs: DataFrame, width: int, lanes: int, radius: int | None, similarity: float | None, distinct: bool, tile: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Fingerprints of the rows, classes (key, node, rep, rep_mark, root, component), and the columns of the key.
 
-    Two documents are linked if their fingerprints differ in at most ``radius``
-    bits, or, with ``similarity``, if the Jaccard similarity of their shingle
-    sets reaches it. Then pairs are candidates unless their set sizes or the
-    distance of their fingerprints rule the similarity out (see
-    :func:`allowed_distances`), each tile pair keeps a spanning forest of every
-    tier of estimates, and the forests' edges are verified on the texts. Where
-    edges fail, all pairs of documents of the components on both sides are
-    compared as well. component_id is
-    the smallest doc_id reachable. Equal fingerprints (with equal set sizes) are
-    one class and compared once.
-
-    Null and empty texts have the fingerprint zero and are linked like others;
-    rows with a null doc_id get the component of their class (null if no row of
-    the class has an id); rows that share a doc_id are one document and so tie
-    their classes together; repeated rows are returned as often as they occur; an
-    empty table gives an empty frame; other columns are ignored.
+    A class holds the rows of equal fingerprints (and set sizes); its least row
+    (by doc_id, then text hash) names it. Nodes are numbered in the order of
+    these rows, so the least node of a component, its ``root``, has the least id.
     """
     if (radius is None) == (similarity is None):
         raise ValueError("give either radius or similarity")
     prints = cut(fingerprints(docs, width, lanes, distinct or similarity is not None))  # the sizes of sets bound their similarity
     key = ["fp"] if similarity is None else ["fp", "shingles"]
-    classes = prints.groupBy("fp", *([] if similarity is None else ["shingles"])).agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("n"))
-    classes = cut(classes.select("fp", F.col("n").alias("shingles"), "rep"))
+    if similarity is None:
+        classes = prints.groupBy("fp").agg(F.min("doc").alias("rep"), F.first("shingles").alias("shingles")).withColumn("rep_mark", F.lit(0).cast("long"))
+    else:
+        classes = prints.groupBy(*key).agg(F.min(F.struct("doc", "mark")).alias("least")).select(*key, F.col("least.doc").alias("rep"), F.col("least.mark").alias("rep_mark"))
+    classes = cut(classes.orderBy("rep", "rep_mark", *key).withColumn("node", F.monotonically_increasing_id()))
     if similarity is None:
         prune, allowed, worst, tiers = radius, None, None, (0.0,)
     else:
@@ -377,7 +383,7 @@ def near_duplicates(
         tiers = tuple(estimate + (1 - estimate) * k / 5 for k in range(5))
     ones = F.bit_count(F.conv(F.hex(F.substring("fp", 1, 4)), 16, 10).cast("long")) + F.bit_count(F.conv(F.hex(F.substring("fp", 5, 4)), 16, 10).cast("long"))
     # one word's count of several says too little to rule out a tile
-    ready = classes.where(F.col("rep").isNotNull()).withColumn("ones", ones.cast("int") if similarity is None else F.lit(0))
+    ready = classes.withColumn("ones", ones.cast("int") if similarity is None else F.lit(0))
     counts = {r["ones"]: r["n"] for r in ready.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     first, tiles = {}, 0
     for p in range(65):
@@ -388,7 +394,7 @@ def near_duplicates(
     own = F.get(at, F.col("ones"))
     spread = F.greatest(F.get(at, F.col("ones") + 1) - own, F.lit(1))
     dealt = ready.withColumn("tile", (own + F.pmod(F.xxhash64("fp", "shingles"), spread.cast("long"))).cast("int"))
-    packed = dealt.groupBy("tile", "ones").agg(F.collect_list(F.struct("fp", "rep", F.col("shingles"))).alias("rows"))
+    packed = dealt.groupBy("tile", "ones").agg(F.collect_list(F.struct("fp", "node", F.col("shingles"))).alias("rows"))
     lowest = F.get(at, F.greatest(F.col("ones") - prune, F.lit(0)))
     beyond = F.get(at, F.least(F.col("ones") + prune + 1, F.lit(65)))
     sides = packed.select("tile", "rows", F.explode(F.sequence(lowest, beyond - 1)).alias("other"))
@@ -400,17 +406,64 @@ def near_duplicates(
         components = connected_components(edges)
     else:
         edges = cut(edges)
-        true = cut(verified(docs, edges, width, similarity))
+        true = cut(verified(docs, classes, edges, width, similarity))
         components = connected_components(true)
-    groups = classes.join(components, classes["rep"] == components["node"], "left").select(
-        *[F.col(k).alias(f"k_{k}") for k in key], F.coalesce("component", "rep").alias("component_id")
-    )
+    roots = components.select(F.col("node").alias("_node"), F.col("component").alias("root"))
+    groups = classes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
     if similarity is not None:
-        moved = joined_components(docs, edges, true, components, width, similarity)
-        groups = groups.join(moved.select("node", F.col("component").alias("_joined")), F.col("component_id") == F.col("node"), "left")
-        groups = groups.select(*[f"k_{k}" for k in key], F.coalesce("_joined", "component_id").alias("component_id"))
-    same = None
-    for k in key:
-        test = F.col(k) == F.col(f"k_{k}")
-        same = test if same is None else same & test
-    return prints.join(groups, same, "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+        moved = joined_components(docs, classes, edges, true, components, width, similarity).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+        groups = groups.join(moved, F.col("root") == F.col("_old"), "left").withColumn("root", F.coalesce("_new", "root"))
+    # a component of many classes meets its root's id in shares
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    tied = groups.where(F.col("root") != F.col("node")).select(F.col("root").alias("_tied")).distinct()
+    names = classes.join(tied, F.col("node") == F.col("_tied"), "left_semi").select(F.col("node").alias("_root"), F.col("rep").alias("_least"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    groups = groups.join(names, (F.col("root") == F.col("_root")) & (salt == F.col("_salt")), "left")
+    return prints, groups.select(*key, "node", "rep", "rep_mark", "root", F.coalesce("_least", "rep").alias("component")), key
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, lanes: int = 8, radius: int | None = None, similarity: float | None = 0.8, distinct: bool = True, tile: int = TILE
+) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text, anything else).
+
+    Two documents are linked if their fingerprints differ in at most ``radius``
+    bits, or, with ``similarity``, if the Jaccard similarity of their shingle
+    sets reaches it. Then pairs are candidates unless their set sizes or the
+    distance of their fingerprints rule the similarity out (see
+    :func:`allowed_distances`), each tile pair keeps a spanning forest of every
+    tier of estimates, and the forests' edges are verified on the texts. Where
+    edges fail, all pairs of documents of the components on both sides are
+    compared as well. component_id is the smallest doc_id reachable. Equal
+    fingerprints (with equal set sizes) are one class and compared once.
+
+    Null and empty texts have the fingerprint zero and are linked like others.
+    Rows are what is linked: rows with different texts under one doc_id are
+    documents of their own, which a shared doc_id does not tie together, and
+    rows with a null doc_id get the component of their class (null if none of
+    its rows has an id). Repeated rows are returned as often as they occur; an
+    empty table gives an empty frame; other columns are ignored.
+    """
+    prints, groups, key = _grouped(docs, width, lanes, radius, similarity, distinct, tile)
+    groups = groups.select(*[F.col(k).alias(f"k_{k}") for k in key], F.col("component").alias("component_id"))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"k_{k}") for k in key])
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    out = prints.join(groups, same, "left").withColumnRenamed("doc", "doc_id")
+    return out.select(known("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), known("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, lanes: int = 8, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """The row of ``docs`` with the least doc_id (nulls last, then the least text hash) of each group of near-duplicates, all columns as they are.
+
+    Groups are those of :func:`near_duplicates`; a text under a doc_id that
+    another text has as well is judged for itself. Of repeated rows (equal
+    doc_id and text) one stays, the one whose columns have the least hash; null
+    and empty texts are one group; an empty table gives an empty frame.
+    """
+    own = [f"c{k}" for k in range(len(docs.columns))]  # names that clash with nothing
+    kept = _grouped(docs, width, lanes, None, similarity, True, tile)[1].where(F.col("node") == F.col("root")).select(F.col("rep").alias("_doc"), F.col("rep_mark").alias("_mark"))
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    rows = docs.toDF(*own).withColumns({"doc": F.coalesce(doc_id.cast("long"), F.lit(NO_ID)), "mark": F.xxhash64(text.cast("string"))})
+    rows = rows.join(kept, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left_semi")
+    plain = [c for c, f in zip(own, docs.schema, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = rows.groupBy("doc", "mark").agg(F.min_by(F.struct(*own), F.xxhash64(*plain)).alias("row"))
+    return one.select("row.*").toDF(*docs.columns)
