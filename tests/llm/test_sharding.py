@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import xxhash
 from llm_helpers import frame, prose
 from pyspark.sql import functions as F
 
@@ -55,3 +56,32 @@ def test_map_versions_are_kept_and_evened(spark, tmp_path):
     sharding.save_map(second, totals, path)
     assert sharding.load_map(spark, path).select("version").distinct().collect()[0][0] == 2
     assert sharding.load_map(spark, path, 1).count() == 512
+
+
+def test_slots_and_places_equal_brute_force(spark, tmp_path):
+    """Virtual slots from the published hash, the map's rules and gapless places, all counted anew; hot slots in parts too."""
+    rows = [(k, prose(k, k % 9)) for k in range(300)] + [(7, "again")] * 40 + [(None, None)] * 30
+    docs = frame(spark, rows)
+    slots = {r.id: r.h % 64 for r in spark.range(300).selectExpr("id", "xxhash64(id) AS h").collect()}
+    for i in (0, 1, 299):  # the function of the engine is XXH64 with seed 42
+        signed = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)
+        assert (signed - (1 << 64) if signed >> 63 else signed) % 64 == slots[i]
+    for together in (5, 1 << 20):
+        path = str(tmp_path / f"map{together}")
+        got = sharding.shard(docs, 5, 64, path, together).collect()
+        assert len(got) == len(rows) and {r.map_version for r in got} == {1}
+        for r in got:
+            v = slots[r.doc_id] if r.doc_id is not None else 42 % 64
+            owned = [s for s in range(64) if s % 5 == v % 5]
+            moves = (owned.index(v) + v % 5) % 6 == 5
+            assert (r.vslot, r.shard, r.grown_shard) == (v, v % 5, 5 if moves else v % 5)
+        check_law(got, 5)
+        totals = {r.vslot: r for r in sharding.load_map(spark, path).collect()}
+        assert len(totals) == 64 and {r.version for r in totals.values()} == {2}
+        for v in {r.vslot for r in got}:
+            assert totals[v].rows == sum(r.vslot == v for r in got) and totals[v].bytes == sum(r.size for r in got if r.vslot == v) == next(r.slot_bytes for r in got if r.vslot == v)
+        if together > 5:
+            for s in range(5):
+                order = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+                key = [(r.vslot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size) for r in order]
+                assert key == sorted(key)

@@ -3,16 +3,23 @@
 A record's key is hashed into one of ``n_slots`` virtual slots, which never
 change. A versioned map says which shard owns each slot; rows and bytes are
 aggregated by slot, and adding a shard or evening out bytes edits a few
-entries of the map instead of hashing records anew. The map has ``n_slots``
+entries of the map instead of hashing records anew. Versions of the map are
+stored side by side, each with the totals it was made from. The map has ``n_slots``
 rows however large the corpus is, so it can be broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timberline.llm.common import cut, ensure_checkpoint_dir
+
 N_SLOTS = 8192
+#: Rows of one virtual slot that are counted out together, about.
+COUNTED_TOGETHER = 1 << 20
 #: Bytes that a record takes besides its text.
 ROW_BYTES = 16
 
@@ -72,28 +79,43 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return stored.where(F.col("version") == (stored.agg(F.max("version")).first()[0] if version is None else version))
 
 
-def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, path: str | None = None, together: int = COUNTED_TOGETHER) -> DataFrame:
     """Each row's shard under the law ``key``, its gapless place there, and its shard after adding one.
 
     The doc_id and the shard count alone decide, so adding a shard moves rows
-    only into it. Places are counted in the order of virtual slot, then doc_id,
-    checksum and size: the window runs inside a virtual slot and the slot's
-    offset comes from the per-slot row counts, so no task holds a shard.
-
-    Null doc_ids share one slot; null texts count as empty; repeated rows get
-    places of their own; an empty table gives an empty frame; columns other
-    than doc_id and text are ignored.
+    only into it. Version 1 of the map and the edited version 2 with one more
+    shard are stored in ``path`` (a new folder in the shared checkpoint folder
+    unless told) and read back; ``map_version`` says which one ``shard`` is of.
+    Places are counted in the order of virtual slot, then doc_id, checksum and
+    size: the window runs inside a virtual slot and the slot's offset comes from
+    the per-slot row counts, so no task holds a shard. A slot with more than
+    ``together`` rows is counted out in parts, dealt by the rows' places in the
+    input, which then decide on the order as well.
+
+    Null doc_ids share one virtual slot; null texts count as empty; repeated
+    rows get places of their own; an empty table gives an empty frame; columns
+    other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    recs = records(docs, n_slots)
-    first = initial_map(spark, n_shards, n_slots)
-    grown = grown_map(first, n_shards).select("vslot", F.col("shard").alias("grown_shard"))
-    owned = first.join(grown, "vslot").join(slot_totals(recs), "vslot", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    recs = cut(records(docs, n_slots).withColumn("turn", F.monotonically_increasing_id()))
+    totals = cut(slot_totals(recs))
+    path = path or f"{ensure_checkpoint_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    save_map(initial_map(spark, n_shards, n_slots), totals, path)
+    save_map(grown_map(load_map(spark, path, 1).select("version", "vslot", "shard"), n_shards), totals, path)
+    grown = load_map(spark, path, 2).select("vslot", F.col("shard").alias("grown_shard"))
+    owned = load_map(spark, path, 1).join(grown, "vslot").withColumn("rows", F.coalesce("rows", F.lit(0)))
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    owned = owned.select("vslot", "shard", "grown_shard", F.col("bytes").alias("slot_bytes"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        recs.withColumn("place", place)
-        .join(F.broadcast(owned), "vslot")  # n_slots rows, a parameter
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard", "vslot", "slot_bytes")
-    )
+    owned = owned.select(
+        "vslot", "shard", "grown_shard", F.col("version").alias("map_version"), F.col("bytes").alias("slot_bytes"),
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"), F.greatest(F.ceil(F.col("rows") / together), F.lit(1)).alias("parts"),
+    )
+    dealt = recs.join(F.broadcast(owned), "vslot")  # n_slots rows, a parameter
+    mixed = F.xxhash64("doc_id", "text_crc32", "size") + F.col("turn")
+    dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(mixed, F.col("parts"))).otherwise(F.lit(0)).cast("long"))
+    sizes = dealt.where(F.col("parts") > 1).groupBy("vslot", "part").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("vslot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select(F.col("vslot").alias("_vslot"), F.col("part").alias("_part"), F.coalesce(ahead, F.lit(0)).alias("shift"))
+    place = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
+    placed = dealt.withColumn("place", place).join(shifts, (F.col("vslot") == F.col("_vslot")) & (F.col("part") == F.col("_part")), "left")
+    slot = F.col("offset") + F.coalesce("shift", F.lit(0)) + F.col("place") - 1
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard", "vslot", "slot_bytes", "map_version")
