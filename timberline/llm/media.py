@@ -27,6 +27,8 @@ KEY_EVERY = 25
 FRAMES_A_CHUNK = 64
 #: Boxes whose body is again boxes.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"))
+#: No box of the format lies this deep; files that nest deeper are broken.
+MAX_DEPTH = 32
 _MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -87,8 +89,10 @@ def write_container(payload: bytes) -> bytes:
 
 
 def boxes(data: bytes | memoryview, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of kinds, body start, body end) of every box, outermost first; a box that runs past its parent is an error."""
+    """(path of kinds, body start, body end) of every box, outermost first; a box that runs past its parent or nests over ``MAX_DEPTH`` deep is an error."""
     end = len(data) if end is None else end
+    if len(path) > MAX_DEPTH:
+        raise ValueError(f"boxes nest deeper than {MAX_DEPTH} at {start}")
     while start < end:
         if end - start < 8:
             raise ValueError(f"{end - start} stray bytes at {start}")
@@ -134,6 +138,8 @@ def read_tracks(data: bytes | memoryview) -> list[dict]:
             t["runs"] = list(struct.iter_unpack(">III", data[a + 8 : a + 8 + 12 * n]))
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, a + 4)
+            if size * n > len(data):
+                raise ValueError(f"{n} samples of {size} bytes in a file of {len(data)}")
             t["sizes"] = [size] * n if size else list(struct.unpack_from(f">{n}I", data, a + 12))
         elif kind in (b"stco", b"co64"):
             n = struct.unpack_from(">I", data, a + 4)[0]
@@ -155,6 +161,8 @@ def read_tracks(data: bytes | memoryview) -> list[dict]:
             raise ValueError(f"{len(t['sizes'])} samples, {len(ranges)} of them in chunks")
         t["ranges"] = ranges
         t["keys"] = list(range(1, len(ranges) + 1)) if t["keys"] is None else t["keys"]
+        if not all(0 < k <= len(ranges) for k in t["keys"]):
+            raise ValueError(f"a keyframe number is not among 1 to {len(ranges)}")
     return tracks
 
 
@@ -229,7 +237,9 @@ def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
 def describe_files(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, track, codec, seconds, keyframes, error) of media files, as the ``binaryFile`` source gives them.
 
-    A broken file gives one row with track -1 and the reason; null or empty content has no tracks.
+    A broken file (truncated, too deeply nested, with counts that its size or
+    its other tables rule out) gives one row with track -1 and the reason; null
+    or empty content has no tracks.
     """
     return files.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content")).mapInArrow(
         by_text_chunks(_describe, "content"), "key string, track int, codec string, seconds double, keyframes array<struct<offset: long, length: long>>, error string"
