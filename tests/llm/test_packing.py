@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm_helpers import frame, prose
 from tokenizers import Tokenizer
 
@@ -96,3 +98,41 @@ def test_special_strings_and_many_copies(spark):
     rows = [(k, prose(k % 7, 30 + k % 50)) for k in range(300)] + [(1000 + k, "copy " * 40) for k in range(400)] + [(5000, "a <|endoftext|> b")]
     n = check(spark, frame(spark, rows))
     assert n < 300
+
+
+TOKENS = packing.Tokens(P.path("byte_bpe_50k.json"), P.PATTERN)
+LIBRARY = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=200), st.text("aAé中 \t\n\r\u00a0\u2028'sdl019.,!_<|endoftx>", max_size=80)))
+def test_ids_equal_the_library(text):
+    assert TOKENS.ranks is not None and TOKENS.ids(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_are_left_to_their_library(tmp_path):
+    import json
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for k, change in enumerate(({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}})):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(spec | change))
+        tokens, library = packing.Tokens(str(path), P.PATTERN), Tokenizer.from_file(str(path))
+        assert tokens.ranks is None and tokens.ids("Hello World").tolist() == library.encode("Hello World", add_special_tokens=False).ids
+    assert packing.Tokens(P.path("byte_bpe_50k.json"), r"\S+|\s+").ranks is None
+
+
+def test_buckets_do_not_change_the_law(spark, monkeypatch):
+    rows = [(k % 50, 0, 0, 300 + k % 3, 7) for k in range(400)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5)
+    for together in (7, 1 << 18):
+        monkeypatch.setattr(packing, "RANKED_TOGETHER", together)
+        got = packing.pack(parts).collect()
+        assert sorted((r.doc_id, r.length) for r in got) == sorted((r[0], r[3]) for r in rows)
+        bins = defaultdict(list)
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for b in bins.values():
+            b.sort()
+            assert b[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(b, b[1:], strict=False)) and sum(b[-1]) <= 1024

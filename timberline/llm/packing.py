@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import cut, text_chunks, texts_of
 
+#: The split that a tokenizer file's ByteLevel step means (fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CAPACITY = 1024
 END = 2
-#: Buckets in which the pieces of one length are ranked.
-BUCKETS = 256
+#: Pieces of one length that are ranked together, about.
+RANKED_TOGETHER = 1 << 18
 
 
 class Tokens:
@@ -52,7 +54,12 @@ class Tokens:
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
         self.ranks = None
-        if all(c in back for t in vocab for c in t) and all(vocab[m.replace(" ", "")] == 256 + k for k, m in enumerate(merges)):
+        # the other library splits by the pattern alone and keeps whole pre-tokens of the vocabulary, as merging does unless merges are odd
+        split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        step, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plainly = spec.get("normalizer") is None and {k: step.get(k, True) for k in split} == split and pattern == BYTE_LEVEL
+        plainly &= not any(model.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        if plainly and all(c in back for t in vocab for c in t) and all(vocab[m.replace(" ", "")] == 256 + k for k, m in enumerate(merges)):
             self.ranks = {bytes(back[c] for c in t): i for t, i in vocab.items()}
         self._slow = self._fast = None
 
@@ -256,21 +263,28 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Only the histogram (``capacity`` rows) comes to the driver; the plan goes
     back as intervals of ranks whose number depends on ``capacity`` alone.
     Ranks are counted inside (length, bucket) and shifted by the counts of the
-    buckets before, so a length that a third of all pieces have is spread out.
+    buckets before; a length has as many buckets as its count asks for, so one
+    that a third of all pieces have is spread out at any size.
     """
     spark = parts.sparkSession
-    keyed = cut(parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")))
-    sizes = cut(keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    turned = cut(parts.withColumn("turn", F.monotonically_increasing_id()))
+    counts = {r["length"]: r["n"] for r in turned.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    spread = spark.createDataFrame([(w, -(-n // RANKED_TOGETHER)) for w, n in counts.items()], "_w long, _buckets long")
+    mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
+    # where one bucket does not do, repeated rows are dealt by their place in the input as well
+    keyed = turned.join(F.broadcast(spread), F.col("length") == F.col("_w"))  # capacity rows at most
+    keyed = keyed.withColumn("bucket", F.when(F.col("_buckets") > 1, F.pmod(mixed + F.col("turn"), F.col("_buckets"))).otherwise(F.lit(0)).cast("long"))
+    sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     schema = "w long, first long, end long, each long, sequence long, at long"
     places = spark.createDataFrame(intervals(plan(counts, capacity)), schema)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(F.col("length").alias("_length"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start"))
-    ranked = keyed.withColumn("own", own).join(F.broadcast(shifts), (F.col("length") == F.col("_length")) & (F.col("bucket") == F.col("_bucket")))  # capacity * BUCKETS rows at most
+    ranked = keyed.withColumn("own", own).join(shifts, (F.col("length") == F.col("_length")) & (F.col("bucket") == F.col("_bucket")))
     ranked = ranked.withColumn("rank", F.col("own") - 1 + F.col("shift"))
+    # a plan has some intervals a length, bounded by ``capacity`` and not by the corpus
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("w")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    turn = F.col("rank") - F.col("first")
+    turn = F.col("rank") - F.col("first")  # within the interval
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("sequence") + F.floor(turn / F.col("each"))).cast("long").alias("sequence_id"),
