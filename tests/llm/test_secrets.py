@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm_helpers import frame
 
 from timberline.llm import secrets
@@ -41,6 +43,8 @@ def test_base_equals_brute_force(text):
         ("auth_token: str = 'ab!12cd!34ef'", "ab!12cd!34ef"),
         ("<privateKey>MIIB0gIBAAK!42</privateKey>", "MIIB0gIBAAK!42"),
         ('"accessKey" => "9f8e7d!6c5b4a"', "9f8e7d!6c5b4a"),
+        ('pass-word = "Zx81!spectrum"', "Zx81!spectrum"),
+        ('SIGNING.KEY: "Zx81!spectrum"', "Zx81!spectrum"),
     ],
 )
 def test_names_and_constants(text, literal):
@@ -92,3 +96,41 @@ def test_entropy_of_the_whole_literal():
     value = "=" * 300 + "".join(chr(33 + k * 7 % 90) for k in range(600) if chr(33 + k * 7 % 90) not in "\"\\'`")
     text = f'access_token = "{value}"'
     assert [text[a:b] for a, b, _ in secrets.named_literals(text)] == [value]
+
+
+@pytest.mark.parametrize("name", [*secrets.SENSITIVE, *["_".join(p) for p in secrets.SENSITIVE_PAIRS], *["-".join(p) for p in secrets.SENSITIVE_PAIRS], *[p[0] + p[1].title() for p in secrets.SENSITIVE_PAIRS]])
+def test_the_prefilter_passes_every_name_that_scores(name):
+    assert secrets.name_score(name) > 0 and secrets._ANY_SENSITIVE.search(name.upper() if "_" in name else name)
+
+
+NAMES = ["db_pwd", "api_key", "note", "client_secret", "token_count", "pass_word", "user", "bearer", "colour_key", "label", "private_key_path"]
+VALUES = st.text("abcdefgh!%&23457 ZQ", min_size=1, max_size=20)
+
+
+def brute_name(name):
+    words = name.split("_")
+    best = max([secrets.SENSITIVE.get(w, 0) for w in words] + [v for (a, b), v in secrets.SENSITIVE_PAIRS.items() if any(words[k : k + 2] == [a, b] for k in range(len(words)))])
+    return best - 0.6 * (words[-1] in secrets.HARMLESS_LAST)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(NAMES), st.sampled_from([" = ", ": ", ":=", " => "]), st.sampled_from("'\""), st.one_of(VALUES, st.sampled_from(NAMES).map(lambda n: (n,)))), max_size=9))
+def test_named_spans_equal_brute_force(statements):
+    """Statements are simulated one by one: literals are held by names, references copy what their name holds."""
+    text, held, want = "", {}, {}
+    for name, sign, quote, value in statements:
+        text += name + sign
+        if isinstance(value, tuple):
+            span = held.get(value[0])
+            text += value[0]
+        else:
+            span = (len(text) + 1, len(text) + 1 + len(value))
+            text += quote + value + quote
+        text += "\n"
+        if span is None:
+            continue
+        held[name] = span
+        score = brute_name(name) + secrets.literal_score(text[span[0] : span[1]])
+        if brute_name(name) > 0 and score >= secrets.THRESHOLD:
+            want[span] = max(score, want.get(span, 0))
+    assert [(a, b) for a, b, _ in secrets.named_literals(text)] == sorted(want)

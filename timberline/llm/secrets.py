@@ -38,7 +38,8 @@ SENSITIVE_PAIRS = {("api", "key"): 0.9, ("access", "key"): 0.9, ("private", "key
 #: Last words that make a name speak about a secret rather than hold it.
 HARMLESS_LAST = frozenset("count counts length len size name names type path file url uri field header expiry expires ttl limit max min id label prompt regex pattern policy hint".split())
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|todo|changeme|change_me|example|placeholder|redacted|password|secret|token|your[-_ ].*|<.*>|\$?\{.*\}|%.*%|\[.*\])$", re.IGNORECASE | re.ASCII)
-_ANY_SENSITIVE = re.compile(r"passw|passph|pwd|secret|token|key|credential|auth|bearer|signature|pass_?word", re.IGNORECASE | re.ASCII)
+#: What a text must hold for any name in it to score: a word, or a pair with nothing but separators of names between.
+_ANY_SENSITIVE = re.compile("|".join([*map(re.escape, SENSITIVE), *[rf"{a}[_.$-]*{b}" for a, b in SENSITIVE_PAIRS]]), re.IGNORECASE | re.ASCII)
 _LITERAL = r""""(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"""
 _PAIR = re.compile(
     rf"""(?<![\w.$-])(?P<q>["']?)(?P<name>[A-Za-z_$][\w.$-]*+)(?P=q)(?:\[["'](?P<item>[\w.-]++)["']\])?[ \t]*+"""
