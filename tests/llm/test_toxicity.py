@@ -70,3 +70,38 @@ def test_awkward_rows(spark, awkward, none):
     assert empty.count() == 0 and {r.score for r in toxicity.score(awkward, empty).collect()} == {0.0}
     assert toxicity.clean(awkward, empty).count() == awkward.count() and toxicity.score(none, model).count() == 0
     assert toxicity.clean(awkward, model).where(F.col("text").isNull()).count() in (0, 2)
+
+
+def test_ftrl_equals_the_textbook_form():
+    """Coordinate by coordinate, as published: z, n, sigma and the closed form of the weights."""
+    r, alpha, beta, l1, l2 = random.Random(9), 0.7, 1.0, 0.5, 0.2
+    model, z, n = toxicity.Ftrl(6, alpha, beta, l1, l2), {}, {}
+    for _ in range(400):
+        active, y = sorted({0, *r.sample(range(1, 64), r.randint(0, 6))}), r.randint(0, 1)
+        w = {}
+        for i in active:
+            zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+            if i == 0:
+                w[i] = -zi * alpha / (beta + ni**0.5)
+            else:
+                w[i] = 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / ((beta + ni**0.5) / alpha + l2)
+        g = 1 / (1 + 2.718281828459045 ** -sum(w.values())) - y
+        for i in active:
+            sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+        model.learn(np.array(active, np.int32), y)
+    assert np.allclose(model.z, [z.get(i, 0.0) for i in range(64)]) and np.allclose(model.n, [n.get(i, 0.0) for i in range(64)])
+    assert (model.weights() != 0).sum() > 10
+
+
+def test_features_held_are_bounded(spark, monkeypatch):
+    import pyarrow as pa
+
+    def batch(rows):
+        return pa.RecordBatch.from_pydict({"features": [np.array(f, "<i4").tobytes() for f, _ in rows], "label": [y for _, y in rows]})
+
+    rows = [([5, 6], 1), ([7], 0), ([8, 9, 10], 1)]
+    weights = lambda b: [r.to_pydict() for r in toxicity._fit(iter(b), 2)]
+    monkeypatch.setattr(toxicity, "MAX_FEATURE_BYTES", 12)
+    assert weights([batch(rows)]) == weights([batch(rows[:1]), batch(rows[1:2])]) and weights([]) == []

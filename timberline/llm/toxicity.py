@@ -20,6 +20,8 @@ from timberline.llm.common import text_chunks, texts_of
 BITS = 22
 #: Labelled rows that the model is fitted on, at most; chosen by the hash of their ids.
 MAX_LABELLED = 32_768
+#: Bytes of their features that the fitting task holds at most; later rows in its order are not learnt from.
+MAX_FEATURE_BYTES = 512 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 0.1, 3
 #: Fewest examples of either label from which the scores are calibrated.
 MIN_CALIBRATION = 20
@@ -111,11 +113,12 @@ def _example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _fit(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.RecordBatch]:
-    examples = [
-        (np.append(np.frombuffer(f, "<i4"), np.int32(_BIAS)), y)
-        for batch in batches
-        for f, y in zip(batch.column("features").to_pylist(), batch.column("label").to_pylist(), strict=True)
-    ]
+    examples, held = [], 0
+    for batch in batches:
+        for f, y in zip(batch.column("features").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            held += len(f)
+            if held <= MAX_FEATURE_BYTES:
+                examples.append((np.append(np.frombuffer(f, "<i4"), np.int32(_BIAS)), y))
     model, margins = Ftrl(), []
     for epoch in range(epochs):
         for i, y in examples:
@@ -153,8 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ep
     """(coordinate, weight) of the weights that are not zero, learnt from labelled rows outside the held-out fold.
 
     At most ``max_labelled`` labels are used, those with the smallest hash of
-    their id, so the broadcast of the labels, the fitting task and the weights
-    are bounded whatever the corpus' size. A document with contradicting labels
+    their id, and ``MAX_FEATURE_BYTES`` of their features in the order of
+    another hash, so the broadcast of the labels, the fitting task and the
+    weights are bounded whatever the corpus' size. A document with contradicting labels
     is toxic; ids that several texts share count once, with the least feature set.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
@@ -171,8 +175,8 @@ class _Scorer:
     """The broadcast sparse weights, spread out once in each worker."""
 
     def __init__(self, docs: DataFrame, model: DataFrame):
-        rows = sorted((r["coordinate"], r["weight"]) for r in model.collect())  # at most 2^BITS
-        sparse = np.array([i for i, _ in rows], np.int32), np.array([w for _, w in rows])
+        rows = model.select("coordinate", "weight").toArrow()  # at most 2^BITS rows of 12 bytes
+        sparse = rows.column("coordinate").to_numpy().astype(np.int32), rows.column("weight").to_numpy().astype(np.float64)
         self.sent = docs.sparkSession.sparkContext.broadcast(sparse)
 
     def margins(self, texts: list[str], dense: np.ndarray) -> np.ndarray:
