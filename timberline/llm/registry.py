@@ -59,11 +59,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def url_filter_sql(depth: int = urlfilter.DEPTH) -> str:
-    """DuckDB SQL of ``op4_url_filter``, level by level like the tree itself."""
+def url_filter_sql(levels: int = 4) -> str:
+    """DuckDB SQL of ``op4_url_filter``, level by level like the tree itself; the tables' paths have two segments, so few levels are opened."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     rules = sorted(urlfilter.RULES, key=lambda r: (-len(r[0]), r[0]))
+    base, weight, least = urlfilter.PRIOR[0] / sum(urlfilter.PRIOR), sum(urlfilter.PRIOR), urlfilter.MIN_LABELS
 
     def case(pick: int) -> str:
         tests = []
@@ -72,41 +73,41 @@ def url_filter_sql(depth: int = urlfilter.DEPTH) -> str:
             tests.append(f"WHEN (host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{start}') THEN '{r[pick]}'")
         return "CASE " + " ".join(tests) + " END"
 
-    def segment(k: int) -> str:
-        s = f"coalesce(list_filter(string_split(path, '/'), lambda s: s <> '')[{k}], '')"
-        return f"CASE WHEN regexp_matches({s}, '[0-9]') OR length({s}) > {urlfilter.MAX_SEGMENT} THEN '*' ELSE {s} END AS s{k}"
+    def estimate(b: str, n: str, prior: str) -> str:
+        return f"(({b})::DOUBLE + {weight}::DOUBLE * {prior}) / (({n})::DOUBLE + {weight}::DOUBLE)"
 
-    levels = range(1, depth + 1)
-    keys = ", ".join(f"s{k}" for k in levels)
+    def down(purity: str, n: str, urls: str) -> str:
+        return f"({base}::DOUBLE + ({n})::DOUBLE / ({urls})::DOUBLE * ({purity} - {base}::DOUBLE))"
+
+    opens = f"(l >= {least} AND (l < n OR (b > 0 AND b < l)))"
+    shape = f"array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > {urlfilter.MAX_SEGMENT} THEN '*' ELSE x END), '/')"
+    sums = "sum(n)::BIGINT AS n, sum(l)::BIGINT AS l, sum(b)::BIGINT AS b"
     sql = [
         f"parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{parts}', 1), ''), '{upper}', '{lower}') AS host, coalesce(regexp_extract(url, '{parts}', 2), '') AS path FROM pages)",
-        f"judged AS (SELECT *, {case(0)} AS rule, {case(1)} AS says, {', '.join(segment(k) for k in levels)} FROM parsed)",
-        f"g0 AS (SELECT host, {keys}, count(says) AS labels, coalesce(sum(CAST(says = 'block' AS INT)), 0) AS bads FROM judged GROUP BY host, {keys})",
+        f"judged AS (SELECT *, {case(0)} AS rule, {case(1)} AS says, coalesce({shape}, '') AS shape FROM parsed)",
+        "shapes AS (SELECT host, shape, count(*) AS n, count(says) AS l, count(CASE WHEN says = 'block' THEN 1 END) AS b FROM judged GROUP BY host, shape)",
+        "named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM shapes)",
+        f"hosts AS (SELECT host, CASE WHEN regexp_matches(name, '^[0-9.]*$') THEN name ELSE regexp_extract(name, '([^.]*[.])?[^.]*$') END AS domain, {sums} FROM named GROUP BY host, name)",
+        "domains AS (SELECT domain, sum(n) AS dn, sum(l) AS dl, sum(b) AS db FROM hosts GROUP BY domain)",
+        f"h1 AS (SELECT hosts.*, {estimate('b', 'l', down(estimate('db', 'dl', f'{base}::DOUBLE'), 'dl', 'dn'))} AS purity FROM hosts JOIN domains USING (domain))",
+        f"n0 AS (SELECT shapes.*, '' AS template, purity, h1.l AS labels, {down('purity', 'h1.l', 'h1.n')} AS prior, (h1.l >= {least} AND (h1.l < h1.n OR (h1.b > 0 AND h1.b < h1.l))) AS open FROM shapes JOIN h1 USING (host))",
     ]
-    made: list[str] = []
-    for k in levels:
-        parent = ", ".join(["host", *made])
-        distinct = f"(SELECT {parent}, count(DISTINCT CASE WHEN s{k} NOT IN ('', '*') THEN s{k} END) AS n FROM g{k - 1} GROUP BY {parent})"
-        sql.append(f"g{k} AS (SELECT g{k - 1}.*, CASE WHEN n > {urlfilter.MAX_CHILDREN} AND s{k} <> '' THEN '*' ELSE s{k} END AS t{k} FROM g{k - 1} JOIN {distinct} d USING ({parent}))")
-        made.append(f"t{k}")
-    last = f"(SELECT *, NULL::DOUBLE AS purity FROM g{depth})"
-    for k in levels:
-        parent, names = ", ".join(["host", *made[: k - 1]]), ", ".join(["host", *made[:k]])
-        lag = lambda c: f"lag({c}) OVER (PARTITION BY {parent} ORDER BY bb*1.0/bl, t{k})"  # noqa: B023, E731
-        gap, both = f"(bb*1.0/bl - {lag('bb*1.0/bl')})", f"({lag('bl')} + bl)"
-        mean = f"(({lag('bb')} + bb)*1.0/{both})"
+    for k in range(levels):
         sql += [
-            f"b{k} AS (SELECT *, coalesce(CAST({gap} > {urlfilter.Z} * sqrt({mean}*(1-{mean})*{both}/({lag('bl')}*bl)) AS INT), 0) AS fresh FROM (SELECT {names}, sum(labels) AS bl, sum(bads) AS bb FROM g{depth} GROUP BY {names}) q WHERE bl > 0)",
-            f"c{k} AS (SELECT *, sum(fresh) OVER (PARTITION BY {parent} ORDER BY bb*1.0/bl, t{k} ROWS UNBOUNDED PRECEDING) AS pool FROM b{k})",
-            f"p{k} AS (SELECT {names}, sum(bl) OVER (PARTITION BY {parent}, pool) AS pl, sum(bb) OVER (PARTITION BY {parent}, pool) AS pb FROM c{k})",
-            f"r{k} AS (SELECT o.* REPLACE (CASE WHEN pl >= {urlfilter.MIN_LABELS} THEN (pb + {urlfilter.PRIOR[0]}) / (pl + {sum(urlfilter.PRIOR)}) ELSE purity END AS purity) FROM {last} o LEFT JOIN p{k} USING ({names}))",
+            f"o{k} AS (SELECT *, coalesce(string_split(shape, '/')[{k + 1}], '') AS s FROM n{k} WHERE open)",
+            f"k{k} AS (SELECT host, template, s, {sums}, any_value(prior) AS prior FROM o{k} GROUP BY host, template, s)",
+            f"w{k} AS (SELECT host, template, sum(l)::DOUBLE AS wl, sum(b)::DOUBLE AS wb, count(CASE WHEN s NOT IN ('', '*') THEN 1 END) > {urlfilter.MAX_CHILDREN} AS wide FROM k{k} GROUP BY host, template)",
+            f"d{k} AS (SELECT *, CASE WHEN l < {least} OR (wide AND s = '*') THEN {urlfilter.UNPROVEN} WHEN abs(b::DOUBLE / l::DOUBLE - wb / wl) > {urlfilter.Z} * sqrt(wb / wl * (1 - wb / wl) / l::DOUBLE) THEN sign(b::DOUBLE / l::DOUBLE - wb / wl)::INT ELSE 0 END AS side FROM k{k} JOIN w{k} USING (host, template))",
+            f"e{k} AS (SELECT *, CASE WHEN side = {urlfilter.UNPROVEN} AND wide AND s <> '' THEN '*' ELSE s END AS piece FROM d{k})",
+            f"p{k} AS (SELECT host, template, side, sum(n) AS pn, sum(l) AS pl, sum(b) AS pb FROM e{k} GROUP BY host, template, side)",
+            f"q{k} AS (SELECT host, template, piece, {opens} AND piece <> '' AS opens FROM (SELECT host, template, piece, {sums} FROM e{k} GROUP BY host, template, piece) t)",
+            f"r{k} AS (SELECT e.host, e.template, e.s, e.piece, {estimate('pb', 'pl', 'e.prior')} AS purity, pl::BIGINT AS labels, pn, opens FROM e{k} e JOIN p{k} USING (host, template, side) JOIN q{k} q ON q.host = e.host AND q.template = e.template AND q.piece = e.piece)",
+            f"n{k + 1} AS (SELECT o.host, o.shape, o.n, o.l, o.b, o.template || '/' || r.piece AS template, r.purity, r.labels, {down('r.purity', 'r.labels', 'r.pn')} AS prior, r.opens AS open FROM o{k} o JOIN r{k} r ON r.host = o.host AND r.template = o.template AND r.s = o.s)",
         ]
-        last = f"r{k}"
-    template = "'/' || array_to_string(list_filter([" + ", ".join(made) + "], lambda t: t <> ''), '/')"
-    purity = f"coalesce(purity, {urlfilter.PRIOR[0] / sum(urlfilter.PRIOR)})"
+    done = " UNION ALL ".join(f"SELECT host, shape, template, purity FROM n{k}" + ("" if k == levels else " WHERE NOT open") for k in range(levels + 1))
     return (
-        f"WITH {', '.join(sql)} SELECT page_id, host, path, rule, coalesce(says, CASE WHEN {purity} > {urlfilter.REJECT_OVER} THEN 'block' ELSE 'allow' END) AS verdict,"
-        f" {template} AS template, round({purity}, 9) AS purity FROM judged JOIN {last} USING (host, {keys})"
+        f"WITH {', '.join(sql)} SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity > {urlfilter.REJECT_OVER} THEN 'block' ELSE 'allow' END) AS verdict,"
+        f" CASE WHEN template = '' THEN '/' ELSE template END AS template, round(purity, 9) AS purity FROM judged JOIN ({done}) t USING (host, shape)"
     )
 
 
