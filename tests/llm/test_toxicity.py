@@ -105,3 +105,16 @@ def test_features_held_are_bounded(spark, monkeypatch):
     weights = lambda b: [r.to_pydict() for r in toxicity._fit(iter(b), 2)]
     monkeypatch.setattr(toxicity, "MAX_FEATURE_BYTES", 12)
     assert weights([batch(rows)]) == weights([batch(rows[:1]), batch(rows[1:2])]) and weights([]) == []
+
+
+def test_calibration_is_steady_where_margins_part_the_labels():
+    labels = np.array([0] * 500 + [1] * 60)
+    slope, shift = toxicity.calibration(np.where(labels == 1, 0.4, -0.3), labels)
+    p = 1 / (1 + np.exp(-(slope * np.array([0.4, -0.3]) + shift)))
+    assert abs(p[0] - 61 / 62) < 1e-6 and abs(p[1] - 1 / 502) < 1e-6
+    r = np.random.default_rng(2)
+    m = r.normal(size=4000) * 3
+    y = (r.random(4000) < 1 / (1 + np.exp(-(0.5 * m - 1)))).astype(int)
+    slope, shift = toxicity.calibration(m, y)
+    assert abs(slope - 0.5) < 0.06 and abs(shift + 1) < 0.15
+    assert toxicity.calibration(m[:10], y[:10]) == (1.0, 0.0)
