@@ -93,7 +93,41 @@ def test_backward_merge(spark):
     whole = {tuple(r) for r in boxes.merged_boxes(b).collect()}
     assert whole == {(0, 0, 3, 3), (10, 10, 13, 13), (30, 30, 31, 31)}
     assert boxes.merged_boxes(b.limit(1), parity=True).count() == 0  # the first box is never returned
-    assert (30, 30, 31, 31) in {tuple(r) for r in boxes.merged_boxes(b, parity=True).collect()}
+    assert {tuple(r) for r in boxes.merged_boxes(b, parity=True).collect()} == {(30, 30, 31, 31), (10, 10, 13, 13)}
+
+
+def literal_backward(rows):
+    """The scan word by word: from the last row to the second, each row against all rows before it."""
+    rows, out = [list(r) for r in rows], []
+    for i in range(len(rows), 0, -1):
+        for j in range(i - 1):
+            a, b = rows[i - 1], rows[j]
+            if a[2] >= b[0] and b[2] >= a[0] and a[3] >= b[1] and b[3] >= a[1]:
+                rows[j] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
+                break
+            if j == i - 2:
+                out.append(tuple(a))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows", [[(0, 0, 2, 2), (1, 1, 3, 3)], [(50, 50, 51, 51), (0, 0, 2, 2), (1, 1, 3, 3)], None])
+def test_backward_merge_equals_the_literal_scan(spark, rows):
+    if rows is None:
+        r = np.random.default_rng(6)
+        low = r.uniform(0, 60, (80, 2)).round(2)
+        rows = [(y, x, y + h, x + w) for (y, x), (h, w) in zip(low.tolist(), r.uniform(1, 7, (80, 2)).round(2).tolist(), strict=True)]
+    b = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(rows)], "bid long, ymin double, xmin double, ymax double, xmax double")
+    got = sorted(tuple(r) for r in boxes.merged_boxes(b, parity=True).collect())
+    assert got == literal_backward(rows)
+
+
+def test_numbered_is_contiguous_in_order(spark):
+    from timberline.operators.graph import numbered
+
+    df = spark.createDataFrame([(int(v),) for v in np.random.default_rng(1).integers(0, 500, 900)], "v long").repartition(7)
+    got = numbered(df, "v").collect()
+    assert sorted(r.number for r in got) == list(range(900)) and [r.v for r in sorted(got, key=lambda r: r.number)] == sorted(r.v for r in got)
+    assert numbered(df.limit(0), "v").count() == 0
 
 
 def test_metrics_of_nothing(spark):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.functions.scalar import array_distance
+from timberline.operators.graph import checkpointed
 
 #: Codes in one block of the pairwise distances.
 BLOCK = 512
@@ -29,20 +29,24 @@ def least_certain(pool: DataFrame, budget: int, column: str = "prob") -> DataFra
 def _blocks(codes: DataFrame) -> DataFrame:
     """Codes in numbered blocks of at most about ``BLOCK`` rows, each an array of structs."""
     n = max(1, -(-codes.count() // BLOCK))
-    return codes.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "code")).alias("rows"))
+    fields = [c for c in ("id", "code", "label") if c in codes.columns]
+    return codes.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(*fields)).alias("rows"))
+
+
+def _meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(rows, them): every block of ``left`` with every block of ``right``; for operators whose result is about all pairs."""
+    n = (right.agg(F.max("block")).first()[0] or 0) + 1
+    sent = left.select("rows", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    return sent.join(right.select(F.col("block").alias("other"), F.col("rows").alias("them")), "other").select("rows", "them")
 
 
 def mean_distances(codes: DataFrame) -> DataFrame:
     """JN8: (id, spread) mean distance of each code to all, itself included.
 
     All pairs are needed; blocks of codes meet blocks and one partial sum a
-    code and block leaves each meeting.
+    code and block leaves each meeting. Null codes count as absent.
     """
-    blocks = _blocks(codes).persist()
-    # every block of this bounded count meets every other: the all-pairs sum is the operator
-    numbers = blocks.select(F.col("block").alias("other")).agg(F.collect_list("other").alias("others"))
-    left = blocks.join(F.broadcast(numbers), F.lit(True)).select("rows", F.explode("others").alias("other"))
-    pairs = left.join(blocks.select(F.col("block").alias("other"), F.col("rows").alias("them")), "other")
+    blocks = checkpointed(_blocks(codes.where(F.col("code").isNotNull())))
 
     def sums(batches):
         for pdf in batches:
@@ -53,7 +57,7 @@ def mean_distances(codes: DataFrame) -> DataFrame:
                 d[ids_a[:, None] == ids_b[None, :]] = 0.0
                 yield pd.DataFrame({"id": ids_a, "total": d.sum(1), "n": len(b)})
 
-    out = pairs.select("rows", "them").mapInPandas(sums, "id long, total double, n long")
+    out = _meetings(blocks, blocks).mapInPandas(sums, "id long, total double, n long")
     return out.groupBy("id").agg((F.sum("total") / F.sum("n")).alias("spread"))
 
 
@@ -64,9 +68,29 @@ def density_weighted(pool: DataFrame, budget: int, density: float = 0.1) -> Data
 
 
 def nearest_codes(unlabelled: DataFrame, labelled: DataFrame, k: int = 5) -> DataFrame:
-    """JN7: (id, rank, lid, label) the ``k`` nearest labelled codes; the labelled set is the small side."""
-    d = array_distance(F.col("code"), F.col("lcode"))
-    pairs = unlabelled.select("id", "code").join(labelled.select(F.col("id").alias("lid"), F.col("code").alias("lcode"), "label"), F.lit(True)).withColumn("dist", d)
+    """JN7: (id, rank, lid, label, dist) the ``k`` nearest labelled codes, ties to the least lid.
+
+    Blocks of codes meet blocks of labelled ones; each meeting leaves ``k`` rows
+    a code. Null codes have no neighbours.
+    """
+    kind = dict(labelled.dtypes)["label"]
+    blocks = [checkpointed(_blocks(f.where(F.col("code").isNotNull()))) for f in (unlabelled.select("id", "code"), labelled.select("id", "code", "label"))]
+
+    def best(batches):
+        for pdf in batches:
+            for rows, them in zip(pdf["rows"], pdf["them"], strict=True):
+                order = sorted(them, key=lambda r: r["id"])
+                b = np.array([r["code"] for r in order], float)
+                lid, label = np.array([r["id"] for r in order]), [r["label"] for r in order]
+                for s in range(0, len(rows), 64):
+                    part = rows[s : s + 64]
+                    a = np.array([r["code"] for r in part], float)
+                    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+                    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    at = near.ravel()
+                    yield pd.DataFrame({"id": np.repeat([r["id"] for r in part], near.shape[1]), "lid": lid[at], "label": [label[x] for x in at], "dist": np.take_along_axis(d, near, 1).ravel()})
+
+    pairs = _meetings(*blocks).mapInPandas(best, f"id long, lid long, label {kind}, dist double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "lid"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "lid", "label", "dist")
 
@@ -82,7 +106,8 @@ def _matrix(pool: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = pool.select("id", "code", "prob").orderBy("id").limit(20_001).collect()
     if len(rows) > 20_000:
         raise ValueError("k-medoids and exact selection take pools of 20,000 at most; select a pool first")
-    return np.array([r["id"] for r in rows]), np.array([r["code"] for r in rows], float), np.array([r["prob"] for r in rows], float)
+    width = len(rows[0]["code"]) if rows else 0
+    return np.array([r["id"] for r in rows], np.int64), np.array([r["code"] for r in rows], float).reshape(len(rows), width), np.array([r["prob"] for r in rows], float)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,6 +117,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def k_medoids(codes: np.ndarray, probs: np.ndarray, budget: int, rounds: int = 100, power: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
     """AL5 on matrices: (medoids, assignment, cost summed over all rounds); a medoid minimises the distances weighted by uncertainty."""
     n, weight = len(codes), (1 - probs) ** power
+    if not n:
+        return np.empty(0, int), np.empty(0, int), 0.0
     dist = _distances(codes, codes)
     np.fill_diagonal(dist, 0)
     medoids, total = np.sort(np.random.default_rng(seed).permutation(n)[:budget]), 0.0
@@ -112,13 +139,13 @@ def k_medoids(codes: np.ndarray, probs: np.ndarray, budget: int, rounds: int = 1
 
 
 def medoid_ids(pool: DataFrame, budget: int, rounds: int = 100, power: float = 1.0, seed: int = 0) -> DataFrame:
-    """AL5: the ids of k medoids."""
+    """AL5: the ids of k medoids; an empty pool gives none, one of over 20,000 codes is refused."""
     ids, codes, probs = _matrix(pool)
     return pool.sparkSession.createDataFrame([(int(ids[m]),) for m in k_medoids(codes, probs, budget, rounds, power, seed)[0]], "id long")
 
 
 def medoid_ids_restarted(pool: DataFrame, budget: int, rounds: int = 100, repeats: int = 20, power: float = 1.0, seed: int = 0) -> DataFrame:
-    """AL6: the medoids of the cheapest of several starts, which run in parallel."""
+    """AL6: the medoids of the cheapest of several starts, which run in parallel; pools as in AL5."""
     spark = pool.sparkSession
     sent = spark.sparkContext.broadcast(_matrix(pool))
 
@@ -134,7 +161,9 @@ def medoid_ids_restarted(pool: DataFrame, budget: int, rounds: int = 100, repeat
 
 
 def cluster_exemplars(pool: DataFrame, budget: int, seed: int = 0) -> DataFrame:
-    """AL7: distinct samples nearest to k-means centres, the closest centre choosing first."""
+    """AL7: distinct samples nearest to k-means centres, the closest centre choosing first; an empty pool gives none."""
+    if pool.isEmpty():
+        return pool.sparkSession.createDataFrame([], "id long")
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -158,21 +187,26 @@ def batch_value(dist: np.ndarray, cost: np.ndarray, chosen: tuple[int, ...], alp
 
 
 def select_batch(pool: DataFrame, budget: int, labelled: DataFrame | None = None, alpha: float = 0.03, beta: float = 1.0, gamma: float = 0.1, delta: float = 1.0, exact_limit: int = 200_000) -> DataFrame:
-    """AL8: (id, objective) of ``budget`` samples that maximise diversity minus probability, frontier share and density.
+    """AL8: (id, objective, exact) of ``budget`` samples that maximise diversity minus probability, frontier share and density.
 
-    Every choice is tried while there are at most ``exact_limit``; otherwise a
-    greedy choice is improved by exchanges until none helps.
+    Every choice is tried while there are at most ``exact_limit`` (then
+    ``exact`` is true); otherwise a greedy choice is improved by exchanges until
+    none helps. Pools as in AL5; a sample without labelled neighbours has no frontier share.
     """
     ids, codes, probs = _matrix(pool)
+    schema = "id long, objective double, exact boolean"
+    if not len(ids) or not budget:
+        return pool.sparkSession.createDataFrame([], schema)
     dist = _distances(codes, codes)
     np.fill_diagonal(dist, 0)
     front = np.zeros(len(ids))
     if labelled is not None:
         share = {r["id"]: r["frontier"] for r in frontier(pool, labelled).collect()}
-        front = np.array([share[i] for i in ids.tolist()])
+        front = np.array([share.get(i, 0.0) for i in ids.tolist()])
     cost = delta * probs + beta * front + gamma * dist.mean(0)
     budget = min(budget, len(ids))
-    if math.comb(len(ids), budget) <= exact_limit:
+    exact = math.comb(len(ids), budget) <= exact_limit
+    if exact:
         best = max(combinations(range(len(ids)), budget), key=lambda c: batch_value(dist, cost, c, alpha))
     else:
         best = tuple(np.argsort(cost, kind="stable")[:budget].tolist())
@@ -188,4 +222,4 @@ def select_batch(pool: DataFrame, budget: int, labelled: DataFrame | None = None
                 if (v := batch_value(dist, cost, candidate, alpha)) > value + 1e-12:
                     best, value, improved = candidate, v, True
     objective = batch_value(dist, cost, best, alpha)
-    return pool.sparkSession.createDataFrame([(int(ids[b]), float(objective)) for b in sorted(best)], "id long, objective double")
+    return pool.sparkSession.createDataFrame([(int(ids[b]), float(objective), exact) for b in sorted(best)], schema)

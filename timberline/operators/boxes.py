@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.graph import connected_components
+from timberline.operators import graph
+from timberline.operators.graph import checkpointed, connected_components
 from timberline.operators.predicates import boxes_overlap
 
 
@@ -51,11 +52,14 @@ def overlap_pairs(boxes: DataFrame, size: float = 10.0) -> DataFrame:
 
 
 def _backward_merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pdf.sort_values("bid")[["ymin", "xmin", "ymax", "xmax"]].to_numpy().copy()
+    pdf = pdf.sort_values("bid")
+    rows, first = pdf[["ymin", "xmin", "ymax", "xmax"]].to_numpy(float).copy(), pdf["first"].to_numpy(bool)
     out = []
-    for i in range(len(rows) - 1, 0, -1):
+    for i in range(len(rows) - 1, -1, -1):
+        if first[i]:
+            continue  # the first of all
         b = rows[i]
-        for j in range(i - 1):
+        for j in range(i):
             a = rows[j]
             if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]:
                 rows[j] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
@@ -65,16 +69,32 @@ def _backward_merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ymin", "xmin", "ymax", "xmax"])
 
 
+def _tied(boxes: DataFrame, pairs: DataFrame, node: str = "bid") -> DataFrame:
+    """``boxes`` with the least ``node`` of those tied to theirs by ``pairs`` as ``group``."""
+    groups = connected_components(pairs)
+    return boxes.join(groups, boxes[node] == groups["node"], "left").withColumn("group", F.coalesce("component", node)).drop("node", "component", *({node} - {"bid"}))
+
+
 def merged_boxes(boxes: DataFrame, parity: bool = False) -> DataFrame:
     """GRF3: one box around each group of boxes tied by overlap (ymin, xmin, ymax, xmax).
 
-    ``parity`` scans backward in one task, each box growing the first earlier
-    one it overlaps; the very first box is then never returned.
+    ``parity`` scans backward, each box growing the first earlier one it
+    overlaps; the very first box is then never returned. A grown box lies within
+    the bounds of its group, so the scan runs inside groups of boxes whose
+    groups' bounds are apart. Boxes with a null side overlap nothing and stay as
+    they are (``parity`` drops none of them but a first one).
     """
+    tagged = _tied(boxes, overlap_pairs(boxes))
     if parity:
-        return boxes.groupBy(F.lit(0).alias("one")).applyInPandas(_backward_merge, "ymin double, xmin double, ymax double, xmax double")
-    groups = connected_components(overlap_pairs(boxes))
-    tagged = boxes.join(groups, boxes["bid"] == groups["node"], "left").withColumn("group", F.coalesce("component", "bid"))
+        while True:  # until the bounds of no two groups overlap
+            bounds = tagged.groupBy(F.col("group").alias("bid")).agg(*[f(c).alias(c) for c, f in (("ymin", F.min), ("xmin", F.min), ("ymax", F.max), ("xmax", F.max))])
+            pairs = checkpointed(overlap_pairs(bounds))
+            if pairs.isEmpty():
+                break
+            tagged = checkpointed(_tied(tagged.withColumnRenamed("group", "_group"), pairs, "_group"))
+        first = F.col("bid") == boxes.agg(F.min("bid")).first()[0]
+        tagged = tagged.select("group", "bid", "ymin", "xmin", "ymax", "xmax", first.alias("first"))
+        return tagged.groupBy("group").applyInPandas(_backward_merge, "ymin double, xmin double, ymax double, xmax double")
     return tagged.groupBy("group").agg(F.min("ymin").alias("ymin"), F.min("xmin").alias("xmin"), F.max("ymax").alias("ymax"), F.max("xmax").alias("xmax")).drop("group")
 
 
@@ -108,5 +128,5 @@ def accuracy(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
 
 
 def numbered(boxes: DataFrame, *order: str) -> DataFrame:
-    """Boxes with a contiguous bid from 0 in the given order; for box-sized frames, which one task can order."""
-    return boxes.withColumn("bid", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """Boxes with a contiguous bid from 0 in the given order."""
+    return graph.numbered(boxes, *order, name="bid")

@@ -126,8 +126,6 @@ def segment(points: DataFrame, grid: tuple[int, int, int], res: float, scorer: S
     local = voxel_index(placed.withColumns({c: F.col(c) - F.col(f"c{c}") for c in "xyz"}), grid, res)
     best = passes_summary(scored_voxels(local, grid, scorer, passes, key), [key, "ix", "iy", "iz"]).where(F.col("class_id") > 0)
     corner = best.join(middle, key).select(key, "class_id", "certainty", F.struct("ix", "iy", "iz").alias("vid"), *[((F.col(f"i{c}") - n / 2.0) * res + F.col(f"c{c}")).alias(c) for c, n in zip("xyz", grid, strict=True)])
-    # trees are kept apart by a fourth coordinate far larger than the cut-off
-    far = 1e6
-    number = F.col(key).cast("double") * far
-    near = nearest(points.withColumn("w", number), corner.withColumn("w", number), 1, ("x", "y", "z", "w"), "pid", "vid", size=max(res, 0.5), values=("class_id", "certainty"), limit=dist_threshold if np.isfinite(dist_threshold) else far / 2)
+    limit = dist_threshold if np.isfinite(dist_threshold) else None
+    near = nearest(points, corner, 1, ("x", "y", "z"), "pid", "vid", size=max(res, 0.5), values=("class_id", "certainty"), limit=limit, keys=(key,))
     return points.select(key, "pid", "x", "y", "z").join(near.select("pid", "class_id", "certainty"), "pid")

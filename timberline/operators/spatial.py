@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.graph import checkpointed
+from timberline.operators.graph import checkpointed, numbered
 
 
 def _all(tests) -> Column:
@@ -49,8 +49,8 @@ def label_points(points: DataFrame, boxes: DataFrame, size: float = 5.0, classes
     hits = points_in_boxes(points.select("pid", "x", "y"), boxes, size)
     last = hits.groupBy("pid").agg(F.max_by(F.col(classes) if classes else F.col("bid") + 1, "bid").alias("label"))
     if seed is not None and not classes:
-        order = boxes.select((F.col("bid") + 1).alias("label"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "bid"), "bid")).alias("other"))  # as many rows as boxes
-        last = last.join(order, "label").select("pid", F.col("other").alias("label"))
+        order = numbered(boxes.select("bid"), F.xxhash64(F.lit(seed), "bid"), "bid", name="other")
+        last = last.join(order.select((F.col("bid") + 1).alias("label"), "other"), "label").select("pid", (F.col("other") + 1).alias("label"))
     return points.select("pid").join(last, "pid", "left").select("pid", F.coalesce(F.col("label"), F.lit(0)).cast("long").alias("label"))
 
 
@@ -109,7 +109,7 @@ def neighbour_cells(cells: DataFrame, reach: int, keys: list[str] | None = None,
 
 
 def nearest(
-    queries: DataFrame, targets: DataFrame, k: int = 1, dims: tuple[str, ...] = ("x", "y"), query_id: str = "pid", target_id: str = "gid", size: float = 4.0, values: tuple[str, ...] = (), limit: float | None = None
+    queries: DataFrame, targets: DataFrame, k: int = 1, dims: tuple[str, ...] = ("x", "y"), query_id: str = "pid", target_id: str = "gid", size: float = 4.0, values: tuple[str, ...] = (), limit: float | None = None, keys: tuple[str, ...] = ()
 ) -> DataFrame:
     """kNN join (JN4-6): (query_id, rank, dist, target_id, values) of the ``k`` nearest targets, ties to the smallest id.
 
@@ -118,11 +118,12 @@ def nearest(
     nothing unseen can be nearer. The others go on with cells of three times
     the size, until one block of cells covers everything; each round keeps the
     equi-join. With ``limit`` only targets nearer than that count, and one
-    round with cells of that size is enough. Rows with a null coordinate have
-    no neighbours.
+    round with cells of that size is enough. Targets answer queries with equal
+    ``keys`` (not null) only. Rows with a null coordinate have no neighbours.
     """
-    t = targets.select(F.col(target_id).alias("_tid"), *[F.col(d).alias(f"_t{d}") for d in dims], *values).where(_all(F.col(f"_t{d}").isNotNull() for d in dims))
-    q = queries.select(F.col(query_id).alias("_qid"), *[F.col(d).alias(f"_q{d}") for d in dims]).where(_all(F.col(f"_q{d}").isNotNull() for d in dims))
+    held_keys = [F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)]
+    t = targets.select(F.col(target_id).alias("_tid"), *[F.col(d).alias(f"_t{d}") for d in dims], *values, *held_keys).where(_all(F.col(f"_t{d}").isNotNull() for d in dims))
+    q = queries.select(F.col(query_id).alias("_qid"), *[F.col(d).alias(f"_q{d}") for d in dims], *held_keys).where(_all(F.col(f"_q{d}").isNotNull() for d in dims))
     if limit is None:
         t = checkpointed(t)  # used by every round
     both = t.select(F.lit(1).alias("_one"), *[F.col(f"_t{d}") for d in dims]).union(q.select(F.lit(0), *[F.col(f"_q{d}") for d in dims]))
@@ -142,7 +143,7 @@ def nearest(
         around = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{n}") for n, o in enumerate(s)]) for s in steps])
         asked = q.withColumn("_o", F.explode(around)).withColumns({f"_c{n}": cell(f"_q{d}") + F.col(f"_o.o{n}") for n, d in enumerate(dims)}).drop("_o")
         held = t.withColumns({f"_c{n}": cell(f"_t{d}") for n, d in enumerate(dims)})
-        pairs = asked.join(held, [f"_c{n}" for n in range(len(dims))])
+        pairs = asked.join(held, [*[f"_c{n}" for n in range(len(dims))], *[f"_k{n}" for n in range(len(keys))]])
         d2 = reduce(lambda a, b: a + b, ((F.col(f"_t{d}") - F.col(f"_q{d}")) * (F.col(f"_t{d}") - F.col(f"_q{d}")) for d in dims))
         pairs = pairs.withColumn("dist", F.sqrt(d2))
         if limit is not None:

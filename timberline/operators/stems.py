@@ -133,10 +133,12 @@ def circle_stacks(points: DataFrame, dh: float = 0.2, low: float | None = None,
     """GRF11: (cid, x, y, r, z, n) circles of every slice and half-overlapping tile.
 
     A cid is made of slice, tile and place there, so ids rise from the ground
-    (Q26) without any global order.
+    (Q26) without any global order. Points with a null coordinate lie in no
+    slice or tile; an empty cloud gives no circles.
     """
     if low is None or high is None:
         least, most = points.agg(F.min("z"), F.max("z")).first()
+        least, most = (0.0, 0.0) if least is None else (least, most)
         low = least if low is None else low
         high = most - dh if high is None else high
     tiled = half_overlapping_tiles(slices(points, low, high, dh), tile, ["slice"])
@@ -153,11 +155,21 @@ def circle_stacks(points: DataFrame, dh: float = 0.2, low: float | None = None,
     return grouped.applyInPandas(search_group, "cid long, x double, y double, r double, z double, n long")
 
 
-def overlapping_at_height(circles: DataFrame) -> DataFrame:
-    """JN11: pairs (u <= v, itself included) of circles of one height whose centres are nearer than their radii's sum."""
-    a, b = circles.alias("a"), circles.alias("b")
+def overlapping_at_height(circles: DataFrame, size: float = 1.0) -> DataFrame:
+    """JN11: pairs (u <= v, itself included) of circles of one height whose centres are nearer than their radii's sum.
+
+    Circles are spread over the cells of ``size`` that their squares cover; a
+    pair is taken in the first cell both cover. Circles with a null coordinate or radius overlap nothing.
+    """
+    cells = lambda c: F.sequence(F.floor((F.col(c) - F.col("r")) / size), F.floor((F.col(c) + F.col("r")) / size))
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("r").isNotNull() & (F.col("r") >= 0)
+    spread = circles.where(whole).select("cid", "x", "y", "r", "z", cells("x").alias("_xs"), cells("y").alias("_ys"))
+    spread = spread.withColumns({"_x0": F.col("_xs")[0], "_y0": F.col("_ys")[0]}).withColumn("_cx", F.explode("_xs")).withColumn("_cy", F.explode("_ys")).drop("_xs", "_ys")
+    a, b = spread.alias("a"), spread.alias("b")
     dist = F.sqrt((F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")) + (F.col("a.y") - F.col("b.y")) * (F.col("a.y") - F.col("b.y")))
-    return a.join(b, (F.col("a.z") == F.col("b.z")) & (F.col("a.cid") <= F.col("b.cid"))).where(dist < F.col("a.r") + F.col("b.r")).select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"))
+    first = (F.col("a._cx") == F.greatest("a._x0", "b._x0")) & (F.col("a._cy") == F.greatest("a._y0", "b._y0"))
+    same = (F.col("a.z") == F.col("b.z")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy")) & (F.col("a.cid") <= F.col("b.cid"))
+    return a.join(b, same).where(first & (dist < F.col("a.r") + F.col("b.r"))).select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"))
 
 
 def _suppress(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -173,8 +185,17 @@ def _suppress(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def suppressed(circles: DataFrame) -> DataFrame:
-    """GRF5: at each height, in order of cid, the overlapping circles give way to the one with most inliers (Q22)."""
-    return circles.groupBy("z").applyInPandas(_suppress, circles.schema)
+    """GRF5: at each height, in order of cid, the overlapping circles give way to the one with most inliers (Q22).
+
+    A circle decides only about those it overlaps, so the groups tied by
+    overlap at a height are the tasks. Circles with a null coordinate or radius stay.
+    """
+    groups = connected_components(overlapping_at_height(circles).where(F.col("u") < F.col("v")))
+    tied = circles.join(groups, circles["cid"] == groups["node"], "left")
+    alone = tied.where(F.col("component").isNull()).select(*circles.columns)
+    names, schema = circles.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in circles.schema)
+    kept = tied.where(F.col("component").isNotNull()).drop("node").groupBy("component").applyInPandas(lambda pdf: _suppress(pdf)[names], schema)
+    return alone.unionByName(kept)
 
 
 def next_up(circles: DataFrame, reach: float = 2.5, shift: float = 0.1, change: float = 0.2) -> DataFrame:

@@ -7,13 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.operators.graph import checkpointed, numbered
 from timberline.operators.projections import flipped, one_hot, randomly_rotated
 
 
 def batch_numbers(items: DataFrame, size: int, key: str = "cloud_id", seed: int | None = None) -> DataFrame:
     """(key, batch, slot): items in order of their key, or shuffled by ``seed``, dealt to batches of ``size``; a last short batch wraps around to the first items."""
     order = [F.xxhash64(F.lit(seed), key), F.col(key)] if seed is not None else [F.col(key)]
-    ranked = items.select(key).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(*order)) - 1)  # clouds, not points
+    ranked = numbered(items.select(key).distinct(), *order, name="_rank")
     ranked = ranked.withColumns({"batch": F.floor(F.col("_rank") / size).cast("int"), "slot": F.pmod("_rank", F.lit(size)).cast("int")})
     n = ranked.agg(F.count("*").alias("_n"), F.max("batch").alias("_last"))
     missing = F.col("_rank") < F.pmod(-F.col("_n"), F.lit(size))
@@ -54,15 +55,15 @@ def signed(occupied: Column) -> Column:
 
 
 def split_random(items: DataFrame, held_out: int, key: str = "cloud_id", seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """SET3: (train, validation) with ``held_out`` random keys in validation."""
-    chosen = items.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(held_out)
-    return items.join(F.broadcast(chosen), key, "left_anti"), items.join(F.broadcast(chosen), key, "left_semi")
+    """SET3: (train, validation) with ``held_out`` random keys in validation; rows with a null key are in train."""
+    chosen = checkpointed(items.select(key).distinct().where(F.col(key).isNotNull()).orderBy(F.xxhash64(F.lit(seed), key), key).limit(held_out))
+    return items.join(chosen, key, "left_anti"), items.join(chosen, key, "left_semi")
 
 
 def split_every(items: DataFrame, percent: float, key: str = "cloud_id") -> DataFrame:
     """SET3: ``part`` is test for every (round(100 / percent) + 1)-th key in order, else train."""
-    turn = F.row_number().over(Window.orderBy(key))
-    return items.select(key).distinct().withColumn("part", F.when(F.pmod(turn, F.lit(round(100 / percent) + 1)) == 0, "test").otherwise("train"))
+    ranked = numbered(items.select(key).distinct(), key, name="_rank")
+    return ranked.select(key, F.when(F.pmod(F.col("_rank") + 1, F.lit(round(100 / percent) + 1)) == 0, "test").otherwise("train").alias("part"))
 
 
 def class_weights(rows: DataFrame, label: str, classes: int) -> DataFrame:

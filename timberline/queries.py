@@ -15,6 +15,7 @@ from timberline.functions.scalar import kernel_table
 from timberline.operators import active, boxes, detect, ground, inventory, predicates, projections, segment, spatial, stems, training, voxels
 from timberline.operators.graph import connected_components
 from timberline.plans import pipelines, views
+from timberline.sources import files, las, meshes, ply, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -640,6 +641,17 @@ def _(s, d):
     return boxes.merged_boxes(small)
 
 
+def _backward_boxes(s, d):
+    """Boxes that overlap in some groups, and far apart from others."""
+    b = views.boxes(s, d)
+    return b.select("bid", *[(F.col(c) + F.floor(F.col("bid") / 7) * 100).alias(c) for c in ("ymin", "xmin", "ymax", "xmax")])
+
+
+@query("grf3_merged_boxes_parity")
+def _(s, d):
+    return boxes.merged_boxes(_backward_boxes(s, d), parity=True)
+
+
 @query("grf4_unique_locations")
 def _(s, d):
     return stems.unique_locations(views.circles(s, d).select(F.col("cid").alias("tree_id"), (F.col("x") * 7).alias("x"), (F.col("y") * 7).alias("y")))
@@ -906,118 +918,188 @@ def _(s, d):
 # ---- sources and sinks: what was written is read again -----------------------------------------
 
 
-def _place(s: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    import os
-    import uuid
-
-    from timberline.operators.graph import ensure_checkpoint_dir
-
-    path = os.path.join(ensure_checkpoint_dir(s).removeprefix("file:"), f"{name}-{uuid.uuid4().hex}")
-    os.makedirs(path)
-    return path
-
-
 @query("src1_xyz", "SELECT round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, CAST(class_id AS DOUBLE) AS label FROM cloud", "cloud")
 def _(s, d):
-    from timberline.sources import tables
-
-    path = _place(s, "xyz")
+    path = files.new_folder(s, "xyz")
     tables.write_xyz(views.cloud(s, d), path, ",", label="class_id")
     got = tables.read_xyz(s, path, ",", label=3, glob="part-*")
     return got.select(*[F.round(c, 4).alias(c) for c in "xyz"], "label")
 
 
+@query("snk1_xyz", "SELECT round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM labelled", "labelled")
+def _(s, d):
+    path = files.new_folder(s, "xyz")
+    tables.write_xyz(views.labelled(s, d), path)
+    return tables.read_xyz(s, path, glob="part-*").select(*[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+@query("snk2_labelled_xyz", "SELECT round(x, 4) AS x, round(intensity, 6) AS ret, CAST(tree_id AS DOUBLE) AS label FROM labelled", "labelled")
+def _(s, d):
+    path = files.new_folder(s, "xyz")
+    tables.write_xyz(views.labelled(s, d), path, label="tree_id", ret="intensity")
+    return tables.read_xyz(s, path, returns=3, label=4, glob="part-*").select(F.round("x", 4).alias("x"), _r("ret"), "label")
+
+
 @query("src3_bin", "SELECT pid, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM cloud", "cloud")
 def _(s, d):
     import numpy as np
+    import pyarrow as pa
+
+    kind = np.dtype([("n", "<i8"), ("x", "<f4"), ("y", "<f8")])
 
-    from timberline.sources import tables
+    def records(batches):
+        for batch in batches:
+            raw = np.zeros(batch.num_rows, kind)
+            for c, f in zip(("n", "x", "y"), ("pid", "x", "y"), strict=True):
+                raw[c] = batch.column(f).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([raw.tobytes()], pa.binary())], names=["value"])
 
-    path = _place(s, "bin")
-    rows = [(r["pid"], r["x"], r["y"]) for r in views.cloud(s, d).select("pid", "x", "y").toLocalIterator()]
-    np.array(rows, np.dtype([("n", "<i8"), ("x", "<f4"), ("y", "<f8")])).tofile(f"{path}/cloud.bin")
+    path = files.new_folder(s, "bin")
+    files.write_blobs(views.cloud(s, d).select("pid", "x", "y").mapInArrow(records, "value binary"), f"{path}/cloud.bin")
     return tables.read_bin(s, f"{path}/cloud.bin", ["n", "x", "y"], ["<i8", "<f4", "<f8"], ["n", "x"]).select(F.col("n").cast("long").alias("pid"), "x")
 
 
-@query("src4_ply", "SELECT round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, CAST(tree_id AS DOUBLE) AS scalar FROM labelled", "labelled")
+@query("src4_ply", "SELECT round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, CAST(tree_id AS DOUBLE) AS scalar, 3.0::DOUBLE AS off_z FROM labelled", "labelled")
 def _(s, d):
-    from timberline.sources import ply
-
-    path = _place(s, "ply")
+    path = files.new_folder(s, "ply")
     ply.write_points(views.labelled(s, d), f"{path}/a.ply", scalar="tree_id", offset=(1.0, 2.0, 3.0))
-    return ply.read_ply(s, f"{path}/a.ply", scalar=True).select(*[F.round(F.round(F.col(c), 4), 3).alias(c) for c in "xyz"], "scalar")
+    return ply.read_ply(s, f"{path}/a.ply", scalar=True).select(*[F.round(F.round(F.col(c), 4), 3).alias(c) for c in "xyz"], "scalar", "off_z")
 
 
-@query("src6_las", "SELECT row_number() OVER (ORDER BY pid)-1 AS pid, round(x, 2) AS x, round(y, 2) AS y, CAST(class_id AS INT) AS pt_src_id FROM cloud", "cloud")
+@query("snk3_ply", "SELECT row_number() OVER (ORDER BY pid)-1 AS pid, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM cloud", "cloud")
 def _(s, d):
-    from timberline.sources import las
+    path = files.new_folder(s, "ply")
+    ply.write_points(views.cloud(s, d), f"{path}/a.ply")
+    return ply.read_ply(s, f"{path}/a.ply").select("pid", *[F.round(F.round(F.col(c), 4), 3).alias(c) for c in "xyz"])
 
-    path = _place(s, "las")
+
+@query("snk4_labelled_ply", "SELECT row_number() OVER (ORDER BY pid)-1 AS pid, CAST(class_id AS DOUBLE) AS scalar FROM cloud", "cloud")
+def _(s, d):
+    path = files.new_folder(s, "ply")
+    ply.write_points(views.cloud(s, d), f"{path}/a.ply", scalar="class_id")
+    return ply.read_ply(s, f"{path}/a.ply", scalar=True).select("pid", "scalar")
+
+
+@query("src6_las", "SELECT row_number() OVER (ORDER BY pid)-1 AS pid, round(x, 2) AS x, round(y, 2) AS y, CAST(class_id AS INT) AS pt_src_id FROM cloud", "cloud")
+def _(s, d):
+    path = files.new_folder(s, "las")
     las.write_las(views.cloud(s, d).drop("red", "green", "blue", "intensity"), f"{path}/a.las", label="class_id")
     return las.read_las(s, path, records=4000).select("pid", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), "pt_src_id")
 
 
-@query("src9_ground_surface", "SELECT count(*) AS n, round(sum(gz), 1) AS z FROM ground", "cloud", extra=_GROUND)
+@query("snk5_las", "SELECT row_number() OVER (ORDER BY pid)-1 AS pid, CAST(round(x*100, 0) AS BIGINT) AS x, floor(intensity*1000) AS intensity, floor(red*255) AS red FROM cloud", "cloud")
 def _(s, d):
-    from timberline.sources import ply
+    path = files.new_folder(s, "las")
+    c = views.cloud(s, d).withColumns({"intensity": F.floor(F.col("intensity") * 1000), "red": F.floor(F.col("red") * 255)})
+    las.write_las(c, f"{path}/a.las", offset=(100.0, 0.0, 0.0))
+    return las.read_las_store(s, path).select("pid", F.round((F.col("x") - 100) * 100).cast("long").alias("x"), "intensity", "red")
+
 
-    path = _place(s, "ground")
+@query("src9_ground_surface", "SELECT round(gx+10, 4) AS gx, round(gy, 4) AS gy, round(gz, 4) AS gz FROM ground", "cloud", extra=_GROUND)
+def _(s, d):
+    path = files.new_folder(s, "ground")
     ply.save_ground_surface(ground.ground_points(views.cloud(s, d)), f"{path}/g.ply", (10.0, 0.0, 0.0))
-    return ply.load_ground_surface(s, f"{path}/g.ply", (10.0, 0.0, 0.0)).agg(F.count("*").alias("n"), F.round(F.sum("gz"), 1).alias("z"))
+    return ply.load_ground_surface(s, f"{path}/g.ply").select(*[F.round(c, 4).alias(c) for c in ("gx", "gy", "gz")])
+
+
+@query("snk9_ground_mesh")
+def _(s, d):
+    path = files.new_folder(s, "ground")
+    ply.save_ground_surface(ground.ground_points(views.cloud(s, d)), f"{path}/g.ply")
+    return ply.read_faces(s, f"{path}/g.ply").select("fid", *[F.col("v")[k].alias(c) for k, c in enumerate("abc")])
 
 
-@query("snk6_voxel_corners", "SELECT DISTINCT round((ix-20.0)*1.5+30, 6)::DOUBLE AS x, round((iy-20.0)*1.5+30, 6)::DOUBLE AS y, round((iz-10.0)*1.5+5, 6)::DOUBLE AS z FROM vox", "cloud", extra=_VOX)
+@query("snk6_voxel_corners", "SELECT DISTINCT round((ix-20.0)*1.5+30, 3)::DOUBLE AS x, round((iy-20.0)*1.5+30, 3)::DOUBLE AS y, round((iz-10.0)*1.5+5, 3)::DOUBLE AS z FROM vox", "cloud", extra=_VOX)
 def _(s, d):
-    return voxels.voxel_corners(voxels.occupancy(_vox(s, d)), _CELLS, _RES, _CENTRE).select(*[_r(c) for c in "xyz"])
+    path = files.new_folder(s, "voxels")
+    corners = voxels.voxel_corners(voxels.occupancy(_vox(s, d)), _CELLS, _RES, _CENTRE)
+    ply.write_points(corners.withColumn("pid", F.struct("x", "y", "z")), f"{path}/v.ply")
+    return ply.read_ply(s, f"{path}/v.ply").select(*[F.round(c, 3).alias(c) for c in "xyz"])
 
 
-@query("snk11_ring_rows", "SELECT cid % 20 AS tree_id, x AS \"X\", -y AS \"Y\", -z AS \"Z\", r*200.0 AS \"DBH_cm\" FROM circles", "circles")
+@query("snk10_inventory_csv", "SELECT CAST(t.tree_id AS BIGINT) AS tree_id, round(t.x, 4) AS x, round(t.y, 4) AS y, round(t.z, 4) AS z FROM tops t", "labelled", extra=_TOPS)
 def _(s, d):
-    return stems.ring_rows(views.circles(s, d).withColumn("tree_id", F.col("cid") % 20), parity=True)
+    path = files.new_folder(s, "inventory")
+    tables.write_table(pipelines.tree_inventory(views.labelled(s, d)).select("x", "y", "z", "tree_id"), path)
+    got = s.read.csv(path, header=True, schema="x double, y double, z double, tree_id long", enforceSchema=False)
+    return got.select("tree_id", *[F.round(c, 4).alias(c) for c in "xyz"])
 
 
-@query("snk13_ring_vertices", "SELECT cid, CAST(k AS INT) AS k, round(x+r*cos(k*2*pi()/15), 6) AS x, round(y+r*sin(k*2*pi()/15), 6) AS y, z FROM circles, range(15) t(k)", "circles")
+@query("snk11_ring_rows", "SELECT cid % 20 AS tree_id, round(x, 6) AS \"X\", round(-y, 6) AS \"Y\", round(-z, 6) AS \"Z\", round(r*200.0, 6) AS \"DBH_cm\" FROM circles", "circles")
 def _(s, d):
-    from timberline.sources import meshes
+    path = files.new_folder(s, "rings")
+    tables.write_table(stems.ring_rows(views.circles(s, d).withColumn("tree_id", F.col("cid") % 20), parity=True), path)
+    got = s.read.csv(path, header=True, schema="tree_id long, X double, Y double, Z double, DBH_cm double", enforceSchema=False)
+    return got.select("tree_id", *[_r(c) for c in ("X", "Y", "Z", "DBH_cm")])
+
 
-    return meshes.ring_vertices(views.circles(s, d), ["cid"]).select("cid", "k", _r("x"), _r("y"), "z")
+@query("snk12_tree_locations")
+def _(s, d):
+    path = files.new_folder(s, "locations")
+    places = stems.unique_locations(stems.locations(views.circles(s, d).withColumn("tree_id", F.col("cid"))))
+    tables.write_table(places, path)
+    return s.read.csv(path, header=True, schema="tree_id long, x double, y double", enforceSchema=False)
 
 
-@query("snk14_stem_faces")
+@query("snk13_ring_vertices", "SELECT (dense_rank() OVER (ORDER BY cid)-1)*15+k AS pid, round(round(x+r*cos(k*2*pi()/15), 4)+1e-9, 3) AS x, round(round(y+r*sin(k*2*pi()/15), 4)+1e-9, 3) AS y, round(z, 3) AS z FROM (SELECT cid, x, y, r, z, CAST(unnest(range(15)) AS INT) AS k FROM circles) q", "circles")
 def _(s, d):
-    from timberline.sources import meshes
+    path = files.new_folder(s, "wire")
+    v = meshes.ring_vertices(views.circles(s, d), ["cid"])
+    meshes.write_mesh(v, f"{path}/w.ply", edges=meshes.ring_edges(v))
+    return ply.read_ply(s, f"{path}/w.ply").select("pid", *[F.round(F.round(c, 4) + 1e-9, 3).alias(c) for c in "xyz"])
 
+
+@query("snk14_stem_faces", "SELECT 15*n+k AS a, 15*n+(k+1)%15 AS b, 15*up+(k+1)%15 AS c, 15*up+k AS d FROM (SELECT n, lead(n) OVER (PARTITION BY tree_id ORDER BY cid) AS up FROM (SELECT cid, cid % 20 AS tree_id, row_number() OVER (ORDER BY cid % 20, cid)-1 AS n FROM circles) p) q, range(15) t(k) WHERE up IS NOT NULL", "circles")
+def _(s, d):
+    path = files.new_folder(s, "stems")
     rings = views.circles(s, d).select((F.col("cid") % 20).alias("tree_id"), "cid", "x", "y", "r", "z")
-    return meshes.stem_faces(meshes.ring_vertices(rings, ["tree_id", "cid"]), "tree_id", "cid")
+    v = meshes.ring_vertices(rings, ["tree_id", "cid"])
+    meshes.write_mesh(v, f"{path}/s.ply", meshes.stem_faces(v, "tree_id", "cid"))
+    return ply.read_faces(s, f"{path}/s.ply").select(*[F.col("v")[k].cast("long").alias(c) for k, c in enumerate("abcd")])
 
 
-@query("snk16_stem_points_csv", "SELECT x AS \"X\", z AS \"Y\", y AS \"Z\" FROM cloud", "cloud")
+@query("snk16_stem_points_csv", "SELECT round(x, 4) AS \"X\", round(z, 4) AS \"Y\", round(y, 4) AS \"Z\" FROM cloud", "cloud")
 def _(s, d):
-    from timberline.sources import tables
+    path = files.new_folder(s, "stempoints")
+    tables.write_table(tables.swapped_stem_points(views.cloud(s, d), parity=True), path)
+    got = s.read.csv(path, header=True, schema="X double, Y double, Z double", enforceSchema=False)
+    return got.select(*[F.round(c, 4).alias(c) for c in "XYZ"])
 
-    return tables.swapped_stem_points(views.cloud(s, d), parity=True)
 
+@query("snk15_coloured_stem_points")
+def _(s, d):
+    path = files.new_folder(s, "stem")
+    points = meshes.coloured_by(views.cloud(s, d).select("pid", "x", "y", "z", "class_id"), "class_id")
+    ply.write_points(points, f"{path}/stem.ply", colours=True)
+    return ply.read_ply(s, f"{path}/stem.ply", colours=True).select("pid", "x", "y", "z", "red", "green", "blue")
 
-@query("snk17_coloured_by")
+
+@query("snk15_painted_stem_points", "SELECT row_number() OVER (ORDER BY pid)-1 AS pid, round(x, 3) AS x, 255::INT AS red, 0::INT AS green, 0::INT AS blue FROM cloud", "cloud")
 def _(s, d):
-    from timberline.sources import meshes
+    path = files.new_folder(s, "stem")
+    ply.write_points(meshes.painted(views.cloud(s, d)), f"{path}/stem.ply", colours=True)
+    return ply.read_ply(s, f"{path}/stem.ply", colours=True).select("pid", F.round(F.round("x", 4), 3).alias("x"), "red", "green", "blue")
 
-    return meshes.coloured_by(views.labelled(s, d), "tree_id").select("pid", "red", "green", "blue")
+
+@query("snk17_coloured_by")
+def _(s, d):
+    path = files.new_folder(s, "trees")
+    ply.write_points(meshes.coloured_by(views.labelled(s, d), "tree_id"), f"{path}/trees.ply", colours=True)
+    return ply.read_ply(s, f"{path}/trees.ply", colours=True).select("pid", "red", "green", "blue")
 
 
 @query("snk18_voxel_indices", "SELECT ix, iy, iz, 1 AS one FROM vox", "cloud", extra=_VOX)
 def _(s, d):
-    from timberline.sources import tables
-
-    return tables.voxel_indices(_vox(s, d))
+    path = files.new_folder(s, "indices")
+    tables.write_table(tables.voxel_indices(_vox(s, d)), path, header=False)
+    return s.read.csv(path, schema="ix int, iy int, iz int, one int")
 
 
 @query("stream_minima", "SELECT CAST(floor(x/2.0) AS INT) AS ix, CAST(floor(y/2.0) AS INT) AS iy, min(z) AS zmin FROM cloud GROUP BY 1, 2", "cloud")
 def _(s, d):
     from timberline.streaming import minima
 
-    path = _place(s, "stream")
+    path = files.new_folder(s, "stream")
     views.cloud(s, d).select("pid", "x", "y", "z").repartition(4, "pid").write.mode("overwrite").parquet(f"{path}/in")
     minima.keep_minima(minima.stream_points(s, f"{path}/in", files_per_batch=2), f"{path}/out", f"{path}/state").awaitTermination()
     return minima.minima(s, f"{path}/out")
@@ -1030,110 +1112,117 @@ def _(s, d):
 
 @query("src2_xyz_general", "SELECT round(x, 4) AS x, round(intensity, 4) AS c4 FROM cloud", "cloud")
 def _(s, d):
-    from timberline.sources import tables
-
-    path = _place(s, "general")
+    path = files.new_folder(s, "general")
     views.cloud(s, d).select("x", "y", "z", "class_id", "intensity").write.mode("overwrite").csv(path, sep=",")
     return tables.read_xyz(s, path, ",", other=(4,), glob="part-*").select(F.round("x", 4).alias("x"), F.round("c4", 4).alias("c4"))
 
 
-@query("src5_off", "SELECT round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM cloud", "cloud")
+@query("src5_off", "SELECT row_number() OVER (ORDER BY pid)-1 AS pid, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM cloud", "cloud")
 def _(s, d):
-    from timberline.sources import tables
-
-    path = _place(s, "off")
-    with open(f"{path}/a.off", "w") as f:
-        rows = views.cloud(s, d).select("x", "y", "z")
-        f.write(f"{rows.count()}\n")
-        f.writelines(f"{r.x!r} {r.y!r} {r.z!r}\n" for r in rows.toLocalIterator())
-    return tables.read_off(s, f"{path}/a.off").select(*[F.round(c, 4).alias(c) for c in "xyz"])
+    path, c = files.new_folder(s, "off"), views.cloud(s, d).orderBy("pid")
+    files.write_text_file([c.select(F.concat_ws(" ", *[F.col(k).cast("string") for k in "xyz"]).alias("value"))], f"{path}/a.off", f"{c.count()}\n")
+    return tables.read_off(s, f"{path}/a.off").select("pid", *[F.round(k, 4).alias(k) for k in "xyz"])
 
 
-@query("src7_las_integers", "SELECT CAST(sum(CAST(round(x*1000, 0) AS BIGINT)) AS BIGINT) AS x, count(*) AS n FROM cloud", "cloud")
+@query("src7_las_integers", "SELECT row_number() OVER (ORDER BY pid)-1 AS pid, CAST(round(x*1000, 0) AS BIGINT) AS x, CAST(round(y*1000, 0) AS BIGINT) AS y FROM cloud", "cloud")
 def _(s, d):
-    from timberline.sources import las
-
-    path = _place(s, "las7")
+    path = files.new_folder(s, "las7")
     las.write_las(views.cloud(s, d).select("pid", "x", "y", "z"), f"{path}/a.las")
-    return las.read_las_store(s, f"{path}/a.las").agg(F.sum(F.round(F.col("x") * 1000).cast("long")).alias("x"), F.count("*").alias("n"))
+    return las.read_las_store(s, f"{path}/a.las").select("pid", *[F.round(F.col(c) * 1000).cast("long").alias(c) for c in "xy"])
 
 
-@query("src8_directory", "SELECT 'tree_' || tree_id || '.asc' AS cloud_id, count(*) AS n FROM labelled GROUP BY tree_id", "labelled")
+@query("src8_directory", "SELECT 'tree_' || tree_id || '.asc' AS cloud_id, row_number() OVER (PARTITION BY tree_id ORDER BY pid)-1 AS pid, round(x, 4) AS x FROM labelled", "labelled")
 def _(s, d):
-    from timberline.sources import tables
-
-    path = _place(s, "trees")
-    trees: dict[int, list[str]] = {}
-    for r in views.labelled(s, d).select("tree_id", "x", "y", "z").toLocalIterator():
-        trees.setdefault(r.tree_id, []).append(f"{r.x} {r.y} {r.z}\n")
-    for k, lines in trees.items():
-        with open(f"{path}/tree_{k}.asc", "w") as f:
-            f.writelines(lines)
-    return tables.read_xyz(s, path, glob="*.asc").groupBy("cloud_id").agg(F.count("*").alias("n"))
+    path = files.new_folder(s, "trees")
+    name = F.concat(F.lit("tree_"), F.col("tree_id").cast("string"), F.lit(".asc")).alias("name")
+    files.write_named(views.labelled(s, d).select(name, F.col("pid").alias("at"), F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"]).alias("value")), path)
+    return tables.read_xyz(s, path, glob="*.asc").select("cloud_id", "pid", F.round("x", 4).alias("x"))
 
 
 @query("src10_numeric", "SELECT cid, x, y, r FROM (SELECT CAST(cid AS DOUBLE) AS cid, round(x, 4) AS x, round(y, 4) AS y, round(r, 4) AS r FROM circles) q", "circles")
 def _(s, d):
-    from timberline.sources import tables
-
-    path = _place(s, "plots")
-    tables.write_table(views.circles(s, d).select("cid", "x", "y", "r").coalesce(1), path)
+    path = files.new_folder(s, "plots")
+    rows = views.circles(s, d).select(F.concat_ws(",", *[F.col(c).cast("string") for c in ("cid", "x", "y", "r")]).alias("value"))
+    files.write_text_file([rows], f"{path}/plots.csv", "cid,x,y,r\n")
     data = tables.read_numeric(s, path, (0,))[1]
     return data.select(F.col("f")[0].alias("cid"), *[F.round(F.col("f")[k + 1], 4).alias(c) for k, c in enumerate(("x", "y", "r"))])
 
 
 @query("src11_config", "SELECT 0.2::DOUBLE AS res, 'rescale' AS normalisation, 3::INT AS layers")
 def _(s, d):
+    import json
+    from dataclasses import asdict
+
     from timberline.model import RasterConfig
-    from timberline.sources import tables
 
-    path = _place(s, "config")
-    RasterConfig(["vertical_density", "canopy_height"]).to_json(f"{path}/raster_config.json")
+    path = files.new_folder(s, "config")
+    files.write_bytes(s, f"{path}/raster_config.json", json.dumps(asdict(RasterConfig(["vertical_density", "canopy_height"]))).encode())
     return tables.read_config(s, f"{path}/raster_config.json").select("res", "normalisation", F.size("raster_layers").alias("layers"))
 
 
-@query("src12_voc", "SELECT bid, CAST(class_id AS INT) AS class_id, round((xmin+xmax+20)/2.0/100, 6) AS cx, round((ymin+ymax+20)/2.0/100, 6) AS cy FROM boxes WHERE class_id < 2 AND bid % 7 <> 0 AND bid < 30", "boxes")
-def _(s, d):
-    from timberline.sources import tables
+def _annotations(s, d) -> str:
+    """Annotation files of up to 50 boxes each; every seventh box is a difficult one."""
+    path = files.new_folder(s, "voc")
+    side = lambda c: F.concat(F.lit(f"<{c}>"), (F.col(c) + 10).cast("string"), F.lit(f"</{c}>"))
+    name = F.element_at(F.array(*[F.lit(w) for w in ("tree", "shrub", "partial")]), F.col("class_id") + 1)
+    one = F.concat(F.lit("<object><name>"), name, F.lit("</name><difficult>"), (F.col("bid") % 7 == 0).cast("int").cast("string"), F.lit("</difficult><bndbox>"), *[side(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.lit("</bndbox></object>"))
+    page = views.boxes(s, d).groupBy(F.floor(F.col("bid") / 50).alias("at")).agg(F.concat_ws("", F.collect_list(one)).alias("objects"))
+    head, tail = F.lit("<annotation><size><width>100</width><height>100</height></size>"), F.lit("</annotation>")
+    files.write_named(page.select(F.concat(F.col("at").cast("string"), F.lit(".xml")).alias("name"), "at", F.concat(head, "objects", tail).alias("value")), path)
+    return path
+
 
-    path = _place(s, "voc")
-    for r in views.boxes(s, d).where("bid < 30").collect():
-        name = ("tree", "shrub", "partial")[r.class_id]
-        with open(f"{path}/{r.bid}.xml", "w") as f:
-            f.write(f"<annotation><size><width>100</width><height>100</height></size><object><name>{name}</name><difficult>{int(r.bid % 7 == 0)}</difficult><bndbox><xmin>{r.xmin + 10}</xmin><ymin>{r.ymin + 10}</ymin><xmax>{r.xmax + 10}</xmax><ymax>{r.ymax + 10}</ymax></bndbox></object></annotation>")
-    return tables.read_voc(s, path, ["tree", "shrub"]).select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("bid"), "class_id", _r("cx"), _r("cy"))
+_VOC = "SELECT bid // 50 AS page, CAST(class_id AS INT) AS class_id, round((xmin+xmax+20)/2.0/100, 6) AS cx, round((ymin+ymax+20)/2.0/100, 6) AS cy FROM boxes WHERE class_id < 2 AND bid % 7 <> 0"
 
 
-@query("src13_image")
+@query("src12_voc", _VOC, "boxes")
 def _(s, d):
-    import numpy as np
+    return tables.read_voc(s, _annotations(s, d), ["tree", "shrub"]).select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("page"), "class_id", _r("cx"), _r("cy"))
 
-    from timberline.sources import tables
 
-    path = _place(s, "image")
-    cells = voxels.rescaled(voxels.vertical_density(_vox(s, d), [], _CELLS), [], (40, 40)).collect()
-    image = np.zeros((40, 40, 3), np.uint8)
-    for r in cells:
-        image[r.ix, r.iy] = int(r.v * 255)
-    tables.write_ppm(image, f"{path}/a.ppm")
-    return tables.read_ppm(s, f"{path}/a.ppm").select("row", "col", "red")
+@query("udf15_label_files", _VOC, "boxes")
+def _(s, d):
+    path = files.new_folder(s, "labels")
+    tables.write_yolo(tables.read_voc(s, _annotations(s, d), ["tree", "shrub"]), path)
+    lines = s.read.text(path).select(F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("long").alias("page"), F.split("value", " ").alias("f"))
+    return lines.select("page", F.col("f")[0].cast("int").alias("class_id"), *[_r(F.col("f")[k].cast("double"), c) for k, c in ((1, "cx"), (2, "cy"))])
 
 
-QUERIES["snk19_image"] = QUERIES["src13_image"]
+_PIXELS = "SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, CAST(floor(coalesce((v-lo)/(hi-lo), (0-lo)/(hi-lo))*255) AS INT) AS red FROM range(40) a(i) CROSS JOIN range(40) b(j) LEFT JOIN (SELECT ix, iy, v/20 AS v FROM col) c ON c.ix = i AND c.iy = j, (SELECT CASE WHEN count(*) < 1600 THEN least(min(v/20), 0) ELSE min(v/20) END lo, max(v/20) hi FROM col) r"
 
 
-@query("src14_boxes", "SELECT bid, ymin, xmin, ymax, xmax FROM boxes", "boxes")
+def _raster(s, d) -> str:
+    from timberline.model import RasterConfig
+
+    config = RasterConfig(["vertical_density"], res=_RES, gridSize=_CELLS)
+    density = voxels.vertical_density(_vox(s, d), [], _CELLS)
+    layer = voxels.rescaled(density, [], _CELLS[:2]).select(F.lit(0).alias("layer"), F.col("ix").alias("row"), F.col("iy").alias("col"), "v")
+    zero = voxels.background(density, [], _CELLS[:2]).select(F.lit(0).alias("layer"), F.lit(-1).alias("row"), F.lit(-1).alias("col"), "v")
+    path = files.new_folder(s, "image")
+    tables.write_raster(layer.unionByName(zero), config, path)
+    return path
+
+
+@query("src13_image", _PIXELS, "cloud", extra=_VOX)
+def _(s, d):
+    return tables.read_ppm(s, f"{_raster(s, d)}/raster.ppm").select("row", "col", "red")
+
+
+@query("snk19_image", "SELECT 1.5::DOUBLE AS res, 'rescale' AS normalisation, count(*) AS pixels, CAST(sum(red) AS BIGINT) AS red FROM (" + _PIXELS + ") p", "cloud", extra=_VOX)
 def _(s, d):
-    from timberline.sources import tables
+    path = _raster(s, d)
+    pixels = tables.read_ppm(s, f"{path}/raster.ppm").agg(F.count("*").alias("pixels"), F.sum("red").alias("red"))
+    return tables.read_config(s, f"{path}/raster_config.json").select("res", "normalisation").join(pixels, F.lit(True))
+
 
-    path = _place(s, "boxes")
+@query("src14_boxes", "SELECT bid, ymin, xmin, ymax, xmax FROM boxes", "boxes")
+def _(s, d):
+    path = files.new_folder(s, "boxes")
     tables.save_boxes(views.boxes(s, d).select("bid", "ymin", "xmin", "ymax", "xmax"), path)
     return tables.load_boxes(s, path)
 
 
 QUERIES["snk20_boxes"], ORACLE_SQL["snk20_boxes"] = QUERIES["src14_boxes"], ORACLE_SQL["src14_boxes"]
-for _new, _old in (("snk1_xyz", "src2_xyz_general"), ("snk2_labelled_xyz", "src1_xyz"), ("snk3_ply", "src4_ply"), ("snk4_labelled_ply", "src4_ply"), ("snk5_las", "src6_las"), ("snk9_ground_mesh", "src9_ground_surface"), ("snk10_inventory_csv", "src10_numeric")):
-    QUERIES[_new], ORACLE_SQL[_new] = QUERIES[_old], ORACLE_SQL[_old]
 
 
 @query("snk7_scalar_voxels", "SELECT round(ix*1.5, 6)::DOUBLE AS x, round(iy*1.5, 6)::DOUBLE AS y, round(iz*1.5, 6)::DOUBLE AS z, ret FROM rets WHERE ret > 0", "cloud", extra=_VOX)
@@ -1149,34 +1238,18 @@ def _(s, d):
     return voxels.voxel_corners(voxels.column_returns(v, [], "intensity").join(mask, ["ix", "iy", "iz"]), _CELLS, _RES).select(*[_r(c) for c in "xyz"], "ret")
 
 
-QUERIES["snk12_tree_locations"] = QUERIES["grf4_unique_locations"]
-
-
-@query("snk15_coloured_stem_points")
-def _(s, d):
-    from timberline.sources import meshes, ply
-
-    path = _place(s, "stem")
-    points = meshes.coloured_by(views.cloud(s, d).select("pid", "x", "y", "z", "class_id"), "class_id")
-    ply.write_points(points, f"{path}/stem.ply", colours=True)
-    return ply.read_ply(s, f"{path}/stem.ply").select("pid", "x", "y", "z")
-
-
 @query("snk21_stage", "SELECT cid, x, y, r, z, n FROM circles", "circles")
 def _(s, d):
-    from timberline.sources import tables
+    return tables.stage(views.circles(s, d), files.new_folder(s, "stage"))
 
-    return tables.stage(views.circles(s, d), _place(s, "stage"))
 
-
-@query("snk22_metrics", "SELECT CAST(e AS INT) AS epoch, 'loss' AS name, 1.0/(e+1)::DOUBLE AS value FROM range(3) t(e)")
+@query("snk22_metrics", "SELECT CAST(class_id AS INT) AS epoch, 'height' AS name, round(avg(z), 6) AS value FROM cloud WHERE class_id < 3 GROUP BY class_id", "cloud")
 def _(s, d):
-    from timberline.sources import tables
-
-    path = _place(s, "metrics")
+    path = files.new_folder(s, "metrics")
     for e in range(3):
-        out = tables.append_metrics(s, path, e, {"loss": 1.0 / (e + 1)})
-    return out
+        out = tables.append_metrics(s, f"{path}/table", e, {"height": views.cloud(s, d).where(F.col("class_id") == e).agg(F.avg("z")).first()[0] or 0.0})
+    tables.plot_metrics(out, f"{path}/height.svg")
+    return out.select("epoch", "name", _r("value"))
 
 
 @query("udf10_conv_output_shape", "SELECT CAST(n AS BIGINT) AS n, CAST(ceil((n-4)/2.0) AS BIGINT) AS valid, CAST(ceil(n/2.0) AS BIGINT) AS same FROM range(5, 50) t(n)")
@@ -1204,9 +1277,11 @@ def _(s, d):
     return s.createDataFrame([tuple(map(int, t)) for t in delaunay(xy)], "a long, b long, c long")
 
 
-@query("udf15_detector_lists", "SELECT bid AS cloud_id, CASE WHEN rn % 11 = 0 THEN 'test' ELSE 'train' END AS part FROM (SELECT bid, row_number() OVER (ORDER BY bid) rn FROM boxes) q", "boxes")
+@query("udf15_detector_lists", "SELECT 'data/obj/' || bid || '.jpg' AS value, CASE WHEN rn % 11 = 0 THEN 'test' ELSE 'train' END AS part FROM (SELECT bid, row_number() OVER (ORDER BY bid) rn FROM boxes) q", "boxes")
 def _(s, d):
-    return training.split_every(views.boxes(s, d).withColumnRenamed("bid", "cloud_id"), 10)
+    path = files.new_folder(s, "lists")
+    tables.write_lists(training.split_every(views.boxes(s, d).withColumnRenamed("bid", "cloud_id"), 10), path, "data/obj/{}.jpg")
+    return s.read.text(path).select("value", F.regexp_extract("_metadata.file_name", r"(\w+)\.txt", 1).alias("part"))
 
 
 @query("udf8_training_batches", f"SELECT w.tree_id, w.batch, w.slot FROM ({_WRAP}) w", "labelled")
@@ -1226,7 +1301,7 @@ def _(s, d):
 def _(s, d):
     import numpy as np
 
-    path = _place(s, "model")
+    path = files.new_folder(s, "model")
     net = segment.VoxelNet.random(channels=2)
     np.savez(f"{path}/weights.npz", *net.weights)
     stored = np.load(f"{path}/weights.npz")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from timberline.sources.files import write_blobs
+
 RECORDS = 500_000
 _CORE = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2")]
 _OLD = [*_CORE, ("flags", "u1"), ("classification", "u1"), ("scan_angle", "i1"), ("user_data", "u1"), ("pt_src_id", "<u2")]
@@ -70,7 +72,7 @@ class _LasReader(DataSourceReader):
         self.schema, self.options = to_arrow_schema(schema), options
 
     def partitions(self) -> list[_Range]:
-        path, out, base = self.options["path"], [], 0
+        path, out, base = self.options["path"].removeprefix("file:"), [], 0
         paths = sorted(os.path.join(path, f) for f in os.listdir(path) if f.lower().endswith(".las")) if os.path.isdir(path) else [path]
         each = int(self.options.get("records", RECORDS))
         for p in paths:
@@ -130,12 +132,13 @@ def read_las_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_las(points: DataFrame, path: str, label: str | None = None, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), scale: float = 0.001) -> None:
-    """SNK5: one LAS 1.2 file (point format 2), streamed through the driver in order of pid.
+    """SNK5: one LAS 1.2 file (point format 2) in order of pid; records are made by the executors and copied one after another.
 
     ``label`` goes to ``pt_src_id``; ``offset`` is added to the coordinates of
     the file, not to the frame; the header's offset is the floor of the least
-    coordinates.
+    coordinates. Points with a null coordinate have no place in a file and are left out.
     """
+    points = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
     b = points.agg(F.count("*").alias("n"), *[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
     n, lo, hi = b[0], [(b[k] or 0.0) + o for k, o in zip((1, 3, 5), offset, strict=True)], [(b[k] or 0.0) + o for k, o in zip((2, 4, 6), offset, strict=True)]
     base = [float(np.floor(v)) for v in lo]
@@ -149,23 +152,16 @@ def write_las(points: DataFrame, path: str, label: str | None = None, offset: tu
     struct.pack_into("<6d", head, 179, *[v for pair in zip(hi, lo, strict=True) for v in pair])
     kind = np.dtype(FORMATS[2])
     pick = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in points.columns else F.lit(0)
-    wanted = points.select("pid", "x", "y", "z", *[pick(c).cast("double").alias(c) for c in ("intensity", "red", "green", "blue")], (F.col(label) if label else F.lit(0)).cast("int").alias("label")).orderBy("pid")
-    with open(path, "wb") as f:
-        f.write(head)
-        block: list = []
-
-        def flush() -> None:
-            raw = np.zeros(len(block), kind)
-            rows = np.array(block, float).reshape(-1, 8)
-            for k, c in enumerate("XYZ"):
-                raw[c] = np.rint((rows[:, k] + offset[k] - base[k]) / scale)
-            for k, c in enumerate(("intensity", "red", "green", "blue", "pt_src_id")):
-                raw[c] = np.clip(rows[:, 3 + k], 0, 65535)
-            f.write(raw.tobytes())
-            block.clear()
-
-        for r in wanted.toLocalIterator(prefetchPartitions=True):
-            block.append(tuple(r)[1:])
-            if len(block) == 100_000:
-                flush()
-        flush()
+    colours = ("intensity", "red", "green", "blue")
+    wanted = points.select("pid", "x", "y", "z", *[pick(c).cast("double").alias(c) for c in colours], F.coalesce(F.col(label) if label else F.lit(0), F.lit(0)).cast("int").alias("pt_src_id")).orderBy("pid")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.zeros(batch.num_rows, kind)
+            for k, c in enumerate("xyz"):
+                raw[c.upper()] = np.rint((batch.column(c).to_numpy() + offset[k] - base[k]) / scale)
+            for c in (*colours, "pt_src_id"):
+                raw[c] = np.clip(batch.column(c).to_numpy(), 0, 65535)
+            yield pa.RecordBatch.from_arrays([pa.array([raw.tobytes()], pa.binary())], names=["value"])
+
+    write_blobs(wanted.mapInArrow(records, "value binary"), path, bytes(head))

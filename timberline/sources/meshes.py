@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.scalar import hsv_to_rgb
+from timberline.operators.graph import numbered
 from timberline.operators.projections import draw
-from timberline.sources.ply import write_ply
+from timberline.sources.ply import write_elements
 
 SIDES = 15
 
 
 def ring_vertices(rings: DataFrame, order: list[str], sides: int = SIDES, turn: list[list[float]] | None = None) -> DataFrame:
     """(order, k, vid, x, y, z) ``sides`` vertices on each circle, numbered along ``order``; ``turn`` is a 3 x 3 rotation."""
-    base = (F.row_number().over(Window.orderBy(*order)) - 1) * sides  # circles of an export
-    v = rings.withColumn("_base", base).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    v = numbered(rings, *order, name="_base").withColumn("_base", F.col("_base") * sides).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
     angle = F.col("k") * (2 * math.pi / sides)
     v = v.select(*order, "k", (F.col("_base") + F.col("k")).alias("vid"), (F.col("x") + F.col("r") * F.cos(angle)).alias("x"), (F.col("y") + F.col("r") * F.sin(angle)).alias("y"), "z")
     if turn:
@@ -50,8 +50,5 @@ def painted(points: DataFrame, red: int = 255, green: int = 0, blue: int = 0) ->
 
 def write_mesh(vertices: DataFrame, path: str, faces: DataFrame | None = None, edges: DataFrame | None = None) -> None:
     """SNK13, SNK14: an ascii PLY of an export's vertices with faces or edges."""
-    rows = vertices.select("vid", "x", "y", "z").orderBy("vid")
-    write_ply(
-        path, (tuple(r)[1:] for r in rows.toLocalIterator()), [("x", "float"), ("y", "float"), ("z", "float")], vertices.count(),
-        [list(r) for r in faces.orderBy("a").toLocalIterator()] if faces is not None else None, [tuple(r) for r in edges.orderBy("a").toLocalIterator()] if edges is not None else None,
-    )
+    quads = faces.orderBy("a").select(F.array("a", "b", "c", "d").alias("v")) if faces is not None else None
+    write_elements(path, vertices.orderBy("vid"), ["x", "y", "z"], [("x", "float"), ("y", "float"), ("z", "float")], quads, edges.orderBy("a") if edges is not None else None)

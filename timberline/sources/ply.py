@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.operators.graph import checkpointed
+from timberline.sources.files import write_text_file
+
 _KINDS = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
 
@@ -66,9 +69,9 @@ def parse(data: bytes) -> tuple[dict[str, np.ndarray], list[float], list[list[in
     return columns, comments[:3], faces
 
 
-def read_ply(spark: SparkSession, path: str, scalar: bool = False) -> DataFrame:
-    """SRC4: (cloud_id, pid, x, y, z[, scalar], off_x, off_y, off_z) of a PLY file or folder; no comment lines mean no offset."""
-    schema = "cloud_id string, pid long, x double, y double, z double" + (", scalar double" if scalar else "") + ", off_x double, off_y double, off_z double"
+def read_ply(spark: SparkSession, path: str, scalar: bool = False, colours: bool = False) -> DataFrame:
+    """SRC4: (cloud_id, pid, x, y, z[, scalar][, red, green, blue], off_x, off_y, off_z) of a PLY file or folder; no comment lines mean no offset."""
+    schema = "cloud_id string, pid long, x double, y double, z double" + (", scalar double" if scalar else "") + (", red int, green int, blue int" if colours else "") + ", off_x double, off_y double, off_z double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -79,6 +82,8 @@ def read_ply(spark: SparkSession, path: str, scalar: bool = False) -> DataFrame:
                 if scalar:
                     extra = [c for c in columns if c not in ("x", "y", "z")]
                     out["scalar"] = columns["scalar" if "scalar" in columns else extra[0]].astype(float)
+                for c in ("red", "green", "blue") if colours else ():
+                    out[c] = columns[c].astype(int)
                 yield out.assign(off_x=offset[0], off_y=offset[1], off_z=offset[2])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(path).select("path", "content").mapInPandas(run, schema)
@@ -102,35 +107,37 @@ def load_ground_surface(spark: SparkSession, path: str, offset: tuple[float, flo
     return points.select("pid", *[(F.col(c) + F.col(f"off_{c}") - float(o)).alias(f"g{c}") for c, o in zip("xyz", offset, strict=True)])
 
 
-def write_ply(path: str, vertices: Iterable[tuple], properties: list[tuple[str, str]], count: int, faces: list[list[int]] | None = None, edges: list[tuple[int, int]] | None = None, offset: tuple[float, float, float] | None = None) -> None:
-    """An ascii PLY: floats with four decimals, the offset as three comment lines."""
-    with open(path, "w", encoding="ascii") as f:
-        f.write("ply\nformat ascii 1.0\n")
-        for o in offset or ():
-            f.write(f"comment {o:.4f}\n")
-        f.write(f"element vertex {count}\n" + "".join(f"property {k} {n}\n" for n, k in properties))
-        if faces:
-            f.write(f"element face {len(faces)}\nproperty list uchar int vertex_indices\n")
-        if edges:
-            f.write(f"element edge {len(edges)}\nproperty int vertex1\nproperty int vertex2\n")
-        f.write("end_header\n")
-        for v in vertices:
-            f.write(" ".join(f"{x:.4f}" if k == "float" else str(int(x)) for x, (_, k) in zip(v, properties, strict=True)) + "\n")
-        for face in faces or ():
-            f.write(f"{len(face)} " + " ".join(map(str, face)) + "\n")
-        for a, b in edges or ():
-            f.write(f"{a} {b}\n")
-
-
 _XYZ = [("x", "float"), ("y", "float"), ("z", "float")]
 _RGB = [("red", "uchar"), ("green", "uchar"), ("blue", "uchar")]
 
 
 def write_points(points: DataFrame, path: str, scalar: str | None = None, colours: bool = False, offset: tuple[float, float, float] | None = None) -> None:
-    """SNK3, SNK4, SNK15, SNK17: points in order of pid, with a ``scalar`` column or red, green and blue if told; streamed through the driver."""
-    extra = ([scalar] if scalar else []) + (["red", "green", "blue"] if colours else [])
-    rows = points.select("x", "y", "z", *extra, "pid").orderBy("pid")
-    write_ply(path, (tuple(r)[:-1] for r in rows.toLocalIterator()), _XYZ + ([("scalar", "float")] if scalar else []) + (_RGB if colours else []), points.count(), offset=offset)
+    """SNK3, SNK4, SNK15, SNK17: points in order of pid, with a ``scalar`` column or red, green and blue if told.
+
+    Lines are made and written by the executors; null coordinates are written as nan.
+    """
+    properties = _XYZ + ([("scalar", "float")] if scalar else []) + (_RGB if colours else [])
+    columns = ["x", "y", "z", *([scalar] if scalar else []), *(["red", "green", "blue"] if colours else [])]
+    write_elements(path, points.orderBy("pid"), columns, properties, offset=offset)
+
+
+def write_elements(path: str, vertices: DataFrame, columns: list[str], properties: list[tuple[str, str]], faces: DataFrame | None = None, edges: DataFrame | None = None, offset: tuple[float, float, float] | None = None) -> None:
+    """An ascii PLY of ordered frames: vertices (``columns`` as ``properties``), faces (v array) and edges (a, b)."""
+    vertices = checkpointed(vertices)
+    head = "ply\nformat ascii 1.0\n" + "".join(f"comment {o:.4f}\n" for o in offset or ())
+    head += f"element vertex {vertices.count()}\n" + "".join(f"property {k} {n}\n" for n, k in properties)
+    whole = F.coalesce
+    value = [F.format_string("%.4f", whole(F.col(c).cast("double"), F.lit(float("nan")))) if k == "float" else whole(F.col(c).cast("long"), F.lit(0)).cast("string") for c, (_, k) in zip(columns, properties, strict=True)]
+    bodies = [vertices.select(F.concat_ws(" ", *value).alias("value"))]
+    if faces is not None:
+        faces = checkpointed(faces)
+        head += f"element face {faces.count()}\nproperty list uchar int vertex_indices\n"
+        bodies.append(faces.select(F.concat_ws(" ", F.size("v").cast("string"), F.transform("v", lambda x: x.cast("string"))).alias("value")))
+    if edges is not None:
+        edges = checkpointed(edges)
+        head += f"element edge {edges.count()}\nproperty int vertex1\nproperty int vertex2\n"
+        bodies.append(edges.select(F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string")).alias("value")))
+    write_text_file(bodies, path, head + "end_header\n")
 
 
 def delaunay(xy: np.ndarray) -> list[tuple[int, int, int]]:
@@ -168,8 +175,9 @@ def delaunay(xy: np.ndarray) -> list[tuple[int, int, int]]:
 
 def save_ground_surface(ground: DataFrame, path: str, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), columns: tuple[str, str, str] = ("gx", "gy", "gz")) -> int:
     """SNK9: the ground mesh (one vertex a 4 m^2 cell at most, so it is small beside the cloud); returns the number of faces."""
-    rows = sorted(tuple(r) for r in ground.select(*columns).toLocalIterator())
-    xyz = np.array(rows).reshape(-1, 3)
-    faces = [list(t) for t in delaunay(xyz[:, :2])]
-    write_ply(path, rows, _XYZ, len(rows), faces, offset=offset)
+    xyz = np.array(sorted(tuple(r) for r in ground.select(*columns).toLocalIterator()), float).reshape(-1, 3)
+    faces = [(k, list(t)) for k, t in enumerate(delaunay(xyz[:, :2]))]
+    spark = ground.sparkSession
+    vertices = ground.select(*[F.col(c).alias(n) for c, n in zip(columns, "xyz", strict=True)]).orderBy(*"xyz")
+    write_elements(path, vertices, ["x", "y", "z"], _XYZ, spark.createDataFrame(faces, "fid long, v array<int>").orderBy("fid") if faces else None, offset=offset)
     return len(faces)

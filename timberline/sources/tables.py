@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import asdict
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timberline.model import RasterConfig
+from timberline.operators.detect import image_of
 from timberline.operators.projections import voc_to_yolo
+from timberline.sources.files import write_bytes, write_named
 
 
 def _numbered(spark: SparkSession, path: str, delimiter: str, glob: str | None = None) -> DataFrame:
@@ -107,8 +112,9 @@ def read_voc(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
 
 
 def write_yolo(labels: DataFrame, folder: str) -> None:
-    """Labels as text, one folder partition a file."""
-    labels.select("file", F.concat_ws(" ", *[F.col(c).cast("string") for c in ("class_id", "cx", "cy", "w", "h")]).alias("value")).write.mode("overwrite").partitionBy("file").text(folder)
+    """UDF15: one text file a ``file`` (its ending replaced by .txt) with a line "class cx cy w h" an object."""
+    line = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("class_id", "cx", "cy", "w", "h")])
+    write_named(labels.select(F.concat(F.regexp_replace("file", r"\.[^.]*$", ""), F.lit(".txt")).alias("name"), line.alias("at"), line.alias("value")), folder)
 
 
 def read_ppm(spark: SparkSession, path: str) -> DataFrame:
@@ -127,10 +133,44 @@ def read_ppm(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row int, col int, red int, green int, blue int")
 
 
+def ppm_bytes(image: np.ndarray) -> bytes:
+    """One uint8 image (rows, columns, 3) as a binary PPM."""
+    return f"P6 {image.shape[1]} {image.shape[0]} 255\n".encode() + np.ascontiguousarray(image, np.uint8).tobytes()
+
+
 def write_ppm(image: np.ndarray, path: str) -> None:
-    """SNK19: one uint8 image (rows, columns, 3)."""
+    """SNK19 on this machine: one image."""
     with open(path, "wb") as f:
-        f.write(f"P6 {image.shape[1]} {image.shape[0]} 255\n".encode() + np.ascontiguousarray(image, np.uint8).tobytes())
+        f.write(ppm_bytes(image))
+
+
+def write_raster(layers: DataFrame, config: RasterConfig, folder: str) -> None:
+    """SNK19: ``raster.ppm`` of one window's or cloud's layers (layer, row, col, v) and ``raster_config.json`` beside it; the grid bounds the image."""
+    spark = layers.sparkSession
+    image = image_of(layers.select("layer", "row", "col", "v").toPandas(), config)
+    write_bytes(spark, f"{folder}/raster.ppm", ppm_bytes(image))
+    write_bytes(spark, f"{folder}/raster_config.json", json.dumps(asdict(config)).encode())
+
+
+def plot_metrics(metrics: DataFrame, path: str, width: int = 640, height: int = 400) -> None:
+    """SNK22: the metrics table (epoch, name, value) drawn as one line a name into an SVG file; a row an epoch and name, so it is small."""
+    rows = metrics.where(F.col("value").isNotNull()).groupBy("name", "epoch").agg(F.avg("value").alias("value")).orderBy("name", "epoch").collect()
+    lo, hi = (min((r["value"] for r in rows), default=0.0), max((r["value"] for r in rows), default=1.0))
+    first, last = (min((r["epoch"] for r in rows), default=0), max((r["epoch"] for r in rows), default=1))
+    lines = []
+    for k, name in enumerate(sorted({r["name"] for r in rows})):
+        at = [(40 + (r["epoch"] - first) / max(1, last - first) * (width - 60), height - 30 - (r["value"] - lo) / ((hi - lo) or 1.0) * (height - 60)) for r in rows if r["name"] == name]
+        colour = f"hsl({k * 137 % 360},70%,40%)"
+        lines.append(f'<polyline fill="none" stroke="{colour}" points="{" ".join(f"{x:.1f},{y:.1f}" for x, y in at)}"/><text x="50" y="{20 + 16 * k}" fill="{colour}">{escape(name)}</text>')
+    text = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{"".join(lines)}<text x="5" y="30">{hi:.4g}</text><text x="5" y="{height - 30}">{lo:.4g}</text></svg>'
+    write_bytes(metrics.sparkSession, path, text.encode())
+
+
+def write_lists(split: DataFrame, folder: str, pattern: str = "{}.txt") -> None:
+    """UDF15: ``train.txt`` and ``test.txt`` (a file a ``part``) with one item's file name a line, in order of cloud_id."""
+    before, after = pattern.split("{}")
+    rows = split.select(F.concat("part", F.lit(".txt")).alias("name"), F.col("cloud_id").alias("at"), F.concat(F.lit(before), F.col("cloud_id").cast("string"), F.lit(after)).alias("value"))
+    write_named(rows, folder)
 
 
 def write_xyz(points: DataFrame, folder: str, delimiter: str = " ", label: str | None = None, ret: str | None = None) -> None:
