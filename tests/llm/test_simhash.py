@@ -151,17 +151,6 @@ def test_blocks_of_sets_meet(spark):
         assert {x.node: x.component for x in got.collect()} == want
 
 
-def test_hubs_are_verified_in_shares(spark):
-    base = [f"w{k}" for k in range(60)]
-    rows = [(0, " ".join(base))] + [(k, " ".join([*base[:-1], f"e{k}"]) if k % 3 else prose(k, 60)) for k in range(1, 40)]
-    docs = frame(spark, rows)
-    classes = simhash._marked(docs).select(F.col("doc").alias("node"), F.col("doc").alias("rep"), F.col("mark").alias("rep_mark"))
-    edges = spark.createDataFrame([(0, k) if k % 2 else (k, 0) for k in range(1, 40)], "u long, v long")
-    for hub in (3, 1000):
-        got = simhash.verified(docs, classes, edges, 5, 0.8, hub).collect()
-        assert sorted(max(r) for r in got) == [k for k in range(1, 40) if k % 3]
-
-
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
     rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, a), (9, b)]

@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes handled at once inside a Python worker.
-CHUNK_BYTES = 1 << 20
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of this machine only where none is set and the master is local."""
-    context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not configured and not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="timberline-"))
-    return context._jsc.sc().getCheckpointDir().get()
+from timberline.operators.graph import checkpointed as cut
+from timberline.operators.graph import connected_components, ensure_checkpoint_dir
 
+__all__ = ["CHUNK_BYTES", "Forest", "by_text_chunks", "connected_components", "cut", "documents", "ensure_checkpoint_dir", "text_chunks", "texts_of"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from those files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Text bytes handled at once inside a Python worker.
+CHUNK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,56 +96,3 @@ class Forest:
                 joined.append(at)
         self.parent = parent
         return np.array(joined, np.int64)
-
-
-#: Shares (63 at most) into which the edges of one node are dealt wherever they meet their least neighbour.
-SALTS = 32
-
-
-def _with_least(edges: DataFrame, least: Column) -> DataFrame:
-    """``edges`` (u, v) with m, the value of ``least`` over all edges of u.
-
-    The edges of a node are dealt into shares, and its minimum is sent to the
-    shares it has, so that no task reads all edges of a hub.
-    """
-    salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    smallest = salted.groupBy("u").agg(least.alias("m"), F.bit_or(F.expr("shiftleft(1L, _s)")).alias("_shares"))
-    shares = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit(F.col("_shares"), k) == 1)
-    sent = smallest.select(F.col("u").alias("_u"), "m", F.explode(shares).alias("_t"))
-    return salted.join(sent, (F.col("u") == F.col("_u")) & (F.col("_s") == F.col("_t"))).select("u", "v", "m")
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for the undirected ``edges`` (u, v); component = smallest node reachable.
-
-    Alternating large-star and small-star steps: each round is two aggregations
-    and two joins over the remaining edges, converging in O(log n) rounds.
-    Self-loops and repeated edges are allowed; null ends are dropped; no edges
-    give an empty frame. Nodes without edges are not returned.
-    """
-    current = cut(
-        edges.where(F.col("u") != F.col("v"))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = state(current)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, F.least("u", F.min("v"))).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_least(large, F.min("v")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        current = cut(small.select("e.*").where(F.col("u") != F.col("v")).distinct())
-        after = state(current)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("connected components did not converge")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import SALTS, Forest, by_text_chunks, connected_components, cut, texts_of
+from timberline.llm.common import Forest, by_text_chunks, connected_components, cut, texts_of
 
 SEED = 42
 TILE = 16384
@@ -35,8 +35,8 @@ MISSED = 1e-9
 BLOCK = 1 << 21
 #: Stands for a null doc_id and comes after all others; a document of this id counts as one without.
 NO_ID = (1 << 63) - 1
-#: Links of one document from which its side of the check on the texts is dealt into shares.
-HUB = 10_000
+#: Shares in which the classes of one component meet its least id.
+SALTS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LANE_MASK = np.uint64(0x0101010101010101)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -253,21 +253,13 @@ def _set_batch(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "hashes"])
 
 
-def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, width: int, similarity: float, hub: int = HUB) -> DataFrame:
-    """The edges (u, v) between classes whose shingle sets have at least this Jaccard similarity, computed exactly.
-
-    A class with more than ``hub`` edges on one side meets them in shares.
-    """
+def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges (u, v) between classes whose shingle sets have at least this Jaccard similarity, computed exactly."""
     edges = edges.distinct()
     nodes = edges.select(F.col("u").alias("_n")).union(edges.select("v")).distinct()
-    sets, both = _sets_of(docs, classes, nodes, width), edges
-    for c, other in ("uv", "vu"):
-        hubs = edges.groupBy(c).agg(F.count("*").alias("_links")).where(F.col("_links") > hub).select(F.col(c).alias("_hub"))
-        shares = F.when(F.col("_hub").isNotNull(), F.lit(SALTS)).otherwise(F.lit(1))
-        side = sets.join(hubs, F.col("node") == F.col("_hub"), "left")
-        side = side.select(F.col("node").alias(f"_{c}"), F.col("hashes").alias(f"h{c}"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("_t"))
-        both = both.join(hubs, F.col(c) == F.col("_hub"), "left").withColumn("_s", F.pmod(F.xxhash64(other), shares).cast("int")).drop("_hub")
-        both = both.join(side, (F.col(c) == F.col(f"_{c}")) & (F.col("_s") == F.col("_t"))).drop(f"_{c}", "_s", "_t")
+    sets = _sets_of(docs, classes, nodes, width)
+    sides = [sets.select(F.col("node").alias(f"_{c}"), F.col("hashes").alias(f"h{c}")) for c in "uv"]
+    both = edges.join(sides[0], F.col("u") == F.col("_u")).join(sides[1], F.col("v") == F.col("_v"))
     common = F.size(F.array_intersect("hu", "hv"))
     return both.where(common >= similarity * (F.size("hu") + F.size("hv") - common)).select("u", "v")
 
@@ -355,7 +347,7 @@ def joined_components(docs: DataFrame, classes: DataFrame, edges: DataFrame, tru
 
 
 def _grouped(docs: DataFrame, width: int, lanes: int, radius: int | None, similarity: float | None, distinct: bool, tile: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Fingerprints of the rows, classes (key, node, rep, rep_mark, root, component), and the columns of the key.
+    """Fingerprints of the rows, classes (key, node, rep, rep_mark, root), and the columns of the key.
 
     A class holds the rows of equal fingerprints (and set sizes); its least row
     (by doc_id, then text hash) names it. Nodes are numbered in the order of
@@ -413,12 +405,7 @@ def _grouped(docs: DataFrame, width: int, lanes: int, radius: int | None, simila
     if similarity is not None:
         moved = joined_components(docs, classes, edges, true, components, width, similarity).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
         groups = groups.join(moved, F.col("root") == F.col("_old"), "left").withColumn("root", F.coalesce("_new", "root"))
-    # a component of many classes meets its root's id in shares
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    tied = groups.where(F.col("root") != F.col("node")).select(F.col("root").alias("_tied")).distinct()
-    names = classes.join(tied, F.col("node") == F.col("_tied"), "left_semi").select(F.col("node").alias("_root"), F.col("rep").alias("_least"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    groups = groups.join(names, (F.col("root") == F.col("_root")) & (salt == F.col("_salt")), "left")
-    return prints, groups.select(*key, "node", "rep", "rep_mark", "root", F.coalesce("_least", "rep").alias("component")), key
+    return prints, groups.select(*key, "node", "rep", "rep_mark", "root"), key
 
 
 def near_duplicates(
@@ -444,7 +431,14 @@ def near_duplicates(
     empty table gives an empty frame; other columns are ignored.
     """
     prints, groups, key = _grouped(docs, width, lanes, radius, similarity, distinct, tile)
-    groups = groups.select(*[F.col(k).alias(f"k_{k}") for k in key], F.col("component").alias("component_id"))
+    groups = cut(groups)
+    # a component of many classes meets its root's id in shares
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    names = groups.where(F.col("root") == F.col("node")).select(F.col("node").alias("_root"), F.col("rep").alias("_least"), shares.alias("_salt"))
+    tied = groups.where(F.col("root") != F.col("node")).join(names, (F.col("root") == F.col("_root")) & (salt == F.col("_salt")))
+    alone = groups.where(F.col("root") == F.col("node")).select(*key, F.col("rep").alias("component_id"))
+    groups = alone.union(tied.select(*key, "_least")).select(*[F.col(k).alias(f"k_{k}") for k in key], "component_id")
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"k_{k}") for k in key])
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     out = prints.join(groups, same, "left").withColumnRenamed("doc", "doc_id")
