@@ -11,8 +11,8 @@ from timberline.operators.spatial import nearest, neighbour_cells, with_bounds
 
 
 def celled(points: DataFrame, size: float) -> DataFrame:
-    """Points with ix, iy counted from the cloud's least x and y (kept as x0, y0)."""
-    b = with_bounds(points)
+    """Points with ix, iy counted from the cloud's least x and y (kept as x0, y0); those with a null coordinate lie in no cell."""
+    b = with_bounds(points.dropna(subset=["x", "y", "z"]))
     return b.withColumns({"ix": cell(F.col("x"), F.col("x0"), size), "iy": cell(F.col("y"), F.col("y0"), size)}).drop("x1", "y1")
 
 
@@ -131,8 +131,8 @@ def export_points(points: DataFrame, size: float = 2.0) -> DataFrame:
 
 
 def running_minimum(points: DataFrame, size: float = 2.0) -> DataFrame:
-    """Least z of absolute cells (counted from 0, not from the bounds), for clouds that arrive in pieces."""
-    return points.groupBy(cell(F.col("x"), F.lit(0.0), size).alias("ix"), cell(F.col("y"), F.lit(0.0), size).alias("iy")).agg(F.min("z").alias("zmin"))
+    """Least z of absolute cells (counted from 0, not from the bounds), for clouds that arrive in pieces; null coordinates lie in no cell."""
+    return points.dropna(subset=["x", "y", "z"]).groupBy(cell(F.col("x"), F.lit(0.0), size).alias("ix"), cell(F.col("y"), F.lit(0.0), size).alias("iy")).agg(F.min("z").alias("zmin"))
 
 
 def lowest_window(points: DataFrame) -> DataFrame:

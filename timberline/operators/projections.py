@@ -34,9 +34,9 @@ def axis_index(value: Column, size: int, res: float) -> Column:
 
 
 def voxel_index(points: DataFrame, grid: tuple[int, ...], res) -> DataFrame:
-    """PRJ2: ix, iy(, iz) of points centred on the origin; what lies outside is clamped, not dropped (Q23)."""
+    """PRJ2: ix, iy(, iz) of points centred on the origin; what lies outside is clamped, not dropped (Q23), and points with a null coordinate have no voxel."""
     res = _res(res)
-    return points.withColumns({f"i{c}": axis_index(F.col(c), n, r) for c, n, r in zip("xyz", grid, res, strict=False)})
+    return points.dropna(subset=[c for c, _ in zip("xyz", grid, strict=False)]).withColumns({f"i{c}": axis_index(F.col(c), n, r) for c, n, r in zip("xyz", grid, res, strict=False)})
 
 
 def clamped_count(points: DataFrame, grid: tuple[int, int, int], res) -> DataFrame:
@@ -48,8 +48,8 @@ def clamped_count(points: DataFrame, grid: tuple[int, int, int], res) -> DataFra
 
 
 def centres(points: DataFrame, keys: list[str], grid: tuple[int, int, int], res) -> DataFrame:
-    """PRJ3: automatic centre of each cloud: mean x, mean y, and the z that puts the highest point at the grid's top."""
-    return points.groupBy(*keys).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.max("z") - grid[2] / 2.0 * _res(res)[2]).alias("cz"))
+    """PRJ3: automatic centre of each cloud: mean x, mean y, and the z that puts the highest point at the grid's top; points with a null coordinate do not count."""
+    return points.dropna(subset=["x", "y", "z"]).groupBy(*keys).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.max("z") - grid[2] / 2.0 * _res(res)[2]).alias("cz"))
 
 
 def recentred(points: DataFrame, keys: list[str], grid: tuple[int, int, int], res, centre: tuple[float, float, float] | None = None) -> DataFrame:

@@ -90,7 +90,8 @@ def max_returns(points: DataFrame, keys: list[str], grid: tuple[int, int, int],
 
 
 def flat_occupancy(points: DataFrame, keys: list[str], grid: tuple[int, int], res: float) -> DataFrame:
-    """AGG13: distinct occupied (ix, iy) around the plain mean."""
+    """AGG13: distinct occupied (ix, iy) around the plain mean; points without x or y are left out."""
+    points = points.dropna(subset=["x", "y"])
     middle = points.groupBy(*keys).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
     moved = (points.join(middle, keys) if keys else points.join(F.broadcast(middle), F.lit(True))).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")})
     return voxel_index(moved, grid, res).select(*keys, "ix", "iy").distinct()
@@ -102,7 +103,8 @@ def canopy_height(points: DataFrame, ground: DataFrame, keys: list[str], grid: t
 
 
 def downsampled(points: DataFrame, size: float = 0.05) -> DataFrame:
-    """AGG15: the centroid of each voxel's points, with the least pid."""
+    """AGG15: the centroid of each voxel's points, with the least pid; points with a null coordinate are left out."""
+    points = points.dropna(subset=["x", "y", "z"])
     cells = [F.floor(F.col(c) / size) for c in "xyz"]
     return points.groupBy(*[c.alias(f"v{n}") for n, c in zip("xyz", cells, strict=True)]).agg(F.min("pid").alias("pid"), *[F.avg(c).alias(c) for c in "xyz"]).drop("vx", "vy", "vz")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.scalar import kernel_table
-from timberline.operators import active, boxes, detect, ground, inventory, predicates, projections, segment, spatial, stems, training, voxels
+from timberline.operators import active, boxes, detect, ground, inventory, learn, predicates, projections, segment, spatial, stems, training, voxels
 from timberline.operators.graph import connected_components
 from timberline.plans import pipelines, views
 from timberline.sources import files, las, meshes, ply, tables
@@ -461,7 +461,10 @@ def _(s, d):
     return voxels.flat_occupancy(views.cloud(s, d), [], (40, 40), 1.5)
 
 
-@query("agg14_canopy_height")
+@query("agg14_canopy_height", "SELECT ix, iy, max(iz)*1.0::DOUBLE AS v FROM cv GROUP BY ix, iy", "cloud", extra=f"""{_GROUND},
+hz AS (SELECT pid, x, y, z-gz AS z FROM (SELECT c.pid, c.x, c.y, c.z, g.gz, row_number() OVER (PARTITION BY c.pid ORDER BY sqrt((g.gx-c.x)*(g.gx-c.x)+(g.gy-c.y)*(g.gy-c.y)), g.ix, g.iy) rn FROM cloud c CROSS JOIN ground g) q WHERE rn = 1),
+mid AS (SELECT avg(x) mx, avg(y) my, max(z)-20/2.0*1.5 mz FROM hz),
+cv AS (SELECT CAST(least(greatest(floor((x-mx+30.0)/1.5), 0), 39) AS INT) ix, CAST(least(greatest(floor((y-my+30.0)/1.5), 0), 39) AS INT) iy, CAST(least(greatest(floor((z-mz+15.0)/1.5), 0), 19) AS INT) iz FROM hz, mid)""")
 def _(s, d):
     c = views.cloud(s, d)
     return voxels.canopy_height(c, ground.ground_points(c), [], _CELLS, _RES).select("ix", "iy", "v")
@@ -556,12 +559,27 @@ def _(s, d):
     return voxels.rescaled(voxels.vertical_density(_vox(s, d), [], _CELLS), [], (40, 40)).select("ix", "iy", _r("v"))
 
 
-@query("agg29_equalised")
+@query("agg29_equalised", "SELECT p.ix, p.iy, round(ca.cdf+p.f*(cb.cdf-ca.cdf), 6) AS v FROM pos p JOIN cdf ca ON ca.bin = p.a JOIN cdf cb ON cb.bin = p.b", "cloud", extra=f"""{_VOX},
+img AS (SELECT ix, iy, v/20 AS v FROM col), rng AS (SELECT CASE WHEN count(*) < 1600 THEN least(min(v), 0) ELSE min(v) END lo, CASE WHEN count(*) < 1600 THEN greatest(max(v), 0) ELSE max(v) END hi, 1600-count(*) gone FROM img),
+wid AS (SELECT lo, hi, gone, (hi-lo)/256 w FROM rng),
+tally AS (SELECT CAST(least(floor((v-lo)/w), 255) AS INT) bin, count(*) n FROM img, wid GROUP BY 1 UNION ALL SELECT CAST(least(floor((0.0-lo)/w), 255) AS INT), gone FROM wid),
+cdf AS (SELECT b AS bin, sum(coalesce(n, 0)) OVER (ORDER BY b)/1600.0::DOUBLE AS cdf FROM range(256) r(b) LEFT JOIN (SELECT bin, sum(n) n FROM tally GROUP BY bin) t ON t.bin = b),
+pos AS (SELECT ix, iy, CAST(greatest(floor(spot), 0) AS INT) a, CAST(least(floor(spot)+1, 255) AS INT) b, spot-floor(spot) f FROM (SELECT ix, iy, (v-lo)/w-0.5 AS spot FROM img, wid) q)""")
 def _(s, d):
     return voxels.equalised(voxels.vertical_density(_vox(s, d), [], _CELLS), [], (40, 40)).select("ix", "iy", _r("v"))
 
 
-@query("agg30_jet")
+def _jet_sql(points: list[tuple[float, float]]) -> str:
+    """A channel of the jet map: a CASE that is linear between the corners."""
+    pieces = [f"WHEN v <= {x1}::DOUBLE THEN {y0}::DOUBLE+(v-{x0}::DOUBLE)*({(y1 - y0) / (x1 - x0)!r}::DOUBLE)" for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False)]
+    return f"round(CASE {' '.join(pieces)} ELSE {points[-1][1]} END, 6)"
+
+
+# fixed values: the corners of the colour map's ramps, as the map defines them
+_JET = {"red": [(0.0, 0.0), (0.35, 0.0), (0.66, 1.0), (0.89, 1.0), (1.0, 0.5)], "green": [(0.0, 0.0), (0.125, 0.0), (0.375, 1.0), (0.64, 1.0), (0.91, 0.0), (1.0, 0.0)], "blue": [(0.0, 0.5), (0.11, 1.0), (0.34, 1.0), (0.65, 0.0), (1.0, 0.0)]}
+
+
+@query("agg30_jet", f"SELECT ix, iy, {', '.join(f'{_jet_sql(p)} AS {c}' for c, p in _JET.items())} FROM (SELECT ix, iy, (v-lo)/(hi-lo) AS v FROM (SELECT ix, iy, v/20 AS v FROM col) c, (SELECT CASE WHEN count(*) < 1600 THEN least(min(v/20), 0) ELSE min(v/20) END lo, max(v/20) hi FROM col) r) q", "cloud", extra=_VOX)
 def _(s, d):
     return voxels.coloured(voxels.vertical_density(_vox(s, d), [], _CELLS), [], (40, 40)).select("ix", "iy", _r("red"), _r("green"), _r("blue"))
 
@@ -904,10 +922,105 @@ def _(s, d):
     return segment.segment(views.labelled(s, d).where("tree_id > 0"), (12, 12, 12), 1.0, segment.HeightRule(), passes=5, dist_threshold=1.5).withColumn("certainty", F.round("certainty", 5))
 
 
+def _latent_net(s, d):
+    """Voxels of the trees and an autoencoder fitted to them."""
+    v = projections.voxel_index(projections.recentred(views.labelled(s, d), ["tree_id"], (12, 12, 12), 1.0), (12, 12, 12), 1.0)
+    net = learn.LatentNet.random((12, 12, 12), codes=8, channels=2)
+    learn.train(training.voxel_batches(voxels.occupancy(v, ["tree_id"]), 14, "tree_id"), (12, 12, 12), net, learn.Optimiser("Adam", 5e-3), 2, files.new_folder(s, "latent"))
+    return v, net
+
+
 @query("udf9_latent_codes")
 def _(s, d):
+    v, net = _latent_net(s, d)
+    return detect.latent_codes(v, (12, 12, 12), net.encode)
+
+
+@query("udf9_reconstructed")
+def _(s, d):
+    return learn.reconstructed(*_latent_net(s, d)).withColumn("prob", F.round("prob", 5))
+
+
+def _segment_batches(s, d):
     v = projections.voxel_index(projections.recentred(views.labelled(s, d), ["tree_id"], (12, 12, 12), 1.0), (12, 12, 12), 1.0)
-    return detect.latent_codes(v, (12, 12, 12), detect.projection_encoder((12, 12, 12)))
+    return training.voxel_batches(projections.label_cubes(v, ["tree_id", "ix", "iy", "iz"]), 14, "tree_id")
+
+
+@query("udf8_train")
+def _(s, d):
+    path = files.new_folder(s, "segmenter")
+    history = learn.train(_segment_batches(s, d), (12, 12, 12), learn.Segmenter.random(channels=2), learn.Optimiser("Adam", 1e-2), 2, path)
+    for epoch, loss in history:
+        metrics = tables.append_metrics(s, f"{path}/metrics", epoch, {"train_loss": loss})
+    tables.plot_metrics(metrics, f"{path}/losses.svg")
+    return metrics.select("epoch", "name", _r("value"))
+
+
+@query("udf13_checkpoints", "SELECT CAST(l AS INT) AS layer, [250, 108, 108, 500, 750][l+1]::BIGINT AS weights, true AS same FROM range(5) t(l)")
+def _(s, d):
+    """Two epochs at once, and one after another by a checkpoint, end with the same weights."""
+    import numpy as np
+
+    path, nets = files.new_folder(s, "checkpoints"), []
+    batches = _segment_batches(s, d)
+    for resume in (None, f"{path}/0/epoch_0"):
+        nets.append(learn.Segmenter.random(channels=2, seed=len(nets)))
+        learn.train(batches, (12, 12, 12), nets[-1], learn.Optimiser("Adam", 1e-2), 2, f"{path}/{len(nets) - 1}", save_epochs=(0,), resume=resume)
+    rows = [(k, a.size, bool(np.allclose(a, b))) for k, (a, b) in enumerate(zip(*[n.weights for n in nets], strict=True))]
+    return s.createDataFrame(rows, "layer int, weights long, same boolean")
+
+
+@query("udf10_layers", """SELECT id, round(greatest(list_sum(list_transform(range(64), lambda i: code[i+1]*((i*3+5)%7-3)/10.0))+0.1, 0), 6)::DOUBLE AS dense1, round(0.5*code[1]-0.25*code[2]+0.125*code[3], 6)::DOUBLE AS conv0, round(0.5*code[63]-0.25*code[64], 6)::DOUBLE AS conv31 FROM codes""", "codes")
+def _(s, d):
+    import numpy as np
+    import pandas as pd
+
+    w = np.array([[((i * 3 + j * 5) % 7 - 3) / 10.0 for j in range(4)] for i in range(64)])
+    taps = np.array([0.5, -0.25, 0.125]).reshape(3, 1, 1)
+
+    def run(pdfs):
+        for pdf in pdfs:
+            x = np.array(pdf["code"].tolist()).reshape(-1, 64)
+            y, z = learn.activation("relu")(learn.dense(x, w, np.arange(4) / 10)), learn.conv1d(x[:, :, None], taps, np.zeros(1), 2)
+            yield pd.DataFrame({"id": pdf["id"], "dense1": y[:, 1], "conv0": z[:, 0, 0], "conv31": z[:, 31, 0]})
+
+    return views.codes(s, d).select("id", "code").mapInPandas(run, "id long, dense1 double, conv0 double, conv31 double").select("id", _r("dense1"), _r("conv0"), _r("conv31"))
+
+
+_FIRST_STEP = "SELECT method, round(0.5-step, 6) AS w FROM (SELECT avg(2*(0.5*intensity+0.1-z)*intensity) AS g FROM cloud) q, LATERAL (VALUES ('SGD', 0.01*g), ('Adam', 0.01*sqrt(1-0.999)/(1-0.9)*(0.1*g)/(sqrt(0.001*g*g)+1e-8)), ('RMS', 0.01*g/sqrt(0.9+0.1*g*g+1e-10))) m(method, step)"
+
+
+@query("udf12_optimiser_step", _FIRST_STEP, "cloud")
+def _(s, d):
+    """The first step of each method on the slope of a least-squares line."""
+    import numpy as np
+
+    miss = 0.5 * F.col("intensity") + 0.1 - F.col("z")
+    g = views.cloud(s, d).agg(F.avg(2 * miss * F.col("intensity"))).first()[0] or 0.0
+    rows = [(m, float(learn.Optimiser(m, 0.01).update([np.array([0.5])], [np.array([g])])[0][0])) for m in ("SGD", "Adam", "RMS")]
+    return s.createDataFrame(rows, "method string, w double").select("method", _r("w"))
+
+
+# ---- whole plans -------------------------------------------------------------------------------
+
+_PRESET = pipelines.Preset(2.0, 30, 20, 3.0)
+
+
+@query("plan_detect_and_report")
+def _(s, d):
+    report = pipelines.detect_and_report(views.cloud(s, d), _config(), _PRESET, detect.peak_detector(5))[2]
+    return report.select("tree_id", *[_r(c) for c in ("x", "y", "z", "height")])
+
+
+@query("plan_detect_and_segment")
+def _(s, d):
+    points, _ = pipelines.detect_and_segment(views.cloud(s, d), _config(), _PRESET, segment.HeightRule(), (24, 24, 24), 1.0, detector=detect.peak_detector(5))
+    return points.select("tree_id", "pid", "class_id", F.round("certainty", 5).alias("certainty"))
+
+
+@query("plan_extract_stems")
+def _(s, d):
+    return pipelines.extract_stems(_ring_cloud(s, d), 0.0, 2.4, 0.2, 0.01)[0].select("tree_id", "cid", *[_r(c) for c in ("x", "y", "r", "z")])
 
 
 @query("udf16_remove_ground", "SELECT c.pid FROM (SELECT pid, z, CAST(floor((x-x0)/4.0) AS INT) cx, CAST(floor((y-y0)/4.0) AS INT) cy FROM cloud, e) c JOIN grid g ON c.cx=g.cx AND c.cy=g.cy WHERE c.z > g.gz + 0.5", "cloud", extra=f"{_GROUND}, {_GRID}")
@@ -1295,15 +1408,3 @@ def _(s, d):
 
     c = asdict(_config())
     return s.createDataFrame([(k, str(v)) for k, v in c.items()], "name string, value string")
-
-
-@query("udf13_artefact", "SELECT count(*) AS n FROM range(5)")
-def _(s, d):
-    import numpy as np
-
-    path = files.new_folder(s, "model")
-    net = segment.VoxelNet.random(channels=2)
-    np.savez(f"{path}/weights.npz", *net.weights)
-    stored = np.load(f"{path}/weights.npz")
-    same = [np.array_equal(stored[f"arr_{k}"], w) for k, w in enumerate(net.weights)]
-    return s.createDataFrame([(sum(same),)], "n long")
