@@ -1,5 +1,8 @@
+import re
 from collections import Counter
 
+import pyarrow as pa
+import xxhash
 from llm_helpers import frame, prose
 
 from timberline.llm import substring
@@ -78,3 +81,57 @@ def test_awkward_rows(awkward, none):
     kept = {(r.doc_id, r.text) for r in rows}
     assert (5, "") in kept and sum(r.doc_id == 5 and r.text == "" for r in rows) == 2  # copies of 4, twice
     assert substring.without_repeats(none).count() == 0
+
+
+def brute_word_hash(word):
+    mask, (k0, k1, k2, k3, k4) = (1 << 64) - 1, map(int, substring._K)
+
+    def mix(h):
+        h = (h ^ h >> 32) * k3 & mask
+        return h ^ h >> 29
+
+    if len(word) > 24:
+        return xxhash.xxh3_64_intdigest(word)
+    h = len(word) * k4 & mask
+    for at, k in ((0, k0), (8, k1), (16, k2)):
+        h = mix(h ^ int.from_bytes(word[at : at + 8], "little") * k & mask)
+    return h
+
+
+def brute_split(text):
+    """Lists of words: sentences end after a full stop or a line break; long ones are cut after words with chosen hashes, then every 16 words."""
+    raw, words, ends = text.encode(), [], []
+    for m in re.finditer(rb"[^\t\n\x0b\x0c\r ]+", raw):
+        words.append(m[0])
+        following = re.match(rb"[\t\n\x0b\x0c\r ]*", raw[m.end() :])[0]
+        ends.append(m[0][-1:] in b".!?" or (len(m[0]) > 1 and m[0][-1:] in b"\"')]" and m[0][-2:-1] in b".!?") or b"\n" in following)
+
+    def pieces(at):
+        out = [[]]
+        for word, stop in zip(words, at, strict=True):
+            out[-1].append(word)
+            if stop:
+                out.append([])
+        return [p for p in out if p]
+
+    for bits in (7, 3, 1):
+        ends = [e for p in pieces(ends) for e in [len(p) > 16 and brute_word_hash(w) >> 17 & bits == 0 for w in p[:-1]] + [True]]
+    return [p[k : k + 16] for p in pieces(ends) for k in range(0, len(p), 16)]
+
+
+def test_splitting_equals_brute_force():
+    texts = [prose(s, n) for s, n in ((1, 300), (2, 17), (3, 16))] + [prose(4, 400).replace(".", ""), "a.\n\nb 'c.' d\te! " * 9, "same " * 50 + "end", "x" * 30 + " " + "y" * 25 + " z", "(Yes.) No", "中文 é。 句子 " * 20, ".", "\"'", "a\n" * 40]
+    for text in texts:
+        raw = text.encode()
+        assert [raw[a:b].split() for a, b, _, _ in cut(text)] == brute_split(text), text
+        assert [w for _, _, w, _ in cut(text)] == [len(p) for p in brute_split(text)]
+
+
+def test_runs_that_share_one_hash_are_told_apart(spark, monkeypatch):
+    """The second hash alone keeps different runs apart if the first one fails."""
+    whole = substring.runs
+    monkeypatch.setattr(substring, "runs", lambda s: (lambda f, n, h, c: (f, n, h * 0, c))(*whole(s)))
+    rows = [(k, prose(k // 2, 60)) for k in range(20)]
+    batches = [r for r in substring._run_rows(iter([pa.RecordBatch.from_pydict({"doc": [i for i, _ in rows], "mark": [i for i, _ in rows], "text": [t for _, t in rows]})]))]
+    known = pa.Table.from_batches(batches).to_pandas().query("known")
+    assert sorted(known["doc"].unique()) == list(range(1, 20, 2))

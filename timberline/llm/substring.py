@@ -3,7 +3,8 @@
 A text is cut into sentences; the shortest runs of at least ``MIN_SENTENCES``
 sentences and ``MIN_WORDS`` words that begin and that end at every sentence are
 hashed, so that the runs inside a passage cover it to both its ends.
-Runs are joined over the whole corpus by their hash; the first place of a run
+Runs are joined over the whole corpus by 88 bits of two hashes, so that chance
+collisions stay away from a corpus of 10^12 runs; the first place of a run
 (least doc_id, then text hash, then position) keeps it, and the sentences that
 any later place of it covers are removed.
 
@@ -114,8 +115,11 @@ def split(texts: list[bytes]) -> Sentences:
     return Sentences(of, begin, end, sizes, np.add.reduceat(_mix(h + place.astype(np.uint64) * _K[0]), first))
 
 
-def runs(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, number of sentences, hash) of the shortest long enough runs that begin or end at each sentence."""
+def runs(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, number of sentences, hash, 24 bits of another) of the shortest long enough runs that begin or end at each sentence.
+
+    A run has at most ``MIN_WORDS`` sentences, as each has a word.
+    """
     n = len(s.doc)
     total, place = np.cumsum(s.words), np.arange(n)
     before = total - s.words
@@ -126,11 +130,13 @@ def runs(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, last = (spans // n, spans % n) if n else (spans, spans)
     whole = s.doc[first] == s.doc[last]
     first, size = first[whole], (last - first + 1)[whole]
-    h = np.zeros(len(first), np.uint64)
+    h, check = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
     for k in range(int(size.max()) if len(size) else 0):
         live = size > k
-        h[live] = _mix((h[live] + _K[2]) * _K[1] ^ s.hash[first[live] + k])
-    return first, size, h
+        one = s.hash[first[live] + k]
+        h[live] = _mix((h[live] + _K[2]) * _K[1] ^ one)
+        check[live] = _mix((check[live] ^ (one * _K[4])) * _K[0] + _K[3])
+    return first, size, h, (check >> np.uint64(40)).astype(np.int64)
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +144,11 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
-        h, doc, mark, at, size = (np.concatenate(c) for c in zip(*held, strict=True))
+        h, check, doc, mark, at, size = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((at, mark, doc, h))
-        sh, sd, sm, sa = h[order], doc[order], mark[order], at[order]
-        new = np.append(True, sh[1:] != sh[:-1])
+        order = np.lexsort((at, mark, doc, check, h))
+        sh, sc, sd, sm, sa = h[order], check[order], doc[order], mark[order], at[order]
+        new = np.append(True, (sh[1:] != sh[:-1]) | (sc[1:] != sc[:-1]))
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         first = np.empty(len(h), bool)
         first[order] = (sd == sd[head]) & (sm == sm[head]) & (sa == sa[head])  # repeated rows are one text
@@ -158,17 +164,17 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, m, a = d[begin], m[begin], a[begin]
         key = np.concatenate([h[first].view(np.int64), d * 1_000_003 ^ m])
         known = np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(d), bool)])
-        columns = [key, known, np.concatenate([doc[first], d]), np.concatenate([mark[first], m]), np.concatenate([at[first] << 32 | size[first], a << 32 | length])]
+        columns = [key, known, np.concatenate([doc[first], d]), np.concatenate([mark[first], m]), np.concatenate([at[first] << 32 | check[first] << 8 | size[first], a << 32 | length])]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "known", "doc", "mark", "run"])
 
     count = 0
     for batch in batches:
         for part in text_chunks(batch):
             s = split([t.encode("utf-8", "surrogatepass") for t in texts_of(part)])
-            first, size, h = runs(s)
+            first, size, h, check = runs(s)
             of = s.doc[first]
             offset = np.searchsorted(s.doc, of)  # the text's first sentence
-            held.append((h, part.column("doc").to_numpy()[of], part.column("mark").to_numpy()[of], first - offset, size))
+            held.append((h, check, part.column("doc").to_numpy()[of], part.column("mark").to_numpy()[of], first - offset, size))
             count += len(first)
             if count >= HELD_RUNS:
                 yield flush()
@@ -185,9 +191,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     the shuffle once a partition at most, however many documents share it.
     """
     rows = docs.select("doc", "mark", "text").mapInArrow(_run_rows, "key long, known boolean, doc long, mark long, run long")
-    place = F.struct("doc", "mark", "run")
-    first = F.min(place).over(Window.partitionBy("key", "known"))
-    return rows.withColumn("first", first).where(F.col("known") | (place != F.col("first"))).select("doc", "mark", "run")
+    # runs that are not known repeats hold 24 bits of the check between their first sentence (32) and their size (8)
+    place, check = F.struct("doc", "mark", "run"), F.when(F.col("known"), F.lit(0)).otherwise(F.shiftright("run", 8).bitwiseAND((1 << 24) - 1))
+    first = F.min(place).over(Window.partitionBy("key", "known", "check"))
+    found = rows.withColumn("check", check.cast("int")).withColumn("first", first).where(F.col("known") | (place != F.col("first")))
+    sized = F.col("run").bitwiseAND(F.lit(~0xFFFFFFFF)).bitwiseOR(F.col("run").bitwiseAND(0xFF))
+    return found.select("doc", "mark", F.when(F.col("known"), F.col("run")).otherwise(sized).alias("run"))
 
 
 def _covered(text: str, hits: list[int]) -> tuple[str, int]:
