@@ -49,12 +49,12 @@ def components(n, pairs):
     return root
 
 
-@pytest.mark.parametrize("tile", [40, 8192])
-def test_query_equals_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "cells"), [(40, 1024), (15, 5), (8192, 1024)])
+def test_query_equals_brute_force(spark, tile, cells):
     x = data(3)
     x[200:220] = x[200]
     rows = [(i, v.tolist(), 0, "clash") for i, v in enumerate(x)]
-    got = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep string"), tile=tile).collect()
+    got = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep string"), tile=tile, cells=cells).collect()
     links, root = brute(x), components(len(x), brute(x))
     n = np.zeros(len(x), int)
     for i, j in links:
@@ -72,3 +72,36 @@ def test_awkward_vectors(spark):
     assert all(by[k].n_links == 0 and by[k].component_id == k and by[k].kept for k in (0, 1, 2, 3, 4, 5, 8, 10))
     assert by[6].n_links == 4 and by[7].component_id == by[9].component_id == by[None].component_id == 6
     assert covertree.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_vectors_without_an_id_link_others(spark):
+    a, b, c = [1.0, 0.0], [0.97, 0.243], [0.88, 0.475]  # a and c are linked through b only
+    assert brute(np.array([a, b, c])) == {(0, 1), (1, 2)}
+    rows = [(7, a), (None, b), (3, c), (3, [0.0, 1.0]), (9, [0.0, 2.0])]
+    got = {(r.vec_id, r.n_links): (r.component_id, r.kept) for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(7, 1): (3, False), (None, 2): (3, False), (3, 1): (3, True), (9, 1): (3, False)}
+
+
+def clusters(n=40, each=30, d=24, seed=5):
+    r = np.random.default_rng(seed)
+    return np.vstack([c + r.normal(size=(each, d)) * 0.03 for c in r.normal(size=(n, d))])
+
+
+def test_cells_that_cannot_meet_are_not_paired(spark):
+    x = clusters()
+    frame = spark.createDataFrame([(k, v.tolist(), 1, len(v)) for k, v in enumerate(x)], "node long, vector array<double>, copies long, dims int")
+    reach = math.sqrt(2 - 2 * 0.95)
+    placed, pairs = covertree._with_cells(frame, 30, 1024, reach)
+    rows, n = placed.collect(), placed.select("cell").distinct().count()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    meet = {(r.a, r.b) for r in pairs.collect()}
+    assert n > 20 and len(meet) < n * (n + 1) / 2 / 4  # most pairs are ruled out
+    cell = {r.node: r.cell for r in rows}
+    assert all((min(cell[i], cell[j]), max(cell[i], cell[j])) in meet for i, j in brute(u))
+
+
+def test_centres_cover_the_sample():
+    x = clusters(seed=6)
+    for cells in (1, 7, 64):
+        c = covertree.top_centres(x, cells)
+        assert 1 <= len(c) <= cells and np.allclose(np.linalg.norm(c, axis=1), 1)

@@ -1,19 +1,23 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
-Equal vectors are one class. Classes are dealt by hash into tiles of bounded
-size; each tile gets a cover tree over its unit vectors: nested levels whose
-radii halve, every node with the true covering radius of what lies below it.
-Every pair of tiles is one task that walks both trees at once: a pair of nodes
-is dropped when their centres are farther apart than the link distance plus
-both covering radii, taken whole when even the farthest points must link, and
-opened otherwise; what remains is tested by the cosine itself.
-
-Dealing by hash spreads a dense cluster over all tiles, and whole pairs of
-nodes are counted, not listed, so a cluster of k alike vectors sends O(k) rows.
+Equal vectors are one class. The top levels of one cover tree over a bounded
+sample give the centres of cells; every class goes to its nearest centre, and a
+cell's covering radius is that of all its classes. Cells are cut by hash into
+tiles of bounded size, which spreads a dense cluster; each tile gets a cover tree
+over its unit vectors: nested levels whose radii halve, every node with the true
+covering radius of what lies below it. Two tiles are one task if the covering
+balls of their cells can meet within the link distance; it walks both trees at
+once: a pair of nodes is dropped when their centres are farther apart than the
+link distance plus both covering radii, taken whole when even the farthest
+points must link, and opened otherwise; what remains is tested by the cosine itself.
+
+Whole pairs of nodes are counted, not listed, so a cluster of k alike vectors
+sends O(k) rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import struct
 from collections.abc import Iterator
@@ -25,7 +29,11 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import Forest, connected_components, cut
 
-TILE = 8192
+TILE = 16384
+#: Classes in the sample whose cover tree gives the cells, and cells, at most.
+SAMPLE, CELLS = 8192, 1024
+#: Bytes of that sample at most.
+SAMPLE_BYTES = 32 << 20
 LEAF = 16
 SPARSE = 4
 #: Room for rounding in distance bounds; the final test is the cosine's.
@@ -33,6 +41,7 @@ SLACK = 1e-6
 #: The same for dot products in single precision.
 ROOM = 1e-4
 _BLOCK = 1024
+_SALTS = 16
 
 
 class CoverTree:
@@ -96,13 +105,15 @@ class CoverTree:
 
     def pack(self) -> bytes:
         nodes = np.column_stack([self.centre, self.first, self.last, self.child_at, self.child_to])
-        head = struct.pack("<3q", *self.x.shape, len(nodes))
-        return b"".join((head, self.x.tobytes(), self.order.tobytes(), nodes.tobytes(), self.radius.tobytes()))
+        single = self.x.astype(np.float32)
+        narrow = bool((single == self.x).all())  # vectors that come in single precision go in it
+        head = struct.pack("<4q", *self.x.shape, len(nodes), narrow)
+        return b"".join((head, (single if narrow else self.x).tobytes(), self.order.astype(np.int32).tobytes(), nodes.astype(np.int32).tobytes(), self.radius.tobytes()))
 
     @classmethod
     def unpack(cls, blob: bytes) -> CoverTree:
-        n, d, k = struct.unpack_from("<3q", blob)
-        tree, at = cls.__new__(cls), 24
+        n, d, k, narrow = struct.unpack_from("<4q", blob)
+        tree, at = cls.__new__(cls), 32
 
         def take(kind, count: int) -> np.ndarray:
             nonlocal at
@@ -110,9 +121,9 @@ class CoverTree:
             at += out.nbytes
             return out
 
-        tree.x = take(np.float64, n * d).reshape(n, d)
-        tree.order = take(np.int64, n)
-        nodes = take(np.int64, 5 * k).reshape(k, 5)
+        tree.x = take(np.float32 if narrow else np.float64, n * d).reshape(n, d).astype(np.float64)
+        tree.order = take(np.int32, n).astype(np.int64)
+        nodes = take(np.int32, 5 * k).reshape(k, 5).astype(np.int64)
         tree.centre, tree.first, tree.last, tree.child_at, tree.child_to = nodes.T
         tree.radius = take(np.float64, k)
         scale = np.abs(tree.x).max(1) if n else np.empty(0)
@@ -209,13 +220,73 @@ def dual_traversal(a: CoverTree, b: CoverTree, cosine: float, link, link_all) ->
 
 def _build(pdf: pd.DataFrame, tight: float) -> pd.DataFrame:
     tree = CoverTree(np.array(pdf["vector"].tolist(), np.float64), tight)
-    ids = pdf[["rep", "copies"]].to_numpy(np.int64).tobytes()
-    return pd.DataFrame({"dims": pdf["dims"].iloc[:1], "tile": pdf["tile"].iloc[:1], "tree": [tree.pack()], "ids": [ids]})
+    ids = pdf[["node", "copies"]].to_numpy(np.int64).tobytes()
+    return pd.DataFrame({"dims": pdf["dims"].iloc[:1], "cell": pdf["cell"].iloc[:1], "part": pdf["part"].iloc[:1], "tree": [tree.pack()], "ids": [ids]})
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    scale = np.abs(x).max(1)[:, None]
+    x = x / scale
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def top_centres(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Unit centres of at most ``cells`` nodes that cover the sample: of the cover tree's nodes the widest is opened until they are enough."""
+    tree = CoverTree(sample)
+    front, done = [(-float(tree.radius[0]), 0)], []
+    while front and len(front) + len(done) < cells:
+        _, k = heapq.heappop(front)
+        below = range(int(tree.child_at[k]), int(tree.child_to[k]))
+        if len(below) == 0:
+            done.append(k)
+        elif len(front) + len(done) + len(below) > cells:
+            done.append(k)
+        else:
+            for c in below:
+                heapq.heappush(front, (-float(tree.radius[c]), c))
+    return tree.unit[tree.centre[sorted([*done, *[k for _, k in front]])]]
+
+
+def _with_cells(classes: DataFrame, tile: int, cells: int, reach: float) -> tuple[DataFrame, DataFrame]:
+    """``classes`` with cell and away (the distance from its centre), and the pairs (dims, a, b) of cells whose covering balls can meet."""
+    spark = classes.sparkSession
+    counts = {r["dims"]: r["count"] for r in classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(16).collect()}
+    centres = {}
+    for d, n in counts.items():
+        if n > tile:  # shorter tables and rarer lengths are one cell
+            size = min(SAMPLE, max(2, SAMPLE_BYTES // (8 * d)))
+            rows = classes.where(F.col("dims") == d).orderBy(F.xxhash64("vector", F.lit(1))).limit(size).select("vector").toArrow().column("vector").combine_chunks()
+            centres[d] = top_centres(rows.flatten().to_numpy().reshape(-1, d), min(cells, max(2, 2 * n // tile)))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cell, away = np.zeros(len(pdf), np.int32), np.full(len(pdf), 2.0)
+            for d, c in centres.items():
+                mine = np.flatnonzero(pdf["dims"].to_numpy() == d)
+                for s in range(0, len(mine), _BLOCK):
+                    at = mine[s : s + _BLOCK]
+                    dots = _unit(np.array(pdf["vector"].iloc[at].tolist(), np.float64)) @ c.T
+                    cell[at] = dots.argmax(1)
+                    away[at] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots.max(1)))
+            yield pdf.assign(cell=cell, away=away)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
+    placed = cut(classes.mapInPandas(place, f"{schema}, cell int, away double"))
+    radius = {(r["dims"], r["cell"]): r["radius"] for r in placed.where(F.col("dims").isin(list(centres))).groupBy("dims", "cell").agg(F.max("away").alias("radius")).collect()}  # CELLS rows a length at most
+    pairs = []
+    for d, c in centres.items():
+        used = sorted(k for n, k in radius if n == d)
+        r, u = np.array([radius[d, k] for k in used]), c[used]
+        apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ u.T)))
+        i, j = np.nonzero(np.triu(apart <= reach + r[:, None] + r[None, :] + SLACK))
+        pairs += [(d, used[p], used[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+    rest = placed.where(~F.col("dims").isin(list(centres))).select("dims", F.lit(0).alias("a"), F.lit(0).alias("b")).distinct()
+    return placed, spark.createDataFrame(pairs, "dims int, a int, b int").union(rest)  # half of CELLS squared at most
 
 
 def _compare(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links of one pair of tiles: (rep, links, root) of every class that has any, root being the least class it is tied to here."""
-    pdf = pdf.sort_values("tile")
+    """Links of one pair of tiles: (node, links, root) of every class that has any, root being the least class it is tied to here."""
+    pdf = pdf.sort_values("side")
     trees = [CoverTree.unpack(t) for t in pdf["tree"]]
     ids = [np.frombuffer(i, np.int64).reshape(-1, 2) for i in pdf["ids"]]
     same = len(trees) == 1
@@ -245,18 +316,19 @@ def _compare(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
     dual_traversal(a, b, cosine, link, link_all)
     root = rep[order[forest.roots()[place]]]
     has = links > 0
-    return pd.DataFrame({"rep": rep[has], "links": links[has], "root": root[has]})
+    return pd.DataFrame({"node": rep[has], "links": links[has], "root": root[has]})
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, tile: int = TILE) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, tile: int = TILE, cells: int = CELLS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``embeddings`` (vec_id, embedding, anything else).
 
     Two vectors of the same length are linked if their cosine, in double
     precision, is at least ``cosine``. Null, empty and zero vectors and those
     with null or non-finite components link with nothing. Repeated vectors are
-    linked with each other; rows with a repeated vec_id count as rows. A null
-    vec_id stays null; its component is that of its vector's class. An empty
-    table gives an empty frame.
+    linked with each other; rows with a repeated vec_id count as rows, and
+    different vectors under one vec_id are not tied by it. A null vec_id stays
+    null; its vector links like others and its component is the least id
+    reachable (null if there is none). An empty table gives an empty frame.
     """
     if not 0.5 <= cosine <= 1:
         raise ValueError("cosine must lie in [0.5, 1]")
@@ -267,24 +339,34 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, tile: int = TIL
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).withColumn("fit", F.coalesce(F.col("vector").isNotNull() & fit, F.lit(False)))
     keyed = rows.select("vec_id", F.when(F.col("fit"), F.col("vector")).alias("vector"))
     classes = keyed.where(F.col("vector").isNotNull()).groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = cut(classes.withColumn("dims", F.size("vector")))
-    most = classes.groupBy("dims").count().agg(F.max("count")).first()[0] or 0
-    tiles = max(1, -(-most // tile))
-    usable = classes.where(F.col("rep").isNotNull())
-    dealt = usable.withColumn("tile", F.pmod(F.xxhash64("vector"), F.lit(tiles)).cast("int")).select("dims", "tile", "vector", "rep", "copies")
-    trees = cut(dealt.groupBy("dims", "tile").applyInPandas(lambda pdf: _build(pdf, reach), "dims int, tile int, tree binary, ids binary"))
-    sides = trees.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    sides = sides.select("*", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")).drop("other")
-    # a partner that does not exist leaves one side: compared with itself only in the group of its own
-    found = sides.groupBy("dims", "a", "b").applyInPandas(lambda key, pdf: _compare_group(key, pdf, cosine), "rep long, links long, root long")
+    # numbered in the order of their ids, so the least node of a component has the least id
+    classes = classes.withColumn("dims", F.size("vector")).orderBy(F.col("rep").asc_nulls_last(), F.xxhash64("vector"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    placed, pairs = _with_cells(classes, tile, cells, reach)
+    parts = placed.groupBy("dims", "cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("parts"))
+    dealt = placed.join(parts, ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int"))
+    trees = cut(dealt.select("dims", "cell", "part", "vector", "node", "copies").groupBy("dims", "cell", "part").applyInPandas(lambda pdf: _build(pdf, reach), "dims int, cell int, part int, tree binary, ids binary"))
+    # every tile on the first side of its cell's pairs and on the second; a pair of tiles is told by cell and part of both
+    sized = parts.select("dims", F.col("cell").alias("_c"), "parts")
+    plan = pairs.join(sized.withColumnsRenamed({"_c": "a", "parts": "na"}), ["dims", "a"]).join(sized.withColumnsRenamed({"_c": "b", "parts": "nb"}), ["dims", "b"])
+    plan = plan.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    plan = plan.where((F.col("a") < F.col("b")) | (F.col("pa") <= F.col("pb"))).select("dims", "a", "pa", "b", "pb")
+    ends = F.when((F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    sides = plan.withColumn("side", F.explode(ends)).withColumns({"cell": F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")), "part": F.when(F.col("side") == 0, F.col("pa")).otherwise(F.col("pb"))})
+    sides = sides.join(trees, ["dims", "cell", "part"]).select("dims", "a", "pa", "b", "pb", "side", "tree", "ids")
+    # a tile to which the hash gave nothing leaves one side: compared with itself only in the group of its own
+    found = sides.groupBy("dims", "a", "pa", "b", "pb").applyInPandas(lambda key, pdf: _compare_group(key, pdf, cosine), "node long, links long, root long")
     found = cut(found)
-    totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    info = (
-        classes.join(totals, "rep", "left")
-        .join(components, F.col("rep") == F.col("node"), "left")
-        .select(F.col("vector").alias("_vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    totals = found.groupBy(F.col("node").alias("_n")).agg(F.sum("links").alias("links"))
+    components = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("_m"), "component")
+    named = classes.join(totals, F.col("node") == F.col("_n"), "left").join(components, F.col("node") == F.col("_m"), "left")
+    named = cut(named.select("vector", "rep", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("root")))
+    # a component of many classes meets its least id in shares
+    salt, shares = F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    heads = named.where(F.col("root") == F.col("node"))
+    names = heads.select(F.col("node").alias("_root"), F.col("rep").alias("_least"), shares.alias("_salt"))
+    tied = named.where(F.col("root") != F.col("node")).join(names, (F.col("root") == F.col("_root")) & (salt == F.col("_salt")))
+    info = heads.select("vector", "n_links", F.col("rep").alias("component_id")).union(tied.select("vector", "n_links", "_least")).withColumnRenamed("vector", "_vector")
     out = keyed.join(info, F.col("vector") == F.col("_vector"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
@@ -293,8 +375,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, tile: int = TIL
 
 
 def _compare_group(key: tuple, pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    if len(pdf) == 1 and key[1] != key[2]:
-        return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+    if len(pdf) == 1 and key[1:3] != key[3:5]:
+        return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
     return _compare(pdf, cosine)
 
 
