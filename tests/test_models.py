@@ -167,3 +167,21 @@ def test_pure_functions():
     assert learning_rate(25, 1.0, 10, 0.5) == 0.25 and learning_rate(10, 1.0, bounds=[10], values=[0.1]) == 1.0
     with pytest.raises(ValueError):
         conv_output_shape(1, 1, "x", 1)
+
+
+def test_large_pools_are_treated_like_small_ones(spark, monkeypatch):
+    p, codes, _ = pool(spark, 40)
+    labelled = p.where("id % 9 = 0").withColumn("label", (F.col("id") % 2).cast("int"))
+
+    def results():
+        medoids = sorted(r.id for r in active.medoid_ids(p, 4, 6).collect())
+        restarted = sorted(tuple(r) for r in active.medoid_ids_restarted(p, 3, 4, 2).collect())
+        batch = sorted(tuple(r) for r in active.select_batch(p, 3, labelled, exact_limit=0).collect())
+        return medoids, [i for i, _ in restarted], restarted[0][1], [i for i, _, _ in batch], batch[0][1]
+
+    monkeypatch.setattr(active, "BLOCK", 16)
+    small = results()
+    monkeypatch.setattr(active, "LOCAL", 5)
+    large = results()
+    assert small[0] == large[0] and small[1] == large[1] and small[3] == large[3]
+    assert small[2] == pytest.approx(large[2]) and small[4] == pytest.approx(large[4])

@@ -14,6 +14,8 @@ from timberline.operators.graph import checkpointed
 
 #: Codes in one block of the pairwise distances.
 BLOCK = 512
+#: Codes of a pool that is clustered or searched in one place; larger ones are in blocks over the cluster.
+LOCAL = 20_000
 
 
 def random_ids(pool: DataFrame, budget: int, seed: int = 0) -> DataFrame:
@@ -101,27 +103,29 @@ def frontier(unlabelled: DataFrame, labelled: DataFrame, k: int = 5) -> DataFram
     return near.groupBy("id").agg((F.max("count") / k).alias("frontier"))
 
 
-def _matrix(pool: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, codes and probabilities of a pool of annotation candidates (checked to be small) on the driver."""
-    rows = pool.select("id", "code", "prob").orderBy("id").limit(20_001).collect()
-    if len(rows) > 20_000:
-        raise ValueError("k-medoids and exact selection take pools of 20,000 at most; select a pool first")
+def _matrix(pool: DataFrame, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """ids, codes, probabilities and a random order of a pool of at most ``LOCAL`` candidates on the driver; None for larger ones. Null codes are no candidates."""
+    rows = pool.where(F.col("code").isNotNull()).select("id", "code", "prob", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("id").limit(LOCAL + 1).collect()
+    if len(rows) > LOCAL:
+        return None
     width = len(rows[0]["code"]) if rows else 0
-    return np.array([r["id"] for r in rows], np.int64), np.array([r["code"] for r in rows], float).reshape(len(rows), width), np.array([r["prob"] for r in rows], float)
+    codes = np.array([r["code"] for r in rows], float).reshape(len(rows), width)
+    return np.array([r["id"] for r in rows], np.int64), codes, np.array([r["prob"] for r in rows], float), np.argsort([r["h"] for r in rows], kind="stable")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T))
 
 
-def k_medoids(codes: np.ndarray, probs: np.ndarray, budget: int, rounds: int = 100, power: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+def k_medoids(codes: np.ndarray, probs: np.ndarray, budget: int, rounds: int = 100, power: float = 1.0, seed: int = 0, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """AL5 on matrices: (medoids, assignment, cost summed over all rounds); a medoid minimises the distances weighted by uncertainty."""
     n, weight = len(codes), (1 - probs) ** power
     if not n:
         return np.empty(0, int), np.empty(0, int), 0.0
     dist = _distances(codes, codes)
     np.fill_diagonal(dist, 0)
-    medoids, total = np.sort(np.random.default_rng(seed).permutation(n)[:budget]), 0.0
+    start = np.random.default_rng(seed).permutation(n) if start is None else start
+    medoids, total = np.sort(start[:budget]), 0.0
     assign = np.zeros(n, int)
     for _ in range(rounds):
         assign = dist[medoids].argmin(0)
@@ -138,26 +142,87 @@ def k_medoids(codes: np.ndarray, probs: np.ndarray, budget: int, rounds: int = 1
     return medoids, assign, total
 
 
+def _far_medoids(pool: DataFrame, budget: int, rounds: int, power: float, seed: int) -> tuple[list[int], float]:
+    """AL5 for pools of any size: (medoid ids, cost summed over all rounds).
+
+    Each round assigns every code to its nearest medoid (``budget`` of them are
+    held), and blocks of a cluster meet blocks of it for the costs.
+    """
+    data = checkpointed(pool.where(F.col("code").isNotNull()).select("id", "code", F.pow(1 - F.col("prob"), F.lit(float(power))).alias("weight")))
+    order = F.xxhash64(F.lit(seed), "id")
+    medoids = sorted((r["id"], r["code"]) for r in data.orderBy(order, "id").limit(budget).select("id", "code").collect())
+    total = 0.0
+    for turn in range(rounds):
+        centres = np.array([c for _, c in medoids], float)
+
+        def assign(batches, centres=centres):
+            for pdf in batches:
+                yield pdf.assign(cluster=_distances(np.array(pdf["code"].tolist(), float), centres).argmin(1))
+
+        def costs(batches):
+            for pdf in batches:
+                for cluster, rows, them in zip(pdf["cluster"], pdf["rows"], pdf["them"], strict=True):
+                    a, b = (np.array([r["code"] for r in side], float) for side in (rows, them))
+                    d = _distances(a, b)
+                    ids, others = (np.array([r["id"] for r in side]) for side in (rows, them))
+                    d[ids[:, None] == others[None, :]] = 0.0
+                    yield pd.DataFrame({"cluster": cluster, "id": ids, "cost": d @ np.array([r["weight"] for r in them], float)})
+
+        placed = checkpointed(data.mapInPandas(assign, "id long, code array<double>, weight double, cluster long"))
+        blocks = placed.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+        packed = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        packed = checkpointed(packed.groupBy("cluster", "blocks", "block").agg(F.collect_list(F.struct("id", "code", "weight")).alias("rows")))
+        sent = packed.select("cluster", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        met = sent.join(packed.select("cluster", "block", F.col("rows").alias("them")), ["cluster", "block"]).select("cluster", "rows", "them")
+        each = met.mapInPandas(costs, "cluster long, id long, cost double").groupBy("cluster", "id").agg(F.sum("cost").alias("cost"))
+        best = each.groupBy("cluster").agg(F.min(F.struct("cost", "id")).alias("b")).select("cluster", "b.*")
+        found = best.join(data.select("id", "code"), "id").collect()  # ``budget`` rows at most
+        now = {r["cluster"]: (r["id"], r["code"]) for r in found}
+        after = sorted({i: c for i, c in (now.get(k, m) for k, m in enumerate(medoids))}.items())
+        paid = sum(r["cost"] for r in found)
+        if [i for i, _ in after] == [i for i, _ in medoids]:  # nothing moves any more
+            total += paid * (rounds - turn)
+            break
+        total, medoids = total + paid, after
+    return [i for i, _ in medoids], total
+
+
+def _medoids(pool: DataFrame, budget: int, rounds: int, power: float, seed: int) -> tuple[list[int], float]:
+    held = _matrix(pool, seed)
+    if held is None:
+        return _far_medoids(pool, budget, rounds, power, seed)
+    ids, codes, probs, order = held
+    medoids, _, cost = k_medoids(codes, probs, budget, rounds, power, start=order)
+    return ids[medoids].tolist(), cost
+
+
 def medoid_ids(pool: DataFrame, budget: int, rounds: int = 100, power: float = 1.0, seed: int = 0) -> DataFrame:
-    """AL5: the ids of k medoids; an empty pool gives none, one of over 20,000 codes is refused."""
-    ids, codes, probs = _matrix(pool)
-    return pool.sparkSession.createDataFrame([(int(ids[m]),) for m in k_medoids(codes, probs, budget, rounds, power, seed)[0]], "id long")
+    """AL5: the ids of k medoids. Pools of up to ``LOCAL`` codes are clustered on the driver, larger ones in blocks, with the same start and steps; an empty pool gives none."""
+    return pool.sparkSession.createDataFrame([(int(i),) for i in _medoids(pool, budget, rounds, power, seed)[0]], "id long")
 
 
 def medoid_ids_restarted(pool: DataFrame, budget: int, rounds: int = 100, repeats: int = 20, power: float = 1.0, seed: int = 0) -> DataFrame:
-    """AL6: the medoids of the cheapest of several starts, which run in parallel; pools as in AL5."""
-    spark = pool.sparkSession
-    sent = spark.sparkContext.broadcast(_matrix(pool))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, codes, probs = sent.value
-        start = int(pdf["start"].iloc[0])
-        medoids, _, cost = k_medoids(codes, probs, budget, rounds, power, seed + start)
-        return pd.DataFrame({"start": start, "cost": cost, "id": ids[medoids]})
+    """AL6: the medoids of the cheapest of several starts (the first of equal ones), with its cost; small pools' starts run in parallel, large pools' rounds do."""
+    spark, schema = pool.sparkSession, "id long, cost double"
+    held = _matrix(pool)
+    if held is None:
+        runs = [_far_medoids(pool, budget, rounds, power, seed + k) for k in range(repeats)]
+        ids, cost = min(runs, key=lambda r: r[1])
+        return spark.createDataFrame([(int(i), float(cost)) for i in ids], schema)
+    sent = spark.sparkContext.broadcast(held[:3])
+    orders = pool.where(F.col("code").isNotNull()).select("id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("start"))
+    orders = orders.groupBy("start").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.col("start") + seed, "id").alias("h"), "id"))), 1, budget), lambda x: x["id"]).alias("first"))
+
+    def run(batches):
+        for pdf in batches:
+            ids, codes, probs = sent.value
+            for start, first in zip(pdf["start"], pdf["first"], strict=True):
+                medoids, _, cost = k_medoids(codes, probs, budget, rounds, power, start=np.searchsorted(ids, np.array(first)))
+                yield pd.DataFrame({"start": start, "cost": cost, "id": ids[medoids]})
 
-    starts = spark.range(repeats).select(F.col("id").alias("start")).groupBy("start").applyInPandas(run, "start long, cost double, id long").persist()
+    starts = checkpointed(orders.repartition(repeats, "start").mapInPandas(run, "start int, cost double, id long"))
     best = starts.agg(F.min(F.struct("cost", "start")).alias("b")).select("b.start")
-    return starts.join(F.broadcast(best), "start").select("id", "cost")
+    return starts.join(F.broadcast(best), "start").select("id", "cost")  # one row
 
 
 def cluster_exemplars(pool: DataFrame, budget: int, seed: int = 0) -> DataFrame:
@@ -186,17 +251,63 @@ def batch_value(dist: np.ndarray, cost: np.ndarray, chosen: tuple[int, ...], alp
     return (alpha * dist[np.ix_(c, c)].sum() / 2 / pairs if pairs else 0.0) - float(cost[c].mean())
 
 
+def _exchanged(pool: DataFrame, scored: DataFrame, budget: int, alpha: float) -> tuple[list[int], float]:
+    """AL8 for pools of any size: the least costly choice, improved by exchanges; ``budget`` codes are held and each exchange is one pass."""
+    rows = checkpointed(pool.select("id", "code").join(scored, "id"))
+    best = [(r["id"], r["code"], r["cost"]) for r in rows.orderBy("cost", "id").limit(budget).collect()]
+    budget = len(best)
+    pairs = budget * (budget - 1) / 2 or 1
+
+    def value(chosen: list) -> float:
+        codes = np.array([c for _, c, _ in chosen], float)
+        return (alpha * _distances(codes, codes)[np.triu_indices(len(codes), 1)].sum() / pairs if budget > 1 else 0.0) - float(np.mean([c for _, _, c in chosen]))
+
+    now, improved = value(best), True
+    while improved:
+        improved = False
+        for at in range(budget):
+            others = [b for n, b in enumerate(best) if n != at]
+            held, taken = np.array([c for _, c, _ in others], float).reshape(len(others), -1), {i for i, _, _ in best}
+
+            def gains(batches, held=held, taken=taken):
+                for pdf in batches:
+                    codes = np.array(pdf["code"].tolist(), float)
+                    gain = (alpha * _distances(codes, held).sum(1) / pairs if len(held) else 0.0) - pdf["cost"].to_numpy() / budget
+                    gain = np.where(pdf["id"].isin(taken), -np.inf, gain)
+                    k = np.lexsort((pdf["id"], -gain))[:1]
+                    yield pd.DataFrame({"gain": gain[k], "id": pdf["id"].iloc[k]})
+
+            found = rows.mapInPandas(gains, "gain double, id long").agg(F.max(F.struct("gain", -F.col("id"))).alias("b")).first()["b"]
+            if found is None or found[0] == -np.inf:
+                continue
+            new = rows.where(F.col("id") == -found[1]).first()
+            candidate = [*others, (new["id"], new["code"], new["cost"])]
+            if (v := value(candidate)) > now + 1e-12:
+                best, now, improved = candidate, v, True
+    return [i for i, _, _ in best], now
+
+
 def select_batch(pool: DataFrame, budget: int, labelled: DataFrame | None = None, alpha: float = 0.03, beta: float = 1.0, gamma: float = 0.1, delta: float = 1.0, exact_limit: int = 200_000) -> DataFrame:
     """AL8: (id, objective, exact) of ``budget`` samples that maximise diversity minus probability, frontier share and density.
 
     Every choice is tried while there are at most ``exact_limit`` (then
-    ``exact`` is true); otherwise a greedy choice is improved by exchanges until
-    none helps. Pools as in AL5; a sample without labelled neighbours has no frontier share.
+    ``exact`` is true); otherwise the least costly choice is improved by
+    exchanges until none helps, on the driver for pools of up to ``LOCAL`` codes
+    and over the cluster beyond. A sample without labelled neighbours has no
+    frontier share; an empty pool gives none.
     """
-    ids, codes, probs = _matrix(pool)
-    schema = "id long, objective double, exact boolean"
+    spark, schema = pool.sparkSession, "id long, objective double, exact boolean"
+    pool = pool.where(F.col("code").isNotNull())
+    held = _matrix(pool)
+    if held is None:
+        share = frontier(pool, labelled).withColumnRenamed("id", "_i") if labelled is not None else spark.createDataFrame([], "_i long, frontier double")
+        scored = pool.select("id", "prob").join(mean_distances(pool.select("id", "code")), "id").join(share, F.col("id") == F.col("_i"), "left")
+        cost = delta * F.col("prob") + beta * F.coalesce("frontier", F.lit(0.0)) + gamma * F.col("spread")
+        chosen, objective = _exchanged(pool, scored.select("id", cost.alias("cost")), budget, alpha)
+        return spark.createDataFrame([(int(i), float(objective), False) for i in sorted(chosen)], schema)
+    ids, codes, probs, _ = held
     if not len(ids) or not budget:
-        return pool.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     dist = _distances(codes, codes)
     np.fill_diagonal(dist, 0)
     front = np.zeros(len(ids))
@@ -216,10 +327,12 @@ def select_batch(pool: DataFrame, budget: int, labelled: DataFrame | None = None
             improved = False
             for at in range(budget):
                 rest = [k for k in range(len(ids)) if k not in best]
+                if not rest:
+                    break
                 others = [b for n, b in enumerate(best) if n != at]
                 gain = alpha * dist[np.ix_(rest, others)].sum(1) / (budget * (budget - 1) / 2 or 1) - cost[rest] / budget
                 candidate = tuple([*others, rest[int(gain.argmax())]])
                 if (v := batch_value(dist, cost, candidate, alpha)) > value + 1e-12:
                     best, value, improved = candidate, v, True
     objective = batch_value(dist, cost, best, alpha)
-    return pool.sparkSession.createDataFrame([(int(ids[b]), float(objective), exact) for b in sorted(best)], schema)
+    return spark.createDataFrame([(int(ids[b]), float(objective), exact) for b in sorted(best)], schema)

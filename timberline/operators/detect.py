@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from timberline.model import RasterConfig
 from timberline.operators.boxes import numbered, unique_boxes
+from timberline.operators.graph import checkpointed
 from timberline.operators.ground import height_above_ground
 from timberline.operators.predicates import confident, of_class
 from timberline.operators.projections import box_to_world, centres
@@ -81,7 +82,7 @@ def rasters(points: DataFrame, config: RasterConfig, keys: list[str], ground: Da
     plain = voxelised(points, keys, config.gridSize, config.res)
     canopy = voxelised(height_above_ground(points, ground), keys, config.gridSize, config.res) if ground is not None else None
     if sum(n not in ("blank", "canopy_height") for n in config.raster_layers) > 1:
-        plain = plain.persist()  # voxels that several layers read
+        plain = checkpointed(plain)  # voxels that several layers read
     out = None
     for k, name in enumerate(config.raster_layers):
         if name == "blank":
@@ -151,9 +152,9 @@ def detect_trees(
     found = of_class(confident(detect_windows(layers, config, detector), confidence), class_id)
     middle = centres(inside, keys, config.gridSize, config.res).select(*keys, "cx", "cy")
     world = box_to_world(found.join(middle, keys), config.gridSize[:2], config.res, "cx", "cy")
-    boxes = numbered(world.select("ymin", "xmin", "ymax", "xmax", "score"), "ymin", "xmin", "ymax", "xmax", "score").persist()
+    boxes = numbered(world.select("ymin", "xmin", "ymax", "xmax", "score"), "ymin", "xmin", "ymax", "xmax", "score")
     kept = boxes.join(unique_boxes(boxes, overlap), F.col("bid") == F.col("keep"), "left_semi")
-    kept = numbered(kept.drop("bid"), "ymin", "xmin", "ymax", "xmax", "score").persist()
+    kept = numbered(kept.drop("bid"), "ymin", "xmin", "ymax", "xmax", "score")
     return label_points(points, kept), kept
 
 

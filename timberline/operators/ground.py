@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.scalar import cell
+from timberline.operators.graph import checkpointed
 from timberline.operators.spatial import nearest, neighbour_cells, with_bounds
 
 
@@ -60,7 +61,7 @@ def ground_grid(points: DataFrame, ground: DataFrame, size: float = 4.0, k: int
     Farther points count more (Q2, kept because it decides which points survive
     removal); ``idw`` weights by the inverse. If all distances are 0, the mean.
     """
-    b = with_bounds(points)
+    b = with_bounds(points.dropna(subset=["x", "y", "z"]))
     cells = b.select(cell(F.col("x"), F.col("x0"), size).alias("cx"), cell(F.col("y"), F.col("y0"), size).alias("cy"), "x0", "y0").distinct()
     cells = cells.withColumns({"x": F.col("x0") + (F.col("cx") + 0.5) * size, "y": F.col("y0") + (F.col("cy") + 0.5) * size, "qid": F.struct("cx", "cy")})
     near = nearest(cells, _with_id(ground).select("gid", F.col("gx").alias("x"), F.col("gy").alias("y"), "gz"), k=k, query_id="qid", size=size, values=("gz",))
@@ -71,13 +72,13 @@ def ground_grid(points: DataFrame, ground: DataFrame, size: float = 4.0, k: int
 
 def above_ground(points: DataFrame, grid: DataFrame, thresh: float = 2.0, size: float = 4.0) -> DataFrame:
     """FLT4, JN1: points more than ``thresh`` above their cell's ground."""
-    b = with_bounds(points).withColumns({"cx": cell(F.col("x"), F.col("x0"), size), "cy": cell(F.col("y"), F.col("y0"), size)})
+    b = with_bounds(points.dropna(subset=["x", "y", "z"])).withColumns({"cx": cell(F.col("x"), F.col("x0"), size), "cy": cell(F.col("y"), F.col("y0"), size)})
     return b.join(grid.withColumnRenamed("gz", "_gz"), ["cx", "cy"]).where(F.col("z") > F.col("_gz") + thresh).select(*points.columns)
 
 
 def remove_ground(points: DataFrame, thresh: float = 2.0, grid_size: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """UDF16: (points above ground, ground points). The ground points always come from 2 m cells (Q16) and are computed once."""
-    ground = ground_points(points).persist()
+    ground = checkpointed(ground_points(points))
     return above_ground(points, ground_grid(points, ground, grid_size), thresh, grid_size), ground
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from timberline.model import RasterConfig
 from timberline.operators import inventory, stems
 from timberline.operators.detect import Detector, detect_trees
+from timberline.operators.graph import checkpointed
 from timberline.operators.ground import above_ground, ground_grid, ground_points, remove_ground
 from timberline.operators.segment import Scorer, segment
 from timberline.operators.spatial import label_points
@@ -42,7 +43,7 @@ def tree_inventory(labelled: DataFrame, ground: DataFrame | None = None, percent
 def detect_and_report(points: DataFrame, config: RasterConfig, preset: Preset, detector: Detector | None = None, heights: bool = True, confidence: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(labelled points, boxes, inventory): ground removal, windows, detection, labels, tops and heights."""
     kept, ground = remove_ground(points, preset.thresh)
-    kept = kept.persist()
+    kept = checkpointed(kept)
     labels, boxes = detect_trees(kept, config, preset.window, preset.step, preset.overlap, ground=ground, detector=detector, confidence=confidence)
     labelled = kept.join(labels.withColumnRenamed("label", "tree_id"), "pid")
     return labelled, boxes, tree_inventory(labelled, ground if heights else None)
@@ -50,9 +51,9 @@ def detect_and_report(points: DataFrame, config: RasterConfig, preset: Preset, d
 
 def detect_and_segment(points: DataFrame, config: RasterConfig, preset: Preset, scorer: Scorer, grid: tuple[int, int, int] = (150, 150, 100), res: float = 0.1, label_thresh: float = 1.0, detector: Detector | None = None, passes: int = 1, confidence: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(segmented points, inventory): detection on the cloud above ``preset.thresh``, labels and segmentation above ``label_thresh``; one ground model serves both."""
-    ground = ground_points(points).persist()
-    surface = ground_grid(points, ground).persist()
-    high, low = (above_ground(points, surface, t).persist() for t in (preset.thresh, label_thresh))
+    ground = checkpointed(ground_points(points))
+    surface = checkpointed(ground_grid(points, ground))
+    high, low = (checkpointed(above_ground(points, surface, t)) for t in (preset.thresh, label_thresh))
     _, boxes = detect_trees(high, config, preset.window, preset.step, preset.overlap, ground=ground, detector=detector, confidence=confidence)
     labelled = low.join(label_points(low, boxes).withColumnRenamed("label", "tree_id"), "pid").where(F.col("tree_id") > 0)
     return segment(labelled, grid, res, scorer, passes), tree_inventory(labelled, ground)
@@ -60,7 +61,7 @@ def detect_and_segment(points: DataFrame, config: RasterConfig, preset: Preset,
 
 def extract_stems(points: DataFrame, low: float = 0.0, high: float = 10.0, dh: float = 0.2, voxel: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(rings, stem points): downsampling, circles by slice, suppression, climbing, merging, and the points in the rings' shells."""
-    thinned = downsampled(points, voxel).persist()
-    circles = stems.suppressed(stems.circle_stacks(thinned, dh, low, high)).persist()
-    trees = stems.merge_stems(stems.climb(circles)).persist()
+    thinned = checkpointed(downsampled(points, voxel))
+    circles = checkpointed(stems.suppressed(checkpointed(stems.circle_stacks(thinned, dh, low, high))))
+    trees = checkpointed(stems.merge_stems(checkpointed(stems.climb(circles))))
     return trees, stems.stem_points(thinned, trees)
