@@ -38,3 +38,22 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "length", "ids_crc32").collect()))
     assert toxicity.BITS == 22
+
+
+def test_repeated_ids_near_copies_and_nulls(spark, tmp_path):
+    """No text is lost because another one has its doc_id, in the stage of near-duplicates and through all stages."""
+    a, b, c = prose(31, 120), prose(32, 120), prose(33, 120)
+    near = " ".join(w if k != 60 else "changed" for k, w in enumerate(c.split()))
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, c), (12, near), (None, c), (None, prose(34, 90)), (7, None), (8, ""), (5, b)]
+    write(spark, str(tmp_path), rows, [(1000 + k, 1, k % 2) for k in range(50)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.simhash_stage(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, a), (5, b), (11, c), (None, prose(34, 90)), (7, None)], key=repr)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in packed) == [(False, 3), (False, 5), (False, 7), (False, 11), (True, None)]
+
+
+def test_empty_tables(spark, tmp_path):
+    write(spark, str(tmp_path), [], [])
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.count() == 0 and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns)
