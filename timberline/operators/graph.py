@@ -34,13 +34,14 @@ def _with_least(edges: DataFrame, least: Column) -> DataFrame:
     """``edges`` (u, v) with m, the value of ``least`` over all edges of u.
 
     The edges of a node are dealt into shares, and its minimum is sent to the
-    shares it has, so that no task reads all edges of a hub.
+    shares it has, so that no task reads all edges of a hub. The merge join keeps
+    the rows of each round away from the driver, which would broadcast them.
     """
     salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     smallest = salted.groupBy("u").agg(least.alias("m"), F.bit_or(F.expr("shiftleft(1L, _s)")).alias("_shares"))
     shares = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit(F.col("_shares"), k) == 1)
     sent = smallest.select(F.col("u").alias("_u"), "m", F.explode(shares).alias("_t"))
-    return salted.join(sent, (F.col("u") == F.col("_u")) & (F.col("_s") == F.col("_t"))).select("u", "v", "m")
+    return salted.join(sent.hint("merge"), (F.col("u") == F.col("_u")) & (F.col("_s") == F.col("_t"))).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
