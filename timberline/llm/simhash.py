@@ -9,7 +9,8 @@ returns a spanning forest of its links, so a group of k alike documents sends
 O(k) rows, and components are then joined across tiles.
 
 The comparison of distinct fingerprints is exact and therefore quadratic in
-their number; the README gives the constant.
+their number; the README gives the constant. Joins of tables that grow with the
+corpus are merge joins, so their rows never pass through the driver.
 """
 
 from __future__ import annotations
@@ -259,7 +260,7 @@ def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, width: int,
     nodes = edges.select(F.col("u").alias("_n")).union(edges.select("v")).distinct()
     sets = _sets_of(docs, classes, nodes, width)
     sides = [sets.select(F.col("node").alias(f"_{c}"), F.col("hashes").alias(f"h{c}")) for c in "uv"]
-    both = edges.join(sides[0], F.col("u") == F.col("_u")).join(sides[1], F.col("v") == F.col("_v"))
+    both = edges.join(sides[0].hint("merge"), F.col("u") == F.col("_u")).join(sides[1].hint("merge"), F.col("v") == F.col("_v"))
     common = F.size(F.array_intersect("hu", "hv"))
     return both.where(common >= similarity * (F.size("hu") + F.size("hv") - common)).select("u", "v")
 
@@ -311,8 +312,8 @@ def _join_blocks(table: pa.Table, similarity: float) -> pa.Table:
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, hashes) of the classes whose nodes are the column _n of ``wanted``, read from the text that names the class."""
-    named = classes.join(wanted, F.col("node") == F.col("_n"), "left_semi").select("node", F.col("rep").alias("_doc"), F.col("rep_mark").alias("_mark"))
-    text = _marked(docs).join(named, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")))
+    named = classes.join(wanted.hint("merge"), F.col("node") == F.col("_n"), "left_semi").select("node", F.col("rep").alias("_doc"), F.col("rep_mark").alias("_mark"))
+    text = _marked(docs).join(named.hint("merge"), (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")))
     text = text.select("node", "text").dropDuplicates(["node"])  # repeated rows
     return text.mapInArrow(by_text_chunks(partial(_set_batch, width=width)), "node long, hashes array<long>")
 
@@ -325,13 +326,13 @@ def joined_components(docs: DataFrame, classes: DataFrame, edges: DataFrame, tru
     together. In each such group all pairs of documents of different components
     are compared on their whole shingle sets, in blocks of about ``block`` elements.
     """
-    at = [components.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}")) for c in "uv"]
+    at = [components.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}")).hint("merge") for c in "uv"]
     failed = edges.distinct().join(true, ["u", "v"], "left_anti").join(at[0], F.col("u") == F.col("nu"), "left").join(at[1], F.col("v") == F.col("nv"), "left")
     failed = failed.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     groups = connected_components(failed)
     nodes = edges.select(F.col("u").alias("_n")).union(edges.select("v")).distinct()
     nodes = nodes.join(at[0], F.col("_n") == F.col("nu"), "left").select("_n", F.coalesce("cu", "_n").alias("_c"))
-    members = cut(nodes.join(groups, F.col("_c") == F.col("node")).select("_n", F.col("_c"), F.col("component").alias("grp")))
+    members = cut(nodes.join(groups.hint("merge"), F.col("_c") == F.col("node")).select("_n", F.col("_c"), F.col("component").alias("grp")))
     sets = _sets_of(docs, classes, members.select("_n"), width).withColumnRenamed("node", "_node").join(members, F.col("_node") == F.col("_n"))
     sets = cut(sets.select("_node", F.col("_c").alias("component"), "grp", "hashes"))
     total = sets.agg(F.sum(F.size("hashes").cast("long"))).first()[0] or 0
@@ -401,10 +402,10 @@ def _grouped(docs: DataFrame, width: int, lanes: int, radius: int | None, simila
         true = cut(verified(docs, classes, edges, width, similarity))
         components = connected_components(true)
     roots = components.select(F.col("node").alias("_node"), F.col("component").alias("root"))
-    groups = classes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    groups = classes.join(roots.hint("merge"), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
     if similarity is not None:
         moved = joined_components(docs, classes, edges, true, components, width, similarity).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
-        groups = groups.join(moved, F.col("root") == F.col("_old"), "left").withColumn("root", F.coalesce("_new", "root"))
+        groups = groups.join(moved.hint("merge"), F.col("root") == F.col("_old"), "left").withColumn("root", F.coalesce("_new", "root"))
     return prints, groups.select(*key, "node", "rep", "rep_mark", "root"), key
 
 
@@ -457,7 +458,7 @@ def one_of_each(docs: DataFrame, width: int = 5, lanes: int = 8, similarity: flo
     kept = _grouped(docs, width, lanes, None, similarity, True, tile)[1].where(F.col("node") == F.col("root")).select(F.col("rep").alias("_doc"), F.col("rep_mark").alias("_mark"))
     doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
     rows = docs.toDF(*own).withColumns({"doc": F.coalesce(doc_id.cast("long"), F.lit(NO_ID)), "mark": F.xxhash64(text.cast("string"))})
-    rows = rows.join(kept, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left_semi")
+    rows = rows.join(kept.hint("merge"), (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left_semi")
     plain = [c for c, f in zip(own, docs.schema, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     one = rows.groupBy("doc", "mark").agg(F.min_by(F.struct(*own), F.xxhash64(*plain)).alias("row"))
     return one.select("row.*").toDF(*docs.columns)
