@@ -79,12 +79,16 @@ def test_spike_filter_in_place_and_at_once(spark):
 def test_components(spark):
     r = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (250, 2))] + [(1000 + k, 1001 + k) for k in range(120)]
-    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    edges += [(5000, 5000), (7, 7)] + [(2000, 2001 + k) for k in range(150)]  # loops and a hub
+    df = spark.createDataFrame([*edges, (None, 3), (3, None)], "u long, v long")
     root = {n: n for e in edges for n in e}
     for _ in range(400):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
-    assert got == root
+    for one_task in (0, 100, 1 << 17):
+        got = [tuple(x) for x in connected_components(df, one_task=one_task).collect()]
+        assert dict(got) == root and len(got) == len(root)
+    assert connected_components(df.limit(0)).count() == connected_components(df.limit(0), one_task=0).count() == 0
 
 
 def test_backward_merge(spark):
