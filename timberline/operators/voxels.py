@@ -116,10 +116,10 @@ def _dense_range(cells: DataFrame, keys: list[str], n_cells: int) -> tuple[Colum
     return (F.when(empty, F.least(F.min("v").over(w), F.lit(0.0))).otherwise(F.min("v").over(w)), F.when(empty, F.greatest(F.max("v").over(w), F.lit(0.0))).otherwise(F.max("v").over(w)))
 
 
-def rescaled(cells: DataFrame, keys: list[str], grid: tuple[int, int]) -> DataFrame:
-    """AGG28: the image's range to 0-1. A constant image becomes 0. Absent cells take :func:`background`'s value."""
+def rescaled(cells: DataFrame, keys: list[str], grid: tuple[int, int], constant: float = 0.0) -> DataFrame:
+    """AGG28: the image's range to 0-1. An image of one value becomes ``constant``. Absent cells take :func:`background`'s value."""
     lo, hi = _dense_range(cells, keys, grid[0] * grid[1])
-    return cells.withColumns({"_lo": lo, "_hi": hi}).withColumn("v", F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
+    return cells.withColumns({"_lo": lo, "_hi": hi}).withColumn("v", F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(float(constant))).drop("_lo", "_hi")
 
 
 def equalised(cells: DataFrame, keys: list[str], grid: tuple[int, int], bins: int = 256) -> DataFrame:
@@ -144,10 +144,10 @@ def equalised(cells: DataFrame, keys: list[str], grid: tuple[int, int], bins: in
     return joined.withColumn("v", F.col("_ca") + F.col("_f") * (F.col("_cb") - F.col("_ca"))).select(*cells.columns)
 
 
-def coloured(cells: DataFrame, keys: list[str], grid: tuple[int, int]) -> DataFrame:
-    """AGG30: the rescaled layer through the jet colour map: red, green, blue."""
+def coloured(cells: DataFrame, keys: list[str], grid: tuple[int, int], constant: float = 0.0) -> DataFrame:
+    """AGG30: the rescaled layer through the jet colour map: red, green, blue. Not a number takes the map's last colour."""
     r, g, b = jet(F.col("v"))
-    return rescaled(cells, keys, grid).withColumns({"red": r, "green": g, "blue": b})
+    return rescaled(cells, keys, grid, constant).withColumns({"red": r, "green": g, "blue": b})
 
 
 def as_bytes(v: Column) -> Column:
