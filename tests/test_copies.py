@@ -21,7 +21,7 @@ def check_sql(spark, name, folder, *tables):
     return wanted
 
 
-@pytest.mark.parametrize("name", ["agg28_rescaled"])
+@pytest.mark.parametrize("name", ["agg28_rescaled", "agg30_jet"])
 def test_an_image_of_one_value_is_that_of_the_sql(spark, tmp_path, name):
     spark.range(30000).selectExpr("id AS event_id", "50.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
     assert len(check_sql(spark, name, str(tmp_path), "events")) == 1600
