@@ -128,4 +128,4 @@ def segment(points: DataFrame, grid: tuple[int, int, int], res: float, scorer: S
     corner = best.join(middle, key).select(key, "class_id", "certainty", F.struct("ix", "iy", "iz").alias("vid"), *[((F.col(f"i{c}") - n / 2.0) * res + F.col(f"c{c}")).alias(c) for c, n in zip("xyz", grid, strict=True)])
     limit = dist_threshold if np.isfinite(dist_threshold) else None
     near = nearest(points, corner, 1, ("x", "y", "z"), "pid", "vid", size=max(res, 0.5), values=("class_id", "certainty"), limit=limit, keys=(key,))
-    return points.select(key, "pid", "x", "y", "z").join(near.select("pid", "class_id", "certainty"), "pid")
+    return points.select(key, "pid", "x", "y", "z").join(near.select("pid", "class_id", "certainty").hint("merge"), "pid")
