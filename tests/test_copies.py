@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from timberline.operators import spatial
+from timberline.operators import spatial, stems
 from timberline.queries import ORACLE_SQL, QUERIES
 
 
@@ -67,3 +67,20 @@ def test_nearest_with_a_limit_in_several_rounds(spark):
     for i in range(200):
         d, g = min(zip(np.sqrt(((t - q[i]) ** 2).sum(1)).round(9), range(len(t)), strict=True))
         assert got.get(i) == ((pytest.approx(d), g) if d < 12 else None)
+
+
+CIRCLES = "cid long, x double, y double, r double, z double, n long"
+
+
+def _column(spark, copies, levels=12, apart=3.0):
+    """Two columns of circles, ``copies`` of each."""
+    rows = [(c * 100 + k * 2 + s, s * apart, 0.0, 0.2, k * 0.2, 50 + (k + c) % 7) for c in range(copies) for k in range(levels) for s in (0, 1)]
+    return spark.createDataFrame(rows, CIRCLES)
+
+
+def test_copies_climb_alike(spark):
+    """jn12: pairs are met between distinct circles, and minima need no sorted pairs."""
+    found = stems.next_up(_column(spark, 40))
+    assert "Window" not in _plan(found) and "Broadcast" not in _plan(found)
+    got = {r.cid: r.next for r in found.collect()}
+    assert got == {c * 100 + k * 2 + s: (k + 1) * 2 + s for c in range(40) for k in range(11) for s in (0, 1)}

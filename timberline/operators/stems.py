@@ -8,14 +8,17 @@ key, so results do not depend on partitioning.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.graph import connected_components
+from timberline.operators.graph import checkpointed, connected_components
 from timberline.operators.predicates import slices
 from timberline.operators.spatial import half_overlapping_tiles
 
@@ -200,16 +203,25 @@ def suppressed(circles: DataFrame) -> DataFrame:
 
 def next_up(circles: DataFrame, reach: float = 2.5, shift: float = 0.1, change: float = 0.2) -> DataFrame:
     """JN12: (cid, next) the circle to climb to: above by at most ``reach``, nearly below, of like radius; lowest level, then closest radius."""
-    a = circles.select("cid", *[F.col(c).alias(f"{c}0") for c in "xyrz"])
-    keyed = a.withColumn("_k", F.explode(F.array(*[F.struct((F.floor(F.col("x0") / shift) + i).alias("i"), (F.floor(F.col("y0") / shift) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
-    keyed = keyed.select("*", F.col("_k.i").alias("kx"), F.col("_k.j").alias("ky")).drop("_k")
-    b = circles.select(F.col("cid").alias("next"), "x", "y", "r", "z", F.floor(F.col("x") / shift).alias("kx"), F.floor(F.col("y") / shift).alias("ky"))
+    place = ["x", "y", "r", "z"]
+    held = circles.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in place])).select("cid", *place)
+    classes = checkpointed(held.groupBy(*place).agg(F.min("cid").alias("cid")))  # copies climb alike, and to the first of copies
+    a = classes.select(F.col("cid").alias("cid0"), *[F.col(c).alias(f"{c}0") for c in place])
+    b = classes.select(F.col("cid").alias("next"), *place, F.floor(F.col("x") / shift).alias("_i"), F.floor(F.col("y") / shift).alias("_j"))
+    b = b.withColumn("_k", F.explode(F.array(*[F.struct((F.col("_i") + i).alias("i"), (F.col("_j") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
+    b = b.select("next", *place, F.col("_k.i").alias("kx"), F.col("_k.j").alias("ky"))
     dist = F.sqrt((F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0")))
     gap = F.abs(F.col("r") - F.col("r0"))
-    up = keyed.join(b, ["kx", "ky"]).where((F.col("z") > F.col("z0")) & (F.col("z") <= F.col("z0") + reach) & (dist < shift) & (gap < change * F.col("r0")))
-    lowest = F.min("z").over(Window.partitionBy("cid"))
-    level = up.withColumns({"gap": gap, "lowest": lowest}).where(F.col("z") <= F.col("lowest") + 0.01)
-    return level.groupBy("cid").agg(F.min_by("next", F.struct("gap", "next")).alias("next"))
+
+    def above(a: DataFrame) -> DataFrame:
+        keyed = a.withColumns({"kx": F.floor(F.col("x0") / shift), "ky": F.floor(F.col("y0") / shift)})
+        return keyed.join(b.hint("merge"), ["kx", "ky"]).where((F.col("z") > F.col("z0")) & (F.col("z") <= F.col("z0") + reach) & (dist < shift) & (gap < change * F.col("r0")))
+
+    lowest = above(a).groupBy("cid0").agg(F.min("z").alias("lowest")).withColumnRenamed("cid0", "_cid")  # numbers, combined before the shuffle
+    level = above(a.join(lowest.hint("merge"), F.col("cid0") == F.col("_cid"))).where(F.col("z") <= F.col("lowest") + 0.01).withColumn("gap", gap)
+    found = level.groupBy("cid0").agg(F.min_by("next", F.struct("gap", "next")).alias("next"))
+    named = held.join(classes.select(*[F.col(c).alias(f"_{c}") for c in place], F.col("cid").alias("least")).hint("merge"), [F.col(c) == F.col(f"_{c}") for c in place])
+    return named.join(found.hint("merge"), F.col("least") == F.col("cid0")).select("cid", "next")
 
 
 def _climb(key: tuple, pdf: pd.DataFrame, at_least: int) -> pd.DataFrame:
