@@ -84,3 +84,17 @@ def test_copies_climb_alike(spark):
     assert "Window" not in _plan(found) and "Broadcast" not in _plan(found)
     got = {r.cid: r.next for r in found.collect()}
     assert got == {c * 100 + k * 2 + s: (k + 1) * 2 + s for c in range(40) for k in range(11) for s in (0, 1)}
+
+
+@pytest.mark.parametrize("distance", [0.0, 0.7, 2.0])
+def test_unique_locations_equal_the_literal_scan(spark, distance):
+    import numpy as np
+
+    xy = np.round(np.random.default_rng(2).uniform(0, 12, (150, 2)), 1)
+    kept = []
+    for i in range(150):
+        if all(np.hypot(*(xy[i] - xy[k])) > distance for k in kept):
+            kept.append(i)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(200, None, 1.0), (201, None, None)]
+    got = stems.unique_locations(spark.createDataFrame(rows, "tree_id long, x double, y double"), distance)
+    assert sorted(r.tree_id for r in got.collect()) == [*kept, 200, 201]

@@ -281,28 +281,43 @@ def locations(trees: DataFrame) -> DataFrame:
 
 
 def _first_come(pdf: pd.DataFrame, distance: float) -> pd.DataFrame:
+    """Kept places stand in cells, so each place meets the few kept ones of nine cells."""
     kept: list[int] = []
+    cells: dict[tuple[float, float], list[int]] = {}
     pdf = pdf.sort_values("tree_id").reset_index(drop=True)
     x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    for i in range(len(pdf)):
-        if not kept or np.hypot(x[kept] - x[i], y[kept] - y[i]).min() > distance:
+    width = (distance if distance > 0 else 1.0) * (1 + 1e-9)
+    for i, (a, b) in enumerate(zip(np.floor(x / width).tolist(), np.floor(y / width).tolist(), strict=True)):
+        near = [k for da in (-1, 0, 1) for db in (-1, 0, 1) for k in cells.get((a + da, b + db), ())]
+        if not near or np.hypot(x[near] - x[i], y[near] - y[i]).min() > distance:
             kept.append(i)
+            cells.setdefault((a, b), []).append(i)
     return pdf.iloc[kept][["tree_id", "x", "y"]]
 
 
 def unique_locations(places: DataFrame, distance: float = 2.0) -> DataFrame:
     """GRF4: in order of tree_id, places farther than ``distance`` from every kept one.
 
-    First come decides within a group of places that can influence each other,
-    so the groups of places tied by that distance are the tasks.
+    First come decides within a group of places that can influence each other.
+    Places in one cell of that size are one group, and so are cells whose places'
+    bounds come that near, so no pairs of places are listed. Places without
+    coordinates are near none and stay.
     """
-    from timberline.operators.boxes import centre_neighbours
-
-    boxes = places.select(F.col("tree_id").alias("bid"), *[F.col(c).alias(f"{c}{e}") for c in "yx" for e in ("min", "max")])
-    near = centre_neighbours(boxes, distance).where(F.col("bid") > F.col("other")).select(F.col("bid").alias("u"), F.col("other").alias("v"))
-    groups = connected_components(near)
-    tagged = places.join(groups, places["tree_id"] == groups["node"], "left").withColumn("group", F.coalesce("component", "tree_id"))
-    return tagged.select("group", "tree_id", "x", "y").groupBy("group").applyInPandas(lambda pdf: _first_come(pdf, distance), "tree_id long, x double, y double")
+    places = checkpointed(places.select("tree_id", "x", "y"))
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    width = F.lit((float(distance) if distance > 0 else 1.0) * (1 + 1e-9))
+    keyed = places.where(whole).withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
+    cells = keyed.groupBy("cx", "cy").agg(F.min("tree_id").alias("id"), *[f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))])
+    cells = checkpointed(cells)
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    sent = cells.withColumn("o", F.explode(steps)).select((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x0", "x1", "y0", "y1")])
+    gap = lambda c: F.greatest(F.col(f"{c}0") - F.col(f"o{c}1"), F.col(f"o{c}0") - F.col(f"{c}1"), F.lit(0.0))
+    near = cells.join(sent.hint("merge"), ["cx", "cy"]).where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= distance * (1 + 1e-9))
+    groups = connected_components(near.select(F.col("id").alias("u"), F.col("other").alias("v")))
+    named = cells.join(groups.hint("merge"), F.col("id") == F.col("node"), "left").select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.coalesce("component", "id").alias("group"))
+    tagged = keyed.join(named.hint("merge"), (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy"))).select("group", "tree_id", "x", "y")
+    found = tagged.groupBy("group").applyInPandas(lambda pdf: _first_come(pdf, distance), "tree_id long, x double, y double")
+    return found.union(places.where(~whole).select(F.col("tree_id").cast("long"), "x", "y"))
 
 
 def stem_points(points: DataFrame, rings: DataFrame, dh: float = 0.5, outer: float = 0.05, inner: float = 0.05, tree_size: float = 3.0) -> DataFrame:
