@@ -98,3 +98,13 @@ def test_unique_locations_equal_the_literal_scan(spark, distance):
     rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(200, None, 1.0), (201, None, None)]
     got = stems.unique_locations(spark.createDataFrame(rows, "tree_id long, x double, y double"), distance)
     assert sorted(r.tree_id for r in got.collect()) == [*kept, 200, 201]
+
+
+def test_stacks_of_a_tile_come_in_parts(spark):
+    """grf6: what each circle climbs to is found once a distinct circle, and a tile's stacks are not held together."""
+    pdf = _column(spark, 30).toPandas()
+    frames = list(stems._climb(pdf, 10, rows=100))
+    assert len(frames) > 5 and max(map(len, frames)) < 120
+    assert [n for f in frames for n in f["stack"].unique()] == list(range(sum(f["stack"].nunique() for f in frames)))
+    whole = next(iter(stems._climb(pdf, 10)))
+    assert len(whole) == sum(map(len, frames)) and (whole.groupby("stack")["z"].diff().dropna() > 0).all()

@@ -224,29 +224,83 @@ def next_up(circles: DataFrame, reach: float = 2.5, shift: float = 0.1, change:
     return named.join(found.hint("merge"), F.col("least") == F.col("cid0")).select("cid", "next")
 
 
-def _climb(key: tuple, pdf: pd.DataFrame, at_least: int) -> pd.DataFrame:
+def _next_of(x: np.ndarray, y: np.ndarray, r: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The row that each circle climbs to, -1 without one; of equals the first row.
+
+    Each distinct circle meets those of its cell and the cells around it, so the cost
+    follows the circles near each other and not the whole tile.
+    """
+    _, first, place = np.unique(np.column_stack([x, y, r, z]), axis=0, return_index=True, return_inverse=True)
+    rows = np.sort(first)  # of each distinct circle, in the order of rows
+    x, y, r, z = x[rows], y[rows], r[rows], z[rows]
+    width = 0.1 * (1 + 1e-9)
+    cells: dict[tuple[int, int], list[int]] = {}
+    for k, cell in enumerate(zip(np.floor(x / width).tolist(), np.floor(y / width).tolist(), strict=True)):
+        cells.setdefault(cell, []).append(k)
+    out = np.full(len(rows), -1)
+    for (i, j), own in cells.items():
+        near = np.sort(np.concatenate([cells.get((i + a, j + b), []) for a in (-1, 0, 1) for b in (-1, 0, 1)]).astype(np.int64))
+        step = max(1, (1 << 20) // len(near))
+        for at in range(0, len(own), step):
+            k = np.array(own[at : at + step])[:, None]
+            gap = np.abs(r[near] - r[k])
+            up = (z[near] > z[k]) & (z[near] <= z[k] + 2.5) & (np.hypot(x[near] - x[k], y[near] - y[k]) < 0.1) & (gap < 0.2 * r[k])
+            lowest = np.where(up, z[near], np.inf).min(1)
+            up &= z[near] <= lowest[:, None] + 0.01
+            best = np.where(up, gap, np.inf).argmin(1)
+            out[k[:, 0]] = np.where(np.isfinite(lowest), rows[near[best]], -1)
+    return out[np.searchsorted(rows, first)][place.ravel()]
+
+
+def _climb(pdf: pd.DataFrame, at_least: int, rows: int = 1 << 17):
+    """Frames of about ``rows`` rows of the stacks of one tile."""
     pdf = pdf.sort_values(["z", "cid"]).reset_index(drop=True)
-    x, y, r, z = (pdf[c].to_numpy() for c in "xyrz")
-    top, tagged, stacks = z.max() if len(z) else 0, np.zeros(len(pdf), bool), []
-    for seed in range(len(pdf) if len(pdf) >= 10 else 0):
+    if len(pdf) < 10:
+        return
+    x, y, r, z = (pdf[c].to_numpy(float) for c in "xyrz")
+    above, tagged, top = _next_of(x, y, r, z).tolist(), bytearray(len(pdf)), z.max()
+    held, sizes, stacks = [], [], 0
+
+    def frame() -> pd.DataFrame:
+        out = pdf.iloc[held]
+        return out.assign(stack=np.repeat(np.arange(stacks - len(sizes), stacks), sizes), seq=np.concatenate([np.arange(n) for n in sizes]))
+
+    for seed in range(len(pdf)):
         if tagged[seed] or z[seed] == top:
             continue
         stack = [seed]
-        while True:
-            k = stack[-1]
-            near = (z > z[k]) & (z <= z[k] + 2.5) & (np.hypot(x - x[k], y - y[k]) < 0.1) & (np.abs(r - r[k]) < 0.2 * r[k])
-            up = np.flatnonzero(near)
-            if not len(up):
-                break
-            up = up[z[up] <= z[up].min() + 0.01]
-            k = up[np.argmin(np.abs(r[up] - r[stack[-1]]))]
-            tagged[k] = True
+        while (k := above[stack[-1]]) >= 0:
+            tagged[k] = 1
             stack.append(k)
         if len(stack) > at_least:
-            stacks.append(stack)
-    parts = [pdf.iloc[s].assign(tx=key[0], ty=key[1], stack=n, seq=range(len(s))) for n, s in enumerate(stacks)]
-    columns = ["tx", "ty", "stack", "seq", "cid", "x", "y", "r", "z", "n"]
-    return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
+            held += stack
+            sizes.append(len(stack))
+            stacks += 1
+            if len(held) >= rows:
+                yield frame()
+                held, sizes = [], []
+    if held:
+        yield frame()
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The frames of equal ``keys`` of rows that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+        starts = [0, *(np.flatnonzero(reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in keys):
+            yield pa.Table.from_batches(held).to_pandas()
+            held = []
+        for low, high in zip(starts, starts[1:], strict=False):
+            held.append(batch.slice(low, high - low))
+            if high < batch.num_rows:
+                yield pa.Table.from_batches(held).to_pandas()
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).to_pandas()
 
 
 def climb(circles: DataFrame, tile: float = 5.0, at_least: int = 10) -> DataFrame:
@@ -256,7 +310,16 @@ def climb(circles: DataFrame, tile: float = 5.0, at_least: int = 10) -> DataFram
     """
     tiled = half_overlapping_tiles(circles, tile).select("tx", "ty", "cid", "x", "y", "r", "z", "n")
     schema = "tx int, ty int, stack int, seq int, cid long, x double, y double, r double, z double, n long"
-    found = tiled.groupBy("tx", "ty").applyInPandas(lambda key, pdf: _climb(key, pdf, at_least), schema)
+    columns = [c.split()[0] for c in schema.split(", ")]
+    kinds = pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[k]) for c, k in (c.split() for c in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in _in_groups(batches, ["tx", "ty"]):
+            for part in _climb(pdf, at_least):
+                yield from pa.Table.from_pandas(part[columns], kinds, preserve_index=False).to_batches()
+
+    # a tile's stacks can be many times its circles, so they are handed on in parts
+    found = tiled.repartition("tx", "ty").sortWithinPartitions("tx", "ty").mapInArrow(run, schema)
     number = F.shiftleft(F.shiftleft(F.col("tx").cast("long"), 20) + F.col("ty"), 20) + F.col("stack")  # by tile, without a global order
     return found.select(number.alias("stem_id"), "seq", "cid", "x", "y", "r", "z", "n")
 
