@@ -108,3 +108,16 @@ def test_stacks_of_a_tile_come_in_parts(spark):
     assert [n for f in frames for n in f["stack"].unique()] == list(range(sum(f["stack"].nunique() for f in frames)))
     whole = next(iter(stems._climb(pdf, 10)))
     assert len(whole) == sum(map(len, frames)) and (whole.groupby("stack")["z"].diff().dropna() > 0).all()
+
+
+def test_overlaps_of_copies_are_expanded(spark, monkeypatch):
+    """jn11: distances are computed between distinct circles only; shares of copies give each pair once."""
+    seen = []
+    distinct = stems._overlaps_of_distinct
+    monkeypatch.setattr(stems, "_overlaps_of_distinct", lambda c, *a: seen.append(c.count()) or distinct(c, *a))
+    shares = stems._in_shares
+    monkeypatch.setattr(stems, "_in_shares", lambda m, keys: shares(m, keys, 4))
+    rows = [(i, 0.1 * (i % 3), 0.0, 0.2 * (i % 5 > 0), 1.0, 1) for i in range(60)]
+    got = [tuple(r) for r in stems.overlapping_at_height(spark.createDataFrame(rows, CIRCLES)).collect()]
+    want = [(a[0], b[0]) for a in rows for b in rows if a[0] <= b[0] and abs(a[1] - b[1]) < a[3] + b[3]]
+    assert sorted(got) == sorted(want) and seen == [6]

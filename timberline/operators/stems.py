@@ -158,21 +158,48 @@ def circle_stacks(points: DataFrame, dh: float = 0.2, low: float | None = None,
     return grouped.applyInPandas(search_group, "cid long, x double, y double, r double, z double, n long")
 
 
+def _in_shares(members: DataFrame, keys: list[str], per: int = 256) -> DataFrame:
+    """(keys, ids): the cids of equal keys in sorted arrays of about ``per``, so that no row holds all copies of a place."""
+    counts = members.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in keys], "_n")
+    same = [F.col(c) == F.col(f"_{c}") for c in keys]
+    dealt = members.join(counts.hint("merge"), same).withColumn("_share", F.pmod(F.xxhash64("cid"), F.ceil(F.col("_n") / per)))
+    return dealt.groupBy(*keys, "_share").agg(F.sort_array(F.collect_list("cid")).alias("ids")).drop("_share")
+
+
 def overlapping_at_height(circles: DataFrame, size: float = 1.0) -> DataFrame:
     """JN11: pairs (u <= v, itself included) of circles of one height whose centres are nearer than their radii's sum.
 
+    Distances are computed between distinct circles; copies of a circle (equal
+    x, y, r and z) are expanded into pairs afterwards, share by share.
+    Circles with a null coordinate or radius overlap nothing.
+    """
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("r").isNotNull() & F.col("z").isNotNull() & (F.col("r") >= 0)
+    place = ["x", "y", "r", "z"]
+    held = circles.where(whole).select("cid", *place)
+    classes = held.groupBy(*place).agg(F.min("cid").alias("cid"))
+    pairs = _overlaps_of_distinct(classes, size)
+    named = _in_shares(held, place).join(classes.select(*[F.col(c).alias(f"_{c}") for c in place], F.col("cid").alias("least")).hint("merge"), [F.col(c) == F.col(f"_{c}") for c in place])
+    sides = [named.select(F.col("least").alias(f"_{c}"), F.col("ids").alias(f"ids{c}")).hint("merge") for c in "uv"]
+    met = pairs.join(sides[0], F.col("u") == F.col("_u")).join(sides[1], F.col("v") == F.col("_v"))
+    each = met.select((F.col("u") == F.col("v")).alias("_own"), F.explode("idsu").alias("a"), "idsv").select("_own", "a", F.explode("idsv").alias("b"))
+    # shares of one class meet in both orders
+    return each.where(~F.col("_own") | (F.col("a") <= F.col("b"))).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def _overlaps_of_distinct(circles: DataFrame, size: float = 1.0) -> DataFrame:
+    """The pairs of :func:`overlapping_at_height` among circles without nulls.
+
     Circles are spread over the cells of ``size`` that their squares cover; a
-    pair is taken in the first cell both cover. Circles with a null coordinate or radius overlap nothing.
+    pair is taken in the first cell both cover.
     """
     cells = lambda c: F.sequence(F.floor((F.col(c) - F.col("r")) / size), F.floor((F.col(c) + F.col("r")) / size))
-    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("r").isNotNull() & (F.col("r") >= 0)
-    spread = circles.where(whole).select("cid", "x", "y", "r", "z", cells("x").alias("_xs"), cells("y").alias("_ys"))
+    spread = circles.select("cid", "x", "y", "r", "z", cells("x").alias("_xs"), cells("y").alias("_ys"))
     spread = spread.withColumns({"_x0": F.col("_xs")[0], "_y0": F.col("_ys")[0]}).withColumn("_cx", F.explode("_xs")).withColumn("_cy", F.explode("_ys")).drop("_xs", "_ys")
     a, b = spread.alias("a"), spread.alias("b")
     dist = F.sqrt((F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")) + (F.col("a.y") - F.col("b.y")) * (F.col("a.y") - F.col("b.y")))
     first = (F.col("a._cx") == F.greatest("a._x0", "b._x0")) & (F.col("a._cy") == F.greatest("a._y0", "b._y0"))
     same = (F.col("a.z") == F.col("b.z")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy")) & (F.col("a.cid") <= F.col("b.cid"))
-    return a.join(b, same).where(first & (dist < F.col("a.r") + F.col("b.r"))).select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"))
+    return a.join(b.hint("merge"), same).where(first & (dist < F.col("a.r") + F.col("b.r"))).select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"))
 
 
 def _suppress(pdf: pd.DataFrame) -> pd.DataFrame:
