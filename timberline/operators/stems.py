@@ -220,8 +220,16 @@ def suppressed(circles: DataFrame) -> DataFrame:
     A circle decides only about those it overlaps, so the groups tied by
     overlap at a height are the tasks. Circles with a null coordinate or radius stay.
     """
-    groups = connected_components(overlapping_at_height(circles).where(F.col("u") < F.col("v")))
-    tied = circles.join(groups, circles["cid"] == groups["node"], "left")
+    place = ["x", "y", "r", "z"]
+    held = circles.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("r").isNotNull() & F.col("z").isNotNull() & (F.col("r") >= 0))
+    classes = held.groupBy(*place).agg(F.min("cid").alias("_least"))
+    classes = checkpointed(classes)
+    # copies of a circle are tied to the first of them, so their pairs are not listed
+    named = held.select("cid", *place).join(classes.withColumnsRenamed({c: f"_{c}" for c in place}).hint("merge"), [F.col(c) == F.col(f"_{c}") for c in place])
+    copies = named.where((F.col("cid") != F.col("_least")) & (F.col("r") > 0)).select(F.col("_least").alias("u"), F.col("cid").alias("v"))
+    pairs = _overlaps_of_distinct(classes.withColumnRenamed("_least", "cid")).where(F.col("u") < F.col("v"))
+    groups = connected_components(pairs.union(copies))
+    tied = circles.join(groups.hint("merge"), circles["cid"] == groups["node"], "left")
     alone = tied.where(F.col("component").isNull()).select(*circles.columns)
     names, schema = circles.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in circles.schema)
     kept = tied.where(F.col("component").isNotNull()).drop("node").groupBy("component").applyInPandas(lambda pdf: _suppress(pdf)[names], schema)
