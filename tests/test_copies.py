@@ -86,6 +86,20 @@ def test_copies_climb_alike(spark):
     assert got == {c * 100 + k * 2 + s: (k + 1) * 2 + s for c in range(40) for k in range(11) for s in (0, 1)}
 
 
+def test_copies_are_tied_without_their_pairs(spark, monkeypatch):
+    """grf4, grf5, grf7, snk12: edges follow the rows, not the pairs of a group."""
+    edges = []
+    components = stems.connected_components
+    monkeypatch.setattr(stems, "connected_components", lambda e: edges.append(e.count()) or components(e))
+    c = _column(spark, 40)
+    assert {r.cid for r in stems.suppressed(c).collect()} == {min((k * 2 + s + 100 * i for i in range(40) if (k + i) % 7 == 6), default=None) for k in range(12) for s in (0, 1)}
+    places = c.selectExpr("cid AS tree_id", "x", "y")
+    assert {r.tree_id for r in stems.unique_locations(places).collect()} == {0, 1}
+    st = c.selectExpr("cid AS stem_id", "0 AS seq", "cid % 2 AS cid", "x", "y", "r", "z", "n")
+    assert {r.tree_id for r in stems.merge_stems(st).collect()} == {0, 1}
+    assert len(edges) == 3 and max(edges) <= 960
+
+
 @pytest.mark.parametrize("distance", [0.0, 0.7, 2.0])
 def test_unique_locations_equal_the_literal_scan(spark, distance):
     import numpy as np

@@ -367,8 +367,12 @@ def shared_circles(stems: DataFrame) -> DataFrame:
 
 def merge_stems(stems: DataFrame) -> DataFrame:
     """GRF7: (tree_id, circle) trees as groups of stems tied by shared circles; at each height the circle with most inliers stays."""
-    groups = connected_components(shared_circles(stems))
-    tagged = stems.join(groups, stems["stem_id"] == groups["node"], "left").withColumn("tree_id", F.coalesce("component", "stem_id"))
+    stems = checkpointed(stems)
+    # all stems of a circle are tied to the least of them, so their pairs are not listed
+    least = stems.groupBy("cid").agg(F.min("stem_id").alias("v")).withColumnRenamed("cid", "_cid")
+    groups = connected_components(stems.join(least.hint("merge"), F.col("cid") == F.col("_cid")).where(F.col("stem_id") != F.col("v")).select(F.col("stem_id").alias("u"), "v"))
+    tagged = stems.join(groups.hint("merge"), stems["stem_id"] == groups["node"], "left").withColumn("tree_id", F.coalesce("component", "stem_id"))
+    tagged = tagged.select("tree_id", "cid", "x", "y", "r", "z", "n").distinct()  # a circle once a tree
     best = F.max_by(F.struct("cid", "x", "y", "r", "n"), F.struct("n", -F.col("cid"))).alias("c")
     return tagged.groupBy("tree_id", "z").agg(best).select("tree_id", "c.cid", "c.x", "c.y", "c.r", "z", "c.n")
 
