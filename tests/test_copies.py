@@ -135,3 +135,14 @@ def test_overlaps_of_copies_are_expanded(spark, monkeypatch):
     got = [tuple(r) for r in stems.overlapping_at_height(spark.createDataFrame(rows, CIRCLES)).collect()]
     want = [(a[0], b[0]) for a in rows for b in rows if a[0] <= b[0] and abs(a[1] - b[1]) < a[3] + b[3]]
     assert sorted(got) == sorted(want) and seen == [6]
+
+
+def test_points_meet_distinct_rings(spark, monkeypatch):
+    """flt10, jn14: rings are spread over cells once a place, and only over cells that their tree's bounds reach."""
+    seen = []
+    monkeypatch.setattr(stems, "checkpointed", lambda df: seen.append(df.count()) or df)
+    rings = spark.createDataFrame([(i % 2, i, 0.0, 0.0, 1.0 + 8.0 * (i % 3 > 1), 1.0) for i in range(600)], "tree_id long, cid long, x double, y double, r double, z double")
+    points = spark.createDataFrame([(0, 1.0, 0.0, 1.0), (1, 0.0, -1.02, 1.2), (2, 9.0, 0.0, 1.0), (3, 1.2, 0.0, 1.0), (4, 1.0, 0.0, 1.25)], "pid long, x double, y double, z double")
+    got = sorted((r.tree_id, r.cid, r.pid) for r in stems.stem_points(points, rings).collect())
+    assert got == sorted((i % 2, i, p) for i in range(600) if i % 3 < 2 for p in (0, 1))
+    assert 4 in seen  # distinct rings of both trees

@@ -429,16 +429,29 @@ def stem_points(points: DataFrame, rings: DataFrame, dh: float = 0.5, outer: flo
     ``tree_size`` around) are no stem points; rings meet points cell by cell.
     """
     edges = rings.groupBy("tree_id").agg(*[(f(c) + s * tree_size / 2).alias(f"{c}{k}") for c in "xy" for k, f, s in ((0, F.min, -1), (1, F.max, 1))])
-    ring = rings.join(edges, "tree_id").select("tree_id", "cid", F.col("x").alias("rx"), F.col("y").alias("ry"), "r", F.col("z").alias("rz"), "x0", "x1", "y0", "y1")
+    named = rings.select("tree_id", "cid", F.col("x").alias("rx"), F.col("y").alias("ry"), "r", F.col("z").alias("rz"))
+    same = ["tree_id", "rx", "ry", "r", "rz"]
+    # copies of a ring in a tree share their points, so points meet distinct rings
+    shares = checkpointed(_in_shares(named.dropna(subset=same), same))
+    ring = checkpointed(shares.groupBy(*same).agg(F.min(F.col("ids")[0]).alias("ring")))
+    copies = shares.withColumnsRenamed({c: f"_{c}" for c in same}).join(ring.hint("merge"), [F.col(c) == F.col(f"_{c}") for c in same])
+    copies = copies.select(F.col("ring").alias("_ring"), F.col("tree_id").alias("_tree"), "ids")
+    ring = ring.join(edges.withColumnRenamed("tree_id", "_tree").hint("merge"), F.col("tree_id") == F.col("_tree")).drop("_tree")
     reach, size = F.col("r") + outer, 1.0
-    spread = ring.withColumn("cx", F.explode(F.sequence(F.floor((F.col("rx") - reach) / size), F.floor((F.col("rx") + reach) / size))))
-    spread = spread.withColumn("cy", F.explode(F.sequence(F.floor((F.col("ry") - reach) / size), F.floor((F.col("ry") + reach) / size))))
+    # only cells that the tree's bounds reach as well
+    cells = lambda low, high: F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<bigint>"))
+    spread = ring
+    for c in "xy":
+        low = F.floor(F.greatest(F.col(f"r{c}") - reach, F.col(f"{c}0")) / size)
+        spread = spread.withColumn(f"c{c}", F.explode(cells(low, F.floor(F.least(F.col(f"r{c}") + reach, F.col(f"{c}1")) / size))))
     spread = spread.withColumn("cz", F.explode(F.sequence(F.floor((F.col("rz") - dh / 2) / dh), F.floor((F.col("rz") + dh / 2) / dh))))
     keyed = points.select("pid", "x", "y", "z", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("z") / dh).alias("cz"))
     off = F.sqrt((F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))) - F.col("r")
     inside = (F.col("z") >= F.col("rz") - dh / 2) & (F.col("z") < F.col("rz") + dh / 2) & (off < outer) & (off > -inner)
     inside = inside & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    return keyed.join(spread, ["cx", "cy", "cz"]).where(inside).select("tree_id", "cid", "pid", "x", "y", "z")
+    met = keyed.join(spread.hint("merge"), ["cx", "cy", "cz"]).where(inside).select("tree_id", "ring", "pid", "x", "y", "z")
+    each = met.join(copies.hint("merge"), (F.col("ring") == F.col("_ring")) & (F.col("tree_id") == F.col("_tree")))
+    return each.select("tree_id", F.explode("ids").alias("cid"), "pid", "x", "y", "z")
 
 
 def find_stem(circles: np.ndarray, seed: int = 0, tests: int = 100, at_least: int = 5, z_range: float = 2.0) -> np.ndarray | None:
