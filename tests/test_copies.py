@@ -146,3 +146,17 @@ def test_points_meet_distinct_rings(spark, monkeypatch):
     got = sorted((r.tree_id, r.cid, r.pid) for r in stems.stem_points(points, rings).collect())
     assert got == sorted((i % 2, i, p) for i in range(600) if i % 3 < 2 for p in (0, 1))
     assert 4 in seen  # distinct rings of both trees
+
+
+def test_circles_are_searched_a_few_at_a_time(spark):
+    """grf8, grf9, grf11: the inliers of one candidate are held, not of all; keys are read in a row."""
+    import numpy as np
+
+    a = np.linspace(0, 2 * np.pi, 90, endpoint=False)
+    xy = np.column_stack([np.cos(a), np.sin(a)]) * 0.3
+    search = stems.CircleSearch(min_inliers=60, inner_band=0.1, max_inner=20, min_bins=11)
+    assert iter(found := stems.candidate_circles(xy, 1, search)) is found and len(list(found)) > 1
+    rows = [(k, k * 100 + i, float(x + k), float(y)) for k in range(7) for i, (x, y) in enumerate(xy if k != 3 else xy[:30])]
+    points = spark.createDataFrame(rows, "tree long, pid long, x double, y double").repartition(3)
+    got = {r.tree: (r.x, r.y, r.r, r.n) for r in stems.best_circles(points, "tree", search).collect()}
+    assert got == {k: pytest.approx(tuple(stems.find_best_circle(xy + [k, 0], stems.seed_of(k), search))) for k in range(7) if k != 3}

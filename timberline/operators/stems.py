@@ -86,23 +86,27 @@ def circle_residual(x: Column, y: Column, cx: Column, cy: Column, r: Column) ->
     return r - F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))
 
 
-def candidate_circles(xy: np.ndarray, seed: int, search: CircleSearch) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(circle, inliers) of the random triples that pass every limit, in the order drawn."""
+def candidate_circles(xy: np.ndarray, seed: int, search: CircleSearch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(circle, inliers) of the random triples that pass every limit but :func:`goes_round`, in the order drawn; distances are held for a few circles at a time."""
     if len(xy) < search.min_points:
-        return []
+        return
     rng = np.random.default_rng(seed)
-    out = []
-    for circle in circumcircles(xy[rng.integers(0, len(xy), (search.tests, 3))]):
-        if not search.r_min <= circle[2] <= search.r_max:  # also drops nan
-            continue
-        d = xy - circle[:2]
-        off = np.hypot(d[:, 0], d[:, 1]) - circle[2]
-        inliers = np.flatnonzero(np.abs(off) < search.band)
-        if len(inliers) < search.min_inliers or np.count_nonzero(off < -search.inner_band) > search.max_inner:
-            continue
-        if np.count_nonzero(angular_bins(d[inliers, 0], d[inliers, 1], search.bins) > 1) >= search.min_bins:
-            out.append((circle, inliers))
-    return out
+    circles = circumcircles(xy[rng.integers(0, len(xy), (search.tests, 3))])
+    circles = circles[(search.r_min <= circles[:, 2]) & (circles[:, 2] <= search.r_max)]  # also drops nan
+    step = max(1, (1 << 17) // len(xy))
+    for at in range(0, len(circles), step):
+        part = circles[at : at + step]
+        off = np.hypot(xy[:, 0] - part[:, :1], xy[:, 1] - part[:, 1:2]) - part[:, 2:]
+        on = np.abs(off) < search.band
+        fits = (np.count_nonzero(on, axis=1) >= search.min_inliers) & (np.count_nonzero(off < -search.inner_band, axis=1) <= search.max_inner)
+        for k in np.flatnonzero(fits).tolist():
+            yield part[k], np.flatnonzero(on[k])
+
+
+def goes_round(xy: np.ndarray, circle: np.ndarray, inliers: np.ndarray, search: CircleSearch) -> bool:
+    """Whether the inliers lie in enough directions; looked at only where a circle would be taken."""
+    d = xy[inliers] - circle[:2]
+    return np.count_nonzero(angular_bins(d[:, 0], d[:, 1], search.bins) > 1) >= search.min_bins
 
 
 def find_circles(xy: np.ndarray, seed: int = 0, search: CircleSearch = MANY) -> np.ndarray:
@@ -112,11 +116,14 @@ def find_circles(xy: np.ndarray, seed: int = 0, search: CircleSearch = MANY) ->
     really kept are compared, Q25).
     """
     kept: list[tuple[float, float, float, int]] = []
-    for (x, y, r), inliers in candidate_circles(xy, seed, search):
+    for circle, inliers in candidate_circles(xy, seed, search):
+        x, y, r = circle
         over = [k for k, c in enumerate(kept) if np.hypot(c[0] - x, c[1] - y) < c[2] + r]
+        if len(over) > 1 or (over and len(inliers) <= kept[over[0]][3]) or not goes_round(xy, circle, inliers, search):
+            continue
         if not over:
             kept.append((x, y, r, len(inliers)))
-        elif len(over) == 1 and len(inliers) > kept[over[0]][3]:
+        else:
             kept[over[0]] = (x, y, r, len(inliers))
     return np.array(kept).reshape(-1, 4)
 
@@ -125,13 +132,54 @@ def find_best_circle(xy: np.ndarray, seed: int = 0, search: CircleSearch = BEST)
     """GRF9: (x, y, r, n) of the candidate with most inliers, refitted to them; None without one."""
     best = None
     for circle, inliers in candidate_circles(xy, seed, search):
-        if best is None or len(inliers) > best[3]:
+        if (best is None or len(inliers) > best[3]) and goes_round(xy, circle, inliers, search):
             p = fit_circle(xy[inliers], circle)
             if search.r_min < p[2] < search.r_max:
                 best = np.array([*p, len(inliers)])
     return best
 
 
+def _in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The tables of equal ``keys`` of rows that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+        starts = [0, *(np.flatnonzero(reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for low, high in zip(starts, starts[1:], strict=False):
+            held.append(batch.slice(low, high - low))
+            if high < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def best_circles(points: DataFrame, key: str, search: CircleSearch = BEST) -> DataFrame:
+    """GRF9 for each key, a long: (key, x, y, r, n) of the best circle of its points, drawn by the key."""
+    names = [key, "x", "y", "r", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+        for table in _in_groups(batches, [key]):
+            own = table.column(key)[0].as_py()
+            found = find_best_circle(np.column_stack([table.column(c).to_numpy() for c in "xy"]), seed_of(own), search)
+            if found is not None:
+                rows.append((own, *found.tolist()))
+            if len(rows) >= 4096:
+                yield batch()
+                rows = []
+        if rows:
+            yield batch()
+
+    return points.select(key, "pid", "x", "y").repartition(key).sortWithinPartitions(key, "pid").mapInArrow(run, f"{key} long, x double, y double, r double, n double")
+
+
 def circle_stacks(points: DataFrame, dh: float = 0.2, low: float | None = None, high: float | None = None, tile: float = 2.0, search: CircleSearch = MANY) -> DataFrame:
     """GRF11: (cid, x, y, r, z, n) circles of every slice and half-overlapping tile.
 
@@ -318,26 +366,6 @@ def _climb(pdf: pd.DataFrame, at_least: int, rows: int = 1 << 17):
         yield frame()
 
 
-def _in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The frames of equal ``keys`` of rows that are sorted by them."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
-        starts = [0, *(np.flatnonzero(reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])) + 1).tolist(), batch.num_rows]
-        if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in keys):
-            yield pa.Table.from_batches(held).to_pandas()
-            held = []
-        for low, high in zip(starts, starts[1:], strict=False):
-            held.append(batch.slice(low, high - low))
-            if high < batch.num_rows:
-                yield pa.Table.from_batches(held).to_pandas()
-                held = []
-    if held:
-        yield pa.Table.from_batches(held).to_pandas()
-
-
 def climb(circles: DataFrame, tile: float = 5.0, at_least: int = 10) -> DataFrame:
     """GRF6: (stem_id, seq, circle) stacks of more than ``at_least`` circles, climbed inside half-overlapping tiles.
 
@@ -349,8 +377,8 @@ def climb(circles: DataFrame, tile: float = 5.0, at_least: int = 10) -> DataFram
     kinds = pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[k]) for c, k in (c.split() for c in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in _in_groups(batches, ["tx", "ty"]):
-            for part in _climb(pdf, at_least):
+        for table in _in_groups(batches, ["tx", "ty"]):
+            for part in _climb(table.to_pandas(), at_least):
                 yield from pa.Table.from_pandas(part[columns], kinds, preserve_index=False).to_batches()
 
     # a tile's stacks can be many times its circles, so they are handed on in parts
