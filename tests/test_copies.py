@@ -5,6 +5,7 @@ import pytest
 
 from timberline.operators import spatial, stems
 from timberline.queries import ORACLE_SQL, QUERIES
+from timberline.sources import meshes, ply
 
 
 def plain(v):
@@ -160,3 +161,18 @@ def test_circles_are_searched_a_few_at_a_time(spark):
     points = spark.createDataFrame(rows, "tree long, pid long, x double, y double").repartition(3)
     got = {r.tree: (r.x, r.y, r.r, r.n) for r in stems.best_circles(points, "tree", search).collect()}
     assert got == {k: pytest.approx(tuple(stems.find_best_circle(xy + [k, 0], stems.seed_of(k), search))) for k in range(7) if k != 3}
+
+
+def test_one_mesh_file_is_read_by_ranges(spark, tmp_path):
+    """snk13, snk14: no task reads the whole file, and rows keep their places."""
+    v = spark.range(3000).selectExpr("id AS vid", "id * 0.5D AS x", "-id * 1.0D AS y", "0.25D AS z")
+    faces = spark.range(2000).selectExpr("id AS a", "id + 1 AS b", "id + 2 AS c", "id + 3 AS d")
+    meshes.write_mesh(v, f"{tmp_path}/m.ply", faces)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        points, quads = ply.read_ply(spark, f"{tmp_path}/m.ply"), ply.read_faces(spark, f"{tmp_path}/m.ply")
+        assert points.rdd.getNumPartitions() > 4 and quads.rdd.getNumPartitions() > 4
+        assert sorted((r.pid, r.x, r.y, r.z, r.cloud_id, r.off_x) for r in points.collect()) == [(i, i * 0.5, -float(i), 0.25, "m.ply", 0.0) for i in range(3000)]
+        assert sorted((r.fid, r.v) for r in quads.collect()) == [(i, [i, i + 1, i + 2, i + 3]) for i in range(2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

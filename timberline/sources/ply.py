@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.operators.graph import checkpointed
-from timberline.sources.files import write_text_file
+from timberline.sources.files import _hadoop, write_text_file
 
 _KINDS = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
@@ -69,9 +69,70 @@ def parse(data: bytes) -> tuple[dict[str, np.ndarray], list[float], list[list[in
     return columns, comments[:3], faces
 
 
+def _ascii_rows(spark: SparkSession, path: str) -> tuple[list[tuple[str, int, list[list[str]], int]], list[float], DataFrame] | None:
+    """Elements (name, count, properties, first line) of one ascii file, its comments' numbers, and its lines (no, value); None for folders and binary files.
+
+    The lines are read by ranges of the file. A range's first number comes from
+    the row counts of the ranges before it.
+    """
+    jvm, fs, where = _hadoop(spark, path)
+    if not fs.exists(where) or not fs.getFileStatus(where).isFile():
+        return None
+    source = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(where), "ISO-8859-1"))
+    head: list[str] = []
+    try:
+        while (line := source.readLine()) is not None:
+            head.append(line)
+            if line.strip() == "end_header" or head[0].strip() != "ply":
+                break
+    finally:
+        source.close()
+    words = [w for line in head if (w := line.split())]
+    if not words or words[0] != ["ply"] or ["format", "ascii"] not in [w[:2] for w in words]:
+        return None
+    elements, comments, at = [], [], len(head)
+    for word in words:
+        if word[0] == "element":
+            elements.append((word[1], int(word[2]), [], at))
+            at += int(word[2])
+        elif word[0] == "property":
+            elements[-1][2].append(word[1:])
+        elif word[0] == "comment" and len(word) == 2:
+            try:
+                comments.append(float(word[1]))
+            except ValueError:
+                pass
+    row = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at")).withColumn("_row", row)
+    blocks = lines.groupBy(F.col("_at").alias("_block")).agg(F.min("_row").alias("_least"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("_block", "_least", F.coalesce(before, F.lit(0)).alias("_first"))  # a row a range
+    numbered = lines.join(F.broadcast(blocks), F.col("_at") == F.col("_block"))
+    return elements, comments[:3], numbered.select((F.col("_first") + F.col("_row") - F.col("_least")).alias("no"), "value")
+
+
 def read_ply(spark: SparkSession, path: str, scalar: bool = False, colours: bool = False) -> DataFrame:
     """SRC4: (cloud_id, pid, x, y, z[, scalar][, red, green, blue], off_x, off_y, off_z) of a PLY file or folder; no comment lines mean no offset."""
     schema = "cloud_id string, pid long, x double, y double, z double" + (", scalar double" if scalar else "") + (", red int, green int, blue int" if colours else "") + ", off_x double, off_y double, off_z double"
+    rows = _ascii_rows(spark, path)
+    if rows:
+        (_, count, properties, start), *_ = rows[0]
+        if properties and properties[0][0] == "list":
+            raise ValueError("the first element must be points")
+        offset = rows[1] if len(rows[1]) == 3 else [0.0] * 3
+        names = [p[1] for p in properties]
+        wanted = ["x", "y", "z", *([("scalar" if "scalar" in names else next(n for n in names if n not in ("x", "y", "z")))] if scalar else []), *(["red", "green", "blue"] if colours else [])]
+        word = F.split(F.trim("value"), r"\s+")
+        inside = (F.col("no") >= start) & (F.col("no") < start + count)
+        values = []
+        for name in wanted:
+            kind, whole = _KINDS[properties[names.index(name)][0]], name in ("red", "green", "blue")
+            v = word[names.index(name)].cast("double")
+            v = v.cast("float").cast("double") if kind == "f4" else v if kind == "f8" else v.cast("long").cast("double")
+            v = F.when(inside, v.cast("int") if whole else v)  # a filter pushed down must not cast other lines
+            values.append(v.alias(name if whole or name in ("x", "y", "z") else "scalar"))
+        body = rows[2].where(inside)
+        return body.select(F.lit(os.path.basename(path)).alias("cloud_id"), (F.col("no") - start).alias("pid"), *values, *[F.lit(o).alias(f"off_{c}") for o, c in zip(offset, "xyz", strict=True)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -91,6 +152,15 @@ def read_ply(spark: SparkSession, path: str, scalar: bool = False, colours: bool
 
 def read_faces(spark: SparkSession, path: str) -> DataFrame:
     """(cloud_id, fid, v array<int>) faces of mesh files."""
+    rows = _ascii_rows(spark, path)
+    if rows:
+        word, found, before = F.split(F.trim("value"), r"\s+"), F.lit(None).cast("long"), 0
+        for _, count, properties, start in rows[0]:
+            if properties and properties[0][0] == "list":
+                found = F.when((F.col("no") >= start) & (F.col("no") < start + count), F.col("no") - start + before).otherwise(found)
+                before += count
+        body = rows[2].withColumn("fid", found).where(F.col("fid").isNotNull()).withColumn("_w", word)
+        return body.select(F.lit(os.path.basename(path)).alias("cloud_id"), "fid", F.when(F.col("fid").isNotNull(), F.slice("_w", F.lit(2), F.col("_w")[0].cast("int")).cast("array<int>")).alias("v"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
