@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import bpe, covertree, media, packing, secrets, sharding, simhash, substring, toxicity, urlfilter
+from timberline.llm import bpe, covertree, licenses, media, packing, secrets, sharding, simhash, spelling, substring, toxicity, urlfilter, vectorcodes
 from timberline.llm.common import documents
 
 
@@ -52,9 +52,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_packing, op2_simhash, op3_sharding, op4_url_filter, op5_substring, op6_cover_tree, op7_bpe, op8_media, op9_toxicity, op10_secrets
+        op1_packing, op2_simhash, op3_sharding, op4_url_filter, op5_substring, op6_cover_tree, op7_bpe, op8_media, op9_toxicity, op10_secrets,
+        op11_licenses, op12_vector_codes, op13_spelling,
     )
 }
 
