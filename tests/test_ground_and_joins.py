@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.operators import boxes, ground, spatial
+from timberline.operators import boxes, ground, neighbours, spatial
 from timberline.operators.graph import connected_components
 
 
@@ -32,7 +32,7 @@ def test_low_outliers_take_the_median(spark):
 def test_nearest_equals_brute_force(spark, dims, k):
     r = np.random.default_rng(3)
     q, t = np.round(r.uniform(-30, 30, (200, 3)), 1), np.round(np.vstack([r.uniform(-30, 30, (40, 3)), r.uniform(500, 501, (3, 3))]), 1)
-    got = spatial.nearest(cloud(spark, q), cloud(spark, t).withColumnRenamed("pid", "gid"), k, dims, size=2.0).collect()
+    got = neighbours.nearest(cloud(spark, q), cloud(spark, t).withColumnRenamed("pid", "gid"), k, dims).collect()
     n = len(dims)
     for i in range(200):
         d = np.sqrt(((t[:, :n] - q[i, :n]) ** 2).sum(1))
@@ -44,8 +44,8 @@ def test_nearest_equals_brute_force(spark, dims, k):
 def test_nearest_of_far_and_few(spark):
     q = cloud(spark, [[0, 0, 0], [1e5, 0, 0]])
     t = cloud(spark, [[9e4, 9e4, 0]]).withColumnRenamed("pid", "gid")
-    assert spatial.nearest(q, t, 2, size=1.0).count() == 2
-    assert spatial.nearest(q, t.limit(0), 1).count() == 0 and spatial.nearest(q, t, 1, limit=5.0).count() == 0
+    assert neighbours.nearest(q, t, 2).count() == 2
+    assert neighbours.nearest(q, t.limit(0), 1).count() == 0 and neighbours.nearest(q, t, 1, limit=5.0).count() == 0
 
 
 def test_labels_of_no_boxes_and_a_permutation(spark):

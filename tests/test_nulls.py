@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.operators import active, boxes, ground, inventory, predicates, projections, spatial, stems, voxels
+from timberline.operators import active, boxes, ground, inventory, neighbours, predicates, projections, spatial, stems, voxels
 from timberline.plans import pipelines
 
 ROWS = [(k, k % 9 * 1.0, k // 9 * 1.0, k % 4 * 0.5) for k in range(81)] + [(80, 8.0, 8.0, 0.0)]
@@ -32,7 +32,7 @@ CLOUD = {
     "height": lambda c: voxels.max_height(voxels.voxelised(c, [], GRID, 1.0, (4.0, 4.0, 1.0)), [], GRID),
     "downsampled": lambda c: voxels.downsampled(c, 2.0),
     "stacks": lambda c: stems.circle_stacks(c),
-    "nearest": lambda c: spatial.nearest(c, c.where("pid < 9").withColumnRenamed("pid", "gid"), 1).select("pid", "gid"),
+    "nearest": lambda c: neighbours.nearest(c, c.where("pid < 9").withColumnRenamed("pid", "gid"), 1).select("pid", "gid"),
 }
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from timberline.functions.scalar import cell
 from timberline.operators.graph import checkpointed
-from timberline.operators.spatial import nearest, neighbour_cells, with_bounds
+from timberline.operators.neighbours import nearest
+from timberline.operators.spatial import neighbour_cells, with_bounds
 
 
 def celled(points: DataFrame, size: float) -> DataFrame:
@@ -64,7 +65,7 @@ def ground_grid(points: DataFrame, ground: DataFrame, size: float = 4.0, k: int
     b = with_bounds(points.dropna(subset=["x", "y", "z"]))
     cells = b.select(cell(F.col("x"), F.col("x0"), size).alias("cx"), cell(F.col("y"), F.col("y0"), size).alias("cy"), "x0", "y0").distinct()
     cells = cells.withColumns({"x": F.col("x0") + (F.col("cx") + 0.5) * size, "y": F.col("y0") + (F.col("cy") + 0.5) * size, "qid": F.struct("cx", "cy")})
-    near = nearest(cells, _with_id(ground).select("gid", F.col("gx").alias("x"), F.col("gy").alias("y"), "gz"), k=k, query_id="qid", size=size, values=("gz",))
+    near = nearest(cells, _with_id(ground).select("gid", F.col("gx").alias("x"), F.col("gy").alias("y"), "gz"), k=k, query_id="qid", values=("gz",))
     weight = F.when(F.col("dist") > 0, 1.0 / F.col("dist")).otherwise(1e12) if idw else F.col("dist")
     total = F.sum(weight)
     return near.groupBy("qid").agg(F.when(total > 0, F.sum(F.col("gz") * weight) / total).otherwise(F.avg("gz")).alias("gz")).select("qid.cx", "qid.cy", "gz")
@@ -82,7 +83,7 @@ def remove_ground(points: DataFrame, thresh: float = 2.0, grid_size: float = 4.0
     return above_ground(points, ground_grid(points, ground, grid_size), thresh, grid_size), ground
 
 
-def height_above_ground(points: DataFrame, ground: DataFrame, crop: bool = False, size: float = 4.0) -> DataFrame:
+def height_above_ground(points: DataFrame, ground: DataFrame, crop: bool = False) -> DataFrame:
     """JN4: ``points`` with z relative to the nearest ground point in plan (column ``ground_z`` is added).
 
     ``crop`` takes only ground strictly inside the points' own bounds, unless
@@ -94,7 +95,7 @@ def height_above_ground(points: DataFrame, ground: DataFrame, crop: bool = False
         if None not in b:
             inside = g.where((F.col("x") > b[0]) & (F.col("x") < b[1]) & (F.col("y") > b[2]) & (F.col("y") < b[3]))
             g = g if inside.isEmpty() else inside
-    near = nearest(points, g, k=1, size=size, values=("ground_z",)).select("pid", "ground_z")
+    near = nearest(points, g, k=1, values=("ground_z",)).select("pid", "ground_z")
     return points.join(near, "pid", "left").withColumn("z", F.col("z") - F.col("ground_z"))
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.spatial import nearest
+from timberline.operators.neighbours import nearest
 from timberline.operators.training import passes_summary
 
 #: (occupancy X x Y x Z, pass number) -> probabilities classes x X x Y x Z
@@ -127,5 +127,5 @@ def segment(points: DataFrame, grid: tuple[int, int, int], res: float, scorer: S
     best = passes_summary(scored_voxels(local, grid, scorer, passes, key), [key, "ix", "iy", "iz"]).where(F.col("class_id") > 0)
     corner = best.join(middle, key).select(key, "class_id", "certainty", F.struct("ix", "iy", "iz").alias("vid"), *[((F.col(f"i{c}") - n / 2.0) * res + F.col(f"c{c}")).alias(c) for c, n in zip("xyz", grid, strict=True)])
     limit = dist_threshold if np.isfinite(dist_threshold) else None
-    near = nearest(points, corner, 1, ("x", "y", "z"), "pid", "vid", size=max(res, 0.5), values=("class_id", "certainty"), limit=limit, keys=(key,))
+    near = nearest(points, corner, 1, ("x", "y", "z"), "pid", "vid", values=("class_id", "certainty"), limit=limit, keys=(key,))
     return points.select(key, "pid", "x", "y", "z").join(near.select("pid", "class_id", "certainty").hint("merge"), "pid")

@@ -1,4 +1,4 @@
-"""Spatial joins as grid-keyed equi-joins (JN2-15, WIN1-4, SRT3).
+"""Spatial joins as grid-keyed equi-joins (JN2, JN3, JN15, WIN1-4, SRT3).
 
 A theta join on coordinates would be planned as a nested loop. Here both sides
 get integer cells, the join is an equi-join on them, and the exact predicate is
@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.graph import checkpointed, numbered
+from timberline.operators.graph import numbered
 
 
 def _all(tests) -> Column:
@@ -108,78 +108,6 @@ def neighbour_cells(cells: DataFrame, reach: int, keys: list[str] | None = None,
     return out.withColumns({"ix": F.col("ix") + F.col("_o.i"), "iy": F.col("iy") + F.col("_o.j")}).drop("_o")
 
 
-def nearest(
-    queries: DataFrame, targets: DataFrame, k: int = 1, dims: tuple[str, ...] = ("x", "y"), query_id: str = "pid", target_id: str = "gid", size: float = 4.0, values: tuple[str, ...] = (), limit: float | None = None, keys: tuple[str, ...] = ()
-) -> DataFrame:
-    """kNN join (JN4-6): (query_id, rank, dist, target_id, values) of the ``k`` nearest targets, ties to the smallest id.
-
-    Both sides are bucketed; targets are sent to their cell and the cells around
-    it, so a query meets its candidates in one place. It is settled once its
-    k-th distance is at most the cell size, beyond which nothing unseen can be
-    nearer. The others go on with cells of three times the size, until one block
-    of cells covers everything; each round keeps the equi-join. Cells begin at
-    about ``k`` targets each where targets are spread evenly, with ``size`` the
-    least extent taken for that. With ``limit`` only targets nearer than that
-    count, and cells of that size are the last. Of targets in one place only
-    the ``k`` with the least ids are met. Targets answer queries with equal
-    ``keys`` (not null) only. Rows with a null coordinate have no neighbours.
-    """
-    held_keys = [F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)]
-    place = [*[f"_t{d}" for d in dims], *[f"_k{n}" for n in range(len(keys))]]
-    t = targets.select(F.col(target_id).alias("_tid"), *[F.col(d).alias(f"_t{d}") for d in dims], *values, *held_keys).where(_all(F.col(f"_t{d}").isNotNull() for d in dims))
-    q = queries.select(F.col(query_id).alias("_qid"), *[F.col(d).alias(f"_q{d}") for d in dims], *held_keys).where(_all(F.col(f"_q{d}").isNotNull() for d in dims))
-    t = t.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy("_tid"))).where(F.col("_n") <= k).drop("_n")
-    t = checkpointed(t)  # used by every round
-    both = t.select(F.lit(1).alias("_one"), *[F.col(f"_t{d}") for d in dims]).union(q.select(F.lit(0), *[F.col(f"_q{d}") for d in dims]))
-    edge = both.agg(F.sum("_one").alias("n"), *[f(f"_t{d}").alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    extents = [(edge[f"hi{d}"] or 0.0) - (edge[f"lo{d}"] or 0.0) for d in dims]
-    size = (reduce(lambda a, b: a * b, (max(e, float(size)) for e in extents)) * k / max(1, edge["n"] or 0)) ** (1 / len(dims))
-    steps = [[]]
-    for _ in dims:
-        steps = [[*s, o] for s in steps for o in (-1, 0, 1)]
-    around = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{n}") for n, o in enumerate(s)]) for s in steps])
-    meet = [*[f"_c{n}" for n in range(len(dims))], *[f"_k{n}" for n in range(len(keys))]]
-    d2 = reduce(lambda a, b: a + b, ((F.col(f"_t{d}") - F.col(f"_q{d}")) * (F.col(f"_t{d}") - F.col(f"_q{d}")) for d in dims))
-
-    def met(asked: DataFrame, size: float) -> DataFrame:
-        """The candidates of each query. Merge joins keep rows that grow with the input away from the driver."""
-        cell = lambda c: F.floor(F.col(c) / size)
-        held = t.withColumn("_o", F.explode(around)).withColumns({f"_c{n}": cell(f"_t{d}") + F.col(f"_o.o{n}") for n, d in enumerate(dims)}).drop("_o")
-        asked = asked.withColumns({f"_c{n}": cell(f"_q{d}") for n, d in enumerate(dims)})
-        pairs = asked.join(held.hint("merge"), meet).withColumn("dist", F.sqrt(d2))
-        return pairs if limit is None else pairs.where(F.col("dist") < limit)
-
-    order = Window.partitionBy("_qid").orderBy("dist", "_tid")
-    done = None
-    while True:
-        last = size >= (max(extents) if limit is None else min(limit, max(extents)))
-        size = size if limit is None else min(size, float(limit))
-        if k == 1:  # a minimum of numbers needs no sorted pairs; then only pairs at that distance are looked at
-            least = met(q, size).groupBy("_qid").agg(F.min("dist").alias("_far")).withColumn("_n", F.lit(1).cast("long"))
-        else:
-            ranked = met(q, size).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            ranked = ranked.select("_qid", "rank", "dist", "_tid", *values)
-            ranked = ranked if last else checkpointed(ranked)
-            least = ranked.groupBy("_qid").agg(F.max("dist").alias("_far"), F.count("*").alias("_n"))
-        if last:
-            settled = q.join(least.hint("merge"), "_qid") if k == 1 else None
-        else:
-            state = checkpointed(q.join(least.hint("merge"), "_qid", "left"))
-            ended = F.coalesce((F.col("_n") == k) & (F.col("_far") <= size), F.lit(False))
-            settled = state.where(ended)
-            q = state.where(~ended).drop("_far", "_n")
-        if k == 1:
-            best = met(settled, size).where(F.col("dist") == F.col("_far")).groupBy("_qid", "dist").agg(F.min(F.struct("_tid", *values)).alias("m"))
-            found = best.select(F.col("_qid").alias(query_id), F.lit(1).alias("rank"), "dist", F.col("m._tid").alias(target_id), *[f"m.{c}" for c in values])
-        else:
-            found = ranked if last else ranked.join(settled.select("_qid").hint("merge"), "_qid", "left_semi")
-            found = found.select(F.col("_qid").alias(query_id), "rank", "dist", F.col("_tid").alias(target_id), *values)
-        done = found if done is None else done.union(found)
-        if last or q.isEmpty():
-            return done
-        size *= 3
-
-
 def closest_pixels(pixels: DataFrame, target: tuple[float, ...], channels: tuple[str, ...]) -> DataFrame:
     """SRT3: all pixels with their squared colour distance, in order of it (then row, column)."""
     d = reduce(lambda a, b: a + b, ((F.col(c) - v) * (F.col(c) - v) for c, v in zip(channels, target, strict=True)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.scalar import kernel_table
-from timberline.operators import active, boxes, detect, ground, inventory, learn, predicates, projections, segment, spatial, stems, training, voxels
+from timberline.operators import active, boxes, detect, ground, inventory, learn, neighbours, predicates, projections, segment, spatial, stems, training, voxels
 from timberline.operators.graph import connected_components
 from timberline.plans import pipelines, views
 from timberline.sources import files, las, meshes, ply, tables
@@ -130,7 +130,7 @@ def _(s, d):
 @query("flt11_nearer_than", "SELECT c.pid, round(min(sqrt((c.x-b.x)*(c.x-b.x)+(c.y-b.y)*(c.y-b.y))), 6) AS dist FROM cloud c JOIN (SELECT bid, (xmin+xmax)/2 x, (ymin+ymax)/2 y FROM boxes) b ON sqrt((c.x-b.x)*(c.x-b.x)+(c.y-b.y)*(c.y-b.y)) < 1.5 GROUP BY c.pid", "cloud", "boxes")
 def _(s, d):
     centres = boxes.with_centres(views.boxes(s, d)).select(F.col("bid").alias("gid"), F.col("xc").alias("x"), F.col("yc").alias("y"))
-    return predicates.nearer_than(spatial.nearest(views.cloud(s, d), centres, limit=1.5), 1.5).select("pid", _r("dist"))
+    return predicates.nearer_than(neighbours.nearest(views.cloud(s, d), centres, limit=1.5), 1.5).select("pid", _r("dist"))
 
 
 @query("flt12_labelled", "SELECT pid, tree_id FROM labelled WHERE tree_id > 0", "labelled")
@@ -289,7 +289,7 @@ def _(s, d):
 @query("jn6_nearest_voxel", "SELECT pid, vid, round(dist, 6) AS dist FROM (SELECT c.pid, v.pid AS vid, sqrt((c.x-v.x)*(c.x-v.x)+(c.y-v.y)*(c.y-v.y)+(c.z-v.z)*(c.z-v.z)) dist, row_number() OVER (PARTITION BY c.pid ORDER BY (c.x-v.x)*(c.x-v.x)+(c.y-v.y)*(c.y-v.y)+(c.z-v.z)*(c.z-v.z), v.pid) rn FROM cloud c JOIN (SELECT * FROM cloud WHERE pid % 5 = 0) v ON abs(c.x-v.x) < 4 AND abs(c.y-v.y) < 4 AND abs(c.z-v.z) < 4 WHERE sqrt((c.x-v.x)*(c.x-v.x)+(c.y-v.y)*(c.y-v.y)+(c.z-v.z)*(c.z-v.z)) < 4) q WHERE rn = 1", "cloud")
 def _(s, d):
     c = views.cloud(s, d)
-    near = spatial.nearest(c, c.where(F.col("pid") % 5 == 0).withColumnRenamed("pid", "gid"), 1, ("x", "y", "z"), limit=4.0)
+    near = neighbours.nearest(c, c.where(F.col("pid") % 5 == 0).withColumnRenamed("pid", "gid"), 1, ("x", "y", "z"), limit=4.0)
     return near.select("pid", F.col("gid").alias("vid"), _r("dist"))
 
 
