@@ -30,6 +30,8 @@ MIN_LENGTH, MIN_COUNT, RATIO = 7, 2, 10
 DROPS = 31
 #: Bits of the bitmap: 16 MB, whatever the vocabulary.
 BITS = 27
+#: 64-bit slots of the bitmap that one task puts together.
+BLOCK_SLOTS = 1 << 10
 #: Neighbours made at once in a worker.
 BLOCK = 1 << 20
 #: Base of the letters' sums, odd and so invertible modulo 2^64; numbers of letters are drawn from this seed.
@@ -91,11 +93,20 @@ def _marker(letters: str):
     return run
 
 
+def _packed(table: pa.Table) -> pa.Table:
+    """The slots of one block of the bitmap, put together."""
+    block, slots = table.column("block")[0].as_py(), np.zeros(BLOCK_SLOTS, np.int64)
+    np.bitwise_or.at(slots, table.column("slot").to_numpy() % BLOCK_SLOTS, table.column("bits").to_numpy())
+    return pa.table({"block": pa.array([block], pa.int64()), "packed": pa.array([slots.tobytes()], pa.binary())})
+
+
 def bitmap_of(vocab: DataFrame, letters: str) -> np.ndarray:
-    """The bitmap of all words' hashes; its slots are put together by Spark, 2^(BITS - 6) of them at most."""
-    slots = vocab.select("word").mapInArrow(_marker(letters), "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
+    """The bitmap of all words' hashes. Its blocks are put together by the tasks; the driver gets them packed, 2^(BITS - 3) bytes at most."""
+    marks = vocab.select("word").mapInArrow(_marker(letters), "slot long, bits long").withColumn("block", F.floor(F.col("slot") / BLOCK_SLOTS))
     out = np.zeros(1 << (BITS - 6), np.int64)
-    out[slots["slot"].to_numpy(np.int64)] = slots["bits"].to_numpy(np.int64)
+    for batch in marks.groupBy("block").applyInArrow(_packed, "block long, packed binary").toArrow().to_batches():
+        for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
+            out[block * BLOCK_SLOTS : (block + 1) * BLOCK_SLOTS] = np.frombuffer(packed.as_buffer(), np.int64)
     return out.view(np.uint64)
 
 
