@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from timberline.operators import neighbours, stems
+from timberline.operators import decisions, neighbours, stems
 from timberline.queries import ORACLE_SQL, QUERIES
 from timberline.sources import meshes, ply
 
@@ -89,17 +89,18 @@ def test_copies_climb_alike(spark):
 
 
 def test_copies_are_tied_without_their_pairs(spark, monkeypatch):
-    """grf4, grf5, grf7, snk12: edges follow the rows, not the pairs of a group."""
+    """grf4, grf5, grf7, snk12: edges follow the distinct circles and places, not the pairs of a group."""
     edges = []
-    components = stems.connected_components
+    components, decided = stems.connected_components, decisions.decided
     monkeypatch.setattr(stems, "connected_components", lambda e: edges.append(e.count()) or components(e))
+    monkeypatch.setattr(decisions, "decided", lambda i, *a, **k: edges.append(i.selectExpr("sum(size(lower))").first()[0]) or decided(i, *a, **k))
     c = _column(spark, 40)
     assert {r.cid for r in stems.suppressed(c).collect()} == {min((k * 2 + s + 100 * i for i in range(40) if (k + i) % 7 == 6), default=None) for k in range(12) for s in (0, 1)}
     places = c.selectExpr("cid AS tree_id", "x", "y")
     assert {r.tree_id for r in stems.unique_locations(places).collect()} == {0, 1}
     st = c.selectExpr("cid AS stem_id", "0 AS seq", "cid % 2 AS cid", "x", "y", "r", "z", "n")
     assert {r.tree_id for r in stems.merge_stems(st).collect()} == {0, 1}
-    assert len(edges) == 3 and max(edges) <= 960
+    assert len(edges) == 3 and max(edges) <= 960 and sum(edges[:2]) <= 24
 
 
 @pytest.mark.parametrize("distance", [0.0, 0.7, 2.0])
@@ -116,16 +117,6 @@ def test_unique_locations_equal_the_literal_scan(spark, distance):
     assert sorted(r.tree_id for r in got.collect()) == [*kept, 200, 201]
 
 
-def test_stacks_of_a_tile_come_in_parts(spark):
-    """grf6: what each circle climbs to is found once a distinct circle, and a tile's stacks are not held together."""
-    pdf = _column(spark, 30).toPandas()
-    frames = list(stems._climb(pdf, 10, rows=100))
-    assert len(frames) > 5 and max(map(len, frames)) < 120
-    assert [n for f in frames for n in f["stack"].unique()] == list(range(sum(f["stack"].nunique() for f in frames)))
-    whole = next(iter(stems._climb(pdf, 10)))
-    assert len(whole) == sum(map(len, frames)) and (whole.groupby("stack")["z"].diff().dropna() > 0).all()
-
-
 def test_overlaps_of_copies_are_expanded(spark, monkeypatch):
     """jn11: distances are computed between distinct circles only; shares of copies give each pair once."""
     seen = []

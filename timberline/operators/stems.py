@@ -1,8 +1,9 @@
 """Stems without learning (GRF4-12, JN11-14, AGG26, AGG27, FLT10): circles in slices, suppression, climbing, merging, extraction.
 
-What is sequential within a small group (a slice's tile, a height level, a
-5 m tile of circles) runs in one pandas group; draws are seeded by the group's
-key, so results do not depend on partitioning.
+What is sequential (suppression, first come first kept) is decided in rounds over blocks
+of bounded size, climbing by doubling pointers. The random search in a slice's tile runs
+in one pandas group, its draws seeded by the group's key, so that results do not depend on
+partitioning.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.graph import checkpointed, connected_components
+from timberline.operators import decisions
+from timberline.operators.graph import checkpointed, connected_components, numbered
 from timberline.operators.predicates import slices
 from timberline.operators.spatial import half_overlapping_tiles
 
@@ -250,141 +252,113 @@ def _overlaps_of_distinct(circles: DataFrame, size: float = 1.0) -> DataFrame:
     return a.join(b.hint("merge"), same).where(first & (dist < F.col("a.r") + F.col("b.r"))).select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"))
 
 
-def _suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("cid").reset_index(drop=True)
-    x, y, r, n = (pdf[c].to_numpy() for c in ("x", "y", "r", "n"))
-    keep = np.ones(len(pdf), bool)
-    for i in range(len(pdf)):
-        if keep[i]:
-            same = np.flatnonzero(np.hypot(x - x[i], y - y[i]) < r + r[i])
-            keep[same] = False
-            keep[same[np.argmax(n[same])]] = True
-    return pdf[keep]
-
-
-def suppressed(circles: DataFrame) -> DataFrame:
+def suppressed(circles: DataFrame, block: int = decisions.BLOCK) -> DataFrame:
     """GRF5: at each height, in order of cid, the overlapping circles give way to the one with most inliers (Q22).
 
-    A circle decides only about those it overlaps, so the groups tied by
-    overlap at a height are the tasks. Circles with a null coordinate or radius stay.
+    A circle that still stands when its turn comes acts: all that it overlaps (itself
+    included) go, but for the one with most inliers (then the least cid), which stands
+    again even if it had gone. So a circle stands at its turn if the last acting one
+    before it names it, or if none acted; and at the end likewise, over all that it
+    overlaps. Copies of a circle overlap the same ones: only the first of them and the one
+    with most inliers can ever act, and only the latter can stay. Circles with a null
+    coordinate or radius, and those that overlap nothing, stay. cids are distinct.
     """
     place = ["x", "y", "r", "z"]
-    held = circles.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("r").isNotNull() & F.col("z").isNotNull() & (F.col("r") >= 0))
-    classes = held.groupBy(*place).agg(F.min("cid").alias("_least"))
-    classes = checkpointed(classes)
-    # copies of a circle are tied to the first of them, so their pairs are not listed
-    named = held.select("cid", *place).join(classes.withColumnsRenamed({c: f"_{c}" for c in place}).hint("merge"), [F.col(c) == F.col(f"_{c}") for c in place])
-    copies = named.where((F.col("cid") != F.col("_least")) & (F.col("r") > 0)).select(F.col("_least").alias("u"), F.col("cid").alias("v"))
-    pairs = _overlaps_of_distinct(classes.withColumnRenamed("_least", "cid")).where(F.col("u") < F.col("v"))
-    groups = connected_components(pairs.union(copies))
-    tied = circles.join(groups.hint("merge"), circles["cid"] == groups["node"], "left")
-    alone = tied.where(F.col("component").isNull()).select(*circles.columns)
-    names, schema = circles.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in circles.schema)
-    kept = tied.where(F.col("component").isNotNull()).drop("node").groupBy("component").applyInPandas(lambda pdf: _suppress(pdf)[names], schema)
-    return alone.unionByName(kept)
-
-
-def next_up(circles: DataFrame, reach: float = 2.5, shift: float = 0.1, change: float = 0.2) -> DataFrame:
-    """JN12: (cid, next) the circle to climb to: above by at most ``reach``, nearly below, of like radius; lowest level, then closest radius."""
-    place = ["x", "y", "r", "z"]
-    held = circles.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in place])).select("cid", *place)
-    classes = checkpointed(held.groupBy(*place).agg(F.min("cid").alias("cid")))  # copies climb alike, and to the first of copies
-    a = classes.select(F.col("cid").alias("cid0"), *[F.col(c).alias(f"{c}0") for c in place])
-    b = classes.select(F.col("cid").alias("next"), *place, F.floor(F.col("x") / shift).alias("_i"), F.floor(F.col("y") / shift).alias("_j"))
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("r").isNotNull() & F.col("z").isNotNull() & (F.col("r") >= 0)
+    held = circles.where(whole).select("cid", "n", *place)
+    own = F.when(F.col("r") == 0, F.col("cid"))  # circles without extent do not overlap their copies
+    best = F.max(F.struct("n", (-F.col("cid")).alias("less")))
+    classes = checkpointed(held.groupBy(*place, own.alias("own")).agg(F.min("cid").alias("cid"), best.alias("best")).select("cid", *place, F.col("best.n").alias("n"), (-F.col("best.less")).alias("top")))
+    pairs = checkpointed(_overlaps_of_distinct(classes))
+    near = pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).union(pairs.where(F.col("u") != F.col("v")).select("v", "u"))
+    # whom each class names: the best of all that it overlaps
+    known = classes.select(F.col("cid").alias("b"), F.struct("n", (-F.col("top")).alias("less")).alias("of_b"))
+    named = near.join(known.hint("merge"), "b").groupBy("a").agg((-F.max("of_b")["less"]).alias("names"))
+    named = checkpointed(classes.join(named.hint("merge"), F.col("cid") == F.col("a"), "left").drop("a"))
+    nodes = named.select("cid", *place, "names", F.explode(F.array_distinct(F.array("cid", "top"))).alias("id"))
+    ours = nodes.select(F.col("cid").alias("a"), "id")
+    theirs = nodes.select(F.col("cid").alias("b"), F.col("id").alias("j"), "names")
+    edges = near.join(ours.hint("merge"), "a").join(theirs.hint("merge"), "b").where(F.col("j") < F.col("id"))
+    lower = edges.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("j", (F.col("names") == F.col("id")).alias("named"))), asc=False).alias("l"))
+    items = nodes.join(lower.hint("merge"), F.col("id") == F.col("_id"), "left")
+    items = checkpointed(items.select("id", *place, F.coalesce(F.col("l.j"), F.array().cast("array<bigint>")).alias("lower"), F.coalesce(F.col("l.named"), F.array().cast("array<boolean>")).alias("names")))
+    acts = decisions.decided(items, "z", "x", "y", "id", block=block).where("act").select(F.col("id").alias("_id"))
+    acting = nodes.join(acts.hint("merge"), F.col("id") == F.col("_id")).groupBy(F.col("cid").alias("b")).agg(F.max("id").alias("last"), F.first("names").alias("names"))
+    last = near.join(acting.hint("merge"), "b").groupBy("a").agg(F.max_by("names", "last").alias("last_names"))
+    kept = named.join(last.hint("merge"), F.col("cid") == F.col("a")).where(F.col("last_names") == F.col("top")).select(F.col("top").alias("_id"))
+    alone = named.where(F.col("names").isNull()).select(F.col("cid").alias("_id"))
+    stay = circles.where(whole).join(kept.union(alone).hint("merge"), F.col("cid") == F.col("_id"), "left_semi")
+    return stay.unionByName(circles.where(~F.coalesce(whole, F.lit(False))))
+
+
+def next_up(circles: DataFrame, reach: float = 2.5, shift: float = 0.1, change: float = 0.2, keys: tuple[str, ...] = (), ties: tuple[str, ...] = ("next",)) -> DataFrame:
+    """JN12: (keys, cid, next) the circle to climb to: above by at most ``reach``, nearly below, of like radius; lowest level, then closest radius.
+
+    Circles climb to those of equal ``keys``; ``ties`` (of z, next) decide between equal radii.
+    """
+    place, keyed = ["x", "y", "r", "z"], list(keys)
+    held = circles.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in place])).select("cid", *place, *keyed)
+    classes = checkpointed(held.groupBy(*place, *keyed).agg(F.min("cid").alias("cid")))  # copies climb alike, and to the first of copies
+    a = classes.select(F.col("cid").alias("cid0"), *[F.col(c).alias(f"{c}0") for c in place], *keyed)
+    b = classes.select(F.col("cid").alias("next"), *place, *keyed, F.floor(F.col("x") / shift).alias("_i"), F.floor(F.col("y") / shift).alias("_j"))
     b = b.withColumn("_k", F.explode(F.array(*[F.struct((F.col("_i") + i).alias("i"), (F.col("_j") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
-    b = b.select("next", *place, F.col("_k.i").alias("kx"), F.col("_k.j").alias("ky"))
+    b = b.select("next", *place, *keyed, F.col("_k.i").alias("kx"), F.col("_k.j").alias("ky"))
     dist = F.sqrt((F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0")))
     gap = F.abs(F.col("r") - F.col("r0"))
 
     def above(a: DataFrame) -> DataFrame:
-        keyed = a.withColumns({"kx": F.floor(F.col("x0") / shift), "ky": F.floor(F.col("y0") / shift)})
-        return keyed.join(b.hint("merge"), ["kx", "ky"]).where((F.col("z") > F.col("z0")) & (F.col("z") <= F.col("z0") + reach) & (dist < shift) & (gap < change * F.col("r0")))
+        at = a.withColumns({"kx": F.floor(F.col("x0") / shift), "ky": F.floor(F.col("y0") / shift)})
+        return at.join(b.hint("merge"), ["kx", "ky", *keyed]).where((F.col("z") > F.col("z0")) & (F.col("z") <= F.col("z0") + reach) & (dist < shift) & (gap < change * F.col("r0")))
 
-    lowest = above(a).groupBy("cid0").agg(F.min("z").alias("lowest")).withColumnRenamed("cid0", "_cid")  # numbers, combined before the shuffle
-    level = above(a.join(lowest.hint("merge"), F.col("cid0") == F.col("_cid"))).where(F.col("z") <= F.col("lowest") + 0.01).withColumn("gap", gap)
-    found = level.groupBy("cid0").agg(F.min_by("next", F.struct("gap", "next")).alias("next"))
-    named = held.join(classes.select(*[F.col(c).alias(f"_{c}") for c in place], F.col("cid").alias("least")).hint("merge"), [F.col(c) == F.col(f"_{c}") for c in place])
-    return named.join(found.hint("merge"), F.col("least") == F.col("cid0")).select("cid", "next")
+    under = {c: f"_{c}" for c in ("cid0", *keyed)}
+    lowest = above(a).groupBy("cid0", *keyed).agg(F.min("z").alias("lowest")).withColumnsRenamed(under)  # numbers, combined before the shuffle
+    level = above(a.join(lowest.hint("merge"), [F.col(c) == F.col(n) for c, n in under.items()]).drop(*under.values())).where(F.col("z") <= F.col("lowest") + 0.01).withColumn("gap", gap)
+    found = level.groupBy("cid0", *keyed).agg(F.min_by("next", F.struct("gap", *ties)).alias("next")).withColumnsRenamed(under)
+    named = held.join(classes.select(*[F.col(c).alias(f"_{c}") for c in (*place, *keyed)], F.col("cid").alias("least")).hint("merge"), [F.col(c) == F.col(f"_{c}") for c in (*place, *keyed)])
+    named = named.select("cid", "least", *keyed)
+    return named.join(found.hint("merge"), [F.col("least") == F.col("_cid0"), *[F.col(c) == F.col(f"_{c}") for c in keyed]]).select(*keyed, "cid", "next")
 
 
-def _next_of(x: np.ndarray, y: np.ndarray, r: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """The row that each circle climbs to, -1 without one; of equals the first row.
-
-    Each distinct circle meets those of its cell and the cells around it, so the cost
-    follows the circles near each other and not the whole tile.
-    """
-    _, first, place = np.unique(np.column_stack([x, y, r, z]), axis=0, return_index=True, return_inverse=True)
-    rows = np.sort(first)  # of each distinct circle, in the order of rows
-    x, y, r, z = x[rows], y[rows], r[rows], z[rows]
-    width = 0.1 * (1 + 1e-9)
-    cells: dict[tuple[int, int], list[int]] = {}
-    for k, cell in enumerate(zip(np.floor(x / width).tolist(), np.floor(y / width).tolist(), strict=True)):
-        cells.setdefault(cell, []).append(k)
-    out = np.full(len(rows), -1)
-    for (i, j), own in cells.items():
-        near = np.sort(np.concatenate([cells.get((i + a, j + b), []) for a in (-1, 0, 1) for b in (-1, 0, 1)]).astype(np.int64))
-        step = max(1, (1 << 20) // len(near))
-        for at in range(0, len(own), step):
-            k = np.array(own[at : at + step])[:, None]
-            gap = np.abs(r[near] - r[k])
-            up = (z[near] > z[k]) & (z[near] <= z[k] + 2.5) & (np.hypot(x[near] - x[k], y[near] - y[k]) < 0.1) & (gap < 0.2 * r[k])
-            lowest = np.where(up, z[near], np.inf).min(1)
-            up &= z[near] <= lowest[:, None] + 0.01
-            best = np.where(up, gap, np.inf).argmin(1)
-            out[k[:, 0]] = np.where(np.isfinite(lowest), rows[near[best]], -1)
-    return out[np.searchsorted(rows, first)][place.ravel()]
-
-
-def _climb(pdf: pd.DataFrame, at_least: int, rows: int = 1 << 17):
-    """Frames of about ``rows`` rows of the stacks of one tile."""
-    pdf = pdf.sort_values(["z", "cid"]).reset_index(drop=True)
-    if len(pdf) < 10:
-        return
-    x, y, r, z = (pdf[c].to_numpy(float) for c in "xyrz")
-    above, tagged, top = _next_of(x, y, r, z).tolist(), bytearray(len(pdf)), z.max()
-    held, sizes, stacks = [], [], 0
-
-    def frame() -> pd.DataFrame:
-        out = pdf.iloc[held]
-        return out.assign(stack=np.repeat(np.arange(stacks - len(sizes), stacks), sizes), seq=np.concatenate([np.arange(n) for n in sizes]))
-
-    for seed in range(len(pdf)):
-        if tagged[seed] or z[seed] == top:
-            continue
-        stack = [seed]
-        while (k := above[stack[-1]]) >= 0:
-            tagged[k] = 1
-            stack.append(k)
-        if len(stack) > at_least:
-            held += stack
-            sizes.append(len(stack))
-            stacks += 1
-            if len(held) >= rows:
-                yield frame()
-                held, sizes = [], []
-    if held:
-        yield frame()
+def _jump(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(tx, ty, cid, next): as far as ``one`` and then as far as ``two`` goes."""
+    on = two.select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.col("cid").alias("_cid"), F.col("next").alias("_next"))
+    met = one.join(on.hint("merge"), (F.col("tx") == F.col("_tx")) & (F.col("ty") == F.col("_ty")) & (F.col("next") == F.col("_cid")))
+    return met.select(*[c for c in one.columns if c != "next"], F.col("_next").alias("next"))
 
 
 def climb(circles: DataFrame, tile: float = 5.0, at_least: int = 10) -> DataFrame:
     """GRF6: (stem_id, seq, circle) stacks of more than ``at_least`` circles, climbed inside half-overlapping tiles.
 
-    Stems in overlaps appear once a tile; :func:`merge_stems` joins them.
+    What each circle climbs to makes a forest of pointers. A stack begins at each circle
+    that none climbs to (and that is below the tile's top), and is the way up from there.
+    Ways are found by doubling: tables of what lies 1, 2, 4 ... steps up, from which a stack
+    of any length is put together in as many joins as its length has binary digits, so that no
+    tile is gathered. Tiles of fewer than 10 circles have no stacks. Stems are numbered by
+    tile, then by z and cid of their first circle. Those in overlaps appear once a tile;
+    :func:`merge_stems` joins them.
     """
     tiled = half_overlapping_tiles(circles, tile).select("tx", "ty", "cid", "x", "y", "r", "z", "n")
-    schema = "tx int, ty int, stack int, seq int, cid long, x double, y double, r double, z double, n long"
-    columns = [c.split()[0] for c in schema.split(", ")]
-    kinds = pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[k]) for c, k in (c.split() for c in schema.split(", "))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _in_groups(batches, ["tx", "ty"]):
-            for part in _climb(table.to_pandas(), at_least):
-                yield from pa.Table.from_pandas(part[columns], kinds, preserve_index=False).to_batches()
-
-    # a tile's stacks can be many times its circles, so they are handed on in parts
-    found = tiled.repartition("tx", "ty").sortWithinPartitions("tx", "ty").mapInArrow(run, schema)
-    number = F.shiftleft(F.shiftleft(F.col("tx").cast("long"), 20) + F.col("ty"), 20) + F.col("stack")  # by tile, without a global order
-    return found.select(number.alias("stem_id"), "seq", "cid", "x", "y", "r", "z", "n")
+    sizes = tiled.groupBy(F.col("tx").alias("_tx"), F.col("ty").alias("_ty")).agg(F.count("*").alias("_n"), F.max("z").alias("top"))
+    same = (F.col("tx") == F.col("_tx")) & (F.col("ty") == F.col("_ty"))
+    tiled = checkpointed(tiled.join(sizes.where(F.col("_n") >= 10), same).drop("_tx", "_ty", "_n"))
+    jumps = [checkpointed(next_up(tiled, keys=("tx", "ty"), ties=("z", "next")))]
+    reached = jumps[0].select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.col("next").alias("_cid")).distinct()
+    seeds = tiled.where(F.col("z") < F.col("top")).join(reached.hint("merge"), same & (F.col("cid") == F.col("_cid")), "left_anti")
+    seeds = seeds.select("tx", "ty", "z", F.col("cid").alias("seed"))
+    while not jumps[-1].isEmpty():  # the last table is empty
+        jumps.append(checkpointed(_jump(jumps[-1], jumps[-1])))
+    far = seeds.withColumn("next", F.col("seed"))  # only those with so many steps above them
+    for k, table in enumerate(jumps[:-1]):
+        if at_least >> k & 1:
+            far = _jump(far, table)
+    if at_least >> len(jumps[:-1]):
+        far = far.limit(0)
+    numbered_seeds = numbered(far.select("tx", "ty", "z", "seed"), "tx", "ty", "z", "seed", name="stem_id").drop("z")
+    ways = checkpointed(numbered_seeds.select("stem_id", F.lit(0).alias("seq"), "tx", "ty", F.col("seed").alias("next")))
+    for k, table in enumerate(jumps[:-1]):
+        ways = checkpointed(ways.union(_jump(ways, table).withColumn("seq", F.col("seq") + (1 << k)).select(*ways.columns)))
+    own = tiled.select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), "cid", "x", "y", "r", "z", "n")
+    return ways.join(own.hint("merge"), same & (F.col("next") == F.col("cid"))).select("stem_id", "seq", "cid", "x", "y", "r", "z", "n")
 
 
 def shared_circles(stems: DataFrame) -> DataFrame:
@@ -410,44 +384,63 @@ def locations(trees: DataFrame) -> DataFrame:
     return trees.groupBy("tree_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-def _first_come(pdf: pd.DataFrame, distance: float) -> pd.DataFrame:
-    """Kept places stand in cells, so each place meets the few kept ones of nine cells."""
-    kept: list[int] = []
-    cells: dict[tuple[float, float], list[int]] = {}
-    pdf = pdf.sort_values("tree_id").reset_index(drop=True)
-    x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    width = (distance if distance > 0 else 1.0) * (1 + 1e-9)
-    for i, (a, b) in enumerate(zip(np.floor(x / width).tolist(), np.floor(y / width).tolist(), strict=True)):
-        near = [k for da in (-1, 0, 1) for db in (-1, 0, 1) for k in cells.get((a + da, b + db), ())]
-        if not near or np.hypot(x[near] - x[i], y[near] - y[i]).min() > distance:
-            kept.append(i)
-            cells.setdefault((a, b), []).append(i)
-    return pdf.iloc[kept][["tree_id", "x", "y"]]
-
-
-def unique_locations(places: DataFrame, distance: float = 2.0) -> DataFrame:
+def unique_locations(places: DataFrame, distance: float = 2.0, at_once: int = 32, block: int = decisions.BLOCK) -> DataFrame:
     """GRF4: in order of tree_id, places farther than ``distance`` from every kept one.
 
-    First come decides within a group of places that can influence each other.
-    Places in one cell of that size are one group, and so are cells whose places'
-    bounds come that near, so no pairs of places are listed. Places without
-    coordinates are near none and stay.
+    Places stand in cells so small that no two of one cell can both be kept. In each round
+    the ``at_once`` first undecided places of each cell are decided together; what comes
+    behind them in a cell stands for one neighbour that stays open. Then all places near to
+    kept ones go. So a cell with any number of places never has its pairs listed. Of places
+    with equal coordinates only the first can be kept. Places without coordinates are near
+    none and stay; tree_ids are distinct.
     """
-    places = checkpointed(places.select("tree_id", "x", "y"))
-    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    width = F.lit((float(distance) if distance > 0 else 1.0) * (1 + 1e-9))
-    keyed = places.where(whole).withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
-    cells = keyed.groupBy("cx", "cy").agg(F.min("tree_id").alias("id"), *[f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))])
-    cells = checkpointed(cells)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    sent = cells.withColumn("o", F.explode(steps)).select((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x0", "x1", "y0", "y1")])
-    gap = lambda c: F.greatest(F.col(f"{c}0") - F.col(f"o{c}1"), F.col(f"o{c}0") - F.col(f"{c}1"), F.lit(0.0))
-    near = cells.join(sent.hint("merge"), ["cx", "cy"]).where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= distance * (1 + 1e-9))
-    groups = connected_components(near.select(F.col("id").alias("u"), F.col("other").alias("v")))
-    named = cells.join(groups.hint("merge"), F.col("id") == F.col("node"), "left").select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.coalesce("component", "id").alias("group"))
-    tagged = keyed.join(named.hint("merge"), (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy"))).select("group", "tree_id", "x", "y")
-    found = tagged.groupBy("group").applyInPandas(lambda pdf: _first_come(pdf, distance), "tree_id long, x double, y double")
-    return found.union(places.where(~whole).select(F.col("tree_id").cast("long"), "x", "y"))
+    places = checkpointed(places.select(F.col("tree_id").cast("long").alias("tree_id"), "x", "y"))
+    whole = F.coalesce(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"), F.lit(False))
+    if distance < 0:
+        return places
+    rest = places.where(~whole)
+    width, reach = F.lit(float(distance) / 1.5 or 1.0), 2
+    left = places.where(whole).groupBy("x", "y").agg(F.min("tree_id").alias("id"))
+    if distance == 0:
+        return left.select(F.col("id").alias("tree_id"), "x", "y").union(rest)
+    left = left.withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
+    left, kept = checkpointed(left), None
+    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
+
+    def meeting(frame: DataFrame) -> DataFrame:
+        """``frame`` (columns o...) sent to the cells that it can be near to, joined with ``left`` there."""
+        sent = frame.withColumn("_s", F.explode(steps)).withColumns({"_cx": F.col("ocx") + F.col("_s.i"), "_cy": F.col("ocy") + F.col("_s.j")}).drop("_s")
+        return left.join(sent.hint("merge"), (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy"))).drop("_cx", "_cy")
+
+    while not left.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("cx", "cy", "_s").orderBy("id"))
+        some = left.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("_k", rank).where(F.col("_k") <= at_once + 1)  # a cell may hold any number
+        first = checkpointed(some.withColumn("_k", F.row_number().over(Window.partitionBy("cx", "cy").orderBy("id"))).where(F.col("_k") <= at_once + 1).drop("_s"))
+        active = first.where(F.col("_k") <= at_once)
+        # an open neighbour is known by an id that is no item: -1 and less
+        others = active.select(F.col("id").alias("oid"), F.col("id").alias("oat"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("ocx"), F.col("cy").alias("ocy"))
+        open_ = first.where(F.col("_k") > at_once).select(F.lit(None).cast("long").alias("oid"), F.col("id").alias("oat"), F.lit(None).cast("double").alias("ox"), F.lit(None).cast("double").alias("oy"), F.col("cx").alias("ocx"), F.col("cy").alias("ocy"))
+        near = _near(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"), distance)
+        met = meeting(others.union(open_)).where((F.col("oat") < F.col("id")) & F.coalesce(near, F.lit(True)))
+        lower = met.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("oat", F.coalesce("oid", F.lit(_OPEN)).alias("j"))), asc=False).alias("l"))
+        items = active.join(lower.hint("merge"), F.col("id") == F.col("_id"), "left").withColumn("lower", F.coalesce(F.col("l.j"), F.array().cast("array<bigint>")))
+        items = checkpointed(items.select("id", "x", "y", "cx", "cy", "lower", F.transform("lower", lambda _: F.lit(False)).alias("names")))
+        acts = decisions.decided(items, "cx", "cy", "id", block=block).where("act").select(F.col("id").alias("_id"))
+        new = checkpointed(items.join(acts.hint("merge"), F.col("id") == F.col("_id")).select("id", "x", "y", "cx", "cy"))
+        kept = new if kept is None else kept.union(new)
+        gone = meeting(new.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("ocx"), F.col("cy").alias("ocy"))).where(near).select(F.col("id").alias("_id")).distinct()
+        left = checkpointed(left.join(gone.hint("merge"), F.col("id") == F.col("_id"), "left_anti"))
+    if kept is None:
+        return rest
+    return kept.select(F.col("id").alias("tree_id"), "x", "y").union(rest)
+
+
+#: Stands for the places of a cell that wait for their turn.
+_OPEN = -(1 << 63)
+
+
+def _near(x: Column, y: Column, other_x: Column, other_y: Column, distance: float) -> Column:
+    return F.sqrt((x - other_x) * (x - other_x) + (y - other_y) * (y - other_y)) <= distance
 
 
 def stem_points(points: DataFrame, rings: DataFrame, dh: float = 0.5, outer: float = 0.05, inner: float = 0.05, tree_size: float = 3.0) -> DataFrame:
