@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timberline.llm.common import cut
+
 #: Words hashed together: as many as the shortest phrase has.
 GRAM = 3
 #: Diagonals that are no further apart belong to one span: so many words put in or left out at one place.
@@ -143,7 +145,7 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, notices:
     """
     text = F.col("text").cast("string")
     texts = docs.select("doc_id", F.md5(F.coalesce(text, F.lit(""))).alias("key"), words_of(text).alias("words"))
-    voted = diagonals(texts.select("key", "words"), templates(docs.sparkSession, phrases, notices))
+    voted = cut(diagonals(texts.select("key", "words"), templates(docs.sparkSession, phrases, notices)))  # read for places and for spans
     named = F.concat_ws(":", "label", "start", "end")
     found = places(voted).unionByName(spans(voted)).groupBy("key").agg(
         F.count(F.when(F.col("base"), 1)).alias("n_base"),
