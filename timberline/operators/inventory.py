@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.operators.ground import height_above_ground
+from timberline.operators.selection import at_rank, with_group
 
 
 def tree_tops(points: DataFrame, percentile: float = 99.9, key: str = "tree_id") -> DataFrame:
     """AGG16: (key, pid, x, y, z) the point nearest to each tree's height percentile (nearest rank, half to even).
 
     Background (0) is no tree; every other label has a row (Q10). Equal
-    distances go to the least pid.
+    distances go to the least pid. A tree of any size is counted and searched by partial
+    sums and minima; it is never sorted in one place.
     """
     trees = points.where(F.col(key) > 0)
-    w = Window.partitionBy(key)
-    ranked = trees.withColumns({"_rn": F.row_number().over(w.orderBy("z", "pid")), "_n": F.count("*").over(w)})
-    at = ranked.where(F.col("_rn") == F.rint(F.lit(percentile / 100.0) * (F.col("_n") - 1)).cast("int") + 1).select(key, F.col("z").alias("_pz"))
-    near = trees.join(at, key).groupBy(key).agg(F.min_by(F.struct("pid", "x", "y", "z"), F.struct(F.abs(F.col("z") - F.col("_pz")), F.col("pid"))).alias("top"))
-    return near.select(key, "top.*")
+    at = at_rank(trees, key, "z", lambda n: F.rint(F.lit(percentile / 100.0) * (n - 1)))
+    near = with_group(trees.select(key, "pid", "x", "y", "z"), at.select(F.col(key).alias("_key"), F.col("z").alias("_pz")), key)
+    top = F.min(F.struct(F.abs(F.col("z") - F.col("_pz")).alias("_far"), "pid", "x", "y", "z")).alias("top")
+    return near.groupBy(key).agg(top).select(key, "top.pid", "top.x", "top.y", "top.z")
 
 
 def single_tree_top(points: DataFrame, percentile: float = 99.9) -> DataFrame:
