@@ -34,6 +34,10 @@ TILE = 16384
 SAMPLE, CELLS = 8192, 1024
 #: Bytes of that sample at most.
 SAMPLE_BYTES = 32 << 20
+#: Vector lengths that get cells of their own; of those with over ``TILE`` classes, the commonest first. Others are one cell each.
+LENGTHS = 256
+#: Tasks of a step at most.
+MAX_TASKS = 1 << 14
 LEAF = 16
 SPARSE = 4
 #: Room for rounding in distance bounds; the final test is the cosine's.
@@ -250,13 +254,12 @@ def top_centres(sample: np.ndarray, cells: int) -> np.ndarray:
 def _with_cells(classes: DataFrame, tile: int, cells: int, reach: float) -> tuple[DataFrame, DataFrame]:
     """``classes`` with cell and away (the distance from its centre), and the pairs (dims, a, b) of cells whose covering balls can meet."""
     spark = classes.sparkSession
-    counts = {r["dims"]: r["count"] for r in classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(16).collect()}
+    counts = {r["dims"]: r["count"] for r in classes.groupBy("dims").count().where(F.col("count") > tile).orderBy(F.desc("count"), "dims").limit(LENGTHS).collect()}
     centres = {}
     for d, n in counts.items():
-        if n > tile:  # shorter tables and rarer lengths are one cell
-            size = min(SAMPLE, max(2, SAMPLE_BYTES // (8 * d)))
-            rows = classes.where(F.col("dims") == d).orderBy(F.xxhash64("vector", F.lit(1))).limit(size).select("vector").toArrow().column("vector").combine_chunks()
-            centres[d] = top_centres(rows.flatten().to_numpy().reshape(-1, d), min(cells, max(2, 2 * n // tile)))
+        size = min(SAMPLE, max(2, SAMPLE_BYTES // (8 * d)))
+        rows = classes.where(F.col("dims") == d).orderBy(F.xxhash64("vector", F.lit(1))).limit(size).select("vector").toArrow().column("vector").combine_chunks()
+        centres[d] = top_centres(rows.flatten().to_numpy().reshape(-1, d), min(cells, max(2, 2 * n // tile)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -345,16 +348,20 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, tile: int = TIL
     placed, pairs = _with_cells(classes, tile, cells, reach)
     parts = placed.groupBy("dims", "cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("parts"))
     dealt = placed.join(parts, ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int"))
-    trees = cut(dealt.select("dims", "cell", "part", "vector", "node", "copies").groupBy("dims", "cell", "part").applyInPandas(lambda pdf: _build(pdf, reach), "dims int, cell int, part int, tree binary, ids binary"))
+    # a task for each tile and for a few pairs of tiles: they are small in bytes and long in work, so that sizes do not tell how to deal them
+    tiles = min(int(parts.agg(F.coalesce(F.sum("parts"), F.lit(1))).first()[0]), MAX_TASKS)
+    dealt = dealt.select("dims", "cell", "part", "vector", "node", "copies").repartition(tiles, "dims", "cell", "part")
+    trees = cut(dealt.groupBy("dims", "cell", "part").applyInPandas(lambda pdf: _build(pdf, reach), "dims int, cell int, part int, tree binary, ids binary"))
     # every tile on the first side of its cell's pairs and on the second; a pair of tiles is told by cell and part of both
     sized = parts.select("dims", F.col("cell").alias("_c"), "parts")
     plan = pairs.join(sized.withColumnsRenamed({"_c": "a", "parts": "na"}), ["dims", "a"]).join(sized.withColumnsRenamed({"_c": "b", "parts": "nb"}), ["dims", "b"])
     plan = plan.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    plan = plan.where((F.col("a") < F.col("b")) | (F.col("pa") <= F.col("pb"))).select("dims", "a", "pa", "b", "pb")
+    plan = cut(plan.where((F.col("a") < F.col("b")) | (F.col("pa") <= F.col("pb"))).select("dims", "a", "pa", "b", "pb"))
     ends = F.when((F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
     sides = plan.withColumn("side", F.explode(ends)).withColumns({"cell": F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")), "part": F.when(F.col("side") == 0, F.col("pa")).otherwise(F.col("pb"))})
     sides = sides.join(trees, ["dims", "cell", "part"]).select("dims", "a", "pa", "b", "pb", "side", "tree", "ids")
     # a tile to which the hash gave nothing leaves one side: compared with itself only in the group of its own
+    sides = sides.repartition(min(max(1, plan.count() // 4), MAX_TASKS), "dims", "a", "pa", "b", "pb")
     found = sides.groupBy("dims", "a", "pa", "b", "pb").applyInPandas(lambda key, pdf: _compare_group(key, pdf, cosine), "node long, links long, root long")
     found = cut(found)
     totals = found.groupBy(F.col("node").alias("_n")).agg(F.sum("links").alias("links"))
