@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -52,6 +53,66 @@ def test_names_and_constants(text, literal):
     assert literal not in secrets.redact(text)
 
 
+WHOLE, HEAD, TAIL = "hunter2hunter9xyz", "hunter2hun", "ter9xyzQQ"
+
+
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        (f'password = """{WHOLE}"""', [WHOLE]),
+        (f"db_pwd = '''\n  {WHOLE}\n  second9line8xx\n'''", [WHOLE, "second9line8xx"]),
+        (f"password: >-\n  {WHOLE}\nnext: 1", [WHOLE]),
+        (f"a:\n  passphrase: |\n    {WHOLE}\n\n    second9line8xx\n  other: 2", [WHOLE, "second9line8xx"]),
+        (f"<password><![CDATA[{WHOLE}]]></password>", [WHOLE]),
+        (f'<password type="x" lang="en">{WHOLE}</password>', [WHOLE]),
+        (f"<password>\n  {WHOLE}\n</password>", [WHOLE]),
+        (f'<add key="dbPassword" value="{WHOLE}"/>', [WHOLE]),
+        (f"passphrase =\n    '{WHOLE}'", [WHOLE]),
+        (f"passphrase:\n  {WHOLE}\nb: 1", [WHOLE]),
+        (f'passphrase = (\n   "{HEAD}"  # one\n   "{TAIL}"\n)', [HEAD, TAIL]),
+        (f'passphrase = ("{HEAD}" +\n   "{TAIL}")', [HEAD, TAIL]),
+        (f'passphrase = "{HEAD}" "{TAIL}"', [HEAD, TAIL]),
+        (f'passphrase = "{HEAD}" \\\n  "{TAIL}"', [HEAD, TAIL]),
+        (f'base = "{HEAD}"\npassphrase = base + "{TAIL}"', [HEAD, TAIL]),
+        (f'passphrases = ["{WHOLE}", "b"]', [WHOLE]),
+        (f'passphrases:\n  - "{WHOLE}"\n', [WHOLE]),
+        (f'secret_value = os.getenv("X", "{WHOLE}")', [WHOLE]),
+        (f'x = os.getenv("API_TOKEN", "{WHOLE}")', [WHOLE]),
+        (f'passphrase = decode(wrap("{WHOLE}"))', [WHOLE]),
+        (f'conn = connect(user="me", passphrase="{WHOLE}")', [WHOLE]),
+        (f"credentials:\n  value: {WHOLE}", [WHOLE]),
+        (f'{{"credentials": {{"value": "{WHOLE}"}}}}', [WHOLE]),
+        (f'APIkey: "{WHOLE}"', [WHOLE]),
+        (f"passphrase = <<EOT\n{WHOLE}\nEOT\nx=1", [WHOLE]),
+        (f'passphrase = b"{WHOLE}"', [WHOLE]),
+        (f'config["passphrase"] = "{WHOLE}"', [WHOLE]),
+        (f'# passphrase = "{WHOLE}"', [WHOLE]),
+        (f'if password == "{WHOLE}": pass', []),
+        ('passphrase = os.getenv("API_TOKEN_123")', []),
+        ('passphrase = input("Enter your 1 passphrase: ")', []),
+        ("max_tokens = 1234567890", []),
+    ],
+)
+def test_forms_of_literals(text, literals):
+    """All pieces of a literal are found, and none of them is left by redaction."""
+    assert [text[a:b] for a, b, _ in secrets.named_literals(text)] == literals
+    left = secrets.redact(text)
+    assert not any(piece in left for piece in literals) and (literals or left == text)
+
+
+UNCLOSED = [
+    "token=" + "x=f(" * 20_000, "token=" + "x=f(" * 20_000 + ")" * 20_000, "token:" + "<![CDATA[" * 30_000, "token=<<A\n" * 20_000, 'token="""' * 20_000 + "'''x" * 20_000, "token:|\n  " * 10_000,
+    "token=(" * 20_000, "{" * 50_000 + "token:" + "}" * 50_000, "token = a + \n" * 20_000, '<a b="' * 30_000 + "token", "token\n" * 10 + "a:\n" * 50_000,
+]
+
+
+@pytest.mark.parametrize("text", UNCLOSED, ids=range(len(UNCLOSED)))
+def test_unclosed_and_nested_forms_are_not_slow(text):
+    began = time.process_time()
+    secrets.all_spans(text)
+    assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize("text", ["The token: something nice.", 'password_hint = "name of my dog 1"', 'token_count = "1234567890"', 'password = "changeme"', "key: value", 'path = "/a/b/c/d1234"', "plain prose, nothing else"])
 def test_harmless_literals(text):
     assert not secrets.named_literals(text)

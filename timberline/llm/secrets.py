@@ -1,13 +1,11 @@
 """Secret scans by assignment-aware lexing.
 
-Three fixed patterns give the base spans. On top of them a lexer reads
-assignments of source and configuration syntax (``name = literal``,
-``name: literal``, ``"name": "literal"``, ``name := literal``, ``name => literal``,
-``name: Type = literal``, ``<name>literal</name>``, literals joined with ``+``)
-into name-literal pairs, follows constants through later assignments
-(``K = "..."; password = K``) and scores each literal by how sensitive the names
-are that it reaches. Literals that score enough and lie in no base span become
-spans of kind ``named``.
+Three fixed patterns give the base spans. On top of them a lexer
+(:mod:`timberline.llm.assignments`) reads assignments of source, configuration and markup
+into pairs of a name and the pieces of a literal, follows constants through later
+assignments, concatenations and lists, and each literal is scored by how sensitive the
+names are that it reaches. All pieces of literals that score enough, but for those that lie
+in a base span, become spans of kind ``named``.
 """
 
 from __future__ import annotations
@@ -21,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.assignments import GENERIC, pairs
 from timberline.llm.common import by_text_chunks, texts_of
 
 #: Order of kinds among spans with the same start.
@@ -40,17 +39,10 @@ HARMLESS_LAST = frozenset("count counts length len size name names type path fil
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|todo|changeme|change_me|example|placeholder|redacted|password|secret|token|your[-_ ].*|<.*>|\$?\{.*\}|%.*%|\[.*\])$", re.IGNORECASE | re.ASCII)
 #: What a text must hold for any name in it to score: a word, or a pair with nothing but separators of names between.
 _ANY_SENSITIVE = re.compile("|".join([*map(re.escape, SENSITIVE), *[rf"{a}[_.$-]*{b}" for a, b in SENSITIVE_PAIRS]]), re.IGNORECASE | re.ASCII)
-_LITERAL = r""""(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"""
-_PAIR = re.compile(
-    rf"""(?<![\w.$-])(?P<q>["']?)(?P<name>[A-Za-z_$][\w.$-]*+)(?P=q)(?:\[["'](?P<item>[\w.-]++)["']\])?[ \t]*+"""
-    rf"""(?::[ \t]*+[A-Za-z_][\w.\[\]]*+[ \t]*+(?==[^=]))?(?:=>|:=|=(?!=)|:(?!:))[ \t]*+"""
-    rf"""(?P<value>[bruf]{{0,2}}(?:{_LITERAL})(?:[ \t]*+\+[ \t]*+(?:{_LITERAL}))*+|\$?\{{?[^\s"'`,;(){{}}\[\]<>\#]++\}}?)""",
-    re.ASCII,
-)
-_TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*+)>(?P<value>[^<>\n]++)</(?P=name)>", re.ASCII)
-_PIECE = re.compile(_LITERAL)
-_REFERENCE = re.compile(r"^(?:\$\{?)?([A-Za-z_$][\w.$-]*)\}?$", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Words in s that are no plurals here: counts of tokens are not secret.
+_NO_PLURALS = frozenset(("tokens", "credentials", "access", "pass"))
+_RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+")
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -71,7 +63,11 @@ def name_score(name: str) -> float:
     words = [w.lower() for w in _WORDS.findall(name)]
     if not words:
         return 0.0
-    best = max([SENSITIVE.get(w, 0.0) for w in words] + [SENSITIVE_PAIRS.get(p, 0.0) for p in zip(words, words[1:])])
+    best = 0.0
+    for read in (words, [w.lower() for w in _RUNS.findall(name)]):  # APIkey is API and key
+        read = [w[:-1] if w.endswith("s") and w not in _NO_PLURALS else w for w in read]
+        best = max([best, *[SENSITIVE.get(w, 0.0) for w in read], *[SENSITIVE_PAIRS.get(p, 0.0) for p in zip(read, read[1:])]])
+    words = words[:-1] if len(words) > 1 and words[-1] in GENERIC else words
     return best - 0.6 if words[-1] in HARMLESS_LAST else best
 
 
@@ -87,33 +83,14 @@ def literal_score(value: str) -> float:
 
 
 def named_literals(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that sensitive names hold, directly or through constants."""
+    """(start, end, score) of the pieces of literals that sensitive names hold, directly or through constants."""
     if not ("=" in text or ":" in text or "</" in text) or not _ANY_SENSITIVE.search(text):
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
     scores: dict[tuple[int, int], float] = {}
-
-    def reach(spans: list[tuple[int, int]], name: str) -> None:
-        value = "".join(text[a:b] for a, b in spans)
-        if (n := name_score(name)) > 0 and (s := n + literal_score(value)) >= THRESHOLD:
+    for name, spans in pairs(text):
+        if (n := name_score(name)) > 0 and (s := n + literal_score("".join(text[a:b] for a, b in spans))) >= THRESHOLD:
             for span in spans:
                 scores[span] = max(s, scores.get(span, 0.0))
-
-    for m in _PAIR.finditer(text):
-        name, value = m["item"] or m["name"], m["value"]
-        at = m.start("value")
-        spans = [(at + p.start() + 1, at + p.end() - 1) for p in _PIECE.finditer(value)]
-        if not spans:
-            reference = _REFERENCE.match(value)
-            known = constants.get(reference[1]) if reference else None
-            end = at + len(value.rstrip(".,:!?"))
-            spans = known or [(at, end)]
-            if not known and not any(c.isdigit() for c in value):
-                continue  # a bare word: prose, a call or an unknown name
-        constants[m["name"]] = spans
-        reach(spans, name)
-    for m in _TAG.finditer(text):
-        reach([m.span("value")], m["name"])
     return sorted((a, b, s) for (a, b), s in scores.items() if b > a)
 
 
