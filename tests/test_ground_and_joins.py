@@ -137,3 +137,16 @@ def test_numbered_is_contiguous_in_order(spark):
 def test_metrics_of_nothing(spark):
     none = spark.createDataFrame([], "flag int")
     assert tuple(boxes.detection_metrics(none, none).first()) == (0, 0, 0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("reach,centre,side", [(3, True, 4), (1, False, 3), (2, True, 64)])
+def test_neighbourhood_medians_of_blocks(spark, reach, centre, side):
+    """Medians across the rims of small blocks, of negative cells and cells without neighbours, are those of all pairs; little more than the cells is sent."""
+    r = np.random.default_rng(6)
+    z = {(int(i), int(j)): float(v) for (i, j), v in zip(r.integers(-12, 12, (260, 2)), r.integers(0, 9, 260), strict=True)} | {(50, 50): 3.0}
+    cells = spark.createDataFrame([(i, j, v, f"{i},{j}") for (i, j), v in z.items()], "ix int, iy int, z double, name string")
+    got = {(c.ix, c.iy): c for c in ground.neighbourhood_median(cells, reach, "z", centre, side).collect()}
+    assert len(got) == len(z)
+    for (i, j), v in z.items():
+        near = [z[i + a, j + b] for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if (centre or a or b) and (i + a, j + b) in z]
+        assert (got[i, j].z, got[i, j].name, got[i, j].med) == (v, f"{i},{j}", float(np.median(near)) if near else None)

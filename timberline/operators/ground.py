@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.scalar import cell
 from timberline.operators.graph import checkpointed
 from timberline.operators.neighbours import nearest
-from timberline.operators.spatial import neighbour_cells, with_bounds
+from timberline.operators.spatial import with_bounds
+
+#: Cells on a side of the blocks in which neighbourhoods are looked at.
+BLOCK = 64
 
 
 def celled(points: DataFrame, size: float) -> DataFrame:
@@ -29,10 +34,39 @@ def grid_lowest_point(points: DataFrame, size: float = 2.0) -> DataFrame:
     return celled(points, size).groupBy("ix", "iy").agg(low).select("ix", "iy", "low.pid", "low.x", "low.y", "low.z")
 
 
-def neighbourhood_median(cells: DataFrame, reach: int, value: str = "zmin", centre: bool = True) -> DataFrame:
-    """JN15: (ix, iy, med) median of a value over the occupied cells within ``reach``, for occupied cells."""
-    sent = neighbour_cells(cells.select("ix", "iy", value), reach, centre=centre).groupBy("ix", "iy").agg(F.median(value).alias("med"))
-    return sent.join(cells.select("ix", "iy"), ["ix", "iy"])
+def neighbourhood_median(cells: DataFrame, reach: int, value: str = "zmin", centre: bool = True, side: int = BLOCK) -> DataFrame:
+    """JN15: ``cells`` (ix, iy, value, any others) with med, the median of the value over the occupied cells within ``reach``.
+
+    Cells meet in blocks of ``side`` cells a side. A block gets its own cells whole and of the
+    blocks around it the rim that its cells can see, so little more than each cell once is sent.
+    Values that are null or no numbers count as absent; without any the median is null.
+    """
+    if not 0 < reach <= side:
+        raise ValueError("a block must be as wide as the reach")
+    seen = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + o) / side) for o in (-reach, 0, reach)]))
+    home = (F.col("_bx") == F.floor(F.col("ix") / side)) & (F.col("_by") == F.floor(F.col("iy") / side))
+    rest = [c for c in cells.columns if c not in ("ix", "iy", value)]
+    sent = cells.withColumn("_bx", F.explode(seen("ix"))).withColumn("_by", F.explode(seen("iy"))).withColumn("_own", home)
+    sent = sent.select("_bx", "_by", "_own", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col(value).cast("double").alias(value), *[F.when(F.col("_own"), F.col(c)).alias(c) for c in rest])
+    width, columns = 2 * reach + 1, cells.columns
+
+    def medians(table: pa.Table) -> pa.Table:
+        ix, iy, own = (table.column(c).to_numpy() for c in ("ix", "iy", "_own"))
+        at = np.flatnonzero(own)
+        x0, y0 = table.column("_bx")[0].as_py() * side - reach, table.column("_by")[0].as_py() * side - reach
+        grid = np.full((side + 2 * reach,) * 2, np.nan)
+        grid[ix - x0, iy - y0] = table.column(value).to_numpy().astype(np.float64)
+        around = np.lib.stride_tricks.sliding_window_view(grid, (width, width))[ix[at] - x0 - reach, iy[at] - y0 - reach].reshape(-1, width * width).copy()
+        if not centre:
+            around[:, width * width // 2] = np.nan
+        around.sort(axis=1)  # absent ones last
+        n, rows = (~np.isnan(around)).sum(axis=1), np.arange(len(at))
+        med = 0.5 * around[rows, np.maximum(n - 1, 0) // 2] + 0.5 * around[rows, n // 2]
+        return table.take(pa.array(at)).select(columns).append_column("med", pa.array(med, mask=n == 0))
+
+    kinds = dict(cells.dtypes) | {"ix": "long", "iy": "long", value: "double"}
+    found = sent.groupBy("_bx", "_by").applyInArrow(medians, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "med double"]))
+    return found.withColumns({c: F.col(c).cast(dict(cells.dtypes)[c]) for c in ("ix", "iy")})
 
 
 def ground_points(points: DataFrame, size: float = 2.0, reach: int = 3, tolerance: float = 1.0) -> DataFrame:
@@ -43,10 +77,9 @@ def ground_points(points: DataFrame, size: float = 2.0, reach: int = 3, toleranc
     """
     low = celled(points, size).groupBy("ix", "iy").agg(F.min(F.struct("z", "pid", "x", "y")).alias("low"), F.first("x0").alias("x0"), F.first("y0").alias("y0"))
     low = low.withColumn("zmin", F.col("low.z"))
-    med = neighbourhood_median(low, reach)
     near = F.abs(F.col("zmin") - F.col("med")) < tolerance
     pick = lambda a, b: F.when(near, a).otherwise(b)
-    return low.join(med, ["ix", "iy"]).select(
+    return neighbourhood_median(low, reach).select(
         "ix", "iy", pick(F.col("low.x"), F.col("x0") + (F.col("ix") + 0.5) * size).alias("gx"), pick(F.col("low.y"), F.col("y0") + (F.col("iy") + 0.5) * size).alias("gy"), pick(F.col("zmin"), F.col("med")).alias("gz")
     )
 
@@ -122,8 +155,7 @@ def spike_filter(cells: DataFrame, thresh: float = 5.0, parity: bool = False) ->
     """
     if parity:
         return cells.select("ix", "iy", "z").groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: _scan_spikes(pdf, thresh), "ix int, iy int, z double")
-    med = neighbourhood_median(cells, 1, "z", centre=False)
-    return cells.join(med, ["ix", "iy"], "left").select("ix", "iy", F.when(F.abs(F.col("z") - F.col("med")) > thresh, F.col("med")).otherwise(F.col("z")).alias("z"))
+    return neighbourhood_median(cells, 1, "z", centre=False).select("ix", "iy", F.when(F.abs(F.col("z") - F.col("med")) > thresh, F.col("med")).otherwise(F.col("z")).alias("z"))
 
 
 def export_points(points: DataFrame, size: float = 2.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Spatial joins as grid-keyed equi-joins (JN2, JN3, JN15, WIN1-4, SRT3).
+"""Spatial joins as grid-keyed equi-joins (JN2, JN3, WIN1-4, SRT3).
 
 A theta join on coordinates would be planned as a nested loop. Here both sides
 get integer cells, the join is an equi-join on them, and the exact predicate is
@@ -100,14 +100,6 @@ def half_overlapping_tiles(points: DataFrame, size: float, keys: list[str] | Non
     return out.where(_all(inside)).withColumns({"tx": F.col("tx").cast("int"), "ty": F.col("ty").cast("int")}).drop("_x0", "_x1", "_y0", "_y1")
 
 
-def neighbour_cells(cells: DataFrame, reach: int, keys: list[str] | None = None, centre: bool = True) -> DataFrame:
-    """JN15: each cell (ix, iy, values) sent to every cell within ``reach``: columns ix, iy of the receiver, values of the sender."""
-    steps = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if centre or i or j]
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])
-    out = cells.withColumn("_o", F.explode(offsets))
-    return out.withColumns({"ix": F.col("ix") + F.col("_o.i"), "iy": F.col("iy") + F.col("_o.j")}).drop("_o")
-
-
 def closest_pixels(pixels: DataFrame, target: tuple[float, ...], channels: tuple[str, ...]) -> DataFrame:
     """SRT3: all pixels with their squared colour distance, in order of it (then row, column)."""
     d = reduce(lambda a, b: a + b, ((F.col(c) - v) * (F.col(c) - v) for c, v in zip(channels, target, strict=True)))

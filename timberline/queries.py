@@ -340,7 +340,7 @@ def _(s, d):
 
 @query("jn15_neighbourhood_median", "SELECT ix, iy, med FROM d", "cloud", extra=_GROUND)
 def _(s, d):
-    return ground.neighbourhood_median(ground.grid_minimum(views.cloud(s, d)), 3)
+    return ground.neighbourhood_median(ground.grid_minimum(views.cloud(s, d)), 3).select("ix", "iy", "med")
 
 
 QUERIES["jn1_point_to_ground_cell"], ORACLE_SQL["jn1_point_to_ground_cell"] = QUERIES["flt4_above_ground"], ORACLE_SQL["flt4_above_ground"]

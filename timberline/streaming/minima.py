@@ -30,6 +30,4 @@ def minima(spark: SparkSession, table: str) -> DataFrame:
 
 def current_ground(spark: SparkSession, table: str, reach: int = 3, tolerance: float = 1.0) -> DataFrame:
     """(ix, iy, gz): minima repaired by the neighbourhood median, computed anew from the kept minima."""
-    cells = minima(spark, table)
-    med = neighbourhood_median(cells, reach)
-    return cells.join(med, ["ix", "iy"]).select("ix", "iy", F.when(F.abs(F.col("zmin") - F.col("med")) < tolerance, F.col("zmin")).otherwise(F.col("med")).alias("gz"))
+    return neighbourhood_median(minima(spark, table), reach).select("ix", "iy", F.when(F.abs(F.col("zmin") - F.col("med")) < tolerance, F.col("zmin")).otherwise(F.col("med")).alias("gz"))
