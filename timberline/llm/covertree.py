@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import Forest, connected_components, cut
 
-TILE = 16384
+TILE = 8192
 #: Classes in the sample whose cover tree gives the cells, and cells, at most.
 SAMPLE, CELLS = 8192, 1024
 #: Bytes of that sample at most.
@@ -348,7 +348,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, tile: int = TIL
     placed, pairs = _with_cells(classes, tile, cells, reach)
     parts = placed.groupBy("dims", "cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("parts"))
     dealt = placed.join(parts, ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int"))
-    # a task for each tile and for a few pairs of tiles: they are small in bytes and long in work, so that sizes do not tell how to deal them
+    # a task for each tile and for each pair of tiles, about: they are small in bytes and long in work, so that sizes do not tell how to deal them
     tiles = min(int(parts.agg(F.coalesce(F.sum("parts"), F.lit(1))).first()[0]), MAX_TASKS)
     dealt = dealt.select("dims", "cell", "part", "vector", "node", "copies").repartition(tiles, "dims", "cell", "part")
     trees = cut(dealt.groupBy("dims", "cell", "part").applyInPandas(lambda pdf: _build(pdf, reach), "dims int, cell int, part int, tree binary, ids binary"))
@@ -361,7 +361,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, tile: int = TIL
     sides = plan.withColumn("side", F.explode(ends)).withColumns({"cell": F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")), "part": F.when(F.col("side") == 0, F.col("pa")).otherwise(F.col("pb"))})
     sides = sides.join(trees, ["dims", "cell", "part"]).select("dims", "a", "pa", "b", "pb", "side", "tree", "ids")
     # a tile to which the hash gave nothing leaves one side: compared with itself only in the group of its own
-    sides = sides.repartition(min(max(1, plan.count() // 4), MAX_TASKS), "dims", "a", "pa", "b", "pb")
+    sides = sides.repartition(min(max(1, plan.count()), MAX_TASKS), "dims", "a", "pa", "b", "pb")
     found = sides.groupBy("dims", "a", "pa", "b", "pb").applyInPandas(lambda key, pdf: _compare_group(key, pdf, cosine), "node long, links long, root long")
     found = cut(found)
     totals = found.groupBy(F.col("node").alias("_n")).agg(F.sum("links").alias("links"))
