@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import bpe, covertree, licenses, media, packing, secrets, sharding, simhash, spelling, substring, toxicity, urlfilter, vectorcodes
+from timberline.llm import bpe, covertree, licenses, media, oracles, packing, secrets, sharding, simhash, spelling, substring, toxicity, urlfilter, vectorcodes
 from timberline.llm.common import documents
 
 
@@ -133,4 +133,10 @@ n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u), c AS (SELECT node, m
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON vec_id = u JOIN c ON vec_id = node"""
 
 #: The other operators hash, tokenize, fit or walk trees; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter_sql(), "op6_cover_tree": COVER_TREE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": url_filter_sql(),
+    "op6_cover_tree": COVER_TREE_SQL,
+    "op11_licenses": oracles.licenses_sql(),
+    "op12_vector_codes": oracles.vector_codes_sql(),
+    "op13_spelling": oracles.spelling_sql(),
+}
