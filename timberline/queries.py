@@ -40,21 +40,21 @@ col AS (SELECT ix, iy, count(*)*1.0 AS v, max(iz)*1.0 AS hi, min(iz)*1.0 AS lo F
 rets AS (SELECT ix, iy, iz, arg_max(intensity, pid) ret FROM vox GROUP BY ix, iy, iz)"""
 
 
-def _with(sql: str, *names: str, extra: str = "") -> str:
-    """``sql`` after the named views (and what they need) as common table expressions."""
+def _with(sql: str, *names: str, extra: str = "", recursive: bool = False) -> str:
+    """``sql`` after the named views (and what they need) as common table expressions, of which some may name themselves if ``recursive``."""
     wanted = []
     for name in names:
         wanted += [v for v in (("cloud",) if name == "labelled" else ()) + (name,) if v not in wanted]
     parts = [f"{v} AS ({views.SQL[v]})" for v in wanted] + ([extra] if extra else [])
-    text = f"WITH {', '.join(parts)} {sql}" if parts else sql
+    text = f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} {sql}" if parts else sql
     return text.replace(", 6)", " + 1e-9, 6)")  # as _r does
 
 
-def query(name: str, sql: str | None = None, *names: str, extra: str = ""):
+def query(name: str, sql: str | None = None, *names: str, extra: str = "", recursive: bool = False):
     def register(function: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = function
         if sql:
-            ORACLE_SQL[name] = _with(sql, *names, extra=extra)
+            ORACLE_SQL[name] = _with(sql, *names, extra=extra, recursive=recursive)
         return function
 
     return register
@@ -671,22 +671,58 @@ def _(s, d):
     return boxes.merged_boxes(_backward_boxes(s, d), parity=True)
 
 
-@query("grf4_unique_locations")
+def _first_come(x: str, y: str) -> str:
+    """The literal scan: circles in order of cid, with the list of those kept so far."""
+    return f"""p AS (SELECT row_number() OVER (ORDER BY cid) AS k, cid, px, py FROM (SELECT min(cid) AS cid, {x} AS px, {y} AS py FROM circles GROUP BY 2, 3) q),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(cid BIGINT, x DOUBLE, y DOUBLE)[]) AS kept UNION ALL
+  SELECT p.k, CASE WHEN len(list_filter(kept, lambda t: sqrt((px-t.x)*(px-t.x)+(py-t.y)*(py-t.y)) <= 2.0)) > 0 THEN kept ELSE list_append(kept, {{'cid': p.cid, 'x': px, 'y': py}}) END FROM r JOIN p ON p.k = r.k+1)"""
+
+
+_KEPT = "SELECT t.cid AS tree_id, t.x, t.y FROM (SELECT unnest(kept) AS t FROM r WHERE k = (SELECT max(k) FROM r)) u"
+
+
+@query("grf4_unique_locations", _KEPT, "circles", extra=_first_come("x*7", "y*7"), recursive=True)
 def _(s, d):
     return stems.unique_locations(views.circles(s, d).select(F.col("cid").alias("tree_id"), (F.col("x") * 7).alias("x"), (F.col("y") * 7).alias("y")))
 
 
-@query("grf5_suppressed")
+_SUPPRESSED = """o AS (SELECT a.cid, list(b.cid) AS met, arg_min(b.cid, {'n': -b.n, 'cid': b.cid}) AS best FROM circles a JOIN circles b ON a.z = b.z AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < a.r+b.r GROUP BY a.cid),
+t AS (SELECT c.z, o.*, row_number() OVER (PARTITION BY c.z ORDER BY c.cid) AS k FROM circles c JOIN o ON o.cid = c.cid),
+r AS (SELECT z, CAST(0 AS BIGINT) AS k, list(cid) AS standing FROM circles GROUP BY z UNION ALL
+  SELECT r.z, t.k, CASE WHEN list_contains(standing, t.cid) THEN list_append(list_filter(standing, lambda s: NOT list_contains(met, s)), best) ELSE standing END FROM r JOIN t ON t.z = r.z AND t.k = r.k+1)"""
+
+
+@query("grf5_suppressed", "SELECT c.* FROM circles c JOIN (SELECT unnest(standing) AS cid FROM (SELECT z, arg_max(standing, k) AS standing FROM r GROUP BY z) q) s ON s.cid = c.cid", "circles", extra=_SUPPRESSED, recursive=True)
 def _(s, d):
     return stems.suppressed(views.circles(s, d))
 
 
-@query("grf6_climb")
+_CLIMB = """e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM circles),
+t AS (SELECT tx, ty, c.* FROM circles c, e, range(1000) h(tx), range(1000) v(ty) WHERE tx < ceil((x1-x0)/2.5)-1 AND ty < ceil((y1-y0)/2.5)-1 AND x >= x0+tx*2.5 AND x < x0+tx*2.5+5.0 AND y >= y0+ty*2.5 AND y < y0+ty*2.5+5.0),
+w AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY tx, ty) AS size, max(z) OVER (PARTITION BY tx, ty) AS top FROM t) q WHERE size >= 10),
+u AS (SELECT a.tx, a.ty, a.cid, b.cid AS nxt, b.z, abs(b.r-a.r) AS gap, min(b.z) OVER (PARTITION BY a.tx, a.ty, a.cid) AS low FROM w a JOIN w b ON a.tx = b.tx AND a.ty = b.ty AND b.z > a.z AND b.z <= a.z+2.5 AND sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) < 0.1 AND abs(b.r-a.r) < 0.2*a.r),
+n AS (SELECT tx, ty, cid, arg_min(nxt, {'gap': gap, 'z': z, 'nxt': nxt}) AS nxt FROM u WHERE z <= low+0.01 GROUP BY tx, ty, cid),
+s AS (SELECT * FROM w WHERE z < top AND NOT EXISTS (SELECT 1 FROM n WHERE n.tx = w.tx AND n.ty = w.ty AND n.nxt = w.cid)),
+way AS (SELECT tx, ty, cid AS seed, CAST(0 AS BIGINT) AS seq, cid FROM s UNION ALL SELECT way.tx, way.ty, seed, seq+1, n.nxt FROM way JOIN n ON n.tx = way.tx AND n.ty = way.ty AND n.cid = way.cid),
+tall AS (SELECT tx, ty, seed FROM way GROUP BY tx, ty, seed HAVING count(*) > 10),
+stems AS (SELECT tall.*, row_number() OVER (ORDER BY tall.tx, tall.ty, z, seed)-1 AS stem_id FROM tall JOIN circles ON cid = seed)"""
+
+
+@query("grf6_climb", "SELECT stem_id, CAST(seq AS INT) AS seq, c.* FROM stems JOIN way USING (tx, ty, seed) JOIN circles c ON c.cid = way.cid", "circles", extra=_CLIMB, recursive=True)
 def _(s, d):
     return stems.climb(views.circles(s, d))
 
 
-@query("grf7_merge_stems")
+_MERGED = f"""{_CLIMB},
+st AS (SELECT DISTINCT stem_id, c.* FROM stems JOIN way USING (tx, ty, seed) JOIN circles c ON c.cid = way.cid),
+tie AS (SELECT DISTINCT stem_id AS u, min(stem_id) OVER (PARTITION BY cid) AS v FROM st),
+both_ways AS (SELECT u, v FROM tie UNION SELECT v, u FROM tie),
+reach AS (SELECT u AS node, u AS other FROM both_ways UNION SELECT reach.node, b.v FROM reach JOIN both_ways b ON b.u = reach.other),
+tagged AS (SELECT DISTINCT g.tree_id, st.* EXCLUDE (stem_id) FROM st JOIN (SELECT node, min(other) AS tree_id FROM reach GROUP BY node) g ON g.node = st.stem_id),
+best AS (SELECT tree_id, z, arg_max(cid, {{'n': n, 'less': -cid}}) AS cid FROM tagged GROUP BY tree_id, z)"""
+
+
+@query("grf7_merge_stems", "SELECT b.tree_id, c.* FROM best b JOIN circles c ON c.cid = b.cid", "circles", extra=_MERGED, recursive=True)
 def _(s, d):
     return stems.merge_stems(stems.climb(views.circles(s, d)))
 
@@ -1141,7 +1177,7 @@ def _(s, d):
     return got.select("tree_id", *[_r(c) for c in ("X", "Y", "Z", "DBH_cm")])
 
 
-@query("snk12_tree_locations")
+@query("snk12_tree_locations", _KEPT, "circles", extra=_first_come("x", "y"), recursive=True)
 def _(s, d):
     path = files.new_folder(s, "locations")
     places = stems.unique_locations(stems.locations(views.circles(s, d).withColumn("tree_id", F.col("cid"))))
