@@ -443,6 +443,10 @@ def _near(x: Column, y: Column, other_x: Column, other_y: Column, distance: floa
     return F.sqrt((x - other_x) * (x - other_x) + (y - other_y) * (y - other_y)) <= distance
 
 
+#: Ids of copies in one array, on average at most.
+IDS = 1 << 14
+
+
 def stem_points(points: DataFrame, rings: DataFrame, dh: float = 0.5, outer: float = 0.05, inner: float = 0.05, tree_size: float = 3.0) -> DataFrame:
     """FLT10, JN14: (tree_id, cid, pid, x, y, z) points in the shell of each ring; one may be in several.
 
@@ -452,12 +456,11 @@ def stem_points(points: DataFrame, rings: DataFrame, dh: float = 0.5, outer: flo
     edges = rings.groupBy("tree_id").agg(*[(f(c) + s * tree_size / 2).alias(f"{c}{k}") for c in "xy" for k, f, s in ((0, F.min, -1), (1, F.max, 1))])
     named = rings.select("tree_id", "cid", F.col("x").alias("rx"), F.col("y").alias("ry"), "r", F.col("z").alias("rz"))
     same = ["tree_id", "rx", "ry", "r", "rz"]
-    # copies of a ring in a tree share their points, so points meet distinct rings
-    shares = checkpointed(_in_shares(named.dropna(subset=same), same))
-    ring = checkpointed(shares.groupBy(*same).agg(F.min(F.col("ids")[0]).alias("ring")))
-    copies = shares.withColumnsRenamed({c: f"_{c}" for c in same}).join(ring.hint("merge"), [F.col(c) == F.col(f"_{c}") for c in same])
-    copies = copies.select(F.col("ring").alias("_ring"), F.col("tree_id").alias("_tree"), "ids")
-    ring = ring.join(edges.withColumnRenamed("tree_id", "_tree").hint("merge"), F.col("tree_id") == F.col("_tree")).drop("_tree")
+    # copies of a ring in a tree share their points, so points meet distinct rings; their ids come in shares of bounded size
+    parts = max(1, -(-rings.count() // IDS))
+    held = named.dropna(subset=same).groupBy(*same, F.pmod(F.xxhash64("cid"), F.lit(parts)).alias("_share"))
+    copies = checkpointed(held.agg(F.sort_array(F.collect_list("cid")).alias("ids")).drop("_share"))
+    ring = copies.select(*same).distinct().join(edges.withColumnRenamed("tree_id", "_tree"), F.col("tree_id") == F.col("_tree")).drop("_tree")
     reach, size = F.col("r") + outer, 1.0
     # only cells that the tree's bounds reach as well
     cells = lambda low, high: F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<bigint>"))
@@ -470,8 +473,8 @@ def stem_points(points: DataFrame, rings: DataFrame, dh: float = 0.5, outer: flo
     off = F.sqrt((F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))) - F.col("r")
     inside = (F.col("z") >= F.col("rz") - dh / 2) & (F.col("z") < F.col("rz") + dh / 2) & (off < outer) & (off > -inner)
     inside = inside & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    met = keyed.join(spread.hint("merge"), ["cx", "cy", "cz"]).where(inside).select("tree_id", "ring", "pid", "x", "y", "z")
-    each = met.join(copies.hint("merge"), (F.col("ring") == F.col("_ring")) & (F.col("tree_id") == F.col("_tree")))
+    met = keyed.join(spread.hint("merge"), ["cx", "cy", "cz"]).where(inside).select(*same, "pid", "x", "y", "z")
+    each = met.join(copies.withColumnsRenamed({c: f"_{c}" for c in same}).hint("merge"), [F.col(c) == F.col(f"_{c}") for c in same])
     return each.select("tree_id", F.explode("ids").alias("cid"), "pid", "x", "y", "z")
 
 
