@@ -150,3 +150,18 @@ def test_neighbourhood_medians_of_blocks(spark, reach, centre, side):
     for (i, j), v in z.items():
         near = [z[i + a, j + b] for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if (centre or a or b) and (i + a, j + b) in z]
         assert (got[i, j].z, got[i, j].name, got[i, j].med) == (v, f"{i},{j}", float(np.median(near)) if near else None)
+
+
+@pytest.mark.parametrize("seed,side,thresh", [(1, 64, 2.0), (2, 3, 1.0), (3, 4, 0.5)])
+def test_spikes_in_place_equal_the_scan(spark, seed, side, thresh):
+    """A scan in which changes reach later cells, through several blocks."""
+    r = np.random.default_rng(seed)
+    z = {(int(i), int(j)): float(v) for (i, j), v in zip(r.integers(-8, 8, (180, 2)), r.normal(0, 2, 180).round(1), strict=True)} | {(40, 40): 9.0}
+    want = dict(z)
+    for i, j in sorted(want):
+        near = [want[c] for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (c := (i + a, j + b)) in want]
+        if near and abs(want[i, j] - float(np.median(near))) > thresh:
+            want[i, j] = float(np.median(near))
+    cells = spark.createDataFrame([(i, j, v) for (i, j), v in z.items()], "ix int, iy int, z double")
+    got = {(c.ix, c.iy): c.z for c in ground.spike_filter(cells, thresh, True, side).collect()}
+    assert got == want and got != {(c.ix, c.iy): c.z for c in ground.spike_filter(cells, thresh, False, side).collect()}

@@ -123,3 +123,21 @@ def test_meshes(spark, tmp_path):
     assert ply.read_faces(spark, str(tmp_path / "m.ply")).count() == 30
     colours = meshes.coloured_by(rings, "tree_id")
     assert colours.select("red", "green", "blue").distinct().count() == 1
+
+
+def test_lines_of_split_files_are_numbered_file_by_file(spark, tmp_path):
+    """Several files, many blocks, blank lines: each file's lines are counted from 0 without gaps, in order."""
+    (tmp_path / "clouds").mkdir()
+    for name, n in (("a b.asc", 5000), ("c.asc", 3000), ("d.asc", 1)):
+        (tmp_path / "clouds" / name).write_text("".join(f" {k} {k * 2}\t{k + 0.5}\n" + "\n" * (k % 7 == 0) + "  \r\n" * (k % 11 == 0) for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = tables.read_xyz(spark, str(tmp_path / "clouds"), glob="*.asc")
+        assert got.rdd.getNumPartitions() > 10
+        rows = got.collect()
+        for name, n in (("a b.asc", 5000), ("c.asc", 3000), ("d.asc", 1)):
+            assert sorted((r.pid, r.x, r.y, r.z) for r in rows if r.cloud_id == name) == [(k, k, 2 * k, k + 0.5) for k in range(n)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,41 +35,69 @@ def grid_lowest_point(points: DataFrame, size: float = 2.0) -> DataFrame:
     return celled(points, size).groupBy("ix", "iy").agg(low).select("ix", "iy", "low.pid", "low.x", "low.y", "low.z")
 
 
-def neighbourhood_median(cells: DataFrame, reach: int, value: str = "zmin", centre: bool = True, side: int = BLOCK) -> DataFrame:
-    """JN15: ``cells`` (ix, iy, value, any others) with med, the median of the value over the occupied cells within ``reach``.
+def _in_blocks(cells: DataFrame, reach: int, value: str, extra: str, function: Callable[[np.ndarray, pa.Table, np.ndarray], pa.Array], more: tuple[str, ...] = (), side: int = BLOCK) -> DataFrame:
+    """``cells`` (ix, iy, value, any others) with the column ``extra`` (double) that ``function`` finds block by block.
 
-    Cells meet in blocks of ``side`` cells a side. A block gets its own cells whole and of the
-    blocks around it the rim that its cells can see, so little more than each cell once is sent.
-    Values that are null or no numbers count as absent; without any the median is null.
+    A block has ``side`` cells a side. It gets its own cells whole and of the blocks around
+    it the rim that its cells can see, with ``value`` and ``more``, so little more than each
+    cell once is sent. ``function`` gets the places of the cells in the block (with its rim), the
+    block's rows and which of them are its own.
     """
     if not 0 < reach <= side:
         raise ValueError("a block must be as wide as the reach")
+    columns, shared = cells.columns, (value, *more)
     seen = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + o) / side) for o in (-reach, 0, reach)]))
     home = (F.col("_bx") == F.floor(F.col("ix") / side)) & (F.col("_by") == F.floor(F.col("iy") / side))
-    rest = [c for c in cells.columns if c not in ("ix", "iy", value)]
+    rest = [c for c in columns if c not in ("ix", "iy", *shared)]
     sent = cells.withColumn("_bx", F.explode(seen("ix"))).withColumn("_by", F.explode(seen("iy"))).withColumn("_own", home)
-    sent = sent.select("_bx", "_by", "_own", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col(value).cast("double").alias(value), *[F.when(F.col("_own"), F.col(c)).alias(c) for c in rest])
-    width, columns = 2 * reach + 1, cells.columns
-
-    def medians(table: pa.Table) -> pa.Table:
-        ix, iy, own = (table.column(c).to_numpy() for c in ("ix", "iy", "_own"))
-        at = np.flatnonzero(own)
-        x0, y0 = table.column("_bx")[0].as_py() * side - reach, table.column("_by")[0].as_py() * side - reach
-        grid = np.full((side + 2 * reach,) * 2, np.nan)
-        grid[ix - x0, iy - y0] = table.column(value).to_numpy().astype(np.float64)
-        around = np.lib.stride_tricks.sliding_window_view(grid, (width, width))[ix[at] - x0 - reach, iy[at] - y0 - reach].reshape(-1, width * width).copy()
-        if not centre:
-            around[:, width * width // 2] = np.nan
-        around.sort(axis=1)  # absent ones last
-        n, rows = (~np.isnan(around)).sum(axis=1), np.arange(len(at))
-        med = 0.5 * around[rows, np.maximum(n - 1, 0) // 2] + 0.5 * around[rows, n // 2]
-        return table.take(pa.array(at)).select(columns).append_column("med", pa.array(med, mask=n == 0))
-
-    kinds = dict(cells.dtypes) | {"ix": "long", "iy": "long", value: "double"}
-    found = sent.groupBy("_bx", "_by").applyInArrow(medians, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "med double"]))
+    sent = sent.select("_bx", "_by", "_own", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), *[F.col(c).cast("double").alias(c) for c in shared], *[F.when(F.col("_own"), F.col(c)).alias(c) for c in rest])
+
+    def run(table: pa.Table) -> pa.Table:
+        corner = [table.column(c)[0].as_py() * side - reach for c in ("_bx", "_by")]
+        places = np.column_stack([table.column(c).to_numpy() - o for c, o in zip(("ix", "iy"), corner, strict=True)])
+        at = np.flatnonzero(table.column("_own").to_numpy())
+        return table.take(pa.array(at)).select(columns).append_column(extra, function(places, table, at))
+
+    kinds = dict(cells.dtypes) | {"ix": "long", "iy": "long"} | dict.fromkeys(shared, "double")
+    found = sent.groupBy("_bx", "_by").applyInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"{extra} double"]))
     return found.withColumns({c: F.col(c).cast(dict(cells.dtypes)[c]) for c in ("ix", "iy")})
 
 
+def _grid(places: np.ndarray, values: np.ndarray, reach: int, side: int) -> np.ndarray:
+    grid = np.full((side + 2 * reach,) * 2, np.nan)
+    grid[places[:, 0], places[:, 1]] = values
+    return grid
+
+
+def _around(grid: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
+    """The cells within ``reach`` of each place, row by row of the neighbourhood."""
+    width = 2 * reach + 1
+    return np.lib.stride_tricks.sliding_window_view(grid, (width, width))[places[:, 0] - reach, places[:, 1] - reach].reshape(-1, width * width).copy()
+
+
+def _medians(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The median of the numbers in each row, and how many there are."""
+    around.sort(axis=1)  # absent ones last
+    n, rows = (~np.isnan(around)).sum(axis=1), np.arange(len(around))
+    return 0.5 * around[rows, np.maximum(n - 1, 0) // 2] + 0.5 * around[rows, np.minimum(n // 2, around.shape[1] - 1)], n
+
+
+def neighbourhood_median(cells: DataFrame, reach: int, value: str = "zmin", centre: bool = True, side: int = BLOCK) -> DataFrame:
+    """JN15: ``cells`` (ix, iy, value, any others) with med, the median of the value over the occupied cells within ``reach``.
+
+    Values that are null or no numbers count as absent; without any the median is null.
+    """
+
+    def medians(places: np.ndarray, table: pa.Table, own: np.ndarray) -> pa.Array:
+        around = _around(_grid(places, table.column(value).to_numpy().astype(np.float64), reach, side), places[own], reach)
+        if not centre:
+            around[:, around.shape[1] // 2] = np.nan
+        med, n = _medians(around)
+        return pa.array(med, mask=n == 0)
+
+    return _in_blocks(cells, reach, value, "med", medians, side=side)
+
+
 def ground_points(points: DataFrame, size: float = 2.0, reach: int = 3, tolerance: float = 1.0) -> DataFrame:
     """AGG4: (ix, iy, gx, gy, gz), one ground point for each cell with points.
 
@@ -138,24 +167,54 @@ def flat_minimum(points: DataFrame, size: float = 2.0) -> DataFrame:
     return grid_minimum(points, size).join(F.broadcast(top), F.lit(True)).where(F.col("zmin") < F.col("_top")).select("ix", "iy", F.col("zmin").alias("z"))
 
 
-def _scan_spikes(pdf: pd.DataFrame, thresh: float) -> pd.DataFrame:
-    z = {(i, j): v for i, j, v in pdf[["ix", "iy", "z"]].itertuples(index=False)}
-    for i, j in sorted(z):
-        near = [z[c] for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (c := (i + a, j + b)) in z]
-        if near and abs(z[i, j] - (m := float(pd.Series(near).median()))) > thresh:
-            z[i, j] = m
-    return pd.DataFrame([(i, j, v) for (i, j), v in sorted(z.items())], columns=["ix", "iy", "z"])
-
+def _despiked_in_place(cells: DataFrame, thresh: float, side: int = BLOCK) -> DataFrame:
+    """(ix, iy, z) after a scan by ix, then iy, in which each cell sees the cells before it as they have become.
 
-def spike_filter(cells: DataFrame, thresh: float = 5.0, parity: bool = False) -> DataFrame:
+    What a cell becomes depends on earlier ones only where those change, so guesses are made
+    better until none changes: inside a block at once, between blocks by the rim that the
+    next round sends. A cell's guess is right once those of the cells before it are; rounds
+    follow the changes that lead from block to block, and later ones take only blocks that
+    see a changed cell.
+    """
+    names = ("z", "v")
+
+    def scan(places: np.ndarray, table: pa.Table, own: np.ndarray) -> pa.Array:
+        z, v = (_grid(places, table.column(c).to_numpy().astype(np.float64), 1, side) for c in names)
+        mine = places[own]
+        here, later = z[mine[:, 0], mine[:, 1]], _around(z, mine, 1)[:, 5:]
+        while True:
+            med, n = _medians(np.concatenate([_around(v, mine, 1)[:, :4], later], axis=1))
+            new = np.where((n > 0) & (np.abs(here - med) > thresh), med, here)
+            if np.array_equal(new, v[mine[:, 0], mine[:, 1]], equal_nan=True):
+                return pa.array(new, from_pandas=True)
+            v[mine[:, 0], mine[:, 1]] = new
+
+    state = checkpointed(cells.select("ix", "iy", F.col("z").cast("double").alias("z"), F.col("z").cast("double").alias("v")))
+    seen = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + o) / side) for o in (-1, 0, 1)]))
+    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    in_block = (F.floor(F.col("ix") / side) == F.col("_bx")) & (F.floor(F.col("iy") / side) == F.col("_by"))
+    new = checkpointed(_in_blocks(state, 1, "z", "w", scan, ("v",), side))
+    while True:
+        changed = new.where(~F.col("w").eqNullSafe(F.col("v"))).select("ix", "iy", "w")
+        if changed.isEmpty():
+            return state.select("ix", "iy", F.col("v").alias("z"))
+        state = state.join(changed.select(F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), "w"), (F.col("ix") == F.col("_ix")) & (F.col("iy") == F.col("_iy")), "left")
+        state = checkpointed(state.select("ix", "iy", "z", F.coalesce("w", "v").alias("v")))
+        # the blocks that see a changed cell are scanned again, with those around them for their rims
+        blocks = checkpointed(changed.select(F.explode(seen("ix")).alias("_bx"), "iy").select("_bx", F.explode(seen("iy")).alias("_by")).distinct())
+        wide = blocks.withColumn("_s", F.explode(steps)).select((F.col("_bx") + F.col("_s.i")).alias("_bx"), (F.col("_by") + F.col("_s.j")).alias("_by")).distinct()
+        new = _in_blocks(state.join(wide, in_block, "left_semi"), 1, "z", "w", scan, ("v",), side)
+        new = checkpointed(new.join(blocks, in_block, "left_semi"))
+
+
+def spike_filter(cells: DataFrame, thresh: float = 5.0, parity: bool = False, side: int = BLOCK) -> DataFrame:
     """AGG6: cells farther than ``thresh`` from the median of their 8 neighbours take it.
 
-    One pass over the unchanged grid; ``parity`` scans cell after cell in place
-    (Q22), which needs the whole grid in one task.
+    One pass over the unchanged grid; with ``parity`` cell after cell in place (Q22).
     """
     if parity:
-        return cells.select("ix", "iy", "z").groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: _scan_spikes(pdf, thresh), "ix int, iy int, z double")
-    return neighbourhood_median(cells, 1, "z", centre=False).select("ix", "iy", F.when(F.abs(F.col("z") - F.col("med")) > thresh, F.col("med")).otherwise(F.col("z")).alias("z"))
+        return _despiked_in_place(cells, thresh, side)
+    return neighbourhood_median(cells, 1, "z", centre=False, side=side).select("ix", "iy", F.when(F.abs(F.col("z") - F.col("med")) > thresh, F.col("med")).otherwise(F.col("z")).alias("z"))
 
 
 def export_points(points: DataFrame, size: float = 2.0) -> DataFrame:

@@ -398,6 +398,11 @@ def _(s, d):
     return ground.spike_filter(ground.grid_minimum(views.cloud(s, d)).withColumnRenamed("zmin", "z"), 0.5)
 
 
+@query("agg6_spike_filter_parity")
+def _(s, d):
+    return ground.spike_filter(ground.grid_minimum(views.cloud(s, d)).withColumnRenamed("zmin", "z"), 0.5, parity=True)
+
+
 @query("agg7_export_points", "SELECT b.x0+m.ix*2.0 AS x, b.y0+m.iy*2.0 AS y, m.zmin AS z FROM m CROSS JOIN b WHERE m.zmin < (SELECT max(z) FROM cloud)", "cloud", extra=_GROUND)
 def _(s, d):
     return ground.export_points(views.cloud(s, d))

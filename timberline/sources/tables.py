@@ -10,36 +10,40 @@ from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.model import RasterConfig
 from timberline.operators.detect import image_of
+from timberline.operators.graph import checkpointed
 from timberline.operators.projections import voc_to_yolo
 from timberline.sources.files import write_bytes, write_named
 
 
-def _numbered(spark: SparkSession, path: str, delimiter: str, glob: str | None = None) -> DataFrame:
-    """Lines of text files as (cloud_id, pid, f array<string>); pid counts a file's lines.
+#: Blocks of files up to which their first numbers are broadcast.
+BROADCAST_BLOCKS = 1 << 16
 
-    Text sources split files, so the number comes from the line's place within
-    its block and the blocks before it.
-    """
-    reader = spark.read.format("binaryFile")
-    reader = reader.option("pathGlobFilter", glob) if glob else reader
 
-    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [r for r in bytes(data).decode("utf-8").splitlines() if r.strip()]
-                for k in range(0, len(rows), 50_000):
-                    part = rows[k : k + 50_000]
-                    yield pd.DataFrame({"cloud_id": os.path.basename(name), "pid": range(k, k + len(part)), "line": part})
+def _numbered(spark: SparkSession, path: str, delimiter: str, glob: str | None = None) -> DataFrame:
+    """Lines of text files as (cloud_id, pid, f array<string>); pid counts a file's lines from 0, blank ones left out.
 
-    out = reader.load(path).select("path", "content").mapInPandas(lines, "cloud_id string, pid long, line string")
+    Files are split and read by blocks. A line's number is its place in its block and the
+    lines of the file's blocks before it, which are counted by a first pass over the files.
+    """
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    file, block = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B"))  # names come as parts of URIs
+    lines = reader.text(path).select("value", file, block, name.alias("cloud_id")).where(F.col("value").rlike(r"\S"))
+    lines = lines.withColumn("_place", F.monotonically_increasing_id())  # goes up by one inside a block
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_place").alias("_start"), F.count("*").alias("_lines"))
+    before = F.sum("_lines").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = checkpointed(blocks.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), (F.coalesce(before, F.lit(0)) - F.col("_start")).alias("_shift")))
+    few = blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    out = lines.join(F.broadcast(blocks) if few else blocks, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
     pattern = r"\s+" if delimiter == " " else "\\Q" + delimiter + "\\E"
-    return out.select("cloud_id", "pid", F.transform(F.split(F.trim("line"), pattern), lambda v: F.trim(F.regexp_replace(v, r"^\||\|$", ""))).alias("f"))
+    fields = F.transform(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), pattern), lambda v: F.trim(F.regexp_replace(v, r"^\||\|$", "")))
+    return out.select("cloud_id", (F.col("_place") + F.col("_shift")).alias("pid"), fields.alias("f"))
 
 
 def read_xyz(spark: SparkSession, path: str, delimiter: str = " ", x: int = 0, y: int = 1, z: int = 2, label: int | None = None, returns: int | None = None, other: tuple[int, ...] = (), glob: str | None = None) -> DataFrame:
@@ -67,7 +71,7 @@ def read_off(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
 
 
 def read_bin(spark: SparkSession, path: str, names: list[str], formats: list[str], wanted: list[str] | None = None) -> DataFrame:
-    """SRC3: fixed records of numpy ``formats``; only ``wanted`` fields are kept. Records are split by Spark's fixed-length reader."""
+    """SRC3: fixed records of numpy ``formats``; only ``wanted`` fields are kept. A file is read by one task."""
     kind = np.dtype({"names": names, "formats": formats})
     kept = wanted or names
     schema = ", ".join(f"{n} double" for n in kept)
