@@ -100,18 +100,27 @@ def test_backward_merge(spark):
     assert {tuple(r) for r in boxes.merged_boxes(b, parity=True).collect()} == {(30, 30, 31, 31), (10, 10, 13, 13)}
 
 
-def literal_backward(rows):
-    """The scan word by word: from the last row to the second, each row against all rows before it."""
-    rows, out = [list(r) for r in rows], []
-    for i in range(len(rows), 0, -1):
-        for j in range(i - 1):
-            a, b = rows[i - 1], rows[j]
-            if a[2] >= b[0] and b[2] >= a[0] and a[3] >= b[1] and b[3] >= a[1]:
-                rows[j] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
-                break
-            if j == i - 2:
-                out.append(tuple(a))
-    return sorted(out)
+def around(*some):
+    """The least box around some boxes."""
+    low, high = np.array(some)[:, :2].min(axis=0), np.array(some)[:, 2:].max(axis=0)
+    return (*low.tolist(), *high.tolist())
+
+
+def overlapping(one, other):
+    """Whether the box around both is no longer, along either axis, than the two laid end to end."""
+    both = around(one, other)
+    return all(both[k + 2] - both[k] <= one[k + 2] - one[k] + other[k + 2] - other[k] + 1e-12 for k in (0, 1))
+
+
+def merged_backward(boxes_left):
+    """By definition: the last box goes into the first one before it that it overlaps, or comes out if there is none; then the shorter list's."""
+    if len(boxes_left) < 2:
+        return []
+    *earlier, last = boxes_left
+    host = next((k for k, box in enumerate(earlier) if overlapping(box, last)), None)
+    if host is None:
+        return [last, *merged_backward(earlier)]
+    return merged_backward([*earlier[:host], around(earlier[host], last), *earlier[host + 1 :]])
 
 
 @pytest.mark.parametrize("rows", [[(0, 0, 2, 2), (1, 1, 3, 3)], [(50, 50, 51, 51), (0, 0, 2, 2), (1, 1, 3, 3)], None])
@@ -122,7 +131,7 @@ def test_backward_merge_equals_the_literal_scan(spark, rows):
         rows = [(y, x, y + h, x + w) for (y, x), (h, w) in zip(low.tolist(), r.uniform(1, 7, (80, 2)).round(2).tolist(), strict=True)]
     b = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(rows)], "bid long, ymin double, xmin double, ymax double, xmax double")
     got = sorted(tuple(r) for r in boxes.merged_boxes(b, parity=True).collect())
-    assert got == literal_backward(rows)
+    assert got == sorted(merged_backward([tuple(map(float, x)) for x in rows]))
 
 
 def test_numbered_is_contiguous_in_order(spark):
