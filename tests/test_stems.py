@@ -77,3 +77,38 @@ def test_results_do_not_depend_on_partitioning(spark):
     points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz[:8000])], "pid long, x double, y double, z double")
     a, b = (sorted(map(tuple, stems.circle_stacks(p, 0.4, 0.0, 2.0).collect())) for p in (points.repartition(2), points.repartition(7, "pid")))
     assert a == pytest.approx(b)
+
+def dense_tile(n=9000):
+    """Two stems' rings and scatter, all in one tile, and a second group of few points."""
+    rng = np.random.default_rng(11)
+    a = rng.uniform(0, 2 * np.pi, n)
+    ring = np.column_stack([np.cos(a), np.sin(a)]) * np.where(np.arange(n) % 2, 0.2, 0.3)[:, None] + rng.normal(0, 0.004, (n, 2))
+    return ring + np.where(np.arange(n) % 2, 0.5, 1.4)[:, None]
+
+
+def test_large_tiles_are_searched_by_shares(spark):
+    """The same circles as in one task, with no share or draw lost."""
+    xy = np.vstack([dense_tile(), [[0.0, 0.0], [4.0, 4.0]]])
+    rows = [(i, float(x), float(y), 0.1) for i, (x, y) in enumerate(xy)]
+    points = spark.createDataFrame(rows, "pid long, x double, y double, z double").repartition(5)
+    whole, shared = (sorted(map(tuple, stems.circle_stacks(points, 0.4, 0.0, 0.4, share=s).collect())) for s in (None, 700))
+    assert len(whole) >= 2 and shared == whole
+
+
+def test_large_keys_give_the_best_circle_by_shares(spark):
+    xy, search = dense_tile(), stems.CircleSearch(min_inliers=60, inner_band=0.1, max_inner=20, min_bins=11)
+    rows = [(i % 2 if i < 8900 else 2, i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    rows += [(3, 9000 + i, float(i), 0.0) for i in range(900)]  # a line: no circle
+    points = spark.createDataFrame(rows, "tree long, pid long, x double, y double").repartition(5)
+    whole, shared = ({r.tree: tuple(r)[1:] for r in stems.best_circles(points, "tree", search, s).collect()} for s in (None, 800))
+    assert set(whole) == set(shared) >= {0, 1}
+    assert all(shared[k] == pytest.approx(whole[k], abs=1e-7) for k in whole)
+
+
+def test_a_refit_outside_the_limits_gives_way_to_the_next(spark):
+    xy = dense_tile()[1::2]
+    points = spark.createDataFrame([(7, i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "tree long, pid long, x double, y double")
+    for r_max in (0.2003, 0.2, 0.1995):
+        search = stems.CircleSearch(min_inliers=60, inner_band=0.1, max_inner=20, min_bins=11, r_max=r_max, band=0.004)
+        whole, shared = ([tuple(r) for r in stems.best_circles(points, "tree", search, s).collect()] for s in (None, 900))
+        assert len(shared) == len(whole) and all(a == pytest.approx(b, abs=1e-7) for a, b in zip(shared, whole))

@@ -1,213 +1,30 @@
 """Stems without learning (GRF4-12, JN11-14, AGG26, AGG27, FLT10): circles in slices, suppression, climbing, merging, extraction.
 
 What is sequential (suppression, first come first kept) is decided in rounds over blocks
-of bounded size, climbing by doubling pointers. The random search in a slice's tile runs
-in one pandas group, its draws seeded by the group's key, so that results do not depend on
-partitioning.
+of bounded size, climbing by doubling pointers. The random circle search is in
+:mod:`timberline.operators.circles`.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.operators import decisions
+from timberline.operators.circles import BEST, MANY, CircleSearch, angular_bins, best_circles, candidate_circles, circle_stacks, circumcircles, find_best_circle, find_circles, fit_circle, seed_of  # noqa: F401
 from timberline.operators.graph import checkpointed, connected_components, numbered
-from timberline.operators.predicates import slices
 from timberline.operators.spatial import half_overlapping_tiles
 
 
-@dataclass(frozen=True)
-class CircleSearch:
-    """Limits of the random circle search (fixed values, lengths in metres)."""
-
-    tests: int = 200
-    r_min: float = 0.075
-    r_max: float = 0.5
-    band: float = 0.05
-    inner_band: float = 0.05
-    max_inner: int = 5
-    min_inliers: int = 50
-    bins: int = 11
-    min_bins: int = 6
-    min_points: int = 20
-
-
-#: Many circles a tile, no refit.
-MANY = CircleSearch()
-#: The one best circle, with every angle covered and a least-squares refit.
-BEST = CircleSearch(inner_band=0.1, max_inner=20, min_inliers=200, min_bins=11)
-
-
-def seed_of(*key) -> int:
-    return zlib.crc32(repr(tuple(float(k) if isinstance(k, (int, float, np.number)) else str(k) for k in key)).encode())
-
-
-def circumcircles(triples: np.ndarray) -> np.ndarray:
-    """(x, y, r) through each of n triples of points (n, 3, 2); nan for points on a line."""
-    a, b, c = triples[:, 0], triples[:, 1], triples[:, 2]
-    u, v = b - a, c - a
-    cross = 2.0 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        uu, vv = (u * u).sum(1), (v * v).sum(1)
-        x, y = (v[:, 1] * uu - u[:, 1] * vv) / cross, (u[:, 0] * vv - v[:, 0] * uu) / cross
-        out = np.column_stack([a[:, 0] + x, a[:, 1] + y, np.hypot(x, y)])
-    out[cross == 0] = np.nan
-    return out
-
-
-def angular_bins(dx: np.ndarray, dy: np.ndarray, bins: int = 11) -> np.ndarray:
-    """AGG26: counts of directions in equal bins over [-pi, pi]."""
-    return np.histogram(np.arctan2(dy, dx), bins=np.linspace(-np.pi, np.pi, bins + 1))[0]
-
-
-def fit_circle(points: np.ndarray, start: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """GRF12: least squares of r - |p - centre| by Gauss-Newton."""
-    p = np.array(start, float)
-    for _ in range(rounds):
-        d = points - p[:2]
-        dist = np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-12)
-        jac = np.column_stack([d / dist[:, None], np.ones(len(d))])
-        step = np.linalg.lstsq(jac, dist - p[2], rcond=None)[0]
-        p += step
-        if np.abs(step).max() < 1e-10:
-            break
-    return p
-
-
 def circle_residual(x: Column, y: Column, cx: Column, cy: Column, r: Column) -> Column:
     """GRF12 as an expression: the radius less the point's distance from the centre."""
     return r - F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))
 
 
-def candidate_circles(xy: np.ndarray, seed: int, search: CircleSearch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(circle, inliers) of the random triples that pass every limit but :func:`goes_round`, in the order drawn; distances are held for a few circles at a time."""
-    if len(xy) < search.min_points:
-        return
-    rng = np.random.default_rng(seed)
-    circles = circumcircles(xy[rng.integers(0, len(xy), (search.tests, 3))])
-    circles = circles[(search.r_min <= circles[:, 2]) & (circles[:, 2] <= search.r_max)]  # also drops nan
-    step = max(1, (1 << 17) // len(xy))
-    for at in range(0, len(circles), step):
-        part = circles[at : at + step]
-        off = np.hypot(xy[:, 0] - part[:, :1], xy[:, 1] - part[:, 1:2]) - part[:, 2:]
-        on = np.abs(off) < search.band
-        fits = (np.count_nonzero(on, axis=1) >= search.min_inliers) & (np.count_nonzero(off < -search.inner_band, axis=1) <= search.max_inner)
-        for k in np.flatnonzero(fits).tolist():
-            yield part[k], np.flatnonzero(on[k])
-
-
-def goes_round(xy: np.ndarray, circle: np.ndarray, inliers: np.ndarray, search: CircleSearch) -> bool:
-    """Whether the inliers lie in enough directions; looked at only where a circle would be taken."""
-    d = xy[inliers] - circle[:2]
-    return np.count_nonzero(angular_bins(d[:, 0], d[:, 1], search.bins) > 1) >= search.min_bins
-
-
-def find_circles(xy: np.ndarray, seed: int = 0, search: CircleSearch = MANY) -> np.ndarray:
-    """GRF8: rows (x, y, r, n) of circles that do not overlap; of two that do, the one with more inliers stays.
-
-    A candidate that overlaps several kept circles is dropped (only circles
-    really kept are compared, Q25).
-    """
-    kept: list[tuple[float, float, float, int]] = []
-    for circle, inliers in candidate_circles(xy, seed, search):
-        x, y, r = circle
-        over = [k for k, c in enumerate(kept) if np.hypot(c[0] - x, c[1] - y) < c[2] + r]
-        if len(over) > 1 or (over and len(inliers) <= kept[over[0]][3]) or not goes_round(xy, circle, inliers, search):
-            continue
-        if not over:
-            kept.append((x, y, r, len(inliers)))
-        else:
-            kept[over[0]] = (x, y, r, len(inliers))
-    return np.array(kept).reshape(-1, 4)
-
-
-def find_best_circle(xy: np.ndarray, seed: int = 0, search: CircleSearch = BEST) -> np.ndarray | None:
-    """GRF9: (x, y, r, n) of the candidate with most inliers, refitted to them; None without one."""
-    best = None
-    for circle, inliers in candidate_circles(xy, seed, search):
-        if (best is None or len(inliers) > best[3]) and goes_round(xy, circle, inliers, search):
-            p = fit_circle(xy[inliers], circle)
-            if search.r_min < p[2] < search.r_max:
-                best = np.array([*p, len(inliers)])
-    return best
-
-
-def _in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The tables of equal ``keys`` of rows that are sorted by them."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
-        starts = [0, *(np.flatnonzero(reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])) + 1).tolist(), batch.num_rows]
-        if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in keys):
-            yield pa.Table.from_batches(held)
-            held = []
-        for low, high in zip(starts, starts[1:], strict=False):
-            held.append(batch.slice(low, high - low))
-            if high < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def best_circles(points: DataFrame, key: str, search: CircleSearch = BEST) -> DataFrame:
-    """GRF9 for each key, a long: (key, x, y, r, n) of the best circle of its points, drawn by the key."""
-    names = [key, "x", "y", "r", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
-        for table in _in_groups(batches, [key]):
-            own = table.column(key)[0].as_py()
-            found = find_best_circle(np.column_stack([table.column(c).to_numpy() for c in "xy"]), seed_of(own), search)
-            if found is not None:
-                rows.append((own, *found.tolist()))
-            if len(rows) >= 4096:
-                yield batch()
-                rows = []
-        if rows:
-            yield batch()
-
-    return points.select(key, "pid", "x", "y").repartition(key).sortWithinPartitions(key, "pid").mapInArrow(run, f"{key} long, x double, y double, r double, n double")
-
-
-def circle_stacks(points: DataFrame, dh: float = 0.2, low: float | None = None, high: float | None = None, tile: float = 2.0, search: CircleSearch = MANY) -> DataFrame:
-    """GRF11: (cid, x, y, r, z, n) circles of every slice and half-overlapping tile.
-
-    A cid is made of slice, tile and place there, so ids rise from the ground
-    (Q26) without any global order. Points with a null coordinate lie in no
-    slice or tile; an empty cloud gives no circles.
-    """
-    if low is None or high is None:
-        least, most = points.agg(F.min("z"), F.max("z")).first()
-        least, most = (0.0, 0.0) if least is None else (least, most)
-        low = least if low is None else low
-        high = most - dh if high is None else high
-    tiled = half_overlapping_tiles(slices(points, low, high, dh), tile, ["slice"])
-
-    def search_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pid")
-        found = find_circles(pdf[["x", "y"]].to_numpy(), seed_of(*key), search)
-        out = pd.DataFrame(found, columns=["x", "y", "r", "n"])
-        out["z"] = low + key[0] * dh + dh / 2
-        out["cid"] = (((int(key[0]) << 20 | int(key[1])) << 20 | int(key[2])) << 8) + np.arange(len(out))
-        return out[["cid", "x", "y", "r", "z", "n"]]
-
-    grouped = tiled.select("slice", "tx", "ty", "pid", "x", "y").groupBy("slice", "tx", "ty")
-    return grouped.applyInPandas(search_group, "cid long, x double, y double, r double, z double, n long")
-
-
 def _in_shares(members: DataFrame, keys: list[str], per: int = 256) -> DataFrame:
     """(keys, ids): the cids of equal keys in sorted arrays of about ``per``, so that no row holds all copies of a place."""
     counts = members.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in keys], "_n")
