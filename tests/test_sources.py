@@ -141,3 +141,20 @@ def test_lines_of_split_files_are_numbered_file_by_file(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_binary_parts_are_joined_as_they_are(spark, tmp_path, monkeypatch):
+    """All byte values, line ends included, in order, over several tasks and files a task, and none through Python."""
+    from pyspark.sql import DataFrame
+
+    from timberline.sources import files
+
+    blobs = [bytes([k % 256]) * (k % 5) + b"\n\r\xff\x00" * (k % 3) for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(blobs)), "at long, value binary").repartition(7).orderBy("at")
+    for name in ("toLocalIterator", "collect"):
+        monkeypatch.setattr(DataFrame, name, None)
+    files.write_blobs(df, f"{tmp_path}/b.bin", b"head")
+    assert (tmp_path / "b.bin").read_bytes() == b"head" + b"".join(blobs)
+    files.write_blobs(df.where("false"), f"{tmp_path}/none.bin")
+    assert (tmp_path / "none.bin").read_bytes() == b""
+    assert sorted(f.name for f in tmp_path.iterdir() if not f.name.startswith(".")) == ["b.bin", "none.bin"]

@@ -1054,6 +1054,22 @@ def _(s, d):
     return points.select("tree_id", "pid", "class_id", F.round("certainty", 5).alias("certainty"))
 
 
+@query("plan_detect_seedlings")
+def _(s, d):
+    from timberline.model import RasterConfig
+
+    config = RasterConfig(["canopy_height", "max_colour1", "max_colour2"], [1, 1, 1], "rescale", res=1.0, gridSize=(30, 30, 60))
+    report = pipelines.detect_seedlings(views.cloud(s, d), config, _PRESET, detect.peak_detector(5))[2]
+    return report.select("tree_id", *[_r(c) for c in ("x", "y", "z", "height")])
+
+
+@query("plan_tree_certainty")
+def _(s, d):
+    low = ground.ground_points(views.cloud(s, d))
+    report = pipelines.tree_certainty(views.labelled(s, d), (12, 12, 12), 1.0, segment.HeightRule(), 2, low, 5)
+    return report.select("tree_id", *[_r(c) for c in ("x", "y", "z", "height")], F.round("prob", 5).alias("prob"), "n")
+
+
 @query("plan_extract_stems")
 def _(s, d):
     return pipelines.extract_stems(_ring_cloud(s, d), 0.0, 2.4, 0.2, 0.01)[0].select("tree_id", "cid", *[_r(c) for c in ("x", "y", "r", "z")])

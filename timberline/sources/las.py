@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 from timberline.sources.files import write_blobs
 
 RECORDS = 500_000
+#: Bytes of one part of a file that is written.
+PART_BYTES = 1 << 24
 _CORE = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2")]
 _OLD = [*_CORE, ("flags", "u1"), ("classification", "u1"), ("scan_angle", "i1"), ("user_data", "u1"), ("pt_src_id", "<u2")]
 _NEW = [*_CORE, ("returns", "u1"), ("flags", "u1"), ("classification", "u1"), ("user_data", "u1"), ("scan_angle", "<i2"), ("pt_src_id", "<u2"), ("gps_time", "<f8")]
@@ -132,7 +134,7 @@ def read_las_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_las(points: DataFrame, path: str, label: str | None = None, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), scale: float = 0.001) -> None:
-    """SNK5: one LAS 1.2 file (point format 2) in order of pid; records are made by the executors and copied one after another.
+    """SNK5: one LAS 1.2 file (point format 2) in order of pid; records are made by the executors as parts of ``PART_BYTES`` and joined as streams.
 
     ``label`` goes to ``pt_src_id``; ``offset`` is added to the coordinates of
     the file, not to the frame; the header's offset is the floor of the least
@@ -156,12 +158,19 @@ def write_las(points: DataFrame, path: str, label: str | None = None, offset: tu
     wanted = points.select("pid", "x", "y", "z", *[pick(c).cast("double").alias(c) for c in colours], F.coalesce(F.col(label) if label else F.lit(0), F.lit(0)).cast("int").alias("pt_src_id")).orderBy("pid")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = lambda held: pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+        held: list[bytes] = []
         for batch in batches:
             raw = np.zeros(batch.num_rows, kind)
             for k, c in enumerate("xyz"):
                 raw[c.upper()] = np.rint((batch.column(c).to_numpy() + offset[k] - base[k]) / scale)
             for c in (*colours, "pt_src_id"):
                 raw[c] = np.clip(batch.column(c).to_numpy(), 0, 65535)
-            yield pa.RecordBatch.from_arrays([pa.array([raw.tobytes()], pa.binary())], names=["value"])
+            held.append(raw.tobytes())
+            if sum(map(len, held)) >= PART_BYTES:
+                yield part(held)
+                held = []
+        if held:
+            yield part(held)
 
     write_blobs(wanted.mapInArrow(records, "value binary"), path, bytes(head))
