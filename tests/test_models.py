@@ -153,6 +153,22 @@ def test_batch_selection_is_exact_when_small(spark):
     assert greedy[0].objective == pytest.approx(best, abs=0.02)
 
 
+def test_batch_selection_is_proven_by_bounds(spark, monkeypatch):
+    """Branch and bound finds what trying all choices finds, and bounds what it did not look at."""
+    p, codes, probs = pool(spark, 26)
+    dist = np.sqrt(((codes[:, None] - codes[None]) ** 2).sum(2))
+    for alpha in (0.03, 0.5, 2.0):
+        cost = probs + 0.1 * dist.mean(0)
+        best = max(active.batch_value(dist, cost, c, alpha) for c in combinations(range(26), 4))
+        rows = active.select_batch(p, 4, alpha=alpha, exact_limit=1, gap=True).collect()
+        assert len(rows) == 4 and rows[0].exact and rows[0].objective == pytest.approx(best) and rows[0].gap == pytest.approx(0, abs=1e-12)
+    monkeypatch.setattr(active, "LOOKED_AT", 1)
+    cut = active.select_batch(p, 4, alpha=2.0, exact_limit=1, gap=True).first()
+    assert cut.objective <= best + 1e-9 <= cut.objective + cut.gap + 2e-9
+    two = active.select_batch(p, 2, exact_limit=1).collect()
+    assert two[0].objective == pytest.approx(max(active.batch_value(dist, probs + 0.1 * dist.mean(0), c, 0.03) for c in combinations(range(26), 2)))
+
+
 def test_empty_and_single(spark):
     none = cloud(spark, np.empty((0, 3)))
     assert tree_tops(none).count() == 0 and voxels.occupancy(projections.voxel_index(none, (4, 4, 4), 1.0)).count() == 0

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.operators.graph import checkpointed
@@ -16,6 +17,10 @@ from timberline.operators.graph import checkpointed
 BLOCK = 512
 #: Codes of a pool that is clustered or searched in one place; larger ones are in blocks over the cluster.
 LOCAL = 20_000
+#: Codes left by the bounds among which the best batch is searched; their distances (8 bytes a pair) go to every task.
+SEARCHED = 1024
+#: Groups of subtrees that are searched apart, and partial choices looked at in each.
+SUBTREES, LOOKED_AT = 64, 50_000
 
 
 def random_ids(pool: DataFrame, budget: int, seed: int = 0) -> DataFrame:
@@ -287,16 +292,128 @@ def _exchanged(pool: DataFrame, scored: DataFrame, budget: int, alpha: float) ->
     return [i for i, _, _ in best], now
 
 
-def select_batch(pool: DataFrame, budget: int, labelled: DataFrame | None = None, alpha: float = 0.03, beta: float = 1.0, gamma: float = 0.1, delta: float = 1.0, exact_limit: int = 200_000) -> DataFrame:
+def _farthest(dist: np.ndarray, most: int) -> np.ndarray:
+    """Column k: the sum of each row's k largest distances."""
+    most = min(most, len(dist))
+    parts = [-np.sort(np.partition(-dist[at : at + BLOCK], most - 1, axis=1)[:, :most], axis=1) if most else np.zeros((len(dist[at : at + BLOCK]), 0)) for at in range(0, len(dist), BLOCK)]
+    return np.column_stack([np.zeros(len(dist)), *np.cumsum(np.vstack(parts), axis=1).T])
+
+
+class _Bounds:
+    """Upper bounds of AL8's objective over all ways to fill up a partial choice.
+
+    The distances among codes yet to be chosen are at most half of the sum of each
+    one's largest distances, so each code has a weight of its own and the largest weights
+    bound the rest. ``alpha`` is not negative.
+    """
+
+    def __init__(self, dist: np.ndarray, cost: np.ndarray, budget: int, alpha: float):
+        self.dist, self.cost, self.budget = dist, cost, budget
+        self.share = alpha / (budget * (budget - 1) / 2 or 1)
+        self.far = _farthest(dist, budget - 1)
+
+    def filled(self, chosen: list[int], start: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bound, value so far) for each code from ``start`` on that comes next, when the later ones lie behind it."""
+        need = self.budget - len(chosen)
+        near = self.dist[chosen][:, start:].sum(0) if chosen else 0.0
+        own = self.share * near - self.cost[start:] / self.budget
+        so_far = self.share * self.dist[np.ix_(chosen, chosen)].sum() / 2 - self.cost[chosen].sum() / self.budget
+        weight = own + self.share * self.far[start:, min(need - 1, self.far.shape[1] - 1)] / 2
+        bound, held = np.full(len(weight), -np.inf), []
+        total = 0.0  # of the need - 1 largest weights behind
+        for k in range(len(weight) - 1, -1, -1):
+            if len(held) == need - 1:
+                bound[k] = so_far + weight[k] + total
+            if need > 1:
+                heapq.heappush(held, weight[k])
+                total += weight[k] - (heapq.heappop(held) if len(held) > need - 1 else 0.0)
+        return bound, so_far + own
+
+    def containing(self) -> np.ndarray:
+        """For each code a bound of all batches that hold it."""
+        weight = self.share * self.far[:, -1] / 2 - self.cost / self.budget
+        largest = np.sort(weight)[::-1]
+        others = largest[: self.budget - 1].sum()
+        # a code among the largest leaves its place to the next
+        return np.where(weight >= largest[self.budget - 1], largest[: self.budget].sum(), weight + others)
+
+    def search(self, prefix: list[int], value: float, looked_at: int) -> tuple[float, list[int] | None, float, int]:
+        """(best value over ``value``, its choice, bound of what was not looked at, places left): depth first behind ``prefix``."""
+        best, choice, left, stack = value, None, -np.inf, [(np.inf, prefix)]
+        while stack:
+            bound, chosen = stack.pop()
+            if bound <= best + 1e-12:
+                continue
+            if not looked_at:
+                left = max(left, bound)
+                continue
+            looked_at -= 1
+            start = chosen[-1] + 1
+            bounds, values = self.filled(chosen, start)
+            if len(chosen) + 1 == self.budget:
+                if len(values) and values.max() > best + 1e-12:
+                    best, choice = float(values.max()), [*chosen, start + int(values.argmax())]
+                continue
+            open_ = np.flatnonzero(bounds > best + 1e-12)
+            stack.extend((float(bounds[k]), [*chosen, start + int(k)]) for k in open_[np.argsort(bounds[open_], kind="stable")].tolist())
+        return best, choice, left, looked_at
+
+
+def _proven(spark: SparkSession, dist: np.ndarray, cost: np.ndarray, best: tuple[int, ...], value: float, alpha: float) -> tuple[tuple[int, ...], float, float]:
+    """(choice, value, bound): branch and bound from a good choice; subtrees are dealt to tasks, each with a fixed number of places."""
+    budget, kept = len(best), np.arange(len(cost))
+    while True:  # codes that no better batch can hold go, which tightens the bounds of the others
+        bounds = _Bounds(dist[np.ix_(kept, kept)], cost[kept], budget, alpha)
+        with_it = bounds.containing()
+        stay = with_it > value + 1e-12
+        if stay.sum() < budget:
+            return best, value, value
+        if stay.all():
+            break
+        kept = kept[stay]
+    if len(kept) > SEARCHED:
+        return best, value, float(with_it.max())
+    kept = kept[np.argsort(-with_it, kind="stable")]
+    bounds = _Bounds(dist[np.ix_(kept, kept)], cost[kept], budget, alpha)
+    depth_one, _ = bounds.filled([], 0)
+    rows = [(float(b), [k]) for k, b in enumerate(depth_one.tolist()) if b > value + 1e-12]
+    if budget > 2:
+        rows = [(float(b), [*p, p[-1] + 1 + k]) for _, p in rows for k, b in enumerate(bounds.filled(p, p[-1] + 1)[0].tolist()) if b > value + 1e-12]
+    if not rows:
+        return best, value, value
+    rows.sort(key=lambda r: (-r[0], r[1]))
+    dealt = pd.DataFrame({"task": np.arange(len(rows)) % SUBTREES, "at": np.arange(len(rows)), "bound": [b for b, _ in rows], "prefix": [p for _, p in rows]})
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, choice, left, places = value, None, -np.inf, LOOKED_AT
+        for row in pdf.sort_values("at").itertuples():
+            if row.bound <= top + 1e-12:
+                continue
+            if not places:
+                left = max(left, row.bound)
+                continue
+            top, found, rest, places = bounds.search([int(k) for k in row.prefix], top, places)
+            choice, left = found or choice, max(left, min(rest, row.bound))
+        return pd.DataFrame({"value": [top], "choice": [choice or []], "bound": [left]})
+
+    found = spark.createDataFrame(dealt, "task long, at long, bound double, prefix array<long>").groupBy("task").applyInPandas(search, "value double, choice array<long>, bound double").collect()  # a row a task
+    top = max(found, key=lambda r: (r["value"], [-k for k in r["choice"]]))
+    if top["choice"]:
+        best, value = tuple(int(kept[k]) for k in top["choice"]), top["value"]
+    return best, value, max(value, *[r["bound"] for r in found])
+
+
+def select_batch(pool: DataFrame, budget: int, labelled: DataFrame | None = None, alpha: float = 0.03, beta: float = 1.0, gamma: float = 0.1, delta: float = 1.0, exact_limit: int = 200_000, gap: bool = False) -> DataFrame:
     """AL8: (id, objective, exact) of ``budget`` samples that maximise diversity minus probability, frontier share and density.
 
-    Every choice is tried while there are at most ``exact_limit`` (then
-    ``exact`` is true); otherwise the least costly choice is improved by
-    exchanges until none helps, on the driver for pools of up to ``LOCAL`` codes
-    and over the cluster beyond. A sample without labelled neighbours has no
-    frontier share; an empty pool gives none.
+    Every choice is tried while there are at most ``exact_limit``; otherwise the least
+    costly choice is improved by exchanges until none helps, and then by branch and
+    bound (pools of up to ``LOCAL`` codes, ``alpha`` not negative, ``exact_limit`` not 0),
+    whose subtrees are tasks with a fixed number of places. ``exact`` says that no batch is
+    better; with ``gap``, a column says by how much one might be (null where no bound was
+    sought). A sample without labelled neighbours has no frontier share; an empty pool gives none.
     """
-    spark, schema = pool.sparkSession, "id long, objective double, exact boolean"
+    spark, schema = pool.sparkSession, "id long, objective double, exact boolean" + (", gap double" if gap else "")
     pool = pool.where(F.col("code").isNotNull())
     held = _matrix(pool)
     if held is None:
@@ -304,7 +421,7 @@ def select_batch(pool: DataFrame, budget: int, labelled: DataFrame | None = None
         scored = pool.select("id", "prob").join(mean_distances(pool.select("id", "code")), "id").join(share, F.col("id") == F.col("_i"), "left")
         cost = delta * F.col("prob") + beta * F.coalesce("frontier", F.lit(0.0)) + gamma * F.col("spread")
         chosen, objective = _exchanged(pool, scored.select("id", cost.alias("cost")), budget, alpha)
-        return spark.createDataFrame([(int(i), float(objective), False) for i in sorted(chosen)], schema)
+        return spark.createDataFrame([(int(i), float(objective), False, *([None] if gap else [])) for i in sorted(chosen)], schema)
     ids, codes, probs, _ = held
     if not len(ids) or not budget:
         return spark.createDataFrame([], schema)
@@ -317,6 +434,7 @@ def select_batch(pool: DataFrame, budget: int, labelled: DataFrame | None = None
     cost = delta * probs + beta * front + gamma * dist.mean(0)
     budget = min(budget, len(ids))
     exact = math.comb(len(ids), budget) <= exact_limit
+    over = 0.0 if exact else None
     if exact:
         best = max(combinations(range(len(ids)), budget), key=lambda c: batch_value(dist, cost, c, alpha))
     else:
@@ -334,5 +452,8 @@ def select_batch(pool: DataFrame, budget: int, labelled: DataFrame | None = None
                 candidate = tuple([*others, rest[int(gain.argmax())]])
                 if (v := batch_value(dist, cost, candidate, alpha)) > value + 1e-12:
                     best, value, improved = candidate, v, True
+        if exact_limit and alpha >= 0 and budget > 1:
+            best, value, bound = _proven(spark, dist, cost, best, value, alpha)
+            exact, over = bool(bound <= value + 1e-12), float(bound - value)
     objective = batch_value(dist, cost, best, alpha)
-    return spark.createDataFrame([(int(ids[b]), float(objective), exact) for b in sorted(best)], schema)
+    return spark.createDataFrame([(int(ids[b]), float(objective), exact, *([over] if gap else [])) for b in sorted(best)], schema)
