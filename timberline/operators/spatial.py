@@ -46,8 +46,10 @@ def label_points(points: DataFrame, boxes: DataFrame, size: float = 5.0, classes
     With ``classes`` the label is that column of the last box. Ids are those of
     the boxes (Q8); ``seed`` permutes them, 0 staying 0. No boxes label all 0 (Q19).
     """
-    hits = points_in_boxes(points.select("pid", "x", "y"), boxes, size)
-    last = hits.groupBy("pid").agg(F.max_by(F.col(classes) if classes else F.col("bid") + 1, "bid").alias("label"))
+    own = F.max_by(F.col(classes) if classes else F.col("bid") + 1, "bid").alias("_own")
+    tops = boxes.groupBy("ymin", "xmin", "ymax", "xmax").agg(own, F.max("bid").alias("bid"))  # of copies the last decides
+    hits = points_in_boxes(points.select("pid", "x", "y"), tops, size)
+    last = hits.groupBy("pid").agg(F.max_by("_own", "bid").alias("label"))
     if seed is not None and not classes:
         order = numbered(boxes.select("bid"), F.xxhash64(F.lit(seed), "bid"), "bid", name="other")
         last = last.join(order.select((F.col("bid") + 1).alias("label"), "other"), "label").select("pid", (F.col("other") + 1).alias("label"))
