@@ -38,3 +38,17 @@ def test_nearest_codes_by_tiles(pool):
     got = sorted((r.id, r["rank"], r.lid, r.label) for r in active.nearest_codes(frame, frame, 5).collect())
     want = [(k, n + 1, int(j), int(j) % 3) for k in range(120) for n, j in enumerate(np.lexsort((np.arange(120), dist[k]))[:5])]
     assert got == want
+
+
+def test_far_medoids_of_all_starts_together(pool, monkeypatch):
+    """al6: the starts share each round's jobs; clusters in one tile or several give what one place gives."""
+    frame, codes, probs = pool
+    ids = np.arange(120)
+    want = []
+    for seed in (4, 5):
+        order = {r.id: r.h for r in frame.select("id", active.F.xxhash64(active.F.lit(seed), "id").alias("h")).collect()}
+        medoids, _, cost = active.k_medoids(codes, probs, 4, 6, start=np.array(sorted(order, key=order.get)))
+        want.append(({k % 100 for k in ids[medoids].tolist()}, pytest.approx(cost)))  # of copies either
+    for size in (1 << 17, 10):
+        monkeypatch.setattr(active, "CLUSTER", size)
+        assert [({k % 100 for k in found}, cost) for found, cost in active._far_medoids(frame, 4, 6, 1.0, [4, 5])] == want
