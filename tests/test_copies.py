@@ -168,3 +168,16 @@ def test_one_mesh_file_is_read_by_ranges(spark, tmp_path):
         assert sorted((r.fid, r.v) for r in quads.collect()) == [(i, [i, i + 1, i + 2, i + 3]) for i in range(2000)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_draws_of_large_groups_are_not_broadcast(spark):
+    """grf8, grf11: ranks, candidates and shares of groups grow with the points, so the driver does not collect them."""
+    from timberline.operators import circles
+
+    points = spark.range(3000).selectExpr("id AS pid", "id % 2 AS tile", "cos(id) * 0.3 AS x", "sin(id) * 0.3 AS y")
+    small, large = circles._by_size(points, ["tile"], 700)
+    assert "BroadcastHashJoin" not in _plan(small) + _plan(large)
+    placed, groups = circles._dealt(large, ["tile"], 700)
+    groups = circles.checkpointed(groups)
+    counted = circles._counted(circles.checkpointed(placed), groups, ["tile"], circles.MANY, 700)
+    assert "BroadcastHashJoin" not in _plan(counted) and counted.count() > 0
