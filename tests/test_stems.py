@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from timberline.operators import stems
+from timberline.operators import circles, stems
 from timberline.plans.pipelines import extract_stems
 
 
@@ -112,3 +113,28 @@ def test_a_refit_outside_the_limits_gives_way_to_the_next(spark):
         search = stems.CircleSearch(min_inliers=60, inner_band=0.1, max_inner=20, min_bins=11, r_max=r_max, band=0.004)
         whole, shared = ([tuple(r) for r in stems.best_circles(points, "tree", search, s).collect()] for s in (None, 900))
         assert len(shared) == len(whole) and all(a == pytest.approx(b, abs=1e-7) for a, b in zip(shared, whole))
+
+
+def test_groups_of_one_size_are_searched_together(monkeypatch):
+    """Equal to one group after another; what is drawn after a circle through all points is not compared."""
+    r, search = np.random.default_rng(4), stems.CircleSearch(min_inliers=20, max_inner=30, min_bins=6)
+    a = r.uniform(0, 2 * np.pi, (12, 60))
+    groups = np.concatenate([np.stack([0.3 * np.cos(a), 0.3 * np.sin(a)], 2) + r.normal(0, 0.02, (12, 60, 2)), r.uniform(-0.6, 0.6, (12, 30, 2))], 1)
+    groups[3], groups[5, 7] = 0.0, np.nan
+    one = [stems.find_best_circle(xy, k, search) for k, xy in enumerate(groups)]
+    got = circles.find_best_circles(groups, list(range(12)), search)
+    assert one[3] is None and sum(x is not None for x in one) > 6
+    assert np.allclose(got, [[np.nan] * 4 if x is None else x for x in one], atol=1e-9, equal_nan=True)
+    seen, whole = [], circles.circumcircles
+    monkeypatch.setattr(circles, "circumcircles", lambda t: seen.append(len(t)) or whole(t))
+    rings = np.stack([0.3 * np.cos(a), 0.3 * np.sin(a)], 2)
+    assert (circles.find_best_circles(rings, list(range(12)), search)[:, 3] == 60).all() and sum(seen) < 12 * search.tests / 4
+
+
+def test_groups_that_go_over_batches_stay_whole():
+    keys = np.repeat([3, 4, 9, 12], [5, 1, 7, 2])
+    table = pa.table({"k": keys, "x": np.arange(15.0), "y": -np.arange(15.0)})
+    for size in (1, 2, 5, 6, 20):
+        parts = list(circles._whole_groups(iter(table.to_batches(size)), "k"))
+        assert np.concatenate([p[0] for p in parts]).tolist() == [3, 4, 9, 12] and np.concatenate([p[1] for p in parts]).tolist() == [5, 1, 7, 2]
+        assert np.concatenate([p[2] for p in parts]).tolist() == [[k, -k] for k in range(15)]
