@@ -95,3 +95,29 @@ def test_leaves_hold_what_they_should():
     assert sizes.max() <= 64 and sizes.sum() == len(t)
     assert neighbours.Tree(np.zeros((100, 2)), 5).n_leaves == 1 and neighbours.Tree(t, 1, max_leaves=7).n_leaves <= 7
     assert neighbours._in_order(pa.table({"_tid": [3, 1, 2]}), "_tid").column(0).to_pylist() == [1, 2, 3]
+
+
+def _bounded(targets, leaf):
+    tree = neighbours.Tree(targets, leaf)
+    mine = tree.leaf_of(targets)
+    return tree.bounded(*(np.array([f(targets[mine == n], axis=0) for n in range(tree.n_leaves)]) for f in (np.min, np.max)))
+
+
+def test_leaves_within_reach_are_found_level_by_level(monkeypatch):
+    """All leaves within reach and no others, in chunks of any size; a level of the tree is one step, however many leaves there are."""
+    t, q = dense(6, 3000), dense(7, 400, -20, 120)
+    tree, reach = _bounded(t, 8), np.random.default_rng(8).uniform(0, 9, 400)
+    ends = np.flatnonzero(tree.leaf >= 0)
+    gap = np.maximum(np.maximum(tree.low[ends] - q[:, None], q[:, None] - tree.high[ends]), 0.0)
+    far = np.sqrt((gap * gap).sum(axis=2))
+    want = {(r, int(tree.leaf[ends[n]])): far[r, n] for r, n in zip(*np.nonzero(far <= reach[:, None]), strict=True)}
+    steps, one = [], neighbours.Tree._far
+    monkeypatch.setattr(neighbours.Tree, "_far", lambda *a: steps.append(1) or one(*a))
+    for pairs in (1 << 19, 100):
+        monkeypatch.setattr(neighbours, "PAIRS", pairs)
+        steps.clear()
+        got = list(zip(*(x.tolist() for x in tree.within(q, reach, False)), strict=True))
+        assert len(got) == len(want) and all(want[r, n] == pytest.approx(d) for r, n, d in got)
+        assert pairs == 100 or len(steps) <= 30 < tree.n_leaves
+    own = tree.leaf_of(q)
+    assert tree.reached(q, own, 3.0, False).tolist() == [far[r, np.flatnonzero(tree.leaf[ends] == n)[0]] <= 3.0 for r, n in enumerate(own)]

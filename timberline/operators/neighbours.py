@@ -29,9 +29,13 @@ MAX_LEAVES = 1 << 14
 SAMPLE = 1 << 17
 #: Queries that meet a leaf's targets in one task.
 SHARE = 1 << 13
+#: Queries, or targets that are sent to them, of a task about, where there are enough.
+TASK = 1 << 15
 #: Distances computed at once in a worker, and targets beyond which a leaf is cut once more there.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LOCAL = 1 << 11
+#: Pairs of a query and a node of the tree looked at together in a worker.
+PAIRS = 1 << 19
 #: Leaves that a query asks in the second round; each later round asks four times as many.
 ASKS = 4
 #: Shares of the targets in one place.
@@ -94,24 +98,37 @@ class Tree:
 
     def within(self, points: np.ndarray, reach: np.ndarray, keyed: bool, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, distance) of the leaves whose box is no farther than ``reach`` from each point; of dimension 0 the boxes must hold the point's if ``keyed``."""
-        out, stack = [], [(0, np.arange(len(points)))]
-        while stack:
-            node, rows = stack.pop()
-            gap = np.maximum(np.maximum(self.low[node] - points[rows], points[rows] - self.high[node]), 0.0)
-            far = np.sqrt(sum(gap[:, d] * gap[:, d] for d in range(int(keyed), gap.shape[1])))
-            near = (far <= reach[rows]) & (gap[:, 0] == 0 if keyed else True) & np.isfinite(far)
-            rows, far = rows[near], far[near]
-            if not len(rows):
+        out, stack = [], [(np.arange(len(points)), np.zeros(len(points), np.int64))]
+        while stack:  # (row, node) pairs, a level of the tree at once
+            rows, node = stack.pop()
+            if len(rows) > PAIRS:
+                stack += [(rows[k : k + PAIRS], node[k : k + PAIRS]) for k in range(0, len(rows), PAIRS)]
                 continue
-            if self.leaf[node] >= 0:
-                out.append((rows, np.full(len(rows), self.leaf[node]), far))
-            else:
-                stack += [(int(kid), rows) for kid in self.kids[node]]
+            far, kept = self._far(points, rows, node, keyed)
+            near = (far <= reach[rows]) & kept
+            rows, node, far = rows[near], node[near], far[near]
+            end = self.leaf[node] >= 0
+            if end.any():
+                out.append((rows[end], self.leaf[node[end]], far[end]))
+            if not end.all():
+                stack.append((np.repeat(rows[~end], 2), self.kids[node[~end]].ravel()))
         if not out:
             none = np.empty(0, np.int64)
             return none, none, np.empty(0)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def _far(self, points: np.ndarray, rows: np.ndarray, node: np.ndarray, keyed: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(distance, whether the node's box may hold an answer) of pairs of a row and a node."""
+        at = points[rows]
+        gap = np.maximum(np.maximum(self.low[node] - at, at - self.high[node]), 0.0)
+        far = np.sqrt(sum(gap[:, d] * gap[:, d] for d in range(int(keyed), gap.shape[1])))
+        return far, np.isfinite(far) & ((gap[:, 0] == 0) if keyed else True)
+
+    def reached(self, points: np.ndarray, leaf: np.ndarray, reach: float, keyed: bool) -> np.ndarray:
+        """Whether the box of each point's ``leaf`` is no farther than ``reach``."""
+        far, kept = self._far(points, np.arange(len(points)), np.flatnonzero(self.leaf >= 0)[np.argsort(self.leaf[self.leaf >= 0])][leaf], keyed)
+        return (far <= reach) & kept
+
 
 def closest(targets: np.ndarray, queries: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, target, distance), each query's ``k`` nearest in order; of equal distances the earlier target. ``same``: labels of targets and queries that must be equal."""
@@ -274,17 +291,25 @@ def nearest(
             if limit is None:
                 yield _added(batch, _leaf=pa.array(home[sent.value.leaf_of(points)].astype(np.int32)))
                 continue
-            row, leaf_, far = bounded.value.within(points, np.full(len(points), float(limit)), keyed)  # what no box is near to has no neighbours
+            own = sent.value.leaf_of(points)
+            settled = bounded.value.reached(points, own, float(limit), keyed)
+            other = np.flatnonzero(~settled)
+            row, leaf_, far = bounded.value.within(points[other], np.full(len(other), float(limit)), keyed)  # what no box is near to has no neighbours
             order = np.lexsort((leaf_, far, row))
             rows, first = np.unique(row[order], return_index=True)
-            yield _added(batch.take(pa.array(rows)), _leaf=pa.array(leaf_[order][first].astype(np.int32)))
+            own[other[rows]] = leaf_[order][first]
+            settled[other[rows]] = True
+            at = np.flatnonzero(settled)
+            yield _added(batch.take(pa.array(at)), _leaf=pa.array(own[at].astype(np.int32)))
 
     def met(asked: DataFrame, ids: list[str]) -> DataFrame:
         """``ids`` and best (the k nearest of the leaf) of each row of ``asked`` (ids, places, _leaf), dealt by leaf and share."""
-        wanted = np.zeros(tree.n_leaves, np.int64)
+        wanted, rows = np.zeros(tree.n_leaves, np.int64), 0
         for r in asked.groupBy("_leaf").count().collect():  # a row a leaf
             wanted[r._leaf] = -(-r["count"] // share)
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(wanted.sum()) // 4, 1 << 14))
+            rows += r["count"]
+        rows = max(rows, int((wanted * counts).sum()))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rows // TASK, int(wanted.sum()) // 4, 1 << 14))
         asked = asked.withColumn("_h", F.xxhash64(*ids[:1], *place))
         ours = asked.mapInArrow(_dealt(bounded, place, wanted, False), schema(asked, "_share int")).repartition(parts, "_leaf", "_share")
         theirs = t.mapInArrow(_dealt(bounded, place, wanted, True), schema(t, "_leaf int", "_share int")).repartition(parts, "_leaf", "_share")
