@@ -40,3 +40,16 @@ def test_certainty_by_tree(spark):
             assert r.prob == pytest.approx(want.loc[tree, "mean"]) and r.n == want.loc[tree, "size"]
         else:
             assert r.prob is None and r.n == 0
+
+
+def test_heights_are_found_only_for_a_layer_of_them(spark, monkeypatch):
+    from timberline.model import RasterConfig
+    from timberline.operators import detect
+
+    asked, whole = [], detect.height_above_ground
+    monkeypatch.setattr(detect, "height_above_ground", lambda *a, **k: asked.append(1) or whole(*a, **k))
+    points = spark.range(20).selectExpr("id AS pid", "id * 0.4D AS x", "id * 0.3D AS y", "id * 0.1D AS z", "1 AS tree_id")
+    ground = spark.sql("SELECT 0 AS ix, 0 AS iy, 1.0D AS gx, 1.0D AS gy, 0.0D AS gz")
+    layers = lambda *names: {tuple(r) for r in detect.rasters(points, RasterConfig(list(names), [1] * len(names), "rescale", res=0.5, gridSize=(20, 20, 20)), ["tree_id"], ground).collect()}
+    assert layers("vertical_density", "max_height") and not asked
+    assert layers("canopy_height") and asked

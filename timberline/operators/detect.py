@@ -80,7 +80,9 @@ def rasters(points: DataFrame, config: RasterConfig, keys: list[str], ground: Da
     -1 and hold the value of absent cells.
     """
     plain = voxelised(points, keys, config.gridSize, config.res)
-    canopy = voxelised(height_above_ground(points, ground), keys, config.gridSize, config.res) if ground is not None else None
+    canopy = None
+    if ground is not None and "canopy_height" in config.raster_layers:  # no other layer reads heights
+        canopy = voxelised(height_above_ground(points, ground), keys, config.gridSize, config.res)
     if sum(n not in ("blank", "canopy_height") for n in config.raster_layers) > 1:
         plain = checkpointed(plain)  # voxels that several layers read
     out = None
