@@ -138,3 +138,35 @@ def test_groups_that_go_over_batches_stay_whole():
         parts = list(circles._whole_groups(iter(table.to_batches(size)), "k"))
         assert np.concatenate([p[0] for p in parts]).tolist() == [3, 4, 9, 12] and np.concatenate([p[1] for p in parts]).tolist() == [5, 1, 7, 2]
         assert np.concatenate([p[2] for p in parts]).tolist() == [[k, -k] for k in range(15)]
+
+
+def test_points_of_large_tiles_are_written_once(spark, monkeypatch):
+    """grf8, grf11: not once a tile that they lie in; copies of a place are met once, draws follow the order of pid."""
+    from timberline.operators import graph
+
+    r, written = np.random.default_rng(5), []
+    a = np.round(r.uniform(0, 2 * np.pi, 3000), 2)  # copies
+    ring = np.column_stack([np.cos(a), np.sin(a)]) * np.where(np.arange(3000) % 2, 0.2, 0.3)[:, None] + np.where(np.arange(3000) % 2, 1.5, 2.6)[:, None]
+    xy = np.vstack([ring, r.uniform(0, 4, (300, 2)), [[0.0, 0.0], [4.0, 4.0]]])
+    rows = [(int(p) - 1000, float(x), float(y), 0.1 + 0.4 * (k % 9 == 0)) for k, (p, (x, y)) in enumerate(zip(r.permutation(len(xy)) * 1_000_003, xy, strict=True))]
+    points = spark.createDataFrame(rows, "pid long, x double, y double, z double").repartition(5)
+    whole = sorted(map(tuple, stems.circle_stacks(points, 0.4, 0.0, 0.8).collect()))
+    kept = graph.checkpointed
+    for module in (graph, circles):
+        monkeypatch.setattr(module, "checkpointed", lambda df: (out := kept(df), written.append(out.count()))[0])
+    monkeypatch.setattr(circles, "RANGE", 400, raising=False)
+    for share in (500,):
+        assert sorted(map(tuple, stems.circle_stacks(points, 0.4, 0.0, 0.8, share=share).collect())) == whole and len(whole) >= 3
+    assert 1500 < max(written) <= len(rows)
+
+
+def test_spans_are_the_tiles_of_each_point(spark):
+    from timberline.operators.spatial import half_overlapping_tiles, tile_spans
+
+    r = np.random.default_rng(2)
+    rows = [(k, k % 3, float(x), float(y)) for k, (x, y) in enumerate(np.round(r.uniform(-3, 4, (600, 2)), 1))] + [(600, 1, None, 0.5), (601, 1, 0.5, None), (602, 7, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "pid long, slice int, x double, y double")
+    for size in (0.7, 2.0):
+        want = sorted((t.slice, t.pid, t.tx, t.ty) for t in half_overlapping_tiles(points, size, ["slice"]).collect())
+        got = sorted((t.slice, t.pid, i, j) for t in tile_spans(points, size, "slice").collect() for i in range(t.tx0, t.tx1 + 1) for j in range(t.ty0, t.ty1 + 1))
+        assert got == want and len(got) > 1000

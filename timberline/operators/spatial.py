@@ -7,12 +7,15 @@ applied again, so plans shuffle, spill and split skew like any other join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.graph import numbered
+from timberline.operators.graph import checkpointed, numbered
 
 
 def _all(tests) -> Column:
@@ -102,6 +105,36 @@ def half_overlapping_tiles(points: DataFrame, size: float, keys: list[str] | Non
     return out.where(_all(inside)).withColumns({"tx": F.col("tx").cast("int"), "ty": F.col("ty").cast("int")}).drop("_x0", "_x1", "_y0", "_y1")
 
 
+def tile_spans(points: DataFrame, size: float, key: str) -> DataFrame:
+    """(key, tx0, tx1, ty0, ty1, pid, x, y) of the points (key, an int, pid, x, y): the first and last of the :func:`half_overlapping_tiles` that a point lies in, unless in none.
+
+    A row a point, where tiles have up to four. ``key`` has few values, whose bounds are broadcast.
+    """
+    hop = size / 2.0
+    points = points.select(key, "pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    edges = points.groupBy(key).agg(*[f(c).alias(f"_{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))])
+    names = [key, "tx0", "tx1", "ty0", "ty1", "pid", "x", "y"]
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, ends = np.ones(batch.num_rows, bool), []
+            for c in "xy":
+                at, low, high = (batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in (c, f"_{c}0", f"_{c}1"))
+                with np.errstate(invalid="ignore", over="ignore"):
+                    cell = np.floor((at - low) / hop)
+                    starts = [low + (cell + k) * hop for k in (-2, -1, 0, 1)]
+                    first = np.maximum(cell - 2 + sum(at >= s + size for s in starts), 0)
+                    last = np.minimum(cell - 3 + sum(at >= s for s in starts), np.ceil((high - low) / hop) - 2)
+                    kept &= np.isfinite(cell) & (first <= last)
+                ends += [first, last]
+            rows = batch.filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([rows.column(key), *[pa.array(e[kept].astype(np.int32)) for e in ends], *[rows.column(n) for n in names[5:]]], names=names)
+
+    # in numpy: with the view below, Spark's generated method is too long for the JVM to compile
+    joined = points.join(F.broadcast(checkpointed(edges)), key)
+    return joined.mapInArrow(span, f"{key} int, tx0 int, tx1 int, ty0 int, ty1 int, pid {points.schema['pid'].dataType.simpleString()}, x double, y double")
+
+
 def closest_pixels(pixels: DataFrame, target: tuple[float, ...], channels: tuple[str, ...]) -> DataFrame:
     """SRT3: all pixels with their squared colour distance, in order of it (then row, column)."""
     d = reduce(lambda a, b: a + b, ((F.col(c) - v) * (F.col(c) - v) for c, v in zip(channels, target, strict=True)))
